@@ -1,13 +1,385 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, each with the same as DuckDB SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "search_segments"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from ..functions import scalars as f
+from ..operators import library, repair, search, spans, speakers
+from ..sources import bindings as b
 
+FLAGSHIP = "search_citations"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+CLOCK = "CASE WHEN {0} >= 3600 THEN ({0}//3600) || ':' || lpad(CAST({0}%3600//60 AS VARCHAR),2,'0') || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') ELSE ({0}//60) || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') END"
+WORDS = r"list_filter(string_split_regex(trim({0}, ' '), '\s+'), lambda x: x <> '')"
+CLOSED = r"regexp_matches(rtrim({0}, ' '), '[.!?…][\"''»”)\]]*$')"
+UNION = """isl AS (SELECT video_id, start_ms, end_ms, sum(nw) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM {0})),
+uni AS (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM isl GROUP BY video_id, g)"""
+
+
+def query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _QUERIES[name], _SQL[name] = fn, sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _hits(s, d):  # segments that hold a hit: every third turn, three times as long
+    return b.segments(s, d).where("position % 3 = 0").select("video_id", "start_ms", (F.col("start_ms") + 3 * (F.col("end_ms") - F.col("start_ms"))).alias("end_ms"))
+
+
+def _holes(s, d):
+    return b.segments(s, d).where("position = 1 or position = 6").select("video_id", "start_ms", "end_ms")
+
+
+HITS = "hit AS (SELECT video_id, start_ms, start_ms + 3*(end_ms-start_ms) AS end_ms FROM seg WHERE position%3=0)"
+
+
+# ---- search
+
+_TOP = f"""top AS (SELECT q_id, id, start_ms, end_ms, speaker, video_id, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM (
+SELECT q.q_id, v.id, v.start_ms, v.end_ms, v.speaker, v.video_id, round(1 - list_dot_product(q_vec, embedding) / sqrt(list_dot_product(q_vec, q_vec) * list_dot_product(embedding, embedding)), 6) AS distance FROM q JOIN vec v ON v.video_id = q.video_id WHERE embedding IS NOT NULL) QUALIFY rank <= 8)"""
+
+
+def _top(s, d):
+    return search.search_segments(b.questions(s, d), b.vectors(s, d))
+
+
+@query("search_segments", f"WITH {b.VECTORS}, {_TOP} SELECT q_id, CAST(rank AS INTEGER) AS rank, id, distance FROM top")
+def _(s, d):
+    return _top(s, d).select("q_id", "rank", "id", "distance")
+
+
+@query("search_citations", f"""WITH {b.VECTORS}, {b.SPEAKERS}, {_TOP} SELECT q_id, '[' || string_agg('{{"type":"segment","segmentId":' || id || ',"start":' || start_ms || ',"end":' || end_ms || ',"speakerName":"' || coalesce(name, speaker, 'Без спикера') || '"}}', ',' ORDER BY rank) || ']' AS citations
+FROM top LEFT JOIN spk ON spk.video_id = top.video_id AND spk.label = top.speaker GROUP BY q_id""")
+def _(s, d):
+    return search.citations(speakers.with_speaker_name(_top(s, d), b.speakers(s, d)))
+
+
+_IDX = "idx AS (SELECT DISTINCT label*2+vec_id%2 AS index_id, CASE WHEN label=9 THEN 'building' ELSE 'ready' END AS status FROM embeddings)"
+
+
+def _entries(s, d):
+    return b.vectors(s, d).withColumn("index_id", F.col("video_id") * 2 + F.col("id") % 2)
+
+
+def _indexes(s, d):
+    e = _entries(s, d).select("video_id", "index_id").distinct()
+    kind = F.when(F.col("index_id") % 3 == 0, "moments").when(F.col("index_id") % 3 == 1, "custom").otherwise("agent")
+    return e.withColumn("status", F.when(F.col("video_id") == 9, "building").otherwise("ready")).withColumn("kind", kind).withColumn("created_at", F.col("index_id") * 7 % 5)
+
+
+@query("search_entries", f"""WITH {b.VECTORS}, {_IDX} SELECT q_id, index_id, CAST(rank AS INTEGER) AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id, index_id ORDER BY distance, id) AS rank FROM (
+SELECT q.q_id, v.video_id*2+v.id%2 AS index_id, v.id, round(1 - list_dot_product(q_vec, embedding) / sqrt(list_dot_product(q_vec, q_vec) * list_dot_product(embedding, embedding)), 6) AS distance FROM q JOIN vec v ON v.video_id=q.video_id WHERE embedding IS NOT NULL) WHERE index_id IN (SELECT index_id FROM idx WHERE status='ready')) WHERE rank <= 8""")
+def _(s, d):
+    return search.search_entries(b.questions(s, d), _entries(s, d), _indexes(s, d)).select("q_id", "index_id", "rank", "id", "distance")
+
+
+@query("merge_hits", f"""WITH {b.VECTORS}, d AS (SELECT q.q_id, v.id%3 AS group_no, v.id, round(1 - list_dot_product(q_vec, embedding) / sqrt(list_dot_product(q_vec, q_vec) * list_dot_product(embedding, embedding)), 6) AS distance FROM q JOIN vec v ON v.video_id=q.video_id WHERE embedding IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id, group_no ORDER BY distance, id) AS r FROM d QUALIFY r <= 8), n AS (SELECT *, (SELECT count(DISTINCT group_no) FROM r x WHERE x.q_id=r.q_id) AS n FROM r),
+p AS (SELECT *, CASE WHEN n=1 THEN r<=8 ELSE r <= greatest(1, 8//n) END AS picked FROM n),
+l AS (SELECT *, sum(picked::INT) OVER (PARTITION BY q_id) AS many, row_number() OVER (PARTITION BY q_id, picked ORDER BY distance, group_no, r) AS fill FROM p)
+SELECT q_id, CAST(place AS INTEGER) AS place, group_no, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, picked DESC, group_no, r) AS place FROM l WHERE picked OR fill <= 8-many) WHERE place <= 8""")
+def _(s, d):
+    met = b.questions(s, d).join(b.vectors(s, d).where("embedding is not null"), "video_id")
+    return search.merge_hits(met.select("q_id", (F.col("id") % 3).alias("group_no"), "id", F.round(1 - f.cosine(F.col("q_vec"), F.col("embedding")), 6).alias("distance")))
+
+
+@query("find_segments", f"""WITH {b.SEGMENTS}, t AS (SELECT item_id AS q_id, item_id AS video_id, list_transform(list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]{{4,}}'), lambda x: lower(x))), lambda x: x) AS all_terms, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{4,}}') AS ws FROM benchmark),
+k AS (SELECT q_id, video_id, list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:4] AS terms FROM t)
+SELECT q_id, CAST(place AS INTEGER) AS place, id FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY position) AS place FROM k JOIN seg USING (video_id) WHERE len(list_filter(terms, lambda x: contains(lower(text), x))) > 0) WHERE place <= 12""")
+def _(s, d):
+    q = b.table(s, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("item_id").alias("video_id"), F.col("text").alias("question"))
+    return search.find_segments(q, b.segments(s, d)).select("q_id", "place", "id")
+
+
+def _windows(s, d):
+    return b.segments(s, d).where("position % 4 = 1").select(F.col("id").alias("w_id"), "video_id", "start_ms", (F.col("start_ms") + 30_000).alias("end_ms"))
+
+
+@query("segments_between", f"WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg WHERE position%4=1) SELECT w_id, CAST(place AS INTEGER) AS place, position FROM (SELECT w_id, seg.position, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a) WHERE place <= 40")
+def _(s, d):
+    return search.segments_between(_windows(s, d), b.segments(s, d)).select("w_id", "place", "position")
+
+
+@query("result_lines", f"""WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg WHERE position%4=1), p AS (SELECT w_id AS q_id, seg.*, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a)
+SELECT q_id, string_agg('[' || {CLOCK.format('(start_ms//1000)')} || '–' || {CLOCK.format('(end_ms//1000)')} || '] ' || CASE WHEN speaker IS NULL THEN '' ELSE speaker || ': ' END || text, chr(10) ORDER BY place) AS lines FROM p WHERE place <= 8 GROUP BY q_id""")
+def _(s, d):
+    seg = b.segments(s, d)
+    placed = search.segments_between(_windows(s, d), seg).select(F.col("w_id").alias("q_id"), "place", "video_id", "position")
+    return search.result_lines(placed.join(seg, ["video_id", "position"]).withColumn("speaker_name", F.lit("")))
+
+
+@query("list_entries", f"WITH {b.VECTORS}, {_IDX} SELECT index_id, CAST(place AS INTEGER) AS place, id FROM (SELECT video_id*2+id%2 AS index_id, id, row_number() OVER (PARTITION BY video_id*2+id%2 ORDER BY start_ms, id) AS place FROM vec) WHERE place <= 60 AND index_id IN (SELECT index_id FROM idx WHERE status='ready')")
+def _(s, d):
+    return search.list_entries(_entries(s, d), _indexes(s, d)).select("index_id", "place", "id")
+
+
+@query("asof_segment", f"WITH {b.SEGMENTS}, p AS (SELECT video_id, id AS p_id, start_ms + 7000*(position%5) - 200 AS t FROM seg) SELECT video_id, p_id, coalesce((SELECT max(position) FROM seg s WHERE s.video_id=p.video_id AND s.start_ms <= p.t+150), -1) AS active FROM p")
+def _(s, d):
+    seg = b.segments(s, d)
+    return search.asof_segment(seg.select("video_id", F.col("id").alias("p_id"), (F.col("start_ms") + 7000 * (F.col("position") % 5) - 200).alias("at_ms")), seg)
+
+
+# ---- spans
+
+@query("union_spans", f"WITH {b.SEGMENTS}, {HITS}, {UNION.format('hit')} SELECT * FROM uni")
+def _(s, d):
+    return spans.union_spans(_hits(s, d), ["video_id"])
+
+
+@query("subtract_spans", f"""WITH {b.SEGMENTS}, {HITS}, {UNION.format('hit')}, h AS (SELECT video_id, start_ms AS hs, end_ms AS he FROM seg WHERE position IN (1,6)),
+c AS (SELECT uni.*, hs, he, lag(he) OVER (PARTITION BY uni.video_id, start_ms ORDER BY hs) AS pe FROM uni LEFT JOIN h ON h.video_id=uni.video_id AND he > start_ms AND hs < end_ms)
+SELECT * FROM (SELECT video_id, coalesce(pe, start_ms) AS start_ms, coalesce(hs, end_ms) AS end_ms FROM c UNION ALL SELECT video_id, max(he), end_ms FROM c WHERE he IS NOT NULL GROUP BY video_id, start_ms, end_ms) WHERE end_ms - start_ms >= 1000""")
+def _(s, d):
+    return spans.subtract_spans(spans.union_spans(_hits(s, d), ["video_id"]), _holes(s, d), ["video_id"])
+
+
+@query("merge_hit_spans", f"WITH {b.SEGMENTS}, {HITS}, pad AS (SELECT video_id, greatest(start_ms-20000,0) AS start_ms, end_ms+20000 AS end_ms FROM hit), {UNION.format('pad')}, r AS (SELECT *, 60000 - coalesce(sum(end_ms-start_ms) OVER (PARTITION BY video_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS room FROM uni) SELECT video_id, start_ms, CAST(least(end_ms, start_ms+room) AS BIGINT) AS end_ms FROM r WHERE room > 1000")
+def _(s, d):
+    return spans.merge_hit_spans(_hits(s, d), ["video_id"], most_ms=60_000)
+
+
+@query("segments_in_spans", f"WITH {b.SEGMENTS} SELECT id FROM seg WHERE EXISTS (SELECT 1 FROM seg h WHERE h.video_id=seg.video_id AND h.position IN (1,6) AND h.start_ms <= seg.end_ms AND h.end_ms >= seg.start_ms)")
+def _(s, d):
+    return spans.segments_in_spans(b.segments(s, d), _holes(s, d)).select("id")
+
+
+@query("time_spans", f"WITH {b.SEGMENTS}, v AS (SELECT video_id, max(end_ms) AS d FROM seg GROUP BY video_id) SELECT video_id, k AS span_no, k*120000 AS start_ms, least(120000, d-k*120000) AS length_ms FROM (SELECT *, unnest(generate_series(0, d//120000)) AS k FROM v) WHERE d - k*120000 >= 50")
+def _(s, d):
+    v = b.segments(s, d).groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")).withColumn("done_ms", F.lit(0).cast("long"))
+    return spans.time_spans(v)
+
+
+@query("diar_regions", f"WITH {b.SEGMENTS}, v AS (SELECT video_id, max(end_ms) AS d FROM seg GROUP BY video_id) SELECT * FROM (SELECT video_id, k AS span_no, CASE WHEN k=0 THEN 0 ELSE greatest(k*60000-20000,0) END AS start_ms, least(k*60000+60000, d) AS end_ms FROM (SELECT *, unnest(generate_series(0, d//60000)) AS k FROM v) WHERE d > k*60000) WHERE end_ms-start_ms >= 300")
+def _(s, d):
+    return spans.diar_regions(b.segments(s, d).groupBy("video_id").agg(F.max("end_ms").alias("duration_ms")), 60_000)
+
+
+# ---- speakers
+
+@query("assign_speakers", f"WITH {b.SEGMENTS}, {b.TURNS} SELECT seg.id, (SELECT arg_max(t.speaker, least(t.end_ms, seg.end_ms)-greatest(t.start_ms, seg.start_ms) - t.turn_no/1e7) FROM trn t WHERE t.video_id=seg.video_id AND t.start_ms < seg.end_ms AND t.end_ms > seg.start_ms) AS speaker FROM seg")
+def _(s, d):
+    return speakers.assign_speakers(b.segments(s, d), b.turns(s, d)).select("id", "speaker")
+
+
+@query("seam_overlap", f"WITH {b.SEGMENTS}, {b.TURNS} SELECT s.video_id, s.speaker AS local, t.speaker AS global, CAST(sum(least(t.end_ms, s.end_ms)-greatest(t.start_ms, s.start_ms)) AS BIGINT) AS overlap_ms FROM seg s JOIN trn t ON t.video_id=s.video_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms GROUP BY 1,2,3")
+def _(s, d):
+    return speakers.seam_overlap(b.turns(s, d), b.segments(s, d))
+
+
+@query("speaker_labels", f"WITH {b.SEGMENTS} SELECT video_id, label, CAST(row_number() OVER (PARTITION BY video_id ORDER BY p) AS INTEGER) AS label_no, label AS name FROM (SELECT video_id, speaker AS label, min(position) AS p FROM seg WHERE speaker IS NOT NULL GROUP BY 1,2)")
+def _(s, d):
+    return speakers.speaker_labels(b.segments(s, d))
+
+
+@query("resolve_names", f"WITH {b.SEGMENTS}, {b.SPEAKERS} SELECT seg.id, coalesce(name, speaker, 'Без спикера') AS speaker_name FROM seg LEFT JOIN spk ON spk.video_id=seg.video_id AND label=speaker")
+def _(s, d):
+    return speakers.with_speaker_name(b.segments(s, d), b.speakers(s, d)).select("id", "speaker_name")
+
+
+@query("hide_authors", f"WITH {b.SEGMENTS}, {b.SPEAKERS}, {b.VIDEOS} SELECT seg.id, CASE WHEN opt_diarize = false THEN NULL ELSE speaker END AS speaker, CASE WHEN opt_diarize = false THEN '' ELSE coalesce(name, speaker, 'Без спикера') END AS speaker_name FROM seg LEFT JOIN spk ON spk.video_id=seg.video_id AND label=speaker LEFT JOIN vid ON vid.video_id=seg.video_id")
+def _(s, d):
+    return speakers.hide_authors(speakers.with_speaker_name(b.segments(s, d), b.speakers(s, d)), b.videos(s, d)).select("id", "speaker", "speaker_name")
+
+
+@query("rename_speaker", f"WITH {b.SEGMENTS}, {b.SPEAKERS} SELECT seg.video_id, position, name || ': ' || text AS embed_text FROM seg JOIN spk ON spk.video_id=seg.video_id AND label=speaker WHERE label='SPEAKER_01'")
+def _(s, d):
+    return speakers.rename_speakers(b.segments(s, d), b.speakers(s, d).where("label = 'SPEAKER_01'"))
+
+
+# ---- text repair
+
+@query("junctions", f"""WITH {b.SEGMENTS}, j AS (SELECT video_id, position, text, lead(text) OVER (PARTITION BY video_id ORDER BY position) AS nx FROM seg), w AS (SELECT *, {WORDS.format('text')} AS a, {WORDS.format('nx')} AS z FROM j WHERE nx IS NOT NULL),
+l AS (SELECT *, lower(regexp_replace(a[-1], '[^\\p{{L}}]', '', 'g')) AS la, lower(regexp_replace(z[1], '[^\\p{{L}}]', '', 'g')) AS lz FROM w)
+SELECT video_id, position, array_to_string(a[greatest(len(a)-15,1):], ' ') AS left_words, array_to_string(z[1:16], ' ') AS right_words, CASE WHEN {CLOSED.format('text')} THEN 'closed' WHEN length(la)>=6 AND length(lz)>=6 AND la<>lz AND la[1:6]=lz[1:6] THEN 'restarted' ELSE 'open' END AS verdict FROM l""")
+def _(s, d):
+    return repair.junctions(b.segments(s, d))
+
+
+@query("clean_asr", f"WITH {b.SEGMENTS} SELECT id, trim(text, ' ') AS text FROM seg WHERE trim(text, ' ') <> ''")
+def _(s, d):
+    return repair.clean_asr(b.segments(s, d)).select("id", "text")
+
+
+@query("shift_times", f"WITH {b.SEGMENTS}, {b.TURNS} SELECT t.video_id, t.turn_no, t.start_ms + c.a AS start_ms, t.end_ms + c.a AS end_ms FROM trn t JOIN (SELECT video_id, chunk_no, min(start_ms) AS a FROM trn GROUP BY 1,2) c USING (video_id, chunk_no)")
+def _(s, d):
+    t = b.turns(s, d)
+    return repair.shift_times(t, t.groupBy("video_id", "chunk_no").agg(F.min("start_ms").alias("start_ms"))).select("video_id", "turn_no", "start_ms", "end_ms")
+
+
+@query("case_candidates", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, {WORDS.format('text')} AS w FROM seg), x AS (SELECT *, unnest(generate_series(1, len(w)-1)) AS i FROM w WHERE len(w) > 1)
+SELECT video_id, position, i AS word_no, w[i+1] AS word, array_to_string(w[greatest(i-6,0)+1:i+5], ' ') AS fragment FROM x WHERE regexp_matches(w[i+1], '\\p{{Lu}}') AND NOT {CLOSED.format('w[i]')}""")
+def _(s, d):
+    return repair.case_candidates(b.segments(s, d))
+
+
+@query("split_segments", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, start_ms, end_ms, {WORDS.format('text')} AS w FROM seg), x AS (SELECT video_id, position, start_ms, end_ms, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM w),
+n AS (SELECT *, coalesce(sum({CLOSED.format('word')}::INT) OVER (PARTITION BY video_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM x),
+p AS (SELECT video_id, position, start_ms AS a, end_ms AS z, no//4 AS piece_no, string_agg(word, ' ' ORDER BY i) AS text FROM n GROUP BY ALL),
+t AS (SELECT *, sum(length(text)) OVER (PARTITION BY video_id, position ORDER BY piece_no) AS c, sum(length(text)) OVER (PARTITION BY video_id, position) AS al FROM p)
+SELECT video_id, position, CAST(piece_no AS BIGINT) AS piece_no, text, CAST(a + (z-a)*(c-length(text))//al AS BIGINT) AS start_ms, CAST(a + (z-a)*c//al AS BIGINT) AS end_ms FROM t""")
+def _(s, d):
+    return repair.split_segments(b.segments(s, d))
+
+
+@query("prepare_store", f"WITH {b.SEGMENTS} SELECT id, row_number() OVER (PARTITION BY video_id ORDER BY position) - 1 AS position, coalesce(speaker || ': ', '') || trim(text, ' ') AS embed_text FROM seg WHERE trim(text, ' ') <> ''")
+def _(s, d):
+    return repair.prepare_store(b.segments(s, d)).select("id", "position", "embed_text")
+
+
+@query("clock", f"WITH {b.SEGMENTS} SELECT id, {CLOCK.format('(start_ms*37//1000)')} AS mark FROM seg")
+def _(s, d):
+    return b.segments(s, d).select("id", f.clock(F.col("start_ms") * 37 / 1000).alias("mark"))
+
+
+@query("sentence_closed", f"WITH {b.SEGMENTS} SELECT id, {CLOSED.format('text')} AS closed FROM seg")
+def _(s, d):
+    return b.segments(s, d).select("id", f.sentence_closed(F.col("text")).alias("closed"))
+
+
+@query("clip", f"WITH {b.SEGMENTS}, t AS (SELECT id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM seg) SELECT id, CASE WHEN length(t) > 40 THEN rtrim(t[1:39], ' ') || '…' ELSE t END AS clipped FROM t")
+def _(s, d):
+    return b.segments(s, d).select("id", f.clip(F.col("text"), 40).alias("clipped"))
+
+
+@query("speaker_hue", f"WITH {b.SEGMENTS} SELECT DISTINCT speaker, list_reduce(list_prepend(0, list_transform(string_split(speaker, ''), lambda c: ord(c))), lambda h, c: (h*33+c)%360) AS hue FROM seg WHERE speaker IS NOT NULL")
+def _(s, d):
+    return b.segments(s, d).where("speaker is not null").select("speaker", f.speaker_hue(F.col("speaker")).alias("hue")).distinct()
+
+
+# ---- library
+
+@query("upsert_stage_times", f"WITH {b.DELTAS} SELECT video_id, stage, CASE WHEN stage='fetching' THEN max(seconds) ELSE sum(seconds) END AS seconds FROM del GROUP BY 1,2")
+def _(s, d):
+    t = b.stage_deltas(s, d)
+    return library.merge_stage_times(t.where("seconds < 25"), t.where("seconds >= 25"))
+
+
+@query("queue_place", f"WITH {b.VIDEOS} SELECT vid.video_id, place FROM vid LEFT JOIN (SELECT video_id, row_number() OVER (ORDER BY created_at, video_id) AS place FROM vid WHERE status NOT IN ('ready','error')) p ON p.video_id=vid.video_id")
+def _(s, d):
+    return library.queue_place(b.videos(s, d)).select("video_id", "place")
+
+
+@query("stage_durations", f"WITH {b.DELTAS}, {b.VIDEOS}, g AS (SELECT video_id, stage, sum(seconds) AS seconds FROM del WHERE video_id IN (SELECT video_id FROM vid) GROUP BY 1,2) SELECT *, sum(seconds) OVER (PARTITION BY video_id) AS processed_sec FROM g WHERE seconds > 0")
+def _(s, d):
+    return library.stage_durations(b.videos(s, d), b.stage_deltas(s, d))
+
+
+@query("stage_flags", f"WITH {b.VIDEOS} SELECT video_id, coalesce(opt_diarize, true) AS diarizing, coalesce(opt_merge, true) AS merging, coalesce(opt_correct, true) AS correcting, coalesce(opt_diarize, true) AS naming FROM vid")
+def _(s, d):
+    return library.stage_flags(b.videos(s, d))
+
+
+@query("pick_format", f"WITH {b.FORMATS} SELECT video_id, format_id, height, CAST(fps AS DOUBLE) AS fps, vcodec, filesize FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY height < 720, abs(height-720), fps, CASE vcodec WHEN 'avc1' THEN 0 WHEN 'vp9' THEN 1 WHEN 'hev1' THEN 2 ELSE 3 END, filesize, format_id) AS r FROM fmt) WHERE r = 1")
+def _(s, d):
+    return library.pick_format(b.formats(s, d))
+
+
+@query("load_seconds", f"WITH {b.VIDEOS}, {b.DELTAS}, g AS (SELECT video_id, sum(seconds) AS s FROM del GROUP BY 1) SELECT vid.video_id, coalesce(s, processed_sec) AS load_sec FROM vid LEFT JOIN g USING (video_id)")
+def _(s, d):
+    return library.load_seconds(b.videos(s, d), b.stage_deltas(s, d))
+
+
+@query("storage_usage", f"WITH {b.SEGMENTS}, u AS (SELECT video_id, strlen(text) AS t, 0 AS v FROM seg UNION ALL SELECT label, 0, CASE WHEN vec_id%17<>0 THEN 4*len(embedding)+8 ELSE 0 END FROM embeddings) SELECT video_id, CAST(sum(t) AS BIGINT) AS text_bytes, CAST(sum(v) AS BIGINT) AS vector_bytes, CAST(sum(t)+sum(v) AS BIGINT) AS total_bytes FROM u GROUP BY 1")
+def _(s, d):
+    return library.storage_usage(b.segments(s, d), b.vectors(s, d))
+
+
+@query("keep_latest_events", "SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 3001")
+def _(s, d):
+    return library.keep_latest(b.job_events(s, d)).select("id")
+
+
+@query("link_inventory", r"WITH u AS (SELECT page_id, trim(regexp_replace(url, '\s+', ' ', 'g'), ' ') AS url FROM pages) SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://(?:[^@/]*@)?([^/:?#\s]+)', 1), '^www\.', '')[1:180] AS title FROM u WHERE regexp_matches(url, '^https?://[^/\s?#]+') AND length(url) <= 2000")
+def _(s, d):
+    return library.link_inventory(b.table(s, d, "pages").select("page_id", "url")).select("page_id", "url", "title")
+
+
+@query("media_inventory", """WITH p AS (SELECT CAST(page_id AS VARCHAR) AS file_id, 'Talk ' || page_id || ['.mp4','.MKV','.mp3','.txt','.m4a','.webm','.wav','.pdf'][page_id%8+1] AS nm, length(html)*(page_id%9) AS len, ['video','video','audio','rejected','audio','video','audio','rejected'][page_id%8+1] AS k FROM pages), q AS (SELECT *, CASE WHEN len <= 0 THEN 'rejected' ELSE k END AS kind FROM p)
+SELECT file_id, kind, regexp_replace(nm, '\\.[^.]*$', '') AS title, nm AS original_name, CASE kind WHEN 'video' THEN 'videos/' || file_id || '.mp4' WHEN 'audio' THEN 'videos/' || file_id || '.m4a' END AS object_key FROM q""")
+def _(s, d):
+    suffix = F.element_at(F.array(*map(F.lit, (".mp4", ".MKV", ".mp3", ".txt", ".m4a", ".webm", ".wav", ".pdf"))), (F.col("page_id") % 8 + 1).cast("int"))
+    p = b.table(s, d, "pages")
+    return library.media_inventory(p.select(F.col("page_id").cast("string").alias("file_id"), F.concat(F.lit("/in/Talk "), "page_id", suffix).alias("path"), (F.length("html") * (F.col("page_id") % 9)).alias("length")))
+
+
+@query("index_catalog", "WITH i AS (SELECT DISTINCT label AS video_id, label*2+vec_id%2 AS index_id FROM embeddings) SELECT video_id, index_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN index_id%3=0 THEN 0 ELSE 1 END, index_id*7%5, index_id) AS INTEGER) AS place FROM i WHERE index_id%3<>2")
+def _(s, d):
+    return library.index_catalog(_indexes(s, d)).select("video_id", "index_id", "place")
+
+
+@query("pending_work", f"WITH {b.VIDEOS} SELECT DISTINCT label*2+vec_id%2 AS index_id FROM embeddings WHERE label=9 AND label IN (SELECT video_id FROM vid WHERE status='ready')")
+def _(s, d):
+    return library.pending_builds(_indexes(s, d), b.videos(s, d)).select("index_id")
+
+
+@query("purge_videos", f"WITH {b.SEGMENTS} SELECT id FROM seg WHERE video_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey%11=0)")
+def _(s, d):
+    return library.purge(b.segments(s, d), b.videos(s, d).where("held")).select("id")
+
+
+@query("pending_pieces", f"WITH {b.SEGMENTS}, {b.TURNS} SELECT video_id, turn_no AS piece_no FROM trn WHERE NOT (turn_no%3=0 AND video_id%2=0)")
+def _(s, d):
+    p = b.turns(s, d).select("video_id", F.col("turn_no").alias("piece_no"))
+    return library.pending_pieces(p, p.where("piece_no % 3 = 0 and video_id % 2 = 0"))
+
+
+@query("resume_prefix", f"""WITH {b.SEGMENTS}, {b.TURNS}, p AS (SELECT video_id, turn_no, (video_id*31+turn_no*7)%10 AS len FROM trn), g AS (SELECT video_id, coalesce(min(CASE WHEN len=0 THEN turn_no END), count(*)) AS kept, count(*) AS n FROM p GROUP BY 1)
+SELECT video_id, kept, CASE WHEN kept < n THEN kept*20000 ELSE 777 END AS done_ms FROM g""")
+def _(s, d):
+    p = b.turns(s, d).select("video_id", F.col("turn_no").alias("piece_no"), F.concat_ws("/", "video_id", "turn_no").alias("path"), F.lit(777).cast("long").alias("done_ms"))
+    files = p.select("path", ((F.col("video_id") * 31 + F.col("piece_no") * 7) % 10).alias("length"))
+    return library.resume_prefix(p, files, 20_000)
+
+
+@query("uniqueness_report", "SELECT 'stage log' AS rule, l_orderkey || '/' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'segments', conv_id || '/' || turn, count(*) FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1")
+def _(s, d):
+    log = library.repeated_keys(b.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "stage log")
+    return log.union(library.repeated_keys(b.table(s, d, "conversations"), ["conv_id", "turn"], "segments"))
+
+
+@query("missing_embeddings", f"WITH {b.VIDEOS} SELECT vec_id AS id FROM embeddings WHERE vec_id%17=0 AND label IN (SELECT video_id FROM vid WHERE status='ready')")
+def _(s, d):
+    return library.missing_embeddings(b.vectors(s, d), b.videos(s, d)).select("id")
+
+
+@query("recent_messages", "SELECT conv_id, turn, CAST(r AS INTEGER) AS back FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+def _(s, d):
+    return library.recent_messages(b.table(s, d, "conversations")).select("conv_id", "turn", "back")
+
+
+@query("needs_summary", "SELECT conv_id, coalesce(sum(CASE WHEN r > 4 THEN length(text) END), 0) > 600 AS needs_summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) GROUP BY conv_id")
+def _(s, d):
+    return library.needs_summary(b.table(s, d, "conversations"), limit=600)
+
+
+@query("stage_fraction", f"WITH {b.DELTAS}, x AS (SELECT video_id, stage, seconds, seconds/50 AS o FROM del), e AS (SELECT *, CASE stage WHEN 'compressing' THEN 0.0 WHEN 'storing' THEN 0.15 WHEN 'transcribing' THEN 0.19 WHEN 'diarizing' THEN 0.61 WHEN 'merging' THEN 0.73 WHEN 'correcting' THEN 0.85 END::DOUBLE AS a, CASE stage WHEN 'compressing' THEN 0.15 WHEN 'storing' THEN 0.19 WHEN 'transcribing' THEN 0.61 WHEN 'diarizing' THEN 0.73 WHEN 'merging' THEN 0.85 WHEN 'correcting' THEN 0.92 END::DOUBLE AS z FROM x) SELECT video_id, stage, round(least(1.0, greatest(0.0, (o-a)/(z-a)))*100, 3) AS percent FROM e WHERE stage <> 'fetching'")
+def _(s, d):
+    t = b.stage_deltas(s, d).where("stage <> 'fetching'").withColumn("overall", F.col("seconds") / 50)
+    return library.stage_fraction(t).select("video_id", "stage", "percent")
+
+
+@query("stream_event_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1,2")
+def _(s, d):
+    return library.event_counts(b.job_events(s, d))
+
+
+@query("stream_heartbeat_gaps", "WITH m AS (SELECT user_id AS video_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT video_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY video_id, s")
+def _(s, d):
+    return library.heartbeat_sessions(b.job_events(s, d))
