@@ -297,11 +297,11 @@ def first_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     Of rows with equal sets the one with the smallest id stays; of rows equal in id too, one. Documents without
     words all stay. A null id counts as larger than any other.
     """
-    columns = docs.columns
     rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").select("doc_id", F.coalesce("comp", "vid").alias("comp"))
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     least = rows.groupBy("comp").agg(F.min(order).alias("_least"), F.count("*").alias("_many")).where("_many > 1")
     drop = rows.join(least, "comp").where(order > F.col("_least")).select(order.alias("_drop")).distinct()
-    kept = docs.withColumn("_order", order).join(drop, F.col("_order") == F.col("_drop"), "left_anti")
+    packed = docs.select(order.alias("_order"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    kept = packed.join(drop, F.col("_order") == F.col("_drop"), "left_anti")
     twice = kept.groupBy("_order").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_order").alias("_twice"))
-    return kept.select(*columns) if twice.isEmpty() else kept.dropDuplicates(["_order", "text"]).select(*columns)
+    return (kept if twice.isEmpty() else kept.dropDuplicates(["_order", "_text"])).select("_row.*")

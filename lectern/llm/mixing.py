@@ -104,8 +104,9 @@ def mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, block_ro
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """The documents in mixed order: range-partitioned and sorted by slot, so that files, read in order, are the mix."""
-    ordered = mixed_order(docs, weights)
-    return ordered.repartitionByRange("_mix_slot", "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)
+    packed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # other columns can't clash with those made here
+    ordered = mixed_order(packed, weights).select("_row", "_mix_slot", "_mix_row")
+    return ordered.repartitionByRange("_mix_slot", "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     """Weights from at most ``sample`` labelled documents of those where ``learn`` (a condition on doc_id)."""
     ids = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     chosen = ids.orderBy(F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
-    known = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_label").cast("double").alias("label"))
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_label").cast("double").alias("label"))
     schema = schema_of("doc_id long, label double, cols binary")
     grams = Grams()
 

@@ -127,6 +127,8 @@ def judged(docs: DataFrame, forest: Forest, keys: list[str], least: float = LEAS
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that the rules keep."""
-    columns = docs.columns
-    marked = judged(docs, fit(docs, labels), columns)
-    return marked.where("kept").select(*columns)
+    # the columns go by number meanwhile, so that none clashes with what is measured
+    numbered = docs.select(*(docs[c].alias("text" if c == "text" else f"_{i}") for i, c in enumerate(docs.columns)))
+    forest = fit(docs, labels)
+    marked = judged(numbered, forest, numbered.columns).where("kept")
+    return marked.select(*(F.col("text" if c == "text" else f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
