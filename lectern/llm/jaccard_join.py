@@ -3,7 +3,7 @@
 The work is on distinct sets (texts with equal sets are one vertex). A pair that links differs in D elements at
 most, a number that follows from the two sizes. Sizes are cut into bands so that partners are in the same or the
 next band; a band and the next make a tile, with one D for the tile. In a tile every set is split by ranges of its
-hashes into D + 1 parts: a pair that links has one part at least where it is equal. So all candidates are met among
+hashes into more than D parts: a pair that links has one part at least where it is equal. So all candidates are met among
 the sets with an equal part (same tile, number and content of the part), and sets that only share some common passage
 seldom meet.
 
@@ -62,11 +62,20 @@ class Rule:
             out.append(out[-1] * self.den // self.num + 1)
         return np.array(out, np.int64)
 
-    def parts(self) -> np.ndarray:
-        """Parts of the sets in the tile that each band begins."""
-        top = self.bands() * self.den // self.num
-        total = top + top * self.den // self.num
-        return total * (self.den - self.num) // (self.den + self.num) + 1
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """By the tile that each band begins: parts of its sets, and elements in which a linked pair differs at most.
+
+        Parts are more than the elements by 1 and by about as many as are empty in a set of the band's least size:
+        two sets that link then have an equal part that isn't empty, unless both have that many empty ones.
+        """
+        least = self.bands()
+        top = least * self.den // self.num
+        apart = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        k = apart + 1
+        for _ in range(2):
+            empty = k * np.exp(-least / k)
+            k = np.maximum(k, apart + 1 + np.where(apart > 0, np.ceil(empty + 3 * np.sqrt(empty)), 0).astype(np.int64))
+        return k, apart
 
 
 def set_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -88,21 +97,26 @@ def bitmap_of(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def keys_of(s: np.ndarray, rule: Rule, bands: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Hashes of (tile, number, content) of the set's parts, in the tiles of its band and of the band before."""
+def keys_of(s: np.ndarray, bands: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of (tile, number, content) of the set's parts, in the tiles of its band and of the band before.
+
+    Of k parts, at most D differ in a pair that links, so k - D are equal. A set with fewer empty parts than that has
+    one among the equal ones that isn't empty; only sets with as many or more give keys for their empty parts too.
+    """
     band = int(np.searchsorted(bands, len(s), side="right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * np.uint64(0x94D049BB133111EB) ^ (s >> np.uint64(31)), dtype=np.uint64)])
     out = []
     for tile in (band, band - 1):
         if tile < 0:
             continue
-        k = int(parts[tile])
+        k, apart = int(parts[0][tile]), int(parts[1][tile])
         edges = np.searchsorted(s, np.arange(k, dtype=np.uint64) * np.uint64((1 << 64) // k if k > 1 else 0))
         if k == 1:
             edges[0] = 0
         at = np.concatenate([edges, [len(s)]])
-        content = sums[at[1:]] - sums[at[:-1]]
-        out.append(mixed(content, np.diff(at).astype(np.uint64), np.arange(k, dtype=np.uint64), np.full(k, tile, np.uint64)))
+        content, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+        keys = mixed(content, size.astype(np.uint64), np.arange(k, dtype=np.uint64), np.full(k, tile, np.uint64))
+        out.append(keys if k - np.count_nonzero(size) >= k - apart else keys[size > 0])
     return np.concatenate(out).view(np.int64)
 
 
@@ -128,7 +142,7 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(v)
-                    keys[i], maps[i] = keys_of(s, rule, bands, parts), bitmap_of(s)
+                    keys[i], maps[i] = keys_of(s, bands, parts), bitmap_of(s)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=schema.names
             )
