@@ -48,7 +48,7 @@ def clip(text: Column, n: int) -> Column:
 
 def yes_no(text: Column) -> Column:
     """True or false by the first of ДА, YES, НЕТ, NO as a word; null without one."""
-    word = F.element_at(F.regexp_extract_all(F.upper(text), F.lit(r"(?U)\b(ДА|YES|НЕТ|NO)\b"), F.lit(1)), 1)
+    word = F.try_element_at(F.regexp_extract_all(F.upper(text), F.lit(r"(?U)\b(ДА|YES|НЕТ|NO)\b"), F.lit(1)), F.lit(1))
     return F.when(word.isin("ДА", "YES"), True).when(word.isin("НЕТ", "NO"), False)
 
 

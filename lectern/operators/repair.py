@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sentence_closed
 
-W = Window.partitionBy("video_id").orderBy("position")
+def in_order():
+    return Window.partitionBy("video_id").orderBy("position")
 
 
 def words_of(text: Column) -> Column:
@@ -18,13 +19,13 @@ def words_of(text: Column) -> Column:
 def restarted_thought(left: Column, right: Column) -> Column:
     """The last word left and the first word right, letters only, differ but share their first six or more."""
     letters = lambda c: F.lower(F.regexp_replace(c, r"(?U)[^\p{L}]", ""))
-    a, b = letters(F.element_at(words_of(left), -1)), letters(F.element_at(words_of(right), 1))
+    a, b = letters(F.try_element_at(words_of(left), F.lit(-1))), letters(F.try_element_at(words_of(right), F.lit(1)))
     return F.coalesce((F.length(a) >= 6) & (F.length(b) >= 6) & (a != b) & (F.substring(a, 1, 6) == F.substring(b, 1, 6)), F.lit(False))
 
 
 def junctions(segments: DataFrame, most: int = 16) -> DataFrame:
     """Neighbours: the last words of the left, the first of the right, and what rules say: closed, restarted or open."""
-    nxt = F.lead("text").over(W)
+    nxt = F.lead("text").over(in_order())
     s = segments.select("video_id", "position", "text", nxt.alias("next")).where("next is not null")
     w, n = words_of(F.col("text")), words_of(F.col("next"))
     verdict = F.when(sentence_closed(F.col("text")), "closed").when(restarted_thought(F.col("text"), F.col("next")), "restarted").otherwise("open")
@@ -80,4 +81,4 @@ def prepare_store(segments: DataFrame) -> DataFrame:
     """Trimmed, without empty texts, numbered from 0, with the text to embed."""
     s = segments.withColumn("text", F.trim("text")).where("text <> ''")
     embed = F.when(F.col("speaker").isNotNull(), F.concat("speaker", F.lit(": "), "text")).otherwise(F.col("text"))
-    return s.withColumn("position", F.row_number().over(W).cast("long") - 1).withColumn("embed_text", embed)
+    return s.withColumn("position", F.row_number().over(in_order()).cast("long") - 1).withColumn("embed_text", embed)
