@@ -59,7 +59,7 @@ def human_bytes(n: Column) -> Column:
         big = n >= 1024**k
         v, unit = F.when(big, n / float(1024**k)).otherwise(v), F.when(big, F.lit(name)).otherwise(unit)
     whole = (unit == "Б") | (v >= 10)
-    return F.concat(F.when(whole, F.round(v).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_number(v, "0.0"), r"\.", ",")), F.lit(" "), unit)
+    return F.concat(F.when(whole, F.round(v).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.1f", v), r"\.", ",")), F.lit(" "), unit)
 
 
 def speaker_hue(label: Column) -> Column:
