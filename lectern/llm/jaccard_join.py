@@ -36,7 +36,7 @@ from .components import components
 
 #: Rows of a group that are compared with others in one piece.
 BLOCK = 2_048
-#: Candidate sets' ids up to this number are sent to all tasks (8 bytes each); beyond it they are joined.
+#: Candidate sets' ids up to this number are broadcast to pick their sets (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 #: Bits of a set's bitmap: the power of two over its size, within these.
 LEAST_BITS, MOST_BITS = 64, 8_192
@@ -152,10 +152,6 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(vid, elements) of the wanted vids, made from the texts anew."""
-    n_wanted = wanted.count()
-    sent = None
-    if n_wanted <= SENT_IDS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["vid"].to_numpy(np.int64)))
     schema = schema_of("vid long, elements binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +163,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 v = vertex_of(s)
                 if v in seen or not len(s):
                     continue
-                if sent is not None:
-                    at = int(np.searchsorted(sent.value, v))
-                    if at == len(sent.value) or sent.value[at] != v:
-                        continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(v)
@@ -179,8 +171,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(vids, pa.int64()), pa.array(out, pa.binary())], names=schema.names)
 
     found = docs.select("text").mapInArrow(run, schema)
-    if sent is None:
-        found = found.join(wanted, "vid", "left_semi")
+    few = wanted.count() <= SENT_IDS
+    found = found.join(F.broadcast(wanted) if few else wanted, "vid", "left_semi")
     return found.groupBy("vid").agg(F.first("elements").alias("elements"))
 
 
