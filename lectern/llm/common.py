@@ -25,6 +25,9 @@ BATCH_ROWS = 1024
 #: Entries of a worker's word cache; it is emptied when full, so memory stays bounded on any vocabulary.
 CACHE_WORDS = 400_000
 
+#: Spark's setting by which a query's shuffle files go when it ends, rather than when the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -115,5 +118,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps don't recompute it and survive lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -128,21 +128,27 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
 
 
 def described(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, vid, and, once in a task for each vid, keys and bitmap."""
+    """doc_id, n_shingles, vid, keys, and, once in a task for each vid, bitmap.
+
+    The first key is the row's own, which no other row is likely to have; those of the set's parts follow where the
+    bitmap is given.
+    """
     schema = T.StructType([docs.schema["doc_id"], *schema_of("n_shingles long, vid long, keys array<long>, bitmap binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, bands, parts = WordHashes(), set(), rule.bands(), rule.parts()
+        hashes, seen, bands, parts, rows = WordHashes(), set(), rule.bands(), rule.parts(), 0
         for part, texts in text_slices(batches):
             sets = [set_of(hashes.of((t or b"").lower().split()), rule.n) for t in texts]
             vids = [vertex_of(s) for s in sets]
-            keys, maps = [None] * len(sets), [None] * len(sets)
+            own = mixed(np.array(vids, np.uint64), np.arange(rows, rows + len(vids), dtype=np.uint64)).view(np.int64)
+            keys, maps = list(own[:, None]), [None] * len(sets)
+            rows += len(vids)
             for i, (v, s) in enumerate(zip(vids, sets, strict=True)):
                 if len(s) and v not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(v)
-                    keys[i], maps[i] = keys_of(s, bands, parts), bitmap_of(s)
+                    keys[i], maps[i] = np.concatenate([keys[i], keys_of(s, bands, parts)]), bitmap_of(s)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=schema.names
             )
@@ -227,6 +233,22 @@ def near_pairs(vid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: np.nda
         yield vid[p[i]], vid[j]
 
 
+def allowed(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and bitmaps (marks: vid, size, bitmap) don't rule out."""
+    schema = schema_of("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in "mn")
+            maps = [folded(list(two)) for two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            apart = np.array([np.bitwise_count(x ^ y).sum() for x, y in maps], np.int64)
+            ok = (apart <= rule.most_apart(m + n)) & (np.minimum(m, n) * rule.den >= np.maximum(m, n) * rule.num)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    full = pairs.join(marks.select(F.col("vid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x")), "a").join(marks.select(F.col("vid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y")), "b")
+    return full.select("a", "b", "m", "n", "x", "y").mapInArrow(run, schema)
+
+
 def crossing(groups: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components among rows (key, vid, comp, size, bitmap, many) of a key.
 
@@ -268,23 +290,26 @@ def crossing(groups: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
 
 def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, vid and comp (a vid) of each row of ``docs``; comp is null where nothing links with the set."""
-    rows = stored(described(docs, rule), "jaccard-rows")
     w = Window.partitionBy("key")
-    met = rows.where("keys is not null").select("vid", F.explode("keys").alias("key"))
-    met = met.select("vid", "key", F.min("vid").over(w).alias("hub"), F.max("vid").over(w).alias("_last")).where("hub < _last").select("vid", "key", "hub")
-    met = stored(met, "jaccard-met")
+    keyed = described(docs, rule).select("vid", F.struct("doc_id", "n_shingles", "bitmap").alias("row"), F.posexplode("keys").alias("at", "key")).select("vid", "key", F.when(F.col("at") == 0, F.col("row")).alias("row"))
+    # one pass gives the rows and the keys that several sets have: a set's other keys, the bulk, are shuffled but never stored
+    met = keyed.select("vid", "key", "row", F.min("vid").over(w).alias("hub"), F.max("vid").over(w).alias("_last"))
+    met = stored(met.where("row is not null or hub < _last").select("vid", "key", "hub", "row"), "jaccard-met")
+    rows = met.where("row is not null").select("row.*", "vid")
+    marks = stored(rows.where("bitmap is not null").groupBy("vid").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap")), "jaccard-marks")
+    met = met.where("row is null").select("vid", "key", "hub")
     sets = stored(sets_of(docs, met.select("vid").distinct(), rule), "jaccard-sets")
 
     star = met.where("vid <> hub").groupBy("vid").agg(F.min("hub").alias("a")).select("a", F.col("vid").alias("b"))
-    links = stored(checked(star, sets, rule), "jaccard-links")
-    first = components(links)
-
-    marks = rows.where("bitmap is not null").groupBy("vid").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
-    met = stored(met.select("vid", "key").distinct().join(marks, "vid"), "jaccard-met")
+    links = stored(checked(allowed(star, marks, rule), sets, rule), "jaccard-links")
+    met = met.select("vid", "key").distinct()
     for nearest in (True, True, False):
-        by_key = met.join(components(links), "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-        open_groups = by_key.select("*", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b"), F.count("*").over(w).alias("many")).where("_a < _b").drop("_a", "_b")
-        links = links.union(stored(checked(crossing(open_groups, rule, nearest), sets, rule), "jaccard-links"))
+        by_key = met.join(components(links), "vid", "left").select("vid", "key", F.coalesce("comp", "vid").alias("comp"))
+        split = by_key.select("*", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b"), F.count("*").over(w).alias("many")).where("_a < _b").drop("_a", "_b")
+        # components only grow, so the groups of one component are done with; bitmaps go along with the others alone
+        split = stored(split, "jaccard-split")
+        links = links.union(stored(checked(crossing(split.join(marks, "vid"), rule, nearest), sets, rule), "jaccard-links"))
+        met = split.select("vid", "key")
     return rows.select("doc_id", "n_shingles", "vid").join(components(links), "vid", "left")
 
 
