@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
 from ..operators import library, repair, search, spans, speakers
 from ..sources import bindings as b
+from . import timeline  # noqa: F401
+from .catalog import oracle_sql, queries, query  # noqa: F401
 
 FLAGSHIP = "search_citations"
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 CLOCK = "CASE WHEN {0} >= 3600 THEN ({0}//3600) || ':' || lpad(CAST({0}%3600//60 AS VARCHAR),2,'0') || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') ELSE ({0}//60) || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') END"
 WORDS = r"list_filter(string_split_regex(trim({0}, ' '), '\s+'), lambda x: x <> '')"
@@ -23,22 +19,6 @@ UNION = """isl AS (SELECT video_id, start_ms, end_ms, sum(nw) OVER (PARTITION BY
 uni AS (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM isl GROUP BY video_id, g)"""
 
 
-def query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        _QUERIES[name], _SQL[name] = fn, sql
-        return fn
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _hits(s, d):  # segments that hold a hit: every third turn, three times as long
     return b.segments(s, d).where("position % 3 = 0").select("video_id", "start_ms", (F.col("start_ms") + 3 * (F.col("end_ms") - F.col("start_ms"))).alias("end_ms"))
 

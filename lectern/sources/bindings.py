@@ -20,6 +20,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("start_ms", start).select("video_id", "position", (F.col("video_id") * 1000 + F.col("position")).alias("id"), speaker.alias("speaker"), "text", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
 
 
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of long videos: ten conversations each, one after the other."""
+    c = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 10).alias("video_id"), (F.col("conv_id") % 10 * 8 + F.col("turn")).alias("position"), "role", "text")
+    c = c.withColumn("dur", F.greatest(F.lit(1000), F.length("text") * 66).cast("long"))
+    before = Window.partitionBy("video_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("dur") + F.col("position") % 4 * 1000).over(before), F.lit(0)).cast("long")
+    speaker = F.when(F.col("role") == "user", "SPEAKER_00").when(F.col("role") == "assistant", "SPEAKER_01")
+    return c.withColumn("start_ms", start).select("video_id", "position", (F.col("video_id") * 1000 + F.col("position")).alias("id"), speaker.alias("speaker"), "text", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
+
+
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, label, name: names for even videos only."""
     v = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id")).distinct().where("video_id % 2 = 0")
@@ -81,6 +91,9 @@ SEGMENTS = """seg AS (SELECT conv_id AS video_id, turn AS position, conv_id*1000
   CAST(coalesce(sum(greatest(1000, length(text)*66) + turn%4*1000) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms,
   CAST(coalesce(sum(greatest(1000, length(text)*66) + turn%4*1000) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + greatest(1000, length(text)*66) AS BIGINT) AS end_ms
   FROM conversations)"""
+EPISODES = """eps AS (SELECT conv_id//10 AS video_id, conv_id%10*8+turn AS position, text, greatest(1000, length(text)*66) AS dur, CASE role WHEN 'user' THEN 'SPEAKER_00' WHEN 'assistant' THEN 'SPEAKER_01' END AS speaker FROM conversations),
+ept AS (SELECT *, CAST(coalesce(sum(dur + position%4*1000) OVER (PARTITION BY video_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM eps),
+ep AS (SELECT video_id, position, video_id*1000+position AS id, speaker, text, start_ms, start_ms+dur AS end_ms FROM ept)"""
 SPEAKERS = """spk AS (SELECT v.video_id, l.label, l.name FROM (SELECT DISTINCT conv_id AS video_id FROM conversations WHERE conv_id%2=0) v,
   (VALUES ('SPEAKER_00','Гость'),('SPEAKER_01','Ведущий')) l(label, name))"""
 TURNS = """trn AS (SELECT video_id, k AS turn_no, k*20000 AS start_ms, k*20000+20000 AS end_ms, 'T' || (k%3) AS speaker, k//5 AS chunk_no
