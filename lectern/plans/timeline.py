@@ -275,6 +275,12 @@ def _(s, d):
     return b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("["), F.array_join(k.cast("array<string>"), ", "), F.lit("]")).alias("key"))
 
 
+@query("plain_text", f"WITH {b.SEGMENTS}, x AS (SELECT id, {_PLAIN} AS t FROM seg) SELECT id, t || ' ссылка код жирно' || chr(10) || 'пункт' AS text FROM x WHERE t <> ''")
+def _(s, d):
+    t = b.segments(s, d).select("id", _letters().alias("t")).where("t <> ''")
+    return t.select("id", f.plain_text(F.concat(F.lit("## "), "t", F.lit(" [ссылка](http://a.b/c) `код` **жирно**\n- пункт"))).alias("text"))
+
+
 # ---- streams, run to the end of what there is
 
 @query("stream_stage_timers", "WITH c AS (SELECT user_id AS video_id, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT video_id, stage, CAST(sum(us) AS BIGINT) AS us FROM c WHERE us IS NOT NULL GROUP BY 1, 2")

@@ -209,6 +209,13 @@ def test_documents_and_transcripts(spark, tmp_path):
     assert sorted((r.video_id, r.position) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 0), (1, 1), (2, 0)]
 
 
+def test_write_index_replaces_only_its_own(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "а"), (1, 2, "б"), (2, 1, "в")], "video_id long, index_id long, text string")
+    transcripts.write_index(rows, f"{tmp_path}/x")
+    transcripts.write_index(rows.where("video_id = 1 and index_id = 2").withColumn("text", F.lit("г")), f"{tmp_path}/x")
+    assert sorted((r.video_id, r.index_id, r.text) for r in spark.read.parquet(f"{tmp_path}/x").collect()) == [(1, 1, "а"), (1, 2, "г"), (2, 1, "в")]
+
+
 def test_bound_topics_and_marks(spark):
     rows = segments(spark, [(0, 10), (10, 20), (30, 45)]).withColumn("t", F.col("position").cast("int"))
     assert [(r.start_ms, r.end_ms) for r in cards.bound_topics(rows, ["video_id"], "t").orderBy("t").collect()] == [(0, 10_000), (10_000, 30_000), (30_000, 45_000)]
