@@ -70,3 +70,16 @@ def clean_voices(voices: DataFrame) -> DataFrame:
     """Voices with a label and a non-empty vector of finite numbers, rounded to 5 places."""
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     return voices.where(F.col("label").isNotNull() & (F.size("vector") > 0) & finite).withColumn("vector", F.transform("vector", lambda x: F.bround(x.cast("double"), 5)))
+
+
+def replace_mentions(messages: DataFrame, speakers: DataFrame, to: str = "label") -> DataFrame:
+    """messages (video_id, text) with each "@Name" of a video's speakers as its label, or with to="name" as the bare name.
+
+    Longer names first; case doesn't matter; a mention begins a word and ends before white space, a closing mark or the end.
+    """
+    named = speakers.where("trim(name) <> ''").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.length(F.trim("name"))).alias("n"), F.trim("name").alias("name"), "label"))).alias("_names"))
+    literal = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
+    pattern = lambda x: F.concat(F.lit(r"(?iu)(?<!\S)@\Q"), x["name"], F.lit(r"\E(?=$|[\s.,!?;:)\x22»])"))
+    told = messages.join(named, "video_id", "left")
+    new = F.aggregate("_names", F.col("text"), lambda acc, x: F.regexp_replace(acc, pattern(x), literal(x[to])))
+    return told.withColumn("text", F.when(F.col("_names").isNull(), F.col("text")).otherwise(new)).drop("_names")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import cards, embedding, fixes, folds, voices
+from lectern.operators import cards, embedding, fixes, folds, speakers, voices
 from lectern.plans import timeline
 from lectern.sources import bindings as b
 from lectern.sources import transcripts
@@ -216,6 +216,14 @@ def test_write_index_replaces_only_its_own(spark, tmp_path):
     assert sorted((r.video_id, r.index_id, r.text) for r in spark.read.parquet(f"{tmp_path}/x").collect()) == [(1, 1, "а"), (1, 2, "г"), (2, 1, "в")]
 
 
+def test_mentions(spark):
+    said = spark.createDataFrame([(1, "@Анна Петрова и @анна, @Аннабель a@Анна"), (2, "@Анна"), (1, None)], "video_id long, text string")
+    known = spark.createDataFrame([(1, "S0", "Анна"), (1, "S1", "Анна Петрова"), (1, "S2", " ")], "video_id long, label string, name string")
+    of = lambda to: [r.text for r in speakers.replace_mentions(said.withColumn("i", F.monotonically_increasing_id()), known, to).orderBy("i").collect()]
+    assert of("label") == ["S1 и S0, @Аннабель a@Анна", "@Анна", None]
+    assert of("name") == ["Анна Петрова и Анна, @Аннабель a@Анна", "@Анна", None]
+
+
 def test_bound_topics_and_marks(spark):
     rows = segments(spark, [(0, 10), (10, 20), (30, 45)]).withColumn("t", F.col("position").cast("int"))
     assert [(r.start_ms, r.end_ms) for r in cards.bound_topics(rows, ["video_id"], "t").orderBy("t").collect()] == [(0, 10_000), (10_000, 30_000), (30_000, 45_000)]
