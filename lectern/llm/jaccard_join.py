@@ -128,12 +128,12 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
 
 
 def described(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, vid, keys, and, once in a task for each vid, bitmap.
+    """doc_id, text_key (a hash of the text), n_shingles, vid, keys, and, once in a task for each vid, bitmap.
 
     The first key is the row's own, which no other row is likely to have; those of the set's parts follow where the
     bitmap is given.
     """
-    schema = T.StructType([docs.schema["doc_id"], *schema_of("n_shingles long, vid long, keys array<long>, bitmap binary").fields])
+    schema = T.StructType([docs.schema["doc_id"], *schema_of("text_key long, n_shingles long, vid long, keys array<long>, bitmap binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, bands, parts, rows = WordHashes(), set(), rule.bands(), rule.parts(), 0
@@ -150,10 +150,10 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
                     seen.add(v)
                     keys[i], maps[i] = np.concatenate([keys[i], keys_of(s, bands, parts)]), bitmap_of(s)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=schema.names
+                [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=schema.names
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -289,9 +289,9 @@ def crossing(groups: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, vid and comp (a vid) of each row of ``docs``; comp is null where nothing links with the set."""
+    """doc_id, text_key, n_shingles, vid and comp (a vid) of each row of ``docs``; comp is null where nothing links with the set."""
     w = Window.partitionBy("key")
-    keyed = described(docs, rule).select("vid", F.struct("doc_id", "n_shingles", "bitmap").alias("row"), F.posexplode("keys").alias("at", "key")).select("vid", "key", F.when(F.col("at") == 0, F.col("row")).alias("row"))
+    keyed = described(docs, rule).select("vid", F.struct("doc_id", "text_key", "n_shingles", "bitmap").alias("row"), F.posexplode("keys").alias("at", "key")).select("vid", "key", F.when(F.col("at") == 0, F.col("row")).alias("row"))
     # one pass gives the rows and the keys that several sets have: a set's other keys, the bulk, are shuffled but never stored
     met = keyed.select("vid", "key", "row", F.min("vid").over(w).alias("hub"), F.max("vid").over(w).alias("_last"))
     met = stored(met.where("row is not null or hub < _last").select("vid", "key", "hub", "row"), "jaccard-met")
@@ -310,7 +310,7 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
         split = stored(split, "jaccard-split")
         links = links.union(stored(checked(crossing(split.join(marks, "vid"), rule, nearest), sets, rule), "jaccard-links"))
         met = split.select("vid", "key")
-    return rows.select("doc_id", "n_shingles", "vid").join(components(links), "vid", "left")
+    return rows.select("doc_id", "text_key", "n_shingles", "vid").join(components(links), "vid", "left")
 
 
 def query(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -323,16 +323,23 @@ def query(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The documents without those that link, directly or over others, with one of a smaller id.
+    """The documents without those that link, directly or over others, with one that comes first.
 
-    Of rows with equal sets the one with the smallest id stays; of rows equal in id too, one. Documents without
-    words all stay. A null id counts as larger than any other.
+    Of a component one row stays: that of the smallest id (a null id counts as larger than any other), of rows equal
+    in id that of the smallest set, then of the smallest hash of its text; of rows equal in id and text, one.
+    Documents without words all stay. Rows are known by id and a 64-bit hash of the text, so rows that share an id,
+    or have none, fare each by its own text.
     """
-    rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").select("doc_id", F.coalesce("comp", "vid").alias("comp"))
-    order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    least = rows.groupBy("comp").agg(F.min(order).alias("_least"), F.count("*").alias("_many")).where("_many > 1")
-    drop = rows.join(least, "comp").where(order > F.col("_least")).select(order.alias("_drop")).distinct()
-    packed = docs.select(order.alias("_order"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    kept = packed.join(drop, F.col("_order") == F.col("_drop"), "left_anti")
-    twice = kept.groupBy("_order").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_order").alias("_twice"))
-    return (kept if twice.isEmpty() else kept.dropDuplicates(["_order", "_text"])).select("_row.*")
+    rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").withColumn("comp", F.coalesce("comp", "vid"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vid", "text_key")
+    least = rows.groupBy("comp").agg(F.min(place).alias("_least"), F.count("*").alias("_many")).where("_many > 1")
+    fate = rows.join(least, "comp").groupBy("doc_id", "text_key").agg(F.max(place > F.col("_least")).alias("drop"), F.count("*").alias("many"))
+    # a row that is dropped, or stays as one of several equal ones: the others of ``docs`` aren't in it
+    fate = stored(fate.where("drop or many > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop")), "jaccard-fate")
+    packed = docs.select(F.col("doc_id").alias("_order"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    same = F.col("_order").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    kept, twice = packed.join(fate.where("_drop"), same, "left_anti"), fate.where("not _drop")
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    once = kept.join(twice, same, "left_semi").dropDuplicates(["_order", "_text"])
+    return kept.join(twice, same, "left_anti").unionByName(once).select("_row.*")

@@ -312,6 +312,22 @@ def test_one_of_each_group_with_odd_columns(docs):
     assert Counter(r.doc_id for r in out.collect())[5] == 1 and not {6, 7} & {r.doc_id for r in out.collect()}
 
 
+def test_near_copies_without_an_id_of_their_own(spark):
+    rng = random.Random(21)
+    prose = lambda: " ".join(rng.choice(VOCAB) + str(rng.randint(0, 99)) for _ in range(80))
+    changed = lambda t, k: " ".join([f"new{k}", *t.split()[1:]])
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    data = [(1, a), (None, changed(a, 1)), (None, b), (None, c)]  # of three without id one is a near copy
+    data += [(7, changed(a, 2)), (7, d)]  # a repeated id over two texts, one of them a near copy
+    data += [(8, e), (8, changed(e, 3)), (None, f), (None, changed(f, 4)), (None, changed(f, 4))]  # groups within one id and within none
+    data += [(None, ""), (None, ""), (None, None), (9, b + " x"), (9, b + " x")]
+    out = jaccard_join.first_of_each(spark.createDataFrame(data, "doc_id long, text string").repartition(3), jaccard_join.Rule(5, 80, 100)).collect()
+    got = Counter((r.doc_id, r.text) for r in out)
+    groups = [{(8, e), (8, changed(e, 3))}, {(None, f), (None, changed(f, 4))}]
+    assert all(sum(got.pop(x, 0) for x in g) == 1 for g in groups)
+    assert got == Counter({(1, a): 1, (None, c): 1, (7, d): 1, (None, ""): 2, (None, None): 1, (9, b + " x"): 1})
+
+
 def test_blocks_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     test_jaccard_components(spark, None, (3, 60, 100))
