@@ -2,11 +2,13 @@
 
 A weak candidate (a bare long random string, which alone is most often no secret) is reported only where
 a complementary part lies in the same scope: an access identifier or an endpoint within REACH characters,
-and no further than SCOPE_LINES lines away. The join is over sorted positions (two binary searches for each
+and no further than SCOPE_LINES lines away, or the address that the candidate stands in (a password or a key in
+a URL, whose path counts segment by segment, without titles). The join is over sorted positions (two binary searches for each
 candidate), so no pairs are formed, however many parts a text has.
 
 Defined cases: a null or empty text has no spans; a span is [start, end) in code points of the whole match;
-a weak candidate that overlaps a base span is not reported again; repeated rows are scanned each by itself.
+a weak candidate that overlaps a base span is not reported again, and an identifier or a host isn't a candidate;
+a candidate has any length from 20 on; repeated rows are scanned each by itself.
 """
 
 from __future__ import annotations
@@ -34,8 +36,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 charact
 
 #: Parts of a credential: identifiers and endpoints complement a weak secret.
 IDENTIFIER = re.compile(r"AKIA[A-Z0-9]{16,}|\b(?:client|account|tenant|user)_?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9-]{6,}", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|postgres|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}", re.IGNORECASE | re.ASCII)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,88}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+ADDRESS = re.compile(r"\b(?:https?|postgres|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}", re.IGNORECASE | re.ASCII)
+HOST = re.compile(r"\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}", re.IGNORECASE | re.ASCII)
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+#: Words and numbers between dashes, as titles stand in a path.
+TITLE = re.compile(r"(?:(?:[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_-]+|$))+", re.ASCII)
+#: An address up to its path, and the path.
+PATH = re.compile(r"[^:]*://[^/?#]*([^?#]*)")
+SEGMENT = re.compile(r"[^/]{20,}")
 
 
 def random_looking(s: str) -> bool:
@@ -63,22 +71,43 @@ def near(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, to: np.ndarray, b
     return right | left
 
 
+def overlapped(spans: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each row [start, end) of ``w``: does one of the sorted ``spans`` overlap it?"""
+    if not len(spans):
+        return np.zeros(len(w), bool)
+    over = np.searchsorted(spans[:, 0], w[:, 1]) - 1
+    return (over >= 0) & (np.maximum.accumulate(spans[:, 1])[np.maximum(over, 0)] > w[:, 0])
+
+
+def weak_spans(text: str, addresses: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidates; in the path of an address its segments, but for titles."""
+    paths = [PATH.match(text, s, e).span(1) for s, e in addresses]
+    found, k = [], 0
+    for m in WEAK.finditer(text):
+        s, e = m.span()
+        while k < len(paths) and paths[k][1] <= s:
+            k += 1
+        cut = e if k == len(paths) else min(max(s, paths[k][0]), e)  # where a path begins
+        if cut - s >= 20 and random_looking(text[s:cut]):
+            found.append((s, cut))
+        found += [x.span() for x in SEGMENT.finditer(text, cut, e) if random_looking(x[0]) and not TITLE.fullmatch(x[0])]
+    return found
+
+
 def linked_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates with a complementary part in their scope."""
-    parts = sorted({m.span() for p in (IDENTIFIER, ENDPOINT) for m in p.finditer(text)})
+    """Weak candidates with a complementary part in their scope, or around them."""
+    addresses = [m.span() for m in ADDRESS.finditer(text)]
+    own = [m.span() for p in (IDENTIFIER, HOST) for m in p.finditer(text)]
+    parts = sorted({*addresses, *own})
     if not parts:
         return []
-    held = sorted([(s, e) for s, e, _ in taken] + parts)
-    edges = np.array(held).reshape(-1, 2)
-    furthest = np.maximum.accumulate(edges[:, 1])
-    weak = [m.span() for m in WEAK.finditer(text) if random_looking(m[0])]
+    weak = weak_spans(text, addresses)
     if not weak:
         return []
-    w, p = np.array(weak), np.array(parts)
-    over = np.searchsorted(edges[:, 0], w[:, 1]) - 1
-    free = (over < 0) | (furthest[np.maximum(over, 0)] <= w[:, 0])
+    w, p, a = np.array(weak), np.array(parts), np.array(addresses).reshape(-1, 2)
+    held = np.array(sorted([(s, e) for s, e, _ in taken] + own)).reshape(-1, 2)
     breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
-    ok = free & near(p[:, 0], np.maximum.accumulate(p[:, 1]), w[:, 0], w[:, 1], breaks)
+    ok = ~overlapped(held, w) & (overlapped(a, w) | near(p[:, 0], np.maximum.accumulate(p[:, 1]), w[:, 0], w[:, 1], breaks))
     return [(int(s), int(e), "linked") for s, e in w[ok]]
 
 
