@@ -1,9 +1,9 @@
-"""License scans by a positional index of rare tokens.
+"""License scans by a positional index of weighted tokens.
 
-The templates' words make a small index: word -> (template, position). A file's words that are in the index
-are looked up rarest first (by inverse document frequency over all documents); each posting votes for a
-template at the offset (position in file - position in template). A template is a match at an offset where
-enough of its rare words agree and one of its mandatory phrases stands exactly there or in the aligned span.
+The templates' words make a small index: word -> (template, position). All of a file's words that are in the index
+are looked up (weighted by inverse document frequency over all documents, the rarest first); each posting votes for
+a template whose mandatory phrases' words are all in the file, at the offset (position in file - position in
+template). A template is a match at an offset where words of enough of its weight agree and one of its mandatory phrases stands exactly there or in the aligned span.
 
 Defined cases: null or empty text: no words, no labels, score 0, null positions; repeated rows alike, each by
 itself; any number of words. Document frequencies are counted over every document; with no documents all
@@ -43,8 +43,6 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
-#: So many of a file's rarest licence words vote.
-RAREST = 24
 #: Share of a template's total weight that has to agree at an offset.
 AGREE = 0.5
 
@@ -101,12 +99,13 @@ class Scanner:
         by_word = defaultdict(list)
         for i, w in at:
             by_word[w].append(i)
-        rare = sorted(by_word, key=lambda w: (-self.weight[w], w))[:RAREST]
+        live = {k for k, (_, need) in enumerate(self.templates) if all(by_word.keys() >= set(p) for p in need)}  # others can't have their phrases
         votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rare:
+        for w in sorted(by_word, key=lambda w: (-self.weight[w], w)):
             for k, p in self.index[w]:
-                for i in by_word[w]:
-                    votes[k, i - p] += self.weight[w]
+                if k in live:
+                    for i in by_word[w]:
+                        votes[k, i - p] += self.weight[w]
         found, best = set(), 0.0
         for (k, offset), v in votes.items():
             template, need = self.templates[k]

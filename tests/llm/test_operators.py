@@ -240,6 +240,15 @@ def test_license_places(docs):
     assert labels == {18: "mit", 19: "cc-by,reserved", 20: "gpl"}
 
 
+def test_licenses_in_one_file(spark):
+    both = "\n\n".join(t for _, t, _ in license_scan.TEMPLATES)
+    filler = "notice of the software and to use it for any purpose in this work " * 20
+    docs = spark.createDataFrame([(0, both), (1, f"{filler}{both.upper()} {filler}"), (2, filler)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, ["doc_id"]).collect()}
+    want = ",".join(sorted({x for x, _, _ in license_scan.TEMPLATES}))
+    assert got[0].labels == got[1].labels == want and got[2].labels == "" and got[0].score == 1.0
+
+
 def test_language_by_compression(spark):
     texts = {"en": "the quick brown fox jumps over the lazy dog and runs away from it ", "fr": "le renard brun saute par dessus le chien paresseux et puis il court "}
     made = [(i, " ".join(random.Random(i).sample(texts[x].split(), 9)), x) for i in range(200) for x in texts]
