@@ -37,8 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of ids and of decoded bytes, and the ids, of each document."""
-    return byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """doc_id, n_tokens, digests of ids and of decoded bytes, and the ids, of each document, and its slot and
+    row_in_block: in this order the rows are the mix, which that of rows in files doesn't promise."""
+    placed = mixing.placed(docs.select("doc_id", "source", "text"))
+    return byte_bpe.encoded(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["slot", "row_in_block"])
 
 
 STAGES = [("quality rules", keep_quality), ("near copies", drop_near_copies), ("secrets", hide_secrets), ("mix", mix_sources), ("byte-level BPE", encode)]

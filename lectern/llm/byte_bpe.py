@@ -210,16 +210,18 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, keys: list[str
     return map_rows(encoded.select(*dict.fromkeys([*keys, "ids"])), run, schema, binary=())
 
 
-def digests(docs: DataFrame, path: str, pattern: str, ids_too: bool = False) -> DataFrame:
-    """One row for each document: number of tokens, digests of the ids and of the bytes decoded from them; and the ids, if asked for."""
+def digests(docs: DataFrame, path: str, pattern: str, ids_too: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """One row for each document: number of tokens, digests of the ids and of the bytes decoded from them; and the ids, if asked for, and ``keys``."""
+    keys = keys or []
     schema = T.StructType([docs.schema["doc_id"], *schema_of("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
     if ids_too:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*schema.fields, *(docs.schema[k] for k in keys)])
     ranks = sent(docs.sparkSession, path, pattern)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         e = encoder_of(ranks)
-        out: dict[str, list] = {f.name: [] for f in schema} | {"doc_id": cols["doc_id"]}
+        out: dict[str, list] = {f.name: [] for f in schema} | {k: cols[k] for k in ["doc_id", *keys]}
         for t in cols["text"]:
             pieces = list(map(e.piece, e.pattern.findall(t or "")))
             ids = [i for p, _ in pieces for i in p]
@@ -230,9 +232,9 @@ def digests(docs: DataFrame, path: str, pattern: str, ids_too: bool = False) ->
                 out["ids"].append(ids)
         return out
 
-    return map_rows(docs.select("doc_id", "text"), run, schema, binary=())
+    return map_rows(docs.select("doc_id", "text", *keys), run, schema, binary=())
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """digests() with the ids."""
-    return digests(docs, path, pattern, ids_too=True)
+def encoded(docs: DataFrame, path: str, pattern: str, keys: list[str] | None = None) -> DataFrame:
+    """digests() with the ids, and ``keys``."""
+    return digests(docs, path, pattern, ids_too=True, keys=keys)

@@ -109,6 +109,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     return ordered.repartitionByRange("_mix_slot", "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select("_row.*")
 
 
+def placed(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """``docs`` with slot and row_in_block, the places that mix() gives the rows (of rows equal in source and id, either's)."""
+    return mixed_order(docs, weights).select(*docs.columns, F.col("_mix_slot").alias("slot"), F.col("_mix_row").alias("row_in_block"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     out = mixed_order(docs.select("doc_id", "source"))
     return out.select("doc_id", "source", F.col("_mix_block").alias("block"), F.col("_mix_release").alias("release"), F.col("_mix_deadline").alias("deadline"), F.col("_mix_slot").alias("slot"), F.col("_mix_row").alias("row_in_block"))

@@ -1,11 +1,13 @@
 """The pipeline's stages one after the other, against what each should do to its input."""
 
+from collections import Counter
+
 import public_tokenizers as P
 import pytest
 import tiktoken
 
 import corpus_pipeline as cp
-from lectern.llm import byte_bpe, secret_scan
+from lectern.llm import byte_bpe, mixing, secret_scan
 from tests.llm.test_operators import SCHEMA, brute_components, hashed, rows
 
 
@@ -42,3 +44,27 @@ def test_stages(spark, sf):
     assert {r.doc_id: r.ids for r in after.collect()} == want
     assert all(r.decoded_sha256 == hashed(t.encode()) for r in after.collect() for t in [next(x.text for x in before.collect() if x.doc_id == r.doc_id)])
     assert sorted(r.doc_id for r in cp.run(spark, sf).collect()) == sorted(want)
+
+
+def test_order_of_the_mix(spark, tmp_path):
+    size = {"a": 400, "b": 150, "c": 60, None: 20}
+    made = [(i, f"text {i} of {s}", "en", s, 10) for s, n in size.items() for i in range(n)]
+    docs = spark.createDataFrame(made, SCHEMA).repartition(3)
+    # files are read in any order
+    cp.mix_sources(spark, docs, "").repartition(5).write.parquet(f"{tmp_path}/mixed")
+    got = cp.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").select("doc_id", "decoded_sha256", "slot", "row_in_block").collect()
+    source = {hashed(t.encode()): s for _, t, _, s, _ in made}
+    assert len(got) == len(made) == len({(r.slot, r.row_in_block) for r in got})
+    total = sum(n**0.5 for n in size.values())
+    share = {s: max(1, round(n**0.5 / total * mixing.PERIOD)) for s, n in size.items()}
+    placed, seen = dict.fromkeys(size, 0), dict.fromkeys(size, 0)
+    slots = {r.slot: source[r.decoded_sha256] for r in got}
+    rows_of = Counter((r.slot, source[r.decoded_sha256]) for r in got)
+    assert len(rows_of) == len(slots)
+    for t in range(max(slots) + 1):
+        if t in slots:
+            placed[slots[t]] += 1
+            seen[slots[t]] += rows_of[t, slots[t]]
+        for s in size:
+            if seen[s] < size[s]:
+                assert abs(placed[s] - share[s] * (t + 1) / sum(share.values())) < 1
