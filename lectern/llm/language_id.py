@@ -41,12 +41,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 def dictionaries(docs: DataFrame, learn: Column) -> list[tuple[str, bytes]]:
     """(lang, content) from the rows where ``learn``, languages in order.
 
-    Each language is counted first; then rows whose hash falls under a threshold made from the count (about
-    four times DICTIONARY_ROWS) are ranked by it, so that a language with most rows isn't gathered anywhere.
-    A chosen row gives one stretch of its text, from a place that its hash names.
+    Each language's distinct texts are counted first; then texts whose hash falls under a threshold made from the
+    count (about four times DICTIONARY_ROWS) are ranked by it, so that a language with most rows isn't gathered
+    anywhere, and copies of a text count as one. A chosen text gives one stretch of its text, from a place that its hash names.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    texts = rows.select("lang", F.xxhash64("text").alias("_h")).distinct()
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:

@@ -249,6 +249,13 @@ def test_licenses_in_one_file(spark):
     assert got[0].labels == got[1].labels == want and got[2].labels == "" and got[0].score == 1.0
 
 
+def test_language_of_many_copies(spark):
+    few = [f"mots du texte {'abcdefghij'[i] * 5} et encore" for i in range(6)]
+    made = [(t, "fr") for t in few for _ in range(5000)] + [(f"some words of text {i}", "en") for i in range(50)]
+    content = dict(language_id.dictionaries(spark.createDataFrame(made, "text string, lang string"), F.lit(True)))
+    assert all(language_id.plain(t) in content["fr"] for t in few) and content["en"].count(b"some words") == 50
+
+
 def test_language_by_compression(spark):
     texts = {"en": "the quick brown fox jumps over the lazy dog and runs away from it ", "fr": "le renard brun saute par dessus le chien paresseux et puis il court "}
     made = [(i, " ".join(random.Random(i).sample(texts[x].split(), 9)), x) for i in range(200) for x in texts]
