@@ -46,6 +46,34 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…"))).otherwise(t)
 
 
+def clip_words(text: Column, n: int) -> Column:
+    """At most n characters, cut at the last space among them if there is one."""
+    cut = F.substring(text, 1, n)
+    at_space = F.regexp_extract(cut, r"(?s)^(.+) [^ ]*$", 1)
+    return F.when(F.length(text) <= n, text).when(at_space != "", at_space).otherwise(cut)
+
+
+def flag(text: Column, default: Column) -> Column:
+    """A word that means yes or no as a boolean; ``default`` for any other, and for null."""
+    word = F.lower(squeezed(text))
+    return F.when(word.isin("true", "да", "yes", "1"), True).when(word.isin("false", "нет", "no", "0"), False).otherwise(default)
+
+
+def deep_link(url: Column, seconds: Column) -> Column:
+    """A YouTube address with the query t=<s>s in place of any t it had; other addresses as they are."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^@/?#]*@)?([^:/?#]+)", 1)), r"^www\.", "")
+    youtube = host.isin("youtu.be", "youtube.com", "youtube-nocookie.com") | host.rlike(r"\.youtube(-nocookie)?\.com$")
+    part = lambda k: F.regexp_extract(url, r"^([^?#]*)(\?[^#]*)?(#.*)?$", k)
+    query = F.substring(part(2), 2, 1 << 30)
+    kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike("^t(=|$)"))
+    mark = F.concat(F.lit("t="), F.greatest(F.lit(0).cast("long"), F.floor(seconds)).cast("string"), F.lit("s"))
+    first = F.array_position(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: x.rlike("^t(=|$)")), True)
+    before = F.when(first > 0, first - 1).otherwise(F.size(kept)).cast("int")
+    listed = F.concat(F.slice(kept, F.lit(1), before), F.array(mark), F.slice(kept, before + 1, F.size(kept)))
+    base = F.when(part(1).rlike(r"^[^/]+//[^/]+$"), F.concat(part(1), F.lit("/"))).otherwise(part(1))
+    return F.when(youtube, F.concat(base, F.lit("?"), F.array_join(listed, "&"), part(3))).otherwise(url)
+
+
 def yes_no(text: Column) -> Column:
     """True or false by the first of ДА, YES, НЕТ, NO as a word; null without one."""
     word = F.try_element_at(F.regexp_extract_all(F.upper(text), F.lit(r"(?U)\b(ДА|YES|НЕТ|NO)\b"), F.lit(1)), F.lit(1))
@@ -73,15 +101,26 @@ def version_key(version: Column) -> Column:
     return F.transform(F.regexp_extract_all(version, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+# fixed values: marks of the text format and what stands for them, in the order in which they are taken away
+MARKDOWN = (
+    (r"\r\n", "\n"),  # line ends
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),  # links
+    (r"`([^`]+)`", "$1"),  # code
+    (r"(?s)\*\*(.+?)\*\*", "$1"),  # bold
+    (r"(?s)__(.+?)__", "$1"),  # underlined
+    (r"(?m)^\s{0,3}#{1,6}\s+", ""),  # headings
+    (r"(?m)^\s*[-*+]\s+", ""),  # bullets
+    (r"(?<!\*)\*(?!\s)([^*\n]+?)\*(?!\*)", "$1"),  # italics
+    (r"[ \t]+\n", "\n"),
+    (r"\n{3,}", "\n\n"),
+)
+
+
 def plain_text(text: Column) -> Column:
-    """Without markdown: links, code, bold, headings, bullets, italics; blank lines collapsed."""
-    t = text
-    for pattern, to in (
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"`+([^`]*)`+", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"),
-        (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*•]\s+", ""), (r"\*([^*\n]+)\*", "$1"), (r"\n{3,}", "\n\n"),
-    ):
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(t)
+    """Without markdown, blank lines collapsed, no white space at the ends."""
+    for pattern, to in MARKDOWN:
+        text = F.regexp_replace(text, pattern, to)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def for_speech(text: Column, most: int = 4000) -> Column:
@@ -95,6 +134,17 @@ def sentence_closed(text: Column) -> Column:
     return F.rtrim(text).rlike(r"[.!?…][\"'»”)\]]*$")
 
 
+# fixed values: abbreviations that end in a point and no sentence, and marks that may close one
+ABBREVIATIONS = ("т.д.", "т.п.", "т.е.", "т.к.", "т.н.", "т.о.", "др.", "пр.", "см.", "рис.", "табл.", "им.", "ул.", "стр.", "г.", "гг.")
+CLOSERS = "\"'»)]}”"
+
+
+def ends_sentence(token: Column) -> Column:
+    """Does a word end a sentence: a mark . ! ? …, closing marks allowed after it; not an abbreviation, nor an initial."""
+    core = F.regexp_replace(F.trim(token), r"[\"'»)\]}”]+$", "")
+    return core.rlike(r"[.!?…]$") & ~F.lower(F.regexp_replace(core, " ", "")).isin(*ABBREVIATIONS) & ~core.rlike(r"^[A-Za-zА-Яа-яЁё]\.$")
+
+
 def query_terms(text: Column, most: int = 4) -> Column:
     """The first words of four or more letters or digits, distinct without regard to case, in their first form."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)([\p{L}\p{N}]{4,})"), F.lit(1))
@@ -111,6 +161,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(-1.0)).otherwise(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def unit(v: Column, least: float = 1e-8) -> Column:
+    """The vector at length 1; null if it is shorter than ``least``."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm >= least, F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors (array of arrays) whose mask is 1, at length 1; null without any."""
+    kept = F.transform(F.filter(F.zip_with(tokens, mask, lambda t, m: F.struct(t.alias("t"), m.alias("m"))), lambda x: x["m"] == 1), lambda x: x["t"])
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.transform(F.try_element_at(kept, F.lit(1)), lambda x: x.cast("double")), lambda s, t: F.zip_with(s, t, lambda x, y: x + y.cast("double")))
+    return F.when(F.size(kept) > 0, unit(F.transform(total, lambda x: x / F.size(kept))))
+
+
 def vec_to_text(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, clock, parse_range, squeezed
+from ..functions.scalars import clip, clip_words, clock, parse_range, squeezed
 from .library import recent_messages
 from .spans import merge_hit_spans, overlap_join, union_spans
 
@@ -37,10 +40,21 @@ def bound_topics(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
 
 
 def topic_body(rows: DataFrame, keys: list[str], most: int = 12_000, head: int = 7000, tail: int = 4000) -> DataFrame:
-    """keys, body: the spoken lines of a part; of a longer one the first `head` and last `tail` characters."""
-    body = rows.groupBy(*keys).agg(_lines(["position"], spoken(F.col("speaker"))).alias("body"))
-    cut = F.concat(F.substring("body", 1, head), F.lit("\n...\n"), F.right(F.col("body"), F.lit(tail)))
-    return body.withColumn("body", F.when(F.length("body") <= most, F.col("body")).otherwise(cut))
+    """keys, body: the spoken lines of a part; of a longer one the first `head` and last `tail` characters.
+
+    Lines that are in neither are left out before they are gathered, so a part's gathered text is bounded.
+    """
+    lines = rows.select(*keys, "position", spoken(F.col("speaker")).alias("_l")).withColumn("_n", F.length("_l") + 1)
+    w = Window.partitionBy(*keys).orderBy("position")
+    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("_to", upto).join(lines.groupBy(*keys).agg((F.sum("_n") - 1).alias("_all")), keys)
+    long = F.col("_all") > most
+    kept = lines.where(~long | (F.col("_to") - F.col("_n") < head) | (F.col("_to") > F.col("_all") - tail))
+    front = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~long | (F.col("_to") - F.col("_n") < head), F.struct("position", "_l")))), lambda x: x["_l"]), "\n")
+    back = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(long & (F.col("_to") > F.col("_all") - tail), F.struct("position", "_l")))), lambda x: x["_l"]), "\n")
+    cut = F.concat(F.substring("front", 1, head), F.lit("\n...\n"), F.right(F.col("back"), F.lit(tail)))
+    got = kept.groupBy(*keys).agg(front.alias("front"), back.alias("back"), F.max("_all").alias("_all"))
+    return got.select(*keys, F.when(F.col("_all") <= most, F.col("front")).otherwise(cut).alias("body"))
 
 
 def blurb(rows: DataFrame, keys: list[str], head: int = 240, tail: int = 180) -> DataFrame:
@@ -246,3 +260,91 @@ def expand_quotes(messages: DataFrame, segments: DataFrame) -> DataFrame:
     between = F.split("text", token)
     glued = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return m.join(told, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.size("_tokens") > 0, glued).otherwise(F.col("text")).alias("text"))
+
+
+# fixed values: the kinds of content and of message, their other forms, and phrases that say nothing
+CONTENT_TYPES = ("совет", "инструкция", "разбор случая", "история", "спор", "определение", "сравнение", "личный опыт", "реклама", "отступление", "другое")
+MESSAGE_TYPES = ("совет", "критика", "предупреждение", "объяснение", "вывод", "жалоба", "продажа", "вопрос", "мотивация", "другое")
+OTHER = "другое"
+OTHER_FORMS = {
+    "советы": "совет", "критику": "критика", "предупреждения": "предупреждение", "объяснения": "объяснение", "жалобу": "жалоба", "продажу": "продажа",
+    "мотивацию": "мотивация", "инструкции": "инструкция", "истории": "история", "сравнения": "сравнение", "определения": "определение",
+}
+VAGUE = r"(?iU)ключев\w*\s+момент|автор\s+обсужда|спикер\s+рассказывает\s+о\s+теме|в\s+этом\s+(?:отрезке|фрагменте|куск\w*|ролике)\s+(?:говорит|речь|обсужда)"
+#: Of a card: column, the answer's names for it, characters at most.
+FIELDS = (
+    ("title", ("title", "заголовок"), 100), ("content", ("content", "содержание", "text"), 520), ("problem", ("problem", "проблема"), 180),
+    ("conclusion", ("conclusion", "вывод"), 200), ("terms", ("terms", "термины"), 160), ("questions", ("questions", "вопросы"), 180),
+)
+#: Lines of a card as text.
+HEADS = (("Тема", "title"), ("Содержание", "content"), ("Проблема", "problem"), ("Вывод", "conclusion"), ("Тип", "content_type"), ("Посыл", "message_type"), ("Термины", "terms"), ("Вопросы", "questions"))
+
+
+def field(answer: Column, *names: str) -> Column:
+    """The first of the names that has a value in a map of strings, without regard to case; lists as one string, objects as none."""
+    given = F.filter(F.map_entries(answer), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+    of = lambda n: F.get(F.filter(given, lambda e: F.lower(e["key"]) == n), F.lit(0))["value"]
+    value = F.coalesce(*map(of, names), F.lit(""))
+    items = F.array_join(F.filter(F.from_json(value, "array<string>"), lambda x: F.trim(x) != ""), ", ")
+    return squeezed(F.when(value.startswith("{"), "").when(value.startswith("["), F.coalesce(items, value)).otherwise(value))
+
+
+def closed(value: Column, options: tuple[str, ...]) -> Column:
+    """The option that a value names: itself, by another form, or within a short value; else OTHER."""
+    text = F.regexp_replace(F.lower(squeezed(value)), r"^[ .«»\"']+|[ .«»\"']+$", "")
+    form = F.create_map(*(F.lit(x) for kv in OTHER_FORMS.items() for x in kv))[text]
+    long = (F.length(text) > 40) | (F.size(F.split(text, ",")) > 2)
+    within = F.coalesce(*(F.when(F.contains(text, F.lit(o)), o) for o in options), F.lit(OTHER))
+    return F.when(text == "", OTHER).when(form.isNotNull(), form).when(text.isin(*options), text).when(long, OTHER).otherwise(within)
+
+
+def topic_cards(answers: DataFrame) -> DataFrame:
+    """key, title, content, problem, conclusion, content_type, message_type, terms, questions, text (the card as lines), vague
+    (short and a stock phrase) and unfinished (long content without a closing mark) of each answer (key, answer) that
+    is an object with a title or content."""
+    a = answers.withColumn("_a", parse_object(F.col("answer")))
+    for column, names, most in FIELDS:
+        a = a.withColumn(column, clip_words(field(F.col("_a"), *names), most))
+    nested = F.coalesce(F.from_json(F.get(F.filter(F.map_entries("_a"), lambda e: e["key"] == "type"), F.lit(0))["value"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    first = lambda *options: F.coalesce(*(F.when(o != "", o) for o in options), F.lit(""))
+    a = a.where("_a is not null and (title <> '' or content <> '')").withColumn("_type", nested)
+    a = a.withColumn("content_type", closed(first(field(F.col("_a"), "content_type"), field(F.col("_type"), "content", "содержание")), CONTENT_TYPES))
+    a = a.withColumn("message_type", closed(first(field(F.col("_a"), "message_type", "посыл"), field(F.col("_type"), "посыл", "message")), MESSAGE_TYPES))
+    line = lambda head, c: F.concat(F.lit(f"{head}: "), F.when((F.col(c) == "") & F.lit(c not in ("title", "content")), "нет").otherwise(F.col(c)))
+    a = a.withColumn("text", F.concat_ws("\n", *(line(h, c) for h, c in HEADS)))
+    vague = (F.length("text") < 240) & F.col("text").rlike(VAGUE)
+    unfinished = (F.length("content") > 220) & ~F.col("content").rlike(r"[.!?…»\"']$")
+    return a.select("key", *(c for _, c in HEADS), "text", vague.alias("vague"), unfinished.alias("unfinished"))
+
+
+def parse_objects(answers: DataFrame) -> DataFrame:
+    """key, object_no, object (JSON): every whole object, outermost only, in an answer (key, answer), also amid prose."""
+
+    def run(batches):
+        decoder = json.JSONDecoder()
+        for b in batches:
+            rows = []
+            for key, text in zip(b["key"], b["answer"], strict=True):
+                at, no = (text or "").find("{"), 0
+                while at >= 0:
+                    try:
+                        found, to = decoder.raw_decode(text, at)
+                        rows.append((key, no, json.dumps(found, ensure_ascii=False, separators=(",", ":"))))
+                        at, no = text.find("{", to), no + 1
+                    except ValueError:
+                        at = text.find("{", at + 1)
+            yield pd.DataFrame(rows, columns=["key", "object_no", "object"])
+
+    return answers.select("key", "answer").mapInPandas(run, f"key {answers.schema['key'].dataType.simpleString()}, object_no int, object string")
+
+
+def topics_brief(topics: DataFrame, most: int = 12_000) -> DataFrame:
+    """video_id, text: "n. title. Проблема: … Вывод: … Посыл: …" of a video's cards (topic_no), cut to ``most`` characters.
+
+    Lines beyond the cut are left out before they are gathered.
+    """
+    said = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" {head}: "), c, F.lit("."))).otherwise("")
+    line = F.concat((F.col("topic_no") + 1).cast("string"), F.lit(". "), "title", F.lit("."), said("Проблема", F.col("problem")), said("Вывод", F.col("conclusion")), said("Посыл", F.col("message_type")))
+    before = Window.partitionBy("video_id").orderBy("topic_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = topics.select("video_id", "topic_no", line.alias("_l")).withColumn("_used", F.coalesce(F.sum(F.length("_l") + 1).over(before), F.lit(0))).where(F.col("_used") < most)
+    return rows.groupBy("video_id").agg(F.substring(_lines(["topic_no"], F.col("_l")), 1, most).alias("text"))

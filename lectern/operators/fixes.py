@@ -21,16 +21,15 @@ def parse_fixes(answers: DataFrame) -> DataFrame:
     low = F.lower("line")
     heading = low.rlike(f"^({'|'.join(HEADINGS)})")
     body = lines.withColumn("line", line).where((F.col("line") != "") & ~low.isin(*NOTHING) & ~heading)
+    # a fixed value: the form of a line
     whole = r"^\s*(\d+)\s*[:.)]?\s+(\S+)(?:\s*(?:->|=>|—|–)\s*|\s+)(\S+)\s*$"
     at = lambda k: F.regexp_extract("line", whole, k)
     read = body.where(F.col("line").rlike(whole)).select("key", "line_no", at(1).cast("int").alias("word_no"), _bare(at(2)).alias("old"), _bare(at(3)).alias("new"))
     return read.where("old <> '' and new <> '' and word_no is not null")
 
 
-def _apply(segments: DataFrame, fixes: DataFrame, allowed) -> DataFrame:
-    f = F.struct("line_no", "word_no", "old", "new")
-    listed = fixes.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_list(f)).alias("_fixes"))
-    empty = F.array().cast(listed.schema["_fixes"].dataType)
+def _patched(text: Column, words: Column, fixes: Column, allowed) -> Column:
+    """struct(text, words) after the fixes (array of line_no, word_no, old, new) that are allowed, one after the other."""
 
     def patched(acc: Column, fix: Column) -> Column:
         words, text, k = acc["words"], acc["text"], fix["word_no"]
@@ -43,8 +42,15 @@ def _apply(segments: DataFrame, fixes: DataFrame, allowed) -> DataFrame:
         words2 = F.transform(words, lambda w, i: F.when(i == k, fix["new"]).otherwise(w))
         return F.when(ok, F.struct(text2.alias("text"), words2.alias("words"))).otherwise(F.struct(text.alias("text"), words.alias("words")))
 
+    return F.aggregate(fixes, F.struct(text.alias("text"), words.alias("words")), patched)
+
+
+def _apply(segments: DataFrame, fixes: DataFrame, allowed) -> DataFrame:
+    f = F.struct("line_no", "word_no", "old", "new")
+    listed = fixes.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_list(f)).alias("_fixes"))
+    empty = F.array().cast(listed.schema["_fixes"].dataType)
     told = segments.join(listed, "id", "left")
-    done = F.aggregate(F.coalesce("_fixes", empty), F.struct(F.col("text").alias("text"), F.col("words").alias("words")), patched)
+    done = _patched(F.col("text"), F.col("words"), F.coalesce("_fixes", empty), allowed)
     return told.withColumn("_done", done).withColumn("text", F.col("_done.text")).withColumn("words", F.col("_done.words")).drop("_done", "_fixes")
 
 
@@ -59,3 +65,45 @@ def apply_case_fixes(segments: DataFrame, fixes: DataFrame) -> DataFrame:
 def apply_anglicisms(segments: DataFrame, fixes: DataFrame) -> DataFrame:
     """The same for fixes that write a Cyrillic word in Latin letters."""
     return _apply(segments, fixes, lambda old, new: old.rlike(r"[А-Яа-яЁё]") & new.rlike(r"[A-Za-z]") & ~new.rlike(r"[А-Яа-яЁё]"))
+
+
+# fixed values: grades by the consonants of their names, words that show the talk is of grades, words that are none, case endings
+GRADES = {"mdl": "Middle", "snr": "Senior", "jnr": "Junior", "jn": "Junior"}
+GRADE_TALK = ("грейд", "уровн", "компан", "ваканс", "позиц", "должност", "стаж")
+NO_GRADES = ("model", "medal", "module", "modern", "modest", "sinner", "dinner", "minor", "manor", "singer", "june", "jean")
+CASE_ENDINGS = ("ами", "ов", "ом", "ах", "ам", "ой", "а", "у", "е", "ы")
+#: Russian consonants and the Latin letters that they count as.
+CONSONANTS = ("бвгджзйклмнпрстфхцчшщ", "bvgdzzjklmnprstfhccss")
+
+
+def skeleton(word: Column) -> Column:
+    """The consonants of a word in lower case, as Latin letters, repeats as one."""
+    latin = F.translate(F.regexp_replace(word, "дж", "j"), *CONSONANTS)
+    return F.regexp_replace(F.regexp_replace(latin, "[^a-z]|[aeiouy]", ""), r"(.)\1+", "$1")
+
+
+def grade_of(word: Column) -> Column:
+    """Middle, Senior or Junior, if the word (letters, lower case) is one of them in another spelling; else null."""
+    stem = F.regexp_replace(word, f"^(.{{4,}}?)(?:{'|'.join(CASE_ENDINGS)})$", "$1")
+    title = F.create_map(*(F.lit(x) for kv in GRADES.items() for x in kv))[skeleton(stem)]
+    return F.when((word != "") & ~word.isin(*NO_GRADES) & (F.lower(title) != word), title)
+
+
+def normalize_terms(segments: DataFrame) -> DataFrame:
+    """segments (text, words: array of tokens, or null for those of the text) with grades in their usual spelling.
+
+    Only where the talk is of grades: a word says so, or two words or more are grades. Parts between dashes count by
+    themselves, marks around a word stay. Nothing is shuffled.
+    """
+    letters = lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\p{L}]", ""))
+    part = lambda w, k: F.regexp_extract(w, r"(?U)^(\W*)(.+?)(\W*)$", k)
+    graded = lambda w: F.concat(part(w, 1), F.array_join(F.transform(F.split(part(w, 2), "-"), lambda x: F.coalesce(grade_of(letters(x)), x)), "-"), part(w, 3))
+    own = F.filter(F.split(F.col("text"), r"\s+"), lambda x: x != "")
+    told = segments.withColumn("_w", F.when(F.size("words") > 0, F.col("words")).otherwise(own))
+    cue = F.lower(F.coalesce("text", F.lit(""))).rlike("|".join(GRADE_TALK))
+    talk = cue | (F.size(F.filter("_w", lambda w: grade_of(letters(w)).isNotNull())) >= 2)
+    fix = lambda w, i: F.struct(i.alias("line_no"), i.alias("word_no"), w.alias("old"), graded(w).alias("new"))
+    fixes = F.filter(F.transform("_w", fix), lambda x: (x["new"] != "") & (x["new"] != x["old"]))
+    told = told.withColumn("_f", fixes).withColumn("_done", F.when(talk & (F.size("_f") > 0), _patched(F.col("text"), F.col("_w"), F.col("_f"), lambda old, new: F.lit(True))))
+    words = F.when(F.size("words") > 0, F.coalesce("_done.words", "words")).otherwise(F.col("words"))
+    return told.withColumn("words", words).withColumn("text", F.coalesce("_done.text", "text")).drop("_w", "_f", "_done")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import squeezed
+from ..functions.scalars import squeezed, version_key
 
 # fixed values: stages in order, and the band of overall progress that each takes
 BANDS = {"compressing": (0.0, 0.15), "storing": (0.15, 0.19), "transcribing": (0.19, 0.61), "diarizing": (0.61, 0.73), "merging": (0.73, 0.85), "correcting": (0.85, 0.92), "splitting": (0.92, 0.95), "embedding": (0.95, 0.96), "moments": (0.96, 0.98), "naming": (0.98, 0.985)}
@@ -23,19 +26,33 @@ def merge_stage_times(base: DataFrame, delta: DataFrame) -> DataFrame:
 def queue_place(videos: DataFrame) -> DataFrame:
     """Place of each video that isn't ready or failed, by creation and id; null for the others.
 
-    Ranks without one task for all: counts by day are added up first, and rows are ranked within their day.
+    Ranks without one task for all, or for a busy day: rows are dealt by ranges of (creation, id), sorted in their
+    task, and the tasks' counts, a line each, are added up. The dealt rows are kept on disk, as both steps need the same ranges.
     """
-    active = videos.where("status not in ('ready', 'error')").withColumn("_day", F.to_date("created_at"))
-    days = active.groupBy("_day").agg(F.count("*").alias("_n"))
-    starts = days.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_day").orderBy("created_at", "video_id"))
-    places = active.withColumn("_in", inside).join(starts, active["_day"].eqNullSafe(starts["_day"])).select("video_id", (F.col("_start") + F.col("_in")).cast("long").alias("place"))
+    active = videos.where("status not in ('ready', 'error')").select("video_id", "created_at")
+    dealt = active.repartitionByRange("created_at", "video_id").sortWithinPartitions("created_at", "video_id")
+    at = F.monotonically_increasing_id()  # the task's number, then 33 bits of the row's
+    ranked = dealt.select("video_id", F.shiftright(at, 33).alias("_run"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")).persist(StorageLevel.DISK_ONLY)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranked.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    places = ranked.join(F.broadcast(starts), "_run").select("video_id", (F.col("_start") + F.col("_in") + 1).cast("long").alias("place"))
     return videos.join(places, "video_id", "left")
 
 
-def stage_durations(videos: DataFrame, stage_times: DataFrame) -> DataFrame:
-    """video_id, stage, seconds (> 0) of known videos, and processed_sec, their sum."""
-    s = stage_times.groupBy("video_id", "stage").agg(F.sum("seconds").alias("seconds")).where("seconds > 0").join(videos.select("video_id"), "video_id", "left_semi")
+def stage_durations(videos: DataFrame, stage_times: DataFrame, now: Column | None = None) -> DataFrame:
+    """video_id, stage, seconds (> 0) of known videos, and processed_sec, their sum.
+
+    With ``now``, the time of the stage that runs (from stage_started_at) and of fetching (from started_at) is added.
+    Rows are dealt by video once: a stage's sum and the video's need the same exchange.
+    """
+    rows = stage_times.select("video_id", "stage", "seconds").join(videos.select("video_id"), "video_id", "left_semi")
+    if now is not None:
+        since = lambda c: now.cast("double") - F.col(c).cast("double")
+        work = [s for s in BANDS if s != "fetching"]
+        live = videos.where(F.col("status").isin(*work) & F.col("stage_started_at").isNotNull()).select("video_id", F.col("status").alias("stage"), since("stage_started_at").alias("seconds"))
+        fetched = videos.where("status = 'fetching' and started_at is not null").select("video_id", F.lit("fetching").alias("stage"), since("started_at").alias("seconds"))
+        rows = rows.withColumn("seconds", F.col("seconds").cast("double")).unionByName(live).unionByName(fetched)
+    s = rows.repartition("video_id").groupBy("video_id", "stage").agg(F.sum("seconds").alias("seconds")).where("seconds > 0")
     return s.withColumn("processed_sec", F.sum("seconds").over(Window.partitionBy("video_id")))
 
 
@@ -80,18 +97,64 @@ def stage_fraction(rows: DataFrame) -> DataFrame:
     return rows.withColumn("percent", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * 100, 3))
 
 
-def load_seconds(videos: DataFrame, stages: DataFrame) -> DataFrame:
-    """Seconds a video took: its stages' sum, else processed_sec, else null."""
+def load_seconds(videos: DataFrame, stages: DataFrame, now: Column | None = None) -> DataFrame:
+    """Seconds a video took: its stages' sum, else processed_sec, else, with ``now``, those since started_at (0 at least), unless
+    it is held, queued or not started; else null."""
     s = stages.groupBy("video_id").agg(F.sum("seconds").alias("_s"))
-    return videos.join(s, "video_id", "left").select("video_id", F.coalesce("_s", "processed_sec").alias("load_sec"))
-
-
-def storage_usage(segments: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Bytes by video: text (UTF-8), vectors (4 a number and 8), total."""
-    t = segments.select("video_id", F.octet_length("text").cast("long").alias("text_bytes"), F.lit(0).cast("long").alias("vector_bytes"))
-    v = vectors.select("video_id", F.lit(0).cast("long").alias("text_bytes"), F.coalesce(4 * F.size("embedding") + 8, F.lit(0)).cast("long").alias("vector_bytes"))
-    g = t.union(v.withColumn("vector_bytes", F.when(F.col("vector_bytes") > 8, F.col("vector_bytes")).otherwise(0))).groupBy("video_id").agg(F.sum("text_bytes").alias("text_bytes"), F.sum("vector_bytes").alias("vector_bytes"))
-    return g.withColumn("total_bytes", F.col("text_bytes") + F.col("vector_bytes"))
+    joined = videos.join(s, "video_id", "left")
+    known = [F.col("_s"), F.col("processed_sec")]
+    if now is not None:
+        waits = F.coalesce("held", F.lit(False)) | (F.col("status") == "queued")
+        known.append(F.when(~waits & F.col("started_at").isNotNull(), F.greatest(F.lit(0.0), now.cast("double") - F.col("started_at").cast("double"))))
+    return joined.select("video_id", F.coalesce(*known).alias("load_sec"))
+
+
+def storage_usage(segments: DataFrame, vectors: DataFrame, entries: DataFrame | None = None, chats: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Bytes by video: text (UTF-8; segments, their words if any, chats with their citations), vectors (4 a number and 8), index
+    (entries' texts and vectors), media and work (files: video_id, area, bytes), total. What a video lacks counts 0."""
+    kinds = ("text_bytes", "vector_bytes", "index_bytes", "media_bytes", "work_bytes")
+    size = lambda c: F.coalesce(F.octet_length(c).cast("long"), F.lit(0))
+    wide = lambda c: F.when(F.size(c) > 0, (4 * F.size(c) + 8).cast("long")).otherwise(0)
+    words = size(F.to_json("words")) if "words" in segments.columns else F.lit(0)
+    parts = [segments.select("video_id", F.lit("text_bytes").alias("kind"), (size("text") + words).alias("n")), vectors.select("video_id", F.lit("vector_bytes"), wide("embedding"))]
+    if entries is not None:
+        parts.append(entries.select("video_id", F.lit("index_bytes"), size("text") + wide("embedding")))
+    if chats is not None:
+        parts.append(chats.select("video_id", F.lit("text_bytes"), size("content") + size("citations")))
+    if files is not None:
+        parts.append(files.select("video_id", F.when(F.col("area") == "media", "media_bytes").otherwise("work_bytes"), F.coalesce("bytes", F.lit(0).cast("long"))))
+    rows = reduce(DataFrame.union, parts)
+    total = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds]
+    return rows.groupBy("video_id").agg(*total, F.sum("n").alias("total_bytes"))
+
+
+def stale_tasks(tasks: DataFrame, videos: DataFrame, now: Column, limit_sec: int = 900) -> DataFrame:
+    """tasks (task_id, video_id, status, heartbeat_at) with gone (its video is no more), held, heartbeat_age and stale: runs, but
+    hasn't been heard of for ``limit_sec``, though its video is there and not held."""
+    v = videos.select("video_id", F.coalesce("held", F.lit(False)).alias("_held"))
+    t = tasks.join(v, "video_id", "left").withColumn("gone", F.col("video_id").isNotNull() & F.col("_held").isNull()).withColumn("held", F.coalesce("_held", F.lit(False)))
+    t = t.withColumn("heartbeat_age", now.cast("double") - F.col("heartbeat_at").cast("double")).drop("_held")
+    stale = (F.col("status") == "running") & (F.col("heartbeat_age") > limit_sec) & ~F.col("gone") & ~F.col("held")
+    return t.withColumn("stale", F.coalesce(stale, F.lit(False)))
+
+
+def pending_links(videos: DataFrame) -> DataFrame:
+    """Links that are still fetched and not held: video_id, source_url, created_at."""
+    return videos.where("status = 'fetching' and source_url is not null and not coalesce(held, false)").select("video_id", "source_url", "created_at")
+
+
+def latest_version(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows (version) of each key the one with the greatest version, by its numbers."""
+    return rows.groupBy(*keys).agg(F.max_by("version", F.struct(version_key(F.col("version")), "version")).alias("version"))
+
+
+def uniqueness_report(segments: DataFrame, speakers: DataFrame, indexes: DataFrame, videos: DataFrame) -> DataFrame:
+    """Keys that occur more than once though the model says once: rule, key, n."""
+    rules = (
+        (segments, ["video_id", "position"], "segment position"), (speakers, ["video_id", "label"], "speaker label"), (indexes, ["video_id", "name"], "index name"),
+        (indexes.where("kind = 'moments'"), ["video_id"], "one moments index"), (videos.where("status = 'fetching'"), ["source_url"], "one live fetch"),
+    )
+    return reduce(DataFrame.union, (repeated_keys(t.where(" and ".join(f"{k} is not null" for k in keys)), keys, rule) for t, keys, rule in rules))
 
 
 def index_catalog(indexes: DataFrame) -> DataFrame:
@@ -130,8 +193,17 @@ def repeated_keys(table: DataFrame, keys: list[str], rule: str) -> DataFrame:
 
 
 def missing_embeddings(segments: DataFrame, videos: DataFrame) -> DataFrame:
-    """Segments of ready videos without a vector."""
-    return segments.where("embedding is null").join(videos.where("status = 'ready'").select("video_id"), "video_id", "left_semi")
+    """Segments of ready videos without a vector; embed_text ("who: text") where they have speaker_name and text."""
+    rows = segments.where("embedding is null").join(videos.where("status = 'ready'").select("video_id"), "video_id", "left_semi")
+    if {"speaker_name", "text"} <= set(segments.columns):
+        rows = rows.withColumn("embed_text", F.concat("speaker_name", F.lit(": "), "text"))
+    return rows
+
+
+def missing_entry_embeddings(entries: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Entries of ready indexes without a vector, with embed_text."""
+    ready = indexes.where("status = 'ready'").select("index_id")
+    return entries.where("embedding is null").join(ready, "index_id", "left_semi").withColumn("embed_text", F.col("text"))
 
 
 def recent_messages(messages: DataFrame, n: int = 6) -> DataFrame:

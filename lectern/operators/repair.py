@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import sentence_closed
+from ..functions.scalars import ends_sentence, sentence_closed
+
 
 def in_order():
     return Window.partitionBy("video_id").orderBy("position")
@@ -34,8 +35,15 @@ def junctions(segments: DataFrame, most: int = 16) -> DataFrame:
 
 
 def clean_asr(segments: DataFrame) -> DataFrame:
-    """Trimmed texts, empty ones dropped, no speaker."""
-    return segments.withColumn("text", F.trim("text")).where("text <> ''").withColumn("speaker", F.lit(None).cast("string"))
+    """Trimmed texts, empty ones dropped, words (array of text, start_ms, end_ms) without empty ones, no speaker.
+
+    Times are whole milliseconds, so there is nothing to round.
+    """
+    s = segments.withColumn("text", F.trim("text")).where("text <> ''").withColumn("speaker", F.lit(None).cast("string"))
+    if "words" not in segments.columns:
+        return s
+    trimmed = F.transform("words", lambda w: F.struct(F.trim(w["text"]).alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms")))
+    return s.withColumn("words", F.filter(trimmed, lambda w: w["text"] != ""))
 
 
 def clean_words(words: Column) -> Column:
@@ -60,21 +68,37 @@ def case_candidates(segments: DataFrame) -> DataFrame:
 
 
 def split_segments(segments: DataFrame, n: int = 4) -> DataFrame:
-    """Turns of more than n sentences as pieces of n: video_id, position, piece_no, text, start_ms, end_ms.
+    """Turns of more than n sentences as pieces of n: video_id, position, piece_no, text, start_ms, end_ms, words.
 
-    Words are untimed here: pieces share the time in proportion to the lengths of their texts, and the last ends where
-    the turn does.
+    ``words`` (array of text, start_ms, end_ms) may be null, or its first word without times: then pieces share the
+    turn's time in proportion to the lengths of their texts, the last ends where the turn does, and they have no words.
+    Turns of n sentences or fewer stay as they are. All is within one row, so nothing is shuffled.
     """
-    s = segments.select("video_id", "position", "start_ms", "end_ms", F.posexplode(words_of(F.col("text"))).alias("i", "word"))
-    o = Window.partitionBy("video_id", "position").orderBy("i")
-    s = s.withColumn("_no", F.coalesce(F.sum(sentence_closed(F.col("word")).cast("int")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("piece_no", F.floor(F.col("_no") / n))
-    p = s.groupBy("video_id", "position", "start_ms", "end_ms", "piece_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"))
-    whole = Window.partitionBy("video_id", "position")
-    done = F.sum(F.length("text")).over(whole.orderBy("piece_no").rowsBetween(Window.unboundedPreceding, 0))
-    p = p.withColumn("_to", done).withColumn("_all", F.sum(F.length("text")).over(whole))
-    at = lambda c: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * c / F.col("_all"))
-    return p.select("video_id", "position", "piece_no", "text", at(F.col("_to") - F.length("text")).alias("start_ms"), at(F.col("_to")).alias("end_ms"))
+    untimed = F.transform(words_of(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms")))
+    given = F.filter("words", lambda w: F.trim(w["text"]) != "") if "words" in segments.columns else F.lit(None).cast("array<struct<text string, start_ms bigint, end_ms bigint>>")
+    s = segments.select("video_id", "position", "start_ms", "end_ms", "text", given.alias("_own")).withColumn("_w", F.when(F.size("_own") > 0, F.col("_own")).otherwise(untimed))
+    ends = F.filter(F.transform("_w", lambda w, i: F.when(ends_sentence(w["text"]), i)), lambda i: i.isNotNull())
+    s = s.withColumn("_ends", ends).withColumn("_last", F.size("_w") - 1)
+    sentences = F.size("_ends") + F.when(F.coalesce(F.try_element_at("_ends", F.lit(-1)), F.lit(-1)) < F.col("_last"), 1).otherwise(0)
+    s = s.withColumn("_n", F.ceil(sentences / n).cast("int")).withColumn("_split", sentences > n)
+    first = lambda k: F.when(k == 0, 0).otherwise(F.get("_ends", k * n - 1) + 1)
+    to = lambda k: F.coalesce(F.get("_ends", k * n + n - 1), F.col("_last"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.slice("_w", first(k) + 1, to(k) - first(k) + 1))
+    text = lambda p: F.array_join(F.transform(p, lambda w: F.trim(w["text"])), " ")
+    s = s.withColumn("_parts", F.when(F.col("_split"), parts)).withColumn("_texts", F.transform("_parts", text))
+    before = lambda k: F.aggregate(F.slice("_texts", F.lit(1), k), F.lit(0), lambda acc, t: acc + F.length(t))
+    all_chars, span = F.greatest(before(F.size("_texts")), F.lit(1)), F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    shared = lambda k: F.col("start_ms") + F.floor(span * before(k) / all_chars)
+    timed, none = F.try_element_at("_w", F.lit(1))["start_ms"].isNotNull(), F.filter("_w", lambda w: F.lit(False))
+
+    def piece(p: Column, k: Column) -> Column:
+        start = F.when(timed, F.element_at(p, 1)["start_ms"]).otherwise(shared(k))
+        end = F.when(timed, F.element_at(p, -1)["end_ms"]).when(k == F.col("_n") - 1, F.col("end_ms")).otherwise(shared(k + 1))
+        return F.struct(F.get("_texts", k).alias("text"), start.alias("start_ms"), end.alias("end_ms"), F.when(timed, p).otherwise(none).alias("words"))
+
+    whole = F.array(F.struct("text", "start_ms", "end_ms", F.coalesce("_own", none).alias("words")))
+    pieces = F.when(F.col("_split"), F.transform("_parts", piece)).otherwise(whole)
+    return s.select("video_id", "position", F.posexplode(pieces).alias("piece_no", "_p")).select("video_id", "position", F.col("piece_no").cast("long").alias("piece_no"), "_p.*")
 
 
 def prepare_store(segments: DataFrame) -> DataFrame:
@@ -82,3 +106,27 @@ def prepare_store(segments: DataFrame) -> DataFrame:
     s = segments.withColumn("text", F.trim("text")).where("text <> ''")
     embed = F.when(F.col("speaker").isNotNull(), F.concat("speaker", F.lit(": "), "text")).otherwise(F.col("text"))
     return s.withColumn("position", F.row_number().over(in_order()).cast("long") - 1).withColumn("embed_text", embed)
+
+
+# fixed values: words that a capital doesn't suit inside a sentence, and endings of verbs
+NUMBERS = tuple("ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто сто".split())
+FUNCTION_WORDS = tuple("в во на с со к ко о об обо и а но или да не ни же бы ли это эта этот эти то для по из за от до без при через что как если когда".split())
+INDEFINITE = tuple("какой-то какое-то какая-то какие-то чей-то чья-то чьё-то чьи-то кто-то что-то где-то когда-то куда-то почему-то зачем-то как-то".split())
+VERB_ENDINGS = tuple("иться аться яться еться ются аются уются или али ели ули ыли ить ать ять еть уть ыть оть ется ится ешь ишь ет ит ут ют ат ят".split())
+
+
+def letters_of(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, r"(?U)[^\p{L}]", ""))
+
+
+def chunk_capital(previous: Column, token: Column) -> Column:
+    """Has only a chunk's border given the word its capital? Names and brands aren't such words.
+
+    It repeats the word before, is a numeral after digits, an indefinite or a function word, or a Russian word of five
+    letters or more with a verb's ending.
+    """
+    bare = F.regexp_replace(F.lower(token), r"^[.,;:!?]+|[.,;:!?]+$", "")
+    now = letters_of(token)
+    repeated = (now != "") & (now == letters_of(previous))
+    verb = (F.length(now) >= 5) & (now == bare) & now.rlike("[а-яё]") & now.rlike(f"(?:{'|'.join(VERB_ENDINGS)})$")
+    return repeated | (previous.rlike(r"(?U)\d") & now.isin(*NUMBERS)) | bare.isin(*INDEFINITE) | now.isin(*FUNCTION_WORDS) | verb

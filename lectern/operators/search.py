@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, clock, cosine, query_terms
+from ..functions.scalars import clip, clock, dot, parse_clock, query_terms, unit
 from .spans import overlap_join
 
 
-def search_segments(questions: DataFrame, segments: DataFrame, k: int = 8) -> DataFrame:
-    """The k segments of the question's video that are nearest by cosine distance; ties by id. Null vectors don't take part.
+def nearest(questions: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Of the rows of each question's video the k nearest by cosine distance for each of ``keys``; ties by id.
 
-    Ranks below k are dropped inside each task before the exchange (a window's group limit), so that a question's
-    rows are never gathered.
+    Vectors are brought to length 1 once a row, so that a pair costs one dot product; pairs of unlike lengths are at
+    distance 2. Ranks below k are dropped inside each task before the exchange (a window's group limit), so that
+    a question's rows are never gathered.
     """
-    met = questions.join(segments.where("embedding is not null"), "video_id")
-    d = met.withColumn("distance", F.round(1 - cosine(F.col("q_vec"), F.col("embedding")), 6)).drop("q_vec", "embedding")
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    q = questions.withColumn("q_vec", unit(F.col("q_vec"))).where("q_vec is not null")
+    r = rows.where("embedding is not null").withColumn("embedding", unit(F.col("embedding"))).where("embedding is not null")
+    near = F.when(F.size("q_vec") == F.size("embedding"), dot(F.col("q_vec"), F.col("embedding"))).otherwise(-1.0)
+    met = q.join(r, "video_id").withColumn("distance", F.round(1 - near, 6)).drop("q_vec", "embedding")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def search_segments(questions: DataFrame, segments: DataFrame, k: int = 8) -> DataFrame:
+    """The k segments of the question's video that are nearest."""
+    return nearest(questions, segments, ["q_id"], k)
 
 
 def search_entries(questions: DataFrame, entries: DataFrame, indexes: DataFrame, k: int = 8) -> DataFrame:
     """The k entries of each ready index of the question's video that are nearest."""
     ready = entries.join(indexes.where("status = 'ready'").select("index_id"), "index_id", "left_semi")
-    d = questions.join(ready.where("embedding is not null"), "video_id").withColumn("distance", F.round(1 - cosine(F.col("q_vec"), F.col("embedding")), 6)).drop("q_vec", "embedding")
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", "index_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return nearest(questions, ready, ["q_id", "index_id"], k)
 
 
 def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:
@@ -55,8 +62,9 @@ def segments_between(windows: DataFrame, segments: DataFrame, limit: int = 40) -
 
 
 def citations(hits: DataFrame) -> DataFrame:
-    """Each question's hits as a JSON list in order of rank."""
-    c = F.struct(F.lit("segment").alias("type"), F.col("id").alias("segmentId"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.coalesce("speaker_name", F.lit("")).alias("speakerName"))
+    """Each question's hits as a JSON list in order of rank; the type is a hit's source, where there is such a column."""
+    source = F.col("source") if "source" in hits.columns else F.lit("segment")
+    c = F.struct(source.alias("type"), F.col("id").alias("segmentId"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.coalesce("speaker_name", F.lit("")).alias("speakerName"), "text")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", c.alias("c")))), lambda x: x["c"])
     return hits.groupBy("q_id").agg(F.to_json(listed).alias("citations"))
 
@@ -69,6 +77,23 @@ def result_lines(hits: DataFrame, limit: int = 8) -> DataFrame:
     return rows.select("q_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("lines"))
 
 
+STAMP = r"\d{1,3}:\d{2}(?::\d{2})?"
+
+
+def read_window(actions: DataFrame, default: float = 60.0, most: float = 240.0) -> DataFrame:
+    """actions with read_start and read_end in seconds, from the marks in start and end, or in range, or from start as a range.
+
+    A missing end, or one that isn't after the start, is ``default`` seconds later; none is later than ``most`` seconds.
+    Without a start both are null.
+    """
+    pair = rf"@?\[?\s*({STAMP})\s*[–—-]\s*@?({STAMP})\s*\]?"
+    joined = F.when(F.coalesce("range", F.lit("")) != "", F.col("range")).when(F.col("start").rlike(pair), F.col("start"))
+    mark = lambda k, own: parse_clock(F.when(joined.rlike(pair), F.regexp_extract(joined, pair, k)).otherwise(F.col(own)))
+    rows = actions.withColumn("read_start", mark(1, "start")).withColumn("_end", mark(2, "end"))
+    end = F.when(F.col("_end") > F.col("read_start"), F.col("_end")).otherwise(F.col("read_start") + default)
+    return rows.withColumn("read_end", F.least(end, F.col("read_start") + most)).drop("_end").withColumn("read_end", F.when(F.col("read_start").isNotNull(), F.col("read_end")))
+
+
 def list_entries(entries: DataFrame, indexes: DataFrame, limit: int = 60) -> DataFrame:
     """Entries of ready indexes by start and id."""
     ready = entries.join(indexes.where("status = 'ready'").select("index_id"), "index_id", "left_semi")
@@ -87,3 +112,10 @@ def asof_segment(positions: DataFrame, segments: DataFrame, early_ms: int = 150)
     s = segments.select("video_id", (F.col("start_ms") - early_ms).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("p_id"), F.col("position").cast("long").alias("segment"))
     w = Window.partitionBy("video_id").orderBy("t", "kind", "segment").rowsBetween(Window.unboundedPreceding, 0)
     return p.union(s).withColumn("active", F.coalesce(F.last("segment", ignorenulls=True).over(w), F.lit(-1))).where("kind = 1").select("video_id", "p_id", "active")
+
+
+def asof_word(positions: DataFrame, segments: DataFrame, early_ms: int = 30) -> DataFrame:
+    """For each position in its active segment (video_id, p_id, at_ms, active) the last word that has begun by then, or -1."""
+    s = segments.select("video_id", F.col("position").alias("active"), "words")
+    begun = F.size(F.filter("words", lambda w: w["start_ms"] <= F.col("at_ms") + early_ms))
+    return positions.join(s, ["video_id", "active"], "left").select("video_id", "p_id", (F.greatest(F.coalesce(begun, F.lit(0)), F.lit(0)) - 1).alias("word"))

@@ -83,3 +83,13 @@ def replace_mentions(messages: DataFrame, speakers: DataFrame, to: str = "label"
     told = messages.join(named, "video_id", "left")
     new = F.aggregate("_names", F.col("text"), lambda acc, x: F.regexp_replace(acc, pattern(x), literal(x[to])))
     return told.withColumn("text", F.when(F.col("_names").isNull(), F.col("text")).otherwise(new)).drop("_names")
+
+
+def labels_to_mentions(messages: DataFrame, speakers: DataFrame) -> DataFrame:
+    """The way back: messages (video_id, text) with each label of a video's speakers as "@Name"."""
+    named = speakers.where("trim(name) <> ''").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("label")).alias("n"), "label", F.trim("name").alias("name")))).alias("_names"))
+    literal = lambda c: F.concat(F.lit("@"), F.regexp_replace(c, r"([\\$])", r"\\$1"))
+    pattern = lambda x: F.concat(F.lit(r"(?U)(?<!\w)\Q"), x["label"], F.lit(r"\E(?!\w)"))
+    told = messages.join(named, "video_id", "left")
+    new = F.aggregate("_names", F.col("text"), lambda acc, x: F.regexp_replace(acc, pattern(x), literal(x["name"])))
+    return told.withColumn("text", F.when(F.col("_names").isNull(), F.col("text")).otherwise(new)).drop("_names")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import library, repair, search, spans, speakers
 from ..sources import bindings as b
-from . import timeline  # noqa: F401
+from . import speech, timeline  # noqa: F401
 from .catalog import oracle_sql, queries, query  # noqa: F401
 
 FLAGSHIP = "search_citations"
+#: The time at which reports on what runs are made.
+NOW = "1996-06-01 00:00:00"
 
 CLOCK = "CASE WHEN {0} >= 3600 THEN ({0}//3600) || ':' || lpad(CAST({0}%3600//60 AS VARCHAR),2,'0') || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') ELSE ({0}//60) || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') END"
 WORDS = r"list_filter(string_split_regex(trim({0}, ' '), '\s+'), lambda x: x <> '')"
@@ -19,21 +21,21 @@ UNION = """isl AS (SELECT video_id, start_ms, end_ms, sum(nw) OVER (PARTITION BY
 uni AS (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM isl GROUP BY video_id, g)"""
 
 
-def _hits(s, d):  # segments that hold a hit: every third turn, three times as long
-    return b.segments(s, d).where("position % 3 = 0").select("video_id", "start_ms", (F.col("start_ms") + 3 * (F.col("end_ms") - F.col("start_ms"))).alias("end_ms"))
+def _hits(s, d):  # every segment is a hit; those of every third turn reach three times as far
+    return b.segments(s, d).select("video_id", "start_ms", (F.col("start_ms") + F.when(F.col("position") % 3 == 0, 3).otherwise(1) * (F.col("end_ms") - F.col("start_ms"))).alias("end_ms"))
 
 
 def _holes(s, d):
     return b.segments(s, d).where("position = 1 or position = 6").select("video_id", "start_ms", "end_ms")
 
 
-HITS = "hit AS (SELECT video_id, start_ms, start_ms + 3*(end_ms-start_ms) AS end_ms FROM seg WHERE position%3=0)"
+HITS = "hit AS (SELECT video_id, start_ms, start_ms + CASE WHEN position%3=0 THEN 3 ELSE 1 END*(end_ms-start_ms) AS end_ms FROM seg)"
 
 
 # ---- search
 
-_TOP = f"""top AS (SELECT q_id, id, start_ms, end_ms, speaker, video_id, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM (
-SELECT q.q_id, v.id, v.start_ms, v.end_ms, v.speaker, v.video_id, round(1 - list_dot_product(q_vec, embedding) / sqrt(list_dot_product(q_vec, q_vec) * list_dot_product(embedding, embedding)), 6) AS distance FROM q JOIN vec v ON v.video_id = q.video_id WHERE embedding IS NOT NULL) QUALIFY rank <= 8)"""
+_TOP = f"""top AS (SELECT q_id, id, start_ms, end_ms, speaker, text, video_id, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM (
+SELECT q.q_id, v.id, v.start_ms, v.end_ms, v.speaker, v.text, v.video_id, round(1 - list_dot_product(q_vec, embedding) / sqrt(list_dot_product(q_vec, q_vec) * list_dot_product(embedding, embedding)), 6) AS distance FROM q JOIN vec v ON v.video_id = q.video_id WHERE embedding IS NOT NULL) QUALIFY rank <= 8)"""
 
 
 def _top(s, d):
@@ -45,7 +47,7 @@ def _(s, d):
     return _top(s, d).select("q_id", "rank", "id", "distance")
 
 
-@query("search_citations", f"""WITH {b.VECTORS}, {b.SPEAKERS}, {_TOP} SELECT q_id, '[' || string_agg('{{"type":"segment","segmentId":' || id || ',"start":' || start_ms || ',"end":' || end_ms || ',"speakerName":"' || coalesce(name, speaker, 'Без спикера') || '"}}', ',' ORDER BY rank) || ']' AS citations
+@query("search_citations", f"""WITH {b.VECTORS}, {b.SPEAKERS}, {_TOP} SELECT q_id, '[' || string_agg('{{"type":"segment","segmentId":' || id || ',"start":' || start_ms || ',"end":' || end_ms || ',"speakerName":"' || coalesce(name, speaker, 'Без спикера') || '","text":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY rank) || ']' AS citations
 FROM top LEFT JOIN spk ON spk.video_id = top.video_id AND spk.label = top.speaker GROUP BY q_id""")
 def _(s, d):
     return search.citations(speakers.with_speaker_name(_top(s, d), b.speakers(s, d)))
@@ -76,8 +78,8 @@ p AS (SELECT *, CASE WHEN n=1 THEN r<=8 ELSE r <= greatest(1, 8//n) END AS picke
 l AS (SELECT *, sum(picked::INT) OVER (PARTITION BY q_id) AS many, row_number() OVER (PARTITION BY q_id, picked ORDER BY distance, group_no, r) AS fill FROM p)
 SELECT q_id, CAST(place AS INTEGER) AS place, group_no, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, picked DESC, group_no, r) AS place FROM l WHERE picked OR fill <= 8-many) WHERE place <= 8""")
 def _(s, d):
-    met = b.questions(s, d).join(b.vectors(s, d).where("embedding is not null"), "video_id")
-    return search.merge_hits(met.select("q_id", (F.col("id") % 3).alias("group_no"), "id", F.round(1 - f.cosine(F.col("q_vec"), F.col("embedding")), 6).alias("distance")))
+    near = search.nearest(b.questions(s, d), b.vectors(s, d).withColumn("group_no", F.col("id") % 3), ["q_id", "group_no"], 8)
+    return search.merge_hits(near.select("q_id", "group_no", "id", "distance"))
 
 
 @query("find_segments", f"""WITH {b.SEGMENTS}, t AS (SELECT item_id AS q_id, item_id AS video_id, list_transform(list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]{{4,}}'), lambda x: lower(x))), lambda x: x) AS all_terms, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{4,}}') AS ws FROM benchmark),
@@ -89,15 +91,15 @@ def _(s, d):
 
 
 def _windows(s, d):
-    return b.segments(s, d).where("position % 4 = 1").select(F.col("id").alias("w_id"), "video_id", "start_ms", (F.col("start_ms") + 30_000).alias("end_ms"))
+    return b.segments(s, d).select(F.col("id").alias("w_id"), "video_id", "start_ms", (F.col("start_ms") + 30_000).alias("end_ms"))
 
 
-@query("segments_between", f"WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg WHERE position%4=1) SELECT w_id, CAST(place AS INTEGER) AS place, position FROM (SELECT w_id, seg.position, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a) WHERE place <= 40")
+@query("segments_between", f"WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg) SELECT w_id, CAST(place AS INTEGER) AS place, position FROM (SELECT w_id, seg.position, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a) WHERE place <= 40")
 def _(s, d):
     return search.segments_between(_windows(s, d), b.segments(s, d)).select("w_id", "place", "position")
 
 
-@query("result_lines", f"""WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg WHERE position%4=1), p AS (SELECT w_id AS q_id, seg.*, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a)
+@query("result_lines", f"""WITH {b.SEGMENTS}, w AS (SELECT id AS w_id, video_id, start_ms AS a, start_ms+30000 AS z FROM seg), p AS (SELECT w_id AS q_id, seg.*, row_number() OVER (PARTITION BY w_id ORDER BY seg.position) AS place FROM w JOIN seg USING (video_id) WHERE start_ms <= z AND end_ms >= a)
 SELECT q_id, string_agg('[' || {CLOCK.format('(start_ms//1000)')} || '–' || {CLOCK.format('(end_ms//1000)')} || '] ' || CASE WHEN speaker IS NULL THEN '' ELSE speaker || ': ' END || text, chr(10) ORDER BY place) AS lines FROM p WHERE place <= 8 GROUP BY q_id""")
 def _(s, d):
     seg = b.segments(s, d)
@@ -203,19 +205,28 @@ def _(s, d):
     return repair.shift_times(t, t.groupBy("video_id", "chunk_no").agg(F.min("start_ms").alias("start_ms"))).select("video_id", "turn_no", "start_ms", "end_ms")
 
 
-@query("case_candidates", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, {WORDS.format('text')} AS w FROM seg), x AS (SELECT *, unnest(generate_series(1, len(w)-1)) AS i FROM w WHERE len(w) > 1)
+@query("case_candidates", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, list_transform({WORDS.format('text')}, lambda x, i: CASE WHEN i%5=3 THEN 'Щ' || x ELSE x END) AS w FROM seg), x AS (SELECT *, unnest(generate_series(1, len(w)-1)) AS i FROM w WHERE len(w) > 1)
 SELECT video_id, position, i AS word_no, w[i+1] AS word, array_to_string(w[greatest(i-6,0)+1:i+5], ' ') AS fragment FROM x WHERE regexp_matches(w[i+1], '\\p{{Lu}}') AND NOT {CLOSED.format('w[i]')}""")
-def _(s, d):
-    return repair.case_candidates(b.segments(s, d))
+def _(s, d):  # every fifth word with a capital
+    capital = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("Щ"), x)).otherwise(x)
+    return repair.case_candidates(b.segments(s, d).withColumn("text", F.array_join(F.transform(repair.words_of(F.col("text")), capital), " ")))
+
 
+ENDS = """regexp_matches(regexp_replace({0}, '["''»)\\]}}”]+$', ''), '[.!?…]$') AND NOT list_contains(['т.д.','т.п.','т.е.','т.к.','т.н.','т.о.','др.','пр.','см.','рис.','табл.','им.','ул.','стр.','г.','гг.'], lower(regexp_replace({0}, '["''»)\\]}}”]+$', ''))) AND NOT regexp_matches(regexp_replace({0}, '["''»)\\]}}”]+$', ''), '^[A-Za-zА-Яа-яЁё]\\.$')"""
 
-@query("split_segments", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, start_ms, end_ms, {WORDS.format('text')} AS w FROM seg), x AS (SELECT video_id, position, start_ms, end_ms, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM w),
-n AS (SELECT *, coalesce(sum({CLOSED.format('word')}::INT) OVER (PARTITION BY video_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM x),
-p AS (SELECT video_id, position, start_ms AS a, end_ms AS z, no//4 AS piece_no, string_agg(word, ' ' ORDER BY i) AS text FROM n GROUP BY ALL),
+
+@query("split_segments", f"""WITH {b.SEGMENTS}, w AS (SELECT video_id, position, start_ms, end_ms, list_transform({WORDS.format('text')}, lambda x, i: CASE WHEN i%9=5 THEN 'т.д.' WHEN i%11=8 THEN 'А.' WHEN i%13=9 THEN x || '!»' ELSE x END) AS w FROM seg), x AS (SELECT video_id, position, start_ms, end_ms, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM w),
+n AS (SELECT *, coalesce(sum(({ENDS.format('word')})::INT) OVER (PARTITION BY video_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM x),
+m AS (SELECT *, max(no) OVER (PARTITION BY video_id, position) >= 4 AS cut FROM n),
+p AS (SELECT video_id, position, start_ms AS a, end_ms AS z, cut, CASE WHEN cut THEN no//4 ELSE 0 END AS piece_no, string_agg(word, ' ' ORDER BY i) AS text, min(i) - 1 AS i0, max(i) - 1 AS i1 FROM m GROUP BY ALL),
 t AS (SELECT *, sum(length(text)) OVER (PARTITION BY video_id, position ORDER BY piece_no) AS c, sum(length(text)) OVER (PARTITION BY video_id, position) AS al FROM p)
-SELECT video_id, position, CAST(piece_no AS BIGINT) AS piece_no, text, CAST(a + (z-a)*(c-length(text))//al AS BIGINT) AS start_ms, CAST(a + (z-a)*c//al AS BIGINT) AS end_ms FROM t""")
-def _(s, d):
-    return repair.split_segments(b.segments(s, d))
+SELECT video_id, position, CAST(piece_no AS BIGINT) AS piece_no, text, CAST(CASE WHEN NOT cut THEN a WHEN position%2=1 THEN a + i0*300 ELSE a + (z-a)*(c-length(text))//al END AS BIGINT) AS start_ms, CAST(CASE WHEN NOT cut THEN z WHEN position%2=1 THEN a + i1*300 + 250 ELSE a + (z-a)*c//al END AS BIGINT) AS end_ms, CASE WHEN position%2=1 THEN i1-i0+1 ELSE 0 END AS n_words FROM t""")
+def _(s, d):  # with abbreviations, initials and quotes; the words of every second turn have times
+    odd = lambda x, i: F.when(i % 9 == 4, "т.д.").when(i % 11 == 7, "А.").when(i % 13 == 8, F.concat(x, F.lit("!»"))).otherwise(x)
+    seg = b.segments(s, d).withColumn("w", F.transform(repair.words_of(F.col("text")), odd)).withColumn("text", F.array_join("w", " ")).where("text <> ''")
+    timed = F.transform("w", lambda x, i: F.struct(x.alias("text"), (F.col("start_ms") + i * 300).alias("start_ms"), (F.col("start_ms") + i * 300 + 250).alias("end_ms")))
+    cut = repair.split_segments(seg.withColumn("words", F.when(F.col("position") % 2 == 1, timed)))
+    return cut.select("video_id", "position", "piece_no", "text", "start_ms", "end_ms", F.size("words").cast("long").alias("n_words"))
 
 
 @query("prepare_store", f"WITH {b.SEGMENTS} SELECT id, row_number() OVER (PARTITION BY video_id ORDER BY position) - 1 AS position, coalesce(speaker || ': ', '') || trim(text, ' ') AS embed_text FROM seg WHERE trim(text, ' ') <> ''")
@@ -256,9 +267,10 @@ def _(s, d):
     return library.queue_place(b.videos(s, d)).select("video_id", "place")
 
 
-@query("stage_durations", f"WITH {b.DELTAS}, {b.VIDEOS}, g AS (SELECT video_id, stage, sum(seconds) AS seconds FROM del WHERE video_id IN (SELECT video_id FROM vid) GROUP BY 1,2) SELECT *, sum(seconds) OVER (PARTITION BY video_id) AS processed_sec FROM g WHERE seconds > 0")
+@query("stage_durations", f"""WITH {b.DELTAS}, {b.VIDEOS}, r AS (SELECT video_id, stage, CAST(seconds AS DOUBLE) AS seconds FROM del WHERE video_id IN (SELECT video_id FROM vid) UNION ALL SELECT video_id, status, epoch(TIMESTAMP '1996-06-01') - epoch(stage_started_at) FROM vid WHERE status = 'transcribing' AND stage_started_at IS NOT NULL),
+g AS (SELECT video_id, stage, sum(seconds) AS seconds FROM r GROUP BY 1,2) SELECT *, sum(seconds) OVER (PARTITION BY video_id) AS processed_sec FROM g WHERE seconds > 0""")
 def _(s, d):
-    return library.stage_durations(b.videos(s, d), b.stage_deltas(s, d))
+    return library.stage_durations(b.videos(s, d), b.stage_deltas(s, d), F.lit(NOW).cast("timestamp"))
 
 
 @query("stage_flags", f"WITH {b.VIDEOS} SELECT video_id, coalesce(opt_diarize, true) AS diarizing, coalesce(opt_merge, true) AS merging, coalesce(opt_correct, true) AS correcting, coalesce(opt_diarize, true) AS naming FROM vid")
@@ -271,14 +283,47 @@ def _(s, d):
     return library.pick_format(b.formats(s, d))
 
 
-@query("load_seconds", f"WITH {b.VIDEOS}, {b.DELTAS}, g AS (SELECT video_id, sum(seconds) AS s FROM del GROUP BY 1) SELECT vid.video_id, coalesce(s, processed_sec) AS load_sec FROM vid LEFT JOIN g USING (video_id)")
+@query("load_seconds", f"WITH {b.VIDEOS}, {b.DELTAS}, g AS (SELECT video_id, sum(seconds) AS s FROM del WHERE video_id%3=0 GROUP BY 1) SELECT vid.video_id, CAST(coalesce(s, processed_sec, CASE WHEN NOT held AND status <> 'queued' THEN CASE WHEN started_at IS NOT NULL THEN greatest(0, epoch(TIMESTAMP '1996-06-01') - epoch(started_at)) END END) AS DOUBLE) AS load_sec FROM vid LEFT JOIN g USING (video_id)")
+def _(s, d):  # two of three videos have no stage times
+    return library.load_seconds(b.videos(s, d), b.stage_deltas(s, d).where("video_id % 3 = 0"), F.lit(NOW).cast("timestamp")).withColumn("load_sec", F.col("load_sec").cast("double"))
+
+
+@query("storage_usage", f"""WITH {b.SEGMENTS}, {b.VECTORS}, u AS (SELECT video_id, strlen(text) AS t, 0 AS v, 0 AS i, 0 AS m, 0 AS k FROM seg UNION ALL SELECT video_id, 0, CASE WHEN embedding IS NOT NULL THEN 4*len(embedding)+8 ELSE 0 END, 0, 0, 0 FROM vec
+UNION ALL SELECT video_id, 0, 0, strlen(text) + CASE WHEN embedding IS NOT NULL THEN 4*len(embedding)+8 ELSE 0 END, 0, 0 FROM vec UNION ALL SELECT video_id, strlen(text) + 2, 0, 0, 0, 0 FROM seg
+UNION ALL SELECT page_id, 0, 0, 0, CASE WHEN page_id%2=0 THEN length(html) ELSE 0 END, CASE WHEN page_id%2=0 THEN 0 ELSE length(html) END FROM pages)
+SELECT video_id, CAST(sum(t) AS BIGINT) AS text_bytes, CAST(sum(v) AS BIGINT) AS vector_bytes, CAST(sum(i) AS BIGINT) AS index_bytes, CAST(sum(m) AS BIGINT) AS media_bytes, CAST(sum(k) AS BIGINT) AS work_bytes, CAST(sum(t)+sum(v)+sum(i)+sum(m)+sum(k) AS BIGINT) AS total_bytes FROM u GROUP BY 1""")
 def _(s, d):
-    return library.load_seconds(b.videos(s, d), b.stage_deltas(s, d))
+    seg, vec, files = b.segments(s, d), b.vectors(s, d), b.table(s, d, "pages")
+    chats = seg.select("video_id", F.col("text").alias("content"), F.lit("[]").alias("citations"))
+    media = files.select(F.col("page_id").alias("video_id"), F.when(F.col("page_id") % 2 == 0, "media").otherwise("work").alias("area"), F.length("html").cast("long").alias("bytes"))
+    return library.storage_usage(seg, vec, vec, chats, media)
 
 
-@query("storage_usage", f"WITH {b.SEGMENTS}, u AS (SELECT video_id, strlen(text) AS t, 0 AS v FROM seg UNION ALL SELECT label, 0, CASE WHEN vec_id%17<>0 THEN 4*len(embedding)+8 ELSE 0 END FROM embeddings) SELECT video_id, CAST(sum(t) AS BIGINT) AS text_bytes, CAST(sum(v) AS BIGINT) AS vector_bytes, CAST(sum(t)+sum(v) AS BIGINT) AS total_bytes FROM u GROUP BY 1")
+@query("stale_tasks", """WITH t AS (SELECT event_id AS task_id, user_id AS video_id, CASE event_id%3 WHEN 0 THEN 'running' WHEN 1 THEN 'done' ELSE 'queued' END AS status, epoch(ts) - CASE WHEN event_id%2=0 THEN 86400 ELSE 0 END AS beat, epoch(ts) + event_id%1800 AS now FROM events)
+SELECT task_id, o_orderkey IS NULL AS gone, coalesce(o_orderkey%11=0, false) AS held, coalesce(status = 'running' AND now - beat > 900 AND o_orderkey IS NOT NULL AND NOT o_orderkey%11=0, false) AS stale FROM t LEFT JOIN orders ON o_orderkey = video_id""")
 def _(s, d):
-    return library.storage_usage(b.segments(s, d), b.vectors(s, d))
+    ts = F.col("ts").cast("timestamp")
+    beat = F.when(F.col("event_id") % 2 == 0, ts - F.expr("interval 1 day")).otherwise(ts)
+    status = F.element_at(F.array(F.lit("running"), F.lit("done"), F.lit("queued")), (F.col("event_id") % 3 + 1).cast("int"))
+    t = b.table(s, d, "events").select(F.col("event_id").alias("task_id"), F.col("user_id").alias("video_id"), status.alias("status"), beat.alias("heartbeat_at"), (ts.cast("double") + F.col("event_id") % 1800).alias("now"))
+    return library.stale_tasks(t, b.videos(s, d).select("video_id", "held"), F.col("now")).select("task_id", "gone", "held", "stale")
+
+
+@query("pending_links", f"WITH {b.VIDEOS} SELECT video_id, source_url FROM vid WHERE status = 'transcribing' AND NOT held")
+def _(s, d):  # those that transcribe stand for those that fetch
+    v = b.videos(s, d).withColumn("status", F.when(F.col("status") == "transcribing", "fetching").otherwise(F.col("status")))
+    return library.pending_links(v).select("video_id", "source_url")
+
+
+@query("latest_version", "SELECT p_size AS key, arg_max(p_partkey%50 || '.' || p_partkey%7, (p_partkey%50)*1000 + p_partkey%7) AS version FROM part GROUP BY 1")
+def _(s, d):
+    k = F.col("p_partkey")
+    return library.latest_version(b.table(s, d, "part").select(F.col("p_size").alias("key"), F.concat_ws(".", (k % 50).cast("string"), (k % 7).cast("string")).alias("version")), ["key"])
+
+
+@query("missing_entry_embeddings", "SELECT vec_id AS id, 'Ответ \"' || vec_id || '\"' || chr(10) || 'и дальше' AS embed_text FROM embeddings WHERE vec_id%17=0 AND label <> 9")
+def _(s, d):
+    return library.missing_entry_embeddings(_entries(s, d), _indexes(s, d)).select("id", "embed_text")
 
 
 @query("keep_latest_events", "SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 3001")
@@ -304,9 +349,11 @@ def _(s, d):
     return library.index_catalog(_indexes(s, d)).select("video_id", "index_id", "place")
 
 
-@query("pending_work", f"WITH {b.VIDEOS} SELECT DISTINCT label*2+vec_id%2 AS index_id FROM embeddings WHERE label=9 AND label IN (SELECT video_id FROM vid WHERE status='ready')")
-def _(s, d):
-    return library.pending_builds(_indexes(s, d), b.videos(s, d)).select("index_id")
+@query("pending_work", f"WITH {b.VIDEOS} SELECT DISTINCT label*2+vec_id%2 AS index_id FROM embeddings WHERE label%2=1 AND label IN (SELECT video_id FROM vid WHERE status IN ('ready', 'queued'))")
+def _(s, d):  # indexes of every second video are still built
+    i = _indexes(s, d).withColumn("status", F.when(F.col("video_id") % 2 == 1, "building").otherwise("ready"))
+    v = b.videos(s, d).withColumn("status", F.when(F.col("status") == "queued", "ready").otherwise(F.col("status")))
+    return library.pending_builds(i, v).select("index_id")
 
 
 @query("purge_videos", f"WITH {b.SEGMENTS} SELECT id FROM seg WHERE video_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey%11=0)")
@@ -328,10 +375,15 @@ def _(s, d):
     return library.resume_prefix(p, files, 20_000)
 
 
-@query("uniqueness_report", "SELECT 'stage log' AS rule, l_orderkey || '/' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'segments', conv_id || '/' || turn, count(*) FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1")
+@query("uniqueness_report", f"""WITH {b.VIDEOS}, i AS (SELECT label AS video_id, label*2+vec_id%2 AS index_id FROM embeddings) SELECT 'segment position' AS rule, conv_id || '/' || turn AS key, count(*) AS n FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1
+UNION ALL SELECT 'speaker label', CAST(conv_id AS VARCHAR) || '/' || role, count(*) FROM conversations GROUP BY conv_id, role HAVING count(*) > 1
+UNION ALL SELECT 'index name', video_id || '/' || index_id, count(*) FROM i GROUP BY video_id, index_id HAVING count(*) > 1 UNION ALL SELECT 'one moments index', CAST(video_id AS VARCHAR), count(*) FROM i WHERE index_id%3=0 GROUP BY video_id HAVING count(*) > 1
+UNION ALL SELECT 'one live fetch', source_url, count(*) FROM vid WHERE status = 'queued' GROUP BY source_url HAVING count(*) > 1""")
 def _(s, d):
-    log = library.repeated_keys(b.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "stage log")
-    return log.union(library.repeated_keys(b.table(s, d, "conversations"), ["conv_id", "turn"], "segments"))
+    c = b.table(s, d, "conversations")
+    i = _entries(s, d).select("video_id", F.col("index_id").cast("string").alias("name"), F.when(F.col("index_id") % 3 == 0, "moments").otherwise("custom").alias("kind"))
+    v = b.videos(s, d).withColumn("status", F.when(F.col("status") == "queued", "fetching").otherwise(F.col("status")))
+    return library.uniqueness_report(c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("position")), c.select(F.col("conv_id").alias("video_id"), F.col("role").alias("label")), i, v)
 
 
 @query("missing_embeddings", f"WITH {b.VIDEOS} SELECT vec_id AS id FROM embeddings WHERE vec_id%17=0 AND label IN (SELECT video_id FROM vid WHERE status='ready')")

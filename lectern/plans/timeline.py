@@ -114,19 +114,21 @@ def _(s, d):
     return cards.blurb(b.segments(s, d), ["video_id"])
 
 
-_PLAIN = "trim(regexp_replace(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 40), ' +', ' ', 'g'), ' ')"
+_PLAIN = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
+_QUOTED = "CAST(to_json(text) AS VARCHAR)"
 
 
-def _letters(most=40):
-    return f.squeezed(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, most))
+def _quoted():
+    """The whole text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
 
 
 @query("keep_items", f"""WITH {b.SEGMENTS}, x AS (SELECT id AS w_id, start_ms/1000.0 AS a, end_ms/1000.0 AS z, {_PLAIN} AS t, start_ms//1000+5 AS m FROM seg), i AS (
-SELECT w_id, 0 AS n, least(greatest(CAST(m AS DOUBLE), a), z) AS s, z AS e, a, z, 'Тема. ' || t AS text FROM x WHERE t <> '' UNION ALL SELECT w_id, 0, least(greatest(CAST(m AS DOUBLE), a), z), z, a, z, 'Тема' FROM x WHERE t = '' UNION ALL SELECT w_id, 1, a, z, a, z, t FROM x WHERE t <> '')
+SELECT w_id, 0 AS n, least(greatest(CAST(m AS DOUBLE), a), z) AS s, z AS e, a, z, left('Тема. ' || t, 400) AS text FROM x WHERE t <> '' UNION ALL SELECT w_id, 0, least(greatest(CAST(m AS DOUBLE), a), z), z, a, z, 'Тема' FROM x WHERE t = '' UNION ALL SELECT w_id, 1, a, z, a, z, left(t, 400) FROM x WHERE t <> '')
 SELECT w_id, CAST(row_number() OVER (PARTITION BY w_id ORDER BY s, e, n) AS INTEGER) AS place, CAST(s AS DOUBLE) AS start, CAST(e AS DOUBLE) AS "end", text FROM i""")
 def _(s, d):  # an answer with two items, and with an empty one
     mark = f.clock(F.floor(F.col("start_ms") / 1000) + 5)
-    answer = F.concat(F.lit('Вот: [{"title": "Тема", "text": "'), _letters(), F.lit('", "start": "['), mark, F.lit(']", "end": "9999:00"}, {"text": " '), _letters(), F.lit(' "}, {"title": " "}] конец'))
+    answer = F.concat(F.lit('Вот: [{"title": "Тема", "text": '), _quoted(), F.lit(', "start": "['), mark, F.lit(']", "end": "9999:00"}, {"text": '), _quoted(), F.lit('}, {"title": " "}] конец'))
     return cards.keep_items(b.segments(s, d).select(F.col("id").alias("w_id"), answer.alias("answer"), (F.col("start_ms") / 1000).alias("win_start"), (F.col("end_ms") / 1000).alias("win_end")))
 
 
@@ -141,30 +143,30 @@ def _(s, d):
     return cards.topics_overview(b.segments(s, d).select("video_id", F.col("position").alias("topic_no"), F.concat(F.lit("Тема "), F.col("position").cast("string")).alias("title"), "start_ms", "end_ms"))
 
 
-@query("index_listing", f"""WITH {b.EPISODES}, l AS (SELECT video_id AS index_id, id, start_ms, end_ms, {_PLAIN} || ' ' || {_PLAIN} || ' ' || repeat('слово ', CAST(position%90 AS INTEGER)) AS text FROM ep), t AS (SELECT *, trim(text, ' ') AS t, count(*) OVER (PARTITION BY index_id) AS n FROM l), c AS (SELECT *, '[' || {A} || '–' || {Z} || '] ' || CASE WHEN length(t) <= 420 THEN t ELSE rtrim(left(t, 419), ' ') || '…' END AS line FROM t),
+@query("index_listing", f"""WITH {b.EPISODES}, l AS (SELECT video_id AS index_id, id, start_ms, end_ms, text || ' ' || repeat('слово ', CAST(position%90 AS INTEGER)) AS text FROM ep), t AS (SELECT *, {_PLAIN} AS t, count(*) OVER (PARTITION BY index_id) AS n FROM l), c AS (SELECT *, '[' || {A} || '–' || {Z} || '] ' || CASE WHEN length(t) <= 420 THEN t ELSE rtrim(left(t, 419), ' ') || '…' END AS line FROM t),
 u AS (SELECT *, sum(length(line)) OVER (PARTITION BY index_id ORDER BY start_ms, id) AS used FROM c)
 SELECT index_id, coalesce(string_agg(CASE WHEN used <= 9000 THEN line END, chr(10) ORDER BY start_ms, id), '') || CASE WHEN count(*) FILTER (used <= 9000) < max(n) THEN chr(10) || '…и ещё ' || (max(n) - count(*) FILTER (used <= 9000)) || ' пунктов, ищи их через поиск по индексу' ELSE '' END AS listing FROM u GROUP BY 1""")
 def _(s, d):
-    text = F.concat(_letters(), F.lit(" "), _letters(), F.lit(" "), F.repeat(F.lit("слово "), (F.col("position") % 90).cast("int")))
+    text = F.concat("text", F.lit(" "), F.repeat(F.lit("слово "), (F.col("position") % 90).cast("int")))
     return cards.index_listing(b.episodes(s, d).select(F.col("video_id").alias("index_id"), "id", "start_ms", "end_ms", text.alias("text")))
 
 
-@query("span_read", f"""WITH {b.EPISODES}, w AS (SELECT id AS w_id, video_id AS v, start_ms AS a, start_ms+90000 AS z FROM ep WHERE position%9=1), c AS (SELECT video_id, id, start_ms, start_ms + CASE WHEN position%10=0 THEN 600000 ELSE 60000 END AS end_ms FROM ep WHERE position%5=0)
+@query("span_read", f"""WITH {b.EPISODES}, w AS (SELECT id AS w_id, video_id AS v, start_ms AS a, start_ms+90000 AS z FROM ep), c AS (SELECT video_id, id, start_ms, start_ms + CASE WHEN position%10=0 THEN 600000 ELSE 60000 END AS end_ms FROM ep)
 SELECT w_id, 'card' AS kind, CAST(row_number() OVER (PARTITION BY w_id ORDER BY start_ms, id) AS INTEGER) AS place, id FROM w JOIN c ON v=video_id AND start_ms < z AND end_ms > a WHERE NOT (start_ms <= a AND end_ms >= z AND end_ms-start_ms > 2*(z-a))
 UNION ALL SELECT * FROM (SELECT w_id, 'segment', CAST(row_number() OVER (PARTITION BY w_id ORDER BY position) AS INTEGER) AS place, id FROM w JOIN ep ON v=video_id AND start_ms <= z AND end_ms >= a) WHERE place <= 40""")
 def _(s, d):
     e = b.episodes(s, d)
-    w = e.where("position % 9 = 1").select(F.col("id").alias("w_id"), "video_id", "start_ms", (F.col("start_ms") + 90_000).alias("end_ms"))
-    c = e.where("position % 5 = 0").withColumn("end_ms", F.col("start_ms") + F.when(F.col("position") % 10 == 0, 600_000).otherwise(60_000))
+    w = e.select(F.col("id").alias("w_id"), "video_id", "start_ms", (F.col("start_ms") + 90_000).alias("end_ms"))
+    c = e.withColumn("end_ms", F.col("start_ms") + F.when(F.col("position") % 10 == 0, 600_000).otherwise(60_000))
     return cards.span_read(w, c, e)
 
 
 @query("marked_lines", f"""WITH {b.SEGMENTS}, m AS (SELECT video_id AS conv_id, position AS turn, speaker, {_PLAIN} AS t, start_ms, end_ms, row_number() OVER (PARTITION BY video_id ORDER BY position DESC) AS back FROM seg),
 k AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS newest FROM m WHERE back <= 6 AND coalesce(speaker, '') <> 'SPEAKER_00' AND end_ms//1000 > start_ms//1000)
-SELECT conv_id, CAST(p AS INTEGER) AS place, CASE p WHEN 1 THEN 'Первая @' || {A} || '-' || {Z} ELSE trim('[' || {A} || '–' || {Z} || '] ' || t, ' ') END AS line, CAST(start_ms//1000 AS DOUBLE) AS start, CAST(end_ms//1000 AS DOUBLE) AS "end" FROM k, (VALUES (1), (2)) v(p) WHERE turn = newest""")
+SELECT conv_id, CAST(p AS INTEGER) AS place, CASE p WHEN 1 THEN 'Первая @' || {A} || '-' || {Z} ELSE CASE WHEN length(trim('[' || {A} || '–' || {Z} || '] ' || t, ' ')) > 160 THEN rtrim(left('[' || {A} || '–' || {Z} || '] ' || t, 159), ' ') || '…' ELSE trim('[' || {A} || '–' || {Z} || '] ' || t, ' ') END END AS line, CAST(start_ms//1000 AS DOUBLE) AS start, CAST(end_ms//1000 AS DOUBLE) AS "end" FROM k, (VALUES (1), (2)) v(p) WHERE turn = newest""")
 def _(s, d):
     a, z = f.clock(F.col("start_ms") / 1000), f.clock(F.col("end_ms") / 1000)
-    text = F.concat(F.lit("Первая @"), a, F.lit("-"), z, F.lit("\nбез метки\n["), a, F.lit("–"), z, F.lit("] "), _letters())
+    text = F.concat(F.lit("Первая @"), a, F.lit("-"), z, F.lit("\nбез метки\n["), a, F.lit("–"), z, F.lit("] "), f.squeezed(F.col("text")))
     role = F.when(F.col("speaker") == "SPEAKER_00", "user").otherwise("assistant")
     return cards.marked_lines(b.segments(s, d).select(F.col("video_id").alias("conv_id"), F.col("position").alias("turn"), role.alias("role"), text.alias("text")))
 
@@ -183,7 +185,7 @@ def _places(s, d):
     videos = e.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
     role = F.element_at(F.array(F.lit("only"), F.lit("skip"), F.lit("subject")), (F.col("position") % 3 + 1).cast("int"))
     end = F.when(F.col("position") % 20 != 0, F.col("end_ms") + 40_000)
-    return e.where("position % 4 = 0").select(v.alias("q_id"), "video_id", role.alias("role"), "start_ms", end.alias("end_ms")), videos
+    return e.select(v.alias("q_id"), "video_id", role.alias("role"), "start_ms", end.alias("end_ms")), videos
 
 
 @query("resolve_places")
@@ -195,7 +197,7 @@ def _(s, d):
 def _(s, d):
     places, videos = _places(s, d)
     area = cards.resolve_places(places, videos).where("kind = 'range' and q_id % 4 <> 1").drop("kind")
-    hits = b.episodes(s, d).where("position % 11 = 3").select(F.col("video_id").alias("q_id"), "start_ms", "end_ms")
+    hits = b.episodes(s, d).select(F.col("video_id").alias("q_id"), "start_ms", "end_ms")
     return cards.index_spans(videos.select(F.col("video_id").alias("q_id"), F.when(F.col("video_id") % 3 == 0, "all").otherwise("found").alias("scope")), hits, area)
 
 
@@ -204,9 +206,9 @@ def _(s, d):
     return cards.current_sentence(b.segments(s, d).withColumn("at_ms", F.col("start_ms") + 1700 * F.col("position"))).select("id", "sentence")
 
 
-@query("export_dialogue", f"""WITH {b.SEGMENTS}, x AS (SELECT *, {_PLAIN} AS t FROM seg) SELECT video_id, 'Видео-' || video_id || '-a.json' AS file_name, '{{"title":"Видео №' || video_id || ' (a)","messages":[' || string_agg('{{' || CASE WHEN video_id%3=0 OR speaker IS NULL THEN '' ELSE '"speaker":"' || speaker || '",' END || '"start":' || start_ms || ',"end":' || end_ms || ',"text":"' || t || '"}}', ',' ORDER BY position) || ']}}' AS dialogue FROM x GROUP BY video_id""")
+@query("export_dialogue", f"""WITH {b.SEGMENTS}, x AS (SELECT *, {_QUOTED} AS t FROM seg) SELECT video_id, 'Видео-' || video_id || '-a.json' AS file_name, '{{"title":"Видео №' || video_id || ' (a)","messages":[' || string_agg('{{' || CASE WHEN video_id%3=0 OR speaker IS NULL THEN '' ELSE '"speaker":"' || speaker || '",' END || '"start":' || start_ms || ',"end":' || end_ms || ',"text":' || t || '}}', ',' ORDER BY position) || ']}}' AS dialogue FROM x GROUP BY video_id""")
 def _(s, d):
-    seg = b.segments(s, d).withColumn("text", _letters()).withColumnRenamed("speaker", "speaker_name")
+    seg = b.segments(s, d).withColumnRenamed("speaker", "speaker_name")
     v = seg.select("video_id").distinct().select("video_id", F.concat(F.lit("Видео №"), F.col("video_id").cast("string"), F.lit(" (a)")).alias("title"), (F.col("video_id") % 3 != 0).alias("opt_diarize"))
     return transcripts.export_dialogue(v, seg)
 
@@ -221,22 +223,27 @@ def _(s, d):  # each conversation as one nested JSON document, read back
 
 # ---- corrections
 
-_FIXABLE = "regexp_matches(split_part(text, ' ', 2), '^[a-z]+$')"
+# every word of Latin letters is to get a capital; fixes of other words and places don't count
+_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 
 
 def _fixes(s, d):
-    w = F.get(F.split("text", " "), F.lit(1))
-    return fixes.parse_fixes(b.segments(s, d).select(F.col("id").alias("key"), F.concat(F.lit("Правки:\n1 "), w, F.lit(" -> "), F.initcap(w), F.lit("\n0 other Other\nНЕТ")).alias("answer")).where(w.rlike("^[a-z]+$")))
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    line = F.transform(w, lambda x, i: F.when(x.rlike("^[a-z]+$"), F.concat(i.cast("string"), F.lit(" "), x, F.lit(" -> "), F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
+    answer = F.concat(F.lit("Правки:\n"), F.array_join(F.filter(line, lambda x: x.isNotNull()), "\n"), F.lit("\n0 other Other\nНЕТ"))
+    return fixes.parse_fixes(b.segments(s, d).select(F.col("id").alias("key"), answer.alias("answer")))
 
 
-@query("parse_fixes", f"WITH {b.SEGMENTS}, x AS (SELECT id, split_part(text, ' ', 2) AS w FROM seg WHERE {_FIXABLE}) SELECT id AS key, CAST(1 AS INTEGER) AS line_no, 1 AS word_no, w AS old, upper(w[1]) || w[2:] AS new FROM x UNION ALL SELECT id, 2, 0, 'other', 'Other' FROM x")
+@query("parse_fixes", f"""WITH {b.SEGMENTS}, w AS (SELECT id, {_WORDS} AS w FROM seg), x AS (SELECT id, unnest(w) AS x, unnest(generate_series(0, len(w)-1)) AS i FROM w), k AS (SELECT id AS key, row_number() OVER (PARTITION BY id ORDER BY i) AS line_no, i AS word_no, x AS old, upper(x[1]) || x[2:] AS new FROM x WHERE regexp_matches(x, '^[a-z]+$'))
+SELECT key, CAST(line_no AS INTEGER) AS line_no, CAST(word_no AS INTEGER) AS word_no, old, new FROM k UNION ALL SELECT seg.id, CAST(greatest(count(k.key), 1) + 1 AS INTEGER), 0, 'other', 'Other' FROM seg LEFT JOIN k ON k.key = seg.id GROUP BY seg.id""")
 def _(s, d):
     return _fixes(s, d)
 
 
-@query("apply_case_fixes", f"WITH {b.SEGMENTS}, x AS (SELECT id, text, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS w FROM seg) SELECT id, CASE WHEN {_FIXABLE} THEN a || ' ' || upper(w[1]) || w[2:] || substr(text, length(a) + length(w) + 2) ELSE text END AS text FROM x")
+@query("apply_case_fixes", f"WITH {b.SEGMENTS} SELECT id, array_to_string(list_transform({_WORDS}, lambda x: CASE WHEN regexp_matches(x, '^[a-z]+$') THEN upper(x[1]) || x[2:] ELSE x END), ' ') AS text FROM seg")
 def _(s, d):
-    return fixes.apply_case_fixes(b.segments(s, d).withColumn("words", F.split("text", " ")), _fixes(s, d)).select("id", "text")
+    done = fixes.apply_case_fixes(b.segments(s, d).withColumn("words", F.filter(F.split("text", r"\s+"), lambda x: x != "")), _fixes(s, d))
+    return done.select("id", F.array_join(F.filter(F.split("text", r"\s+"), lambda x: x != ""), " ").alias("text"))
 
 
 @query("embed_text")
@@ -262,11 +269,11 @@ def _(s, d):
     return b.episodes(s, d).select("id", f.seek_marks(F.concat(F.lit("на "), cards.stamp(F.col("start_ms"), F.col("end_ms")), F.lit(" тут"))).alias("text"))
 
 
-@query("vector_codec", "SELECT vec_id AS id, len(embedding) AS n, CAST(0 AS BIGINT) AS wrong FROM embeddings")
+@query("vector_codec", "SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', CAST(x AS DOUBLE))), ',') || ']' AS text, CAST(len(embedding) AS BIGINT) AS n, true AS back FROM embeddings")
 def _(s, d):
-    back = f.text_to_vec(f.vec_to_text(F.col("embedding")))
-    wrong = F.size(F.filter(F.zip_with("embedding", back, lambda x, y: F.abs(x - y) > 1e-7), lambda x: x)).cast("long")
-    return b.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.size(back).cast("long").alias("n"), wrong.alias("wrong"))
+    text = f.vec_to_text(F.col("embedding"))
+    near = F.forall(F.zip_with("embedding", f.text_to_vec(text), lambda x, y: F.abs(x - y) <= 1e-7), lambda x: x)
+    return b.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), text.alias("text"), F.size(f.text_to_vec(text)).cast("long").alias("n"), near.alias("back"))
 
 
 @query("version_key", "SELECT p_partkey AS id, [2025, CAST(p_size AS INTEGER), CAST(p_partkey%10 AS INTEGER)] :: VARCHAR AS key FROM part")
@@ -275,10 +282,9 @@ def _(s, d):
     return b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("["), F.array_join(k.cast("array<string>"), ", "), F.lit("]")).alias("key"))
 
 
-@query("plain_text", f"WITH {b.SEGMENTS}, x AS (SELECT id, {_PLAIN} AS t FROM seg) SELECT id, t || ' ссылка код жирно' || chr(10) || 'пункт' AS text FROM x WHERE t <> ''")
+@query("plain_text", f"WITH {b.SEGMENTS} SELECT id, trim(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g') || ' ссылка код жирно' || chr(10) || 'на двух строках' || chr(10) || 'пункт и курсив' || chr(10) || 'плюс 2 * 3' || chr(10) || chr(10) || 'конец') AS text FROM seg")
 def _(s, d):
-    t = b.segments(s, d).select("id", _letters().alias("t")).where("t <> ''")
-    return t.select("id", f.plain_text(F.concat(F.lit("## "), "t", F.lit(" [ссылка](http://a.b/c) `код` **жирно**\n- пункт"))).alias("text"))
+    return b.segments(s, d).select("id", f.plain_text(F.concat(F.lit("  ## "), "text", F.lit(" [ссылка](http://a.b/c) `код` **жирно\nна двух строках**\r\n\n\n\n- пункт и *курсив*\n + плюс 2 * 3  \n\n\n\nконец\n"))).alias("text"))
 
 
 # ---- streams, run to the end of what there is

@@ -47,7 +47,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, id, embedding (null for every 17th), start_ms, end_ms, speaker, text."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 17 != 0, F.col("embedding")).alias("embedding"), (F.col("vec_id") * 5000).alias("start_ms"), (F.col("vec_id") * 5000 + 4000).alias("end_ms"), F.concat(F.lit("SPEAKER_0"), (F.col("vec_id") % 2).cast("string")).alias("speaker"))
+    return e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 17 != 0, F.col("embedding")).alias("embedding"), (F.col("vec_id") * 5000).alias("start_ms"), (F.col("vec_id") * 5000 + 4000).alias("end_ms"), F.concat(F.lit("SPEAKER_0"), (F.col("vec_id") % 2).cast("string")).alias("speaker"), F.concat(F.lit('Ответ "'), F.col("vec_id").cast("string"), F.lit('"\nи дальше')).alias("text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,8 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         k.alias("video_id"), F.col("o_orderdate").alias("created_at"), status.alias("status"), (k % 11 == 0).alias("held"), F.when(k % 7 != 0, k % 2 == 0).alias("opt_diarize"),
         F.when(k % 7 != 1, k % 3 == 0).alias("opt_merge"), F.when(k % 7 != 2, k % 5 == 0).alias("opt_correct"), F.when(k % 13 != 0, F.col("o_totalprice")).alias("processed_sec"),
+        F.when(k % 3 != 0, F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=k % 1000)).alias("stage_started_at"), F.when(k % 5 != 0, F.col("o_orderdate").cast("timestamp")).alias("started_at"),
+        F.concat(F.lit("https://a.example/"), (k % 500).cast("string")).alias("source_url"),
     )
 
 
@@ -98,10 +100,11 @@ SPEAKERS = """spk AS (SELECT v.video_id, l.label, l.name FROM (SELECT DISTINCT c
   (VALUES ('SPEAKER_00','Гость'),('SPEAKER_01','Ведущий')) l(label, name))"""
 TURNS = """trn AS (SELECT video_id, k AS turn_no, k*20000 AS start_ms, k*20000+20000 AS end_ms, 'T' || (k%3) AS speaker, k//5 AS chunk_no
   FROM (SELECT video_id, unnest(generate_series(0, max(end_ms)//20000)) AS k FROM seg GROUP BY video_id))"""
-VECTORS = """vec AS (SELECT CAST(label AS BIGINT) AS video_id, vec_id AS id, CASE WHEN vec_id%17<>0 THEN CAST(embedding AS DOUBLE[]) END AS embedding, vec_id*5000 AS start_ms, vec_id*5000+4000 AS end_ms, 'SPEAKER_0' || (vec_id%2) AS speaker FROM embeddings),
+VECTORS = """vec AS (SELECT CAST(label AS BIGINT) AS video_id, vec_id AS id, CASE WHEN vec_id%17<>0 THEN CAST(embedding AS DOUBLE[]) END AS embedding, vec_id*5000 AS start_ms, vec_id*5000+4000 AS end_ms, 'SPEAKER_0' || (vec_id%2) AS speaker, 'Ответ "' || vec_id || '"' || chr(10) || 'и дальше' AS text FROM embeddings),
 q AS (SELECT vec_id AS q_id, CAST(label AS BIGINT) AS video_id, CAST(embedding AS DOUBLE[]) AS q_vec FROM embeddings WHERE vec_id%10=0)"""
 VIDEOS = """vid AS (SELECT o_orderkey AS video_id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'queued' ELSE 'transcribing' END AS status, o_orderkey%11=0 AS held,
   CASE WHEN o_orderkey%7<>0 THEN o_orderkey%2=0 END AS opt_diarize, CASE WHEN o_orderkey%7<>1 THEN o_orderkey%3=0 END AS opt_merge, CASE WHEN o_orderkey%7<>2 THEN o_orderkey%5=0 END AS opt_correct,
-  CASE WHEN o_orderkey%13<>0 THEN o_totalprice END AS processed_sec FROM orders)"""
+  CASE WHEN o_orderkey%13<>0 THEN o_totalprice END AS processed_sec,
+  CASE WHEN o_orderkey%3<>0 THEN CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey%1000) END AS stage_started_at, CASE WHEN o_orderkey%5<>0 THEN CAST(o_orderdate AS TIMESTAMP) END AS started_at, 'https://a.example/' || (o_orderkey%500) AS source_url FROM orders)"""
 DELTAS = f"""del AS (SELECT l_orderkey AS video_id, CAST({list(ACTIVE)} AS VARCHAR[])[l_linenumber] AS stage, l_quantity AS seconds FROM lineitem)"""
 FORMATS = """fmt AS (SELECT l_orderkey AS video_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS format_id, [360,480,720,1080,1440][l_partkey%5+1] AS height, [30.0,60.0][l_suppkey%2+1] AS fps, ['avc1','vp9','av01','hev1'][l_suppkey%4+1] AS vcodec, l_extendedprice AS filesize FROM lineitem)"""
