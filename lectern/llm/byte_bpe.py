@@ -10,7 +10,9 @@ would be the first across it in the pair as well, for a pair sees the same merge
 inside either side and inside the window are encodings already, so only the window's two outer borders need
 the test, and once both hold, the tokens outside provably are what the whole encoding has.
 
-Pieces recur, so a worker keeps the encodings of short ones in a cache of bounded size.
+The tree's leaves are strings of up to LEAF bytes, merged by rank in one loop. Pieces recur, and still more so their
+halves and the windows, so a worker keeps the encodings of short ones: two generations of bounded size, the older of
+which goes when the younger is full.
 
 Defined cases: a null or empty text has no tokens; texts are encoded whole, whatever their length; repeated
 rows alike, each by itself. Special tokens are never made: their strings are ordinary text.
@@ -21,17 +23,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import chain
+from operator import itemgetter
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, map_rows, schema_of
+from .common import map_rows, schema_of
 
-#: Longest piece, in bytes, that is kept in the cache; longest byte string whose encoding is kept as part of others.
-CACHED_BYTES = 48
-PART_BYTES = 10
+#: Bytes of a leaf of the tree; longest window (in bytes) and piece (in characters) that are kept.
+LEAF = 8
+KEPT_BYTES, KEPT_CHARS = 12, 48
+#: Pieces, byte strings, and pairs of tokens, of a generation.
+KEPT_PIECES, KEPT_PARTS, KEPT_PAIRS = 400_000, 200_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,41 +46,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Kept(dict):
+    """Values made by ``make`` for their keys, of which the latest used are held: up to twice ``most``."""
+
+    def __init__(self, make: Callable, most: int, short: Callable = lambda key: True) -> None:
+        self.make, self.most, self.short, self.older = make, most, short, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if not self.short(key):
+                return got
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def ids_of(pieces: list[tuple[tuple[int, ...], str]]) -> list[int]:
+    return list(chain.from_iterable(map(itemgetter(0), pieces)))
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.windows: dict[bytes, list[int]] = {}
-        self.parts: dict[bytes, list[int]] = {}
-
-    def kept(self, store: dict[bytes, list[int]], data: bytes, ids: list[int]) -> list[int]:
-        if len(data) <= PART_BYTES:
-            if len(store) >= CACHE_WORDS // 2:
-                store.clear()
-            store[data] = ids
-        return ids
+        self.apart = Kept(self._stays_apart, KEPT_PAIRS)
+        #: piece -> its ids, and the same as text
+        self.pieces = Kept(self._piece, KEPT_PIECES, lambda p: len(p) <= KEPT_CHARS)
+        self.parts = Kept(self._few, KEPT_PARTS)
 
     def merged(self, data: bytes) -> list[int]:
-        """Encoding by lowest rank first, leftmost of equals, without the tree: for windows."""
-        got = self.windows.get(data)
-        if got is not None:
-            return got
-        return self.kept(self.windows, data, self._few(data) if len(data) <= 24 else self._many(data))
+        """Encoding by lowest rank first, leftmost of equals, without the tree: for leaves and windows."""
+        if len(data) <= KEPT_BYTES:
+            return self.parts[data]
+        return self._few(data) if len(data) <= 32 else self._many(data)
 
     def _few(self, data: bytes) -> list[int]:
-        """By looking at all pairs each time."""
-        ranks, none = self.ranks, 1 << 60
+        """By looking at the least of all pairs each time."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            offers = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
-            best = min(offers)
-            if best == none:
-                break
+        offers = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while offers and (best := min(offers)) != none:
             i = offers.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
+            new = parts[i] = parts[i] + parts.pop(i + 1)
+            del offers[i]
+            if i:
+                offers[i - 1] = rank(parts[i - 1] + new, none)
+            if i < len(offers):
+                offers[i] = rank(new + parts[i + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def _many(self, data: bytes) -> list[int]:
         """By a heap over a linked list, for windows of any size."""
@@ -105,13 +128,12 @@ class Encoder:
             i = ends[i]
         return out
 
+    def _stays_apart(self, pair: tuple[int, int]) -> bool:
+        a, b = pair
+        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+
     def stays_apart(self, a: int, b: int) -> bool:
-        got = self.apart.get((a, b))
-        if got is None:
-            if len(self.apart) >= CACHE_WORDS:
-                self.apart.clear()
-            got = self.apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return got
+        return self.apart[a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the two sides' bytes together."""
@@ -134,30 +156,22 @@ class Encoder:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The encoding of a piece, by halves."""
-        got = self.parts.get(data)
-        if got is not None:
-            return got
-        if len(data) <= 1:
-            return [self.ranks[data]] if data else []
+        if len(data) <= LEAF:
+            return self.parts[data]
         mid = len(data) // 2
-        return self.kept(self.parts, data, self.join(self.encode_bytes(data[:mid]), self.encode_bytes(data[mid:])))
+        return self.join(self.encode_bytes(data[:mid]), self.encode_bytes(data[mid:]))
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a piece, and the same as text."""
-        got = self.cache.get(piece)
-        if got is None:
-            data = piece.encode("utf-8", "replace")
-            whole = self.ranks.get(data)
-            ids = tuple(self.encode_bytes(data)) if whole is None else (whole,)
-            got = ids, ",".join(map(str, ids))
-            if len(data) <= CACHED_BYTES:
-                if len(self.cache) >= CACHE_WORDS // 2:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        data = piece.encode("utf-8", "replace")
+        whole = self.ranks.get(data)
+        ids = tuple(self.encode_bytes(data)) if whole is None else (whole,)
+        return ids, ",".join(map(str, ids))
+
+    def encoded_pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        return list(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pattern.findall(text) for i in self.piece(p)[0]]
+        return ids_of(self.encoded_pieces(text))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -223,10 +237,10 @@ def digests(docs: DataFrame, path: str, pattern: str, ids_too: bool = False, key
         e = encoder_of(ranks)
         out: dict[str, list] = {f.name: [] for f in schema} | {k: cols[k] for k in ["doc_id", *keys]}
         for t in cols["text"]:
-            pieces = list(map(e.piece, e.pattern.findall(t or "")))
-            ids = [i for p, _ in pieces for i in p]
+            pieces = e.encoded_pieces(t or "")
+            ids = ids_of(pieces)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join([s for _, s in pieces]).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(itemgetter(1), pieces)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(e.decode_tree(ids)).hexdigest())
             if ids_too:
                 out["ids"].append(ids)
