@@ -7,16 +7,23 @@ hashes into more than D parts: a pair that links has one part at least where it
 the sets with an equal part (same tile, number and content of the part), and sets that only share some common passage
 seldom meet.
 
-Such groups may be large where there are many near copies. Round 1 checks one link for each set, to the smallest
-it meets, exactly, by intersecting sorted arrays. The components of these links usually take in all near copies.
-The next rounds look at the groups that still have sets of different components: within blocks of bounded size, hashed
-bitmaps (each bit the parity of its elements) are compared; the bits in which two bitmaps differ bound the overlap from
-above. Two rounds check each set's nearest by bitmap, which joins most of what is left, and the last one all pairs of
-different components that the bitmaps allow. Pairs in one component already need no look, as the result is components.
+A first pass over the texts counts which parts several sets have, in a partial aggregate, and marks them in a bit table
+of fixed size (SHARED_BITS); a second pass keeps, of each set, the parts that are marked (a false mark costs a row, no
+result), and the elements of the sets that have any.
+
+Groups of an equal part may be large where there are many near copies. Round 1 checks one link for each set, to the
+set of its groups that shares most parts with others, as an original does, exactly, by intersecting sorted arrays. The
+next rounds look at the groups that still have sets of different components: hashed bitmaps (each bit the parity of its
+elements) are compared; the bits in which two bitmaps differ bound the overlap from above. Each set outside its group's
+largest component proposes one partner, the nearest that its bitmap allows, and the proposals are checked exactly. When
+a round has made no link, the sets that still have allowed partners are compared with all of these, exactly and where they stand:
+a task gives only links between what it hasn't linked yet, so no step makes more rows than it was dealt. A group beyond
+BLOCK rows is dealt as rectangles of BLOCK by BLOCK; the largest component's rows go along the side of the other ones only.
+Pairs in one component already need no look, as the result is components.
 
 Defined cases: no words or no text: an empty set that links with nothing, its own component; fewer words than n: the
 whole sequence is the one n-gram; repeated rows share a vertex; a null id takes part, but isn't a component's name
-unless all ids of the component are null; extra columns don't matter.
+unless all ids of the component are null; extra columns don't matter. Sets are named by 63 bits of a hash.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +43,15 @@ from .common import SLICE_ROWS, WordHashes, mixed, schema_of, stored
 from .components import components
 
 #: Rows of a group that are compared with others in one piece.
-BLOCK = 2_048
-#: Candidate sets' ids up to this number are broadcast to pick their sets (8 bytes each); beyond it they are joined by a shuffle.
+BLOCK = 1_024
+#: Groups up to this size are compared many at a time.
+SMALL = 6
+#: Marks of parts that several sets have (a sixteenth of a byte for each of 2^27 hashes); more parts make more false marks.
+SHARED_BITS = 1 << 27
+#: Ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
-#: Bits of a set's bitmap: the power of two over its size, within these.
-LEAST_BITS, MOST_BITS = 64, 8_192
+#: Bits of a set's bitmap: two to four for each element, within these.
+LEAST_BITS, MOST_BITS = 64, 65_536
 
 
 @dataclass(frozen=True)
@@ -93,7 +105,7 @@ def vertex_of(s: np.ndarray) -> int:
 
 
 def bitmap_of(s: np.ndarray) -> bytes:
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(len(s)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 2 << int(len(s)).bit_length()))
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -127,59 +139,98 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
             yield part, part.column("text").cast(pa.binary()).to_pylist()
 
 
-def described(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, vid, keys, and, once in a task for each vid, bitmap.
+class Seen(set):
+    """Ids that a task has met, as far as they are held: at most a million."""
+
+    def new(self, v: int) -> bool:
+        if v in self:
+            return False
+        if len(self) >= 1_000_000:
+            self.clear()
+        self.add(v)
+        return True
+
+
+def shared_parts(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Marks (bytes of bits) of the keys that several sets have: by the low bits of the key, SHARED_BITS of them."""
+    schema = schema_of("key long, vid long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, bands, parts = WordHashes(), Seen(), rule.bands(), rule.parts()
+        for _, texts in text_slices(batches):
+            keys, vids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t in texts:
+                s = set_of(hashes.of((t or b"").lower().split()), rule.n)
+                if len(s) and seen.new(v := vertex_of(s)):
+                    keys.append(keys_of(s, bands, parts))
+                    vids.append(np.full(len(keys[-1]), v, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(vids))], names=schema.names)
+
+    keyed = docs.select("text").mapInArrow(run, schema)
+    shared = keyed.groupBy("key").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).where("a < b")
+    at = F.pmod("key", F.lit(SHARED_BITS)) + 1  # bit places count from 1
+    marks = stored(shared.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "jaccard-parts")
+    out = np.zeros(SHARED_BITS // 8, np.uint8)
+    for r in marks.collect():  # 4 kB for each 2^15 bits: 16 MB at most, whatever the input
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-    The first key is the row's own, which no other row is likely to have; those of the set's parts follow where the
-    bitmap is given.
-    """
-    schema = T.StructType([docs.schema["doc_id"], *schema_of("text_key long, n_shingles long, vid long, keys array<long>, bitmap binary").fields])
+
+def described(docs: DataFrame, rule: Rule, marks: np.ndarray) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles and vid of each row; once in a task for each vid that has marked
+    keys, these, and place (of the row, by task), bitmap and elements."""
+    schema = T.StructType([docs.schema["doc_id"], *schema_of("text_key long, n_shingles long, vid long, place long, keys array<long>, bitmap binary, elements binary").fields])
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, bands, parts, rows = WordHashes(), set(), rule.bands(), rule.parts(), 0
+        hashes, seen, bands, parts, marked = WordHashes(), Seen(), rule.bands(), rule.parts(), sent.value
+        place = TaskContext.get().partitionId() << 40
         for part, texts in text_slices(batches):
             sets = [set_of(hashes.of((t or b"").lower().split()), rule.n) for t in texts]
             vids = [vertex_of(s) for s in sets]
-            own = mixed(np.array(vids, np.uint64), np.arange(rows, rows + len(vids), dtype=np.uint64)).view(np.int64)
-            keys, maps = list(own[:, None]), [None] * len(sets)
-            rows += len(vids)
+            keys, maps, elements = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             for i, (v, s) in enumerate(zip(vids, sets, strict=True)):
-                if len(s) and v not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(v)
-                    keys[i], maps[i] = np.concatenate([keys[i], keys_of(s, bands, parts)]), bitmap_of(s)
+                if len(s) and seen.new(v):
+                    k = np.unique(keys_of(s, bands, parts))
+                    at = k & (SHARED_BITS - 1)
+                    k = k[(marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                    if len(k):
+                        keys[i], maps[i], elements[i] = k, bitmap_of(s), s.tobytes()
+            places = np.arange(place, place + len(sets))
+            place += len(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=schema.names
+                [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(vids, pa.int64()), pa.array(places, pa.int64())]
+                + [pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(elements, pa.binary())],
+                names=schema.names,
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(vid, elements) of the wanted vids, made from the texts anew."""
-    schema = schema_of("vid long, elements binary")
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """``df``, with a broadcast hint if it has SENT_IDS rows at most."""
+    return F.broadcast(df) if df.limit(SENT_IDS + 1).count() <= SENT_IDS else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for _, texts in text_slices(batches):
-            vids, out = [], []
-            for t in texts:
-                s = set_of(hashes.of((t or b"").lower().split()), rule.n)
-                v = vertex_of(s)
-                if v in seen or not len(s):
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(v)
-                vids.append(v)
-                out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(vids, pa.int64()), pa.array(out, pa.binary())], names=schema.names)
-
-    found = docs.select("text").mapInArrow(run, schema)
-    few = wanted.count() <= SENT_IDS
-    found = found.join(F.broadcast(wanted) if few else wanted, "vid", "left_semi")
-    return found.groupBy("vid").agg(F.first("elements").alias("elements"))
+
+def of_ids(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of these ids (vid)."""
+    return sets.join(sent_if_few(ids), "vid", "left_semi")
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` with keys one for each vid, the first by place: tasks know of their own rows only."""
+    own = rows.where("keys is not null")
+    several = stored(own.groupBy("vid").agg(F.min("place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("vid", "_first"), "jaccard-several")
+    return own.join(sent_if_few(several), "vid", "left").where("_first is null or place = _first").drop("_first", "place")
+
+
+def linked(x: pa.Buffer, y: pa.Buffer, rule: Rule) -> bool:
+    """Do two sorted arrays of elements overlap enough?"""
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")  # two sorted runs
+    inter = int((both[1:] == both[:-1]).sum())
+    return rule.den * inter >= rule.num * (len(s) + len(t) - inter)
 
 
 def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -188,15 +239,12 @@ def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")  # two sorted runs
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(rule.den * inter >= rule.num * (len(s) + len(t) - inter))
+            ok = [linked(x.as_buffer(), y.as_buffer(), rule) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # elements are the bulk: only those of sets in some pair are shuffled
+    pairs = stored(pairs, "jaccard-pairs")
+    sets = of_ids(sets, pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct())
     full = pairs.join(sets.select(F.col("vid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("elements").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, schema)
 
@@ -210,29 +258,6 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def near_pairs(vid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: np.ndarray, side: np.ndarray, rule: Rule, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components that the bitmaps don't rule out. side: which of two blocks a row is of (pairs are
-    between the blocks only, or among all if there is one). The largest component isn't compared with itself.
-    nearest: of each row's pairs only the one whose bitmaps differ least."""
-    names, code, n = np.unique(comp, return_inverse=True, return_counts=True)
-    probes = np.flatnonzero(code != n.argmax())
-    two = side.any()
-    for at in range(0, len(probes), 64):
-        p = probes[at : at + 64]
-        apart = np.bitwise_count(bits[p][:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-        total = size[p][:, None] + size[None, :]
-        small, large = np.minimum(size[p][:, None], size[None, :]), np.maximum(size[p][:, None], size[None, :])
-        ok = (apart <= rule.most_apart(total)) & (small * rule.den >= large * rule.num) & (comp[p][:, None] != comp[None, :])
-        if two:
-            ok &= side[p][:, None] != side[None, :]
-        if nearest:
-            i = np.flatnonzero(ok.any(axis=1))
-            j = np.where(ok, apart, 1 << 40).argmin(axis=1)[i]
-        else:
-            i, j = np.nonzero(ok)
-        yield vid[p[i]], vid[j]
-
-
 def allowed(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b) that sizes and bitmaps (marks: vid, size, bitmap) don't rule out."""
     schema = schema_of("a long, b long")
@@ -249,77 +274,213 @@ def allowed(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
     return full.select("a", "b", "m", "n", "x", "y").mapInArrow(run, schema)
 
 
-def crossing(groups: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components among rows (key, vid, comp, size, bitmap, many) of a key.
+class Group:
+    """Rows of a group or a rectangle of one: the probes are compared with the targets of other components."""
+
+    def __init__(self, table: pa.Table, at: int, to: int) -> None:
+        part = table.slice(at, to - at)
+        self.vid, self.comp, self.size, self.probe, self.target = (part.column(k).to_numpy() for k in ("vid", "comp", "size", "probe", "target"))
+        self.bits = folded(part.column("bitmap").to_pylist())
+        self.part = part
+
+    def pairs(self, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(probe, target, bits apart) of the pairs that sizes and bitmaps don't rule out, a piece at a time, by probe."""
+        probes, targets = np.flatnonzero(self.probe), np.flatnonzero(self.target)
+        step = max(1, (1 << 22) // max(1, len(targets) * self.bits.shape[1]))
+        size, comp, bits = self.size[targets], self.comp[targets], self.bits[targets]
+        for at in range(0, len(probes), step):
+            p = probes[at : at + step]
+            apart = np.bitwise_count(self.bits[p][:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            own = self.size[p][:, None]
+            ok = (apart <= rule.most_apart(own + size[None, :])) & (np.minimum(own, size) * rule.den >= np.maximum(own, size) * rule.num) & (self.comp[p][:, None] != comp[None, :])
+            i, j = np.nonzero(ok)
+            yield p[i], targets[j], apart[i, j]
 
-    A key with many rows is split by its vids into blocks; a task sees two blocks of it at most at a time.
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (key, i, j) of sorted rows, and where these start, with the end."""
+    held: list[pa.RecordBatch] = []
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        return np.concatenate([[0], 1 + np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = starts_of(table)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
+            held = table.slice(starts[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.concatenate([starts_of(table), [table.num_rows]])
+
+
+def small_pairs(table: pa.Table, starts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group.pairs of all groups of SMALL rows at most at a time: (row, row, bits apart), each pair once."""
+    size, comp = table.column("size").to_numpy(), table.column("comp").to_numpy()
+    length = np.diff(starts)
+    group = np.repeat(np.arange(len(length)), length)
+    group[np.repeat(length > SMALL, length)] = -1
+    left, right = [], []
+    for d in range(1, SMALL):
+        i = np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0) & (comp[d:] != comp[:-d]))
+        i = i[np.minimum(size[i], size[i + d]) * rule.den >= np.maximum(size[i], size[i + d]) * rule.num]
+        left.append(i)
+        right.append(i + d)
+    a, b = np.concatenate(left), np.concatenate(right)
+    maps = table.column("bitmap").combine_chunks()
+    if isinstance(maps, pa.ChunkedArray):
+        maps = maps.chunk(0)
+    offsets, data = np.frombuffer(maps.buffers()[1], np.int32)[maps.offset : maps.offset + len(maps) + 1], np.frombuffer(maps.buffers()[2], np.uint8)
+    wide = np.diff(offsets)
+    apart = np.empty(len(a), np.int64)
+    for x, y in {*zip(wide[a].tolist(), wide[b].tolist(), strict=True)}:
+        here = np.flatnonzero((wide[a] == x) & (wide[b] == y))
+        for at in range(0, len(here), step := max(1, (1 << 24) // max(x, y))):
+            h, least = here[at : at + step], min(x, y)
+            m, n = (np.bitwise_xor.reduce(data[offsets[r[h]][:, None] + np.arange(w)].reshape(len(h), -1, least), axis=1) for r, w in ((a, x), (b, y)))
+            apart[h] = np.bitwise_count(m ^ n).sum(axis=1, dtype=np.int64)
+    ok = apart <= rule.most_apart(size[a] + size[b])
+    return a[ok], b[ok], apart[ok]
+
+
+def dealt(split: DataFrame) -> DataFrame:
+    """Rows of groups that have several components, by (key, i, j): whole groups up to BLOCK rows, others as rectangles.
+
+    split: key, vid, comp, size, bitmap (and what else goes along), and of the key top (its largest component), many
+    (rows) and outside (rows of other components, the probes). A rectangle has BLOCK probes by BLOCK targets.
     """
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    own = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("_o", other).select("key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), F.when(F.col("block") > F.col("_o"), 1).otherwise(0).alias("side"), "vid", "comp", "size", "bitmap")
+    probe = F.col("comp") != F.col("top")
+    across, down = F.ceil(F.col("many") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+    i, j = F.pmod(F.xxhash64("vid", F.lit(1)), F.col("_down")).cast("int"), F.pmod(F.xxhash64("vid"), F.col("_across")).cast("int")
+    cell = lambda i, j, probe, target: F.struct(i.alias("i"), j.alias("j"), probe.alias("probe"), target.alias("target"))
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    as_target = F.transform(F.sequence(zero, F.col("_down") - 1), lambda x: cell(x, j, no, yes))
+    as_probe = F.when(probe, F.transform(F.sequence(zero, F.col("_across") - 1), lambda x: cell(i, x, yes, no))).otherwise(F.array().cast("array<struct<i int, j int, probe boolean, target boolean>>"))
+    cells = F.when(F.col("many") <= BLOCK, F.array(cell(zero, zero, probe, yes))).otherwise(F.concat(as_target, as_probe))
+    out = split.withColumn("_across", across).withColumn("_down", down).withColumn("_cell", F.explode(cells))
+    return out.select("key", "_cell.*", *(c for c in split.columns if c not in ("key", "top", "many", "outside"))).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def proposals(split: DataFrame, rule: Rule) -> DataFrame:
+    """(key, vid, partner, apart): each row that has an allowed partner in its group, or is one; a probe with the partner that is
+    nearest by bitmap, others with null."""
+    schema = schema_of("key long, vid long, partner long, apart long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs_of(batches):
+            key, vid, probe = (table.column(k).to_numpy() for k in ("key", "vid", "probe"))
+            a, b, apart = small_pairs(table, starts, rule)
+            near, met = [(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart]))], [a, b]
+            for at, to in zip(starts[:-1], starts[1:], strict=True):
+                if to - at > SMALL:
+                    for p, q, d in Group(table, at, to).pairs(rule):
+                        first = firsts(p, q, d)
+                        near.append((p[first] + at, q[first] + at, d[first]))
+                        met += [np.unique(p) + at, np.unique(q) + at]
+            p, q, d = (np.concatenate(x) for x in zip(*near, strict=True))
+            p, q, d = p[mine := probe[p]], q[mine], d[mine]
+            first = firsts(p, q, d)
+            rows = np.setdiff1d(np.concatenate(met), p)
+            partner = pa.concat_arrays([pa.array(vid[q[first]]), pa.nulls(len(rows), pa.int64())])
+            apart = pa.concat_arrays([pa.array(d[first]), pa.nulls(len(rows), pa.int64())])
+            rows = np.concatenate([p[first], rows])
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(vid[rows]), partner, apart], names=schema.names)
+
+    return dealt(split).mapInArrow(run, schema)
+
+
+def firsts(p: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of each p's least (d, q)."""
+    order = np.lexsort((q, d, p))
+    return order[np.concatenate([[True], p[order][1:] != p[order][:-1]])] if len(order) else order
+
+
+def links_within(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links between components of a group, found exactly where the rows (with elements) stand; a task gives
+    those between what it hasn't linked yet, fewer than its rows."""
     schema = schema_of("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, seen = [], None, set()
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len({r["comp"] for r in held}) < 2:
-                return
-            col = lambda k: np.array([r[k] for r in held], np.int64)
-            for a, b in near_pairs(col("vid"), col("comp"), col("size"), folded([r["bitmap"] for r in held]), col("side"), rule, nearest):
-                fresh = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in seen]
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.update(fresh)
-                fresh = list(dict.fromkeys(fresh))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                k = r["key"], r["i"], r["j"]
-                if k != now:
-                    yield from pairs()
-                    held, now = [], k
-                held.append(r)
-        yield from pairs()
-
-    sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_rows.mapInArrow(run, schema).distinct()
+        for table, starts in runs_of(batches):
+            for at, to in zip(starts[:-1], starts[1:], strict=True):
+                g = Group(table, at, to)
+                elements = g.part.column("elements")
+                up: dict[int, int] = {}
+
+                def root(c: int, up=up) -> int:
+                    while (p := up.get(c, c)) != c:
+                        up[c] = c = up.get(p, p)
+                    return c
+
+                found = []
+                for p, q, _ in g.pairs(rule):
+                    for x, y in zip(p.tolist(), q.tolist(), strict=True):
+                        c, d = root(int(g.comp[x])), root(int(g.comp[y]))
+                        if c != d and linked(elements[x].as_buffer(), elements[y].as_buffer(), rule):
+                            up[max(c, d)] = min(c, d)
+                            found.append((int(g.vid[x]), int(g.vid[y])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=schema.names)
+
+    return dealt(rows).mapInArrow(run, schema)
+
+
+def still_split(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (key, vid) of ``met`` in groups of several components, with comp and the group's top, many, outside."""
+    by_key = met.join(components(links), "vid", "left").select("vid", "key", F.coalesce("comp", "vid").alias("comp"))
+    each = by_key.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    groups = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("many")).where("top.n < many")
+    groups = stored(groups.select("key", "top.comp", "many", (F.col("many") - F.col("top.n")).alias("outside")).withColumnRenamed("comp", "top"), "jaccard-groups")
+    # a group's rows are many, its line in ``groups`` one: Spark splits such a join where a key is hot
+    return stored(by_key.join(groups, "key"), "jaccard-split")
 
 
 def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, text_key, n_shingles, vid and comp (a vid) of each row of ``docs``; comp is null where nothing links with the set."""
-    w = Window.partitionBy("key")
-    keyed = described(docs, rule).select("vid", F.struct("doc_id", "text_key", "n_shingles", "bitmap").alias("row"), F.posexplode("keys").alias("at", "key")).select("vid", "key", F.when(F.col("at") == 0, F.col("row")).alias("row"))
-    # one pass gives the rows and the keys that several sets have: a set's other keys, the bulk, are shuffled but never stored
-    met = keyed.select("vid", "key", "row", F.min("vid").over(w).alias("hub"), F.max("vid").over(w).alias("_last"))
-    met = stored(met.where("row is not null or hub < _last").select("vid", "key", "hub", "row"), "jaccard-met")
-    rows = met.where("row is not null").select("row.*", "vid")
-    marks = stored(rows.where("bitmap is not null").groupBy("vid").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap")), "jaccard-marks")
-    met = met.where("row is null").select("vid", "key", "hub")
-    sets = stored(sets_of(docs, met.select("vid").distinct(), rule), "jaccard-sets")
-
-    star = met.where("vid <> hub").groupBy("vid").agg(F.min("hub").alias("a")).select("a", F.col("vid").alias("b"))
+    rows = stored(described(docs, rule, shared_parts(docs, rule)), "jaccard-rows")
+    each = once_each(rows).withColumnRenamed("n_shingles", "size")
+    marks, sets = each.select("vid", "size", "bitmap"), each.select("vid", "elements")
+    met = each.select("vid", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    # long texts that are much alike share many parts: of the groups with the same sets (told by two hashes over them) one is enough
+    sign = [F.bit_xor(F.xxhash64("vid", F.lit(k))).alias(f"sign{k}") for k in (1, 2)]
+    groups = met.groupBy("key").agg(F.max(F.struct("n", "vid")).alias("hub"), F.count("*").alias("many"), *sign).where("many > 1")
+    hubs = stored(groups.groupBy("many", "sign1", "sign2").agg(F.min(F.struct("key", "hub")).alias("g")).select("g.*"), "jaccard-hubs")
+    met = stored(met.join(hubs, "key").select("vid", "key", "hub"), "jaccard-met")
+
+    star = met.where("hub.vid <> vid").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("hub.vid").alias("a"), F.col("vid").alias("b"))
     links = stored(checked(allowed(star, marks, rule), sets, rule), "jaccard-links")
-    met = met.select("vid", "key").distinct()
-    for nearest in (True, True, False):
-        by_key = met.join(components(links), "vid", "left").select("vid", "key", F.coalesce("comp", "vid").alias("comp"))
-        split = by_key.select("*", F.min("comp").over(w).alias("_a"), F.max("comp").over(w).alias("_b"), F.count("*").over(w).alias("many")).where("_a < _b").drop("_a", "_b")
-        # components only grow, so the groups of one component are done with; bitmaps go along with the others alone
-        split = stored(split, "jaccard-split")
-        links = links.union(stored(checked(crossing(split.join(marks, "vid"), rule, nearest), sets, rule), "jaccard-links"))
-        met = split.select("vid", "key")
+    split = still_split(met, links)
+    while not split.isEmpty():
+        near = stored(proposals(split.join(marks, "vid"), rule), "jaccard-near")
+        if near.isEmpty():
+            break
+        best = near.where("partner is not null").groupBy("vid").agg(F.min(F.struct("apart", "partner")).alias("best")).select(F.col("vid").alias("a"), F.col("best.partner").alias("b"))
+        found = stored(checked(best, sets, rule), "jaccard-links")
+        last = found.isEmpty()
+        if last:  # what the nearest partners didn't give may be with the others
+            rows_left = stored(split.join(near.select("key", "vid"), ["key", "vid"], "left_semi"), "jaccard-open")
+            whole = of_ids(each.select("vid", "size", "bitmap", "elements"), rows_left.select("vid").distinct())
+            found = stored(links_within(rows_left.join(whole, "vid"), rule), "jaccard-links")
+        links = links.union(found)
+        if last:
+            break
+        split = still_split(split.select("vid", "key"), links)
     return rows.select("doc_id", "text_key", "n_shingles", "vid").join(components(links), "vid", "left")
 
 
 def query(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id in its component) of each document."""
     rows = linked_components(docs, rule)
-    # a group of copies may hold many rows: its smallest id is a partial aggregate, joined back to the rows
-    named = rows.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "vid")))
-    names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(names, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    named = stored(rows.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "vid"))), "jaccard-named")
+    # a component may have a third of all rows: its smallest id is a partial aggregate, stored, so that Spark splits the join back
+    names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
+    names = stored(names.select("comp", "least"), "jaccard-names")
+    return named.join(names, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -332,7 +493,8 @@ def first_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """
     rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").withColumn("comp", F.coalesce("comp", "vid"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vid", "text_key")
-    least = rows.groupBy("comp").agg(F.min(place).alias("_least"), F.count("*").alias("_many")).where("_many > 1")
+    rows = stored(rows, "jaccard-named")
+    least = stored(rows.groupBy("comp").agg(F.min(place).alias("_least"), F.count("*").alias("_many")).where("_many > 1").select("comp", "_least"), "jaccard-names")
     fate = rows.join(least, "comp").groupBy("doc_id", "text_key").agg(F.max(place > F.col("_least")).alias("drop"), F.count("*").alias("many"))
     # a row that is dropped, or stays as one of several equal ones: the others of ``docs`` aren't in it
     fate = stored(fate.where("drop or many > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop")), "jaccard-fate")
