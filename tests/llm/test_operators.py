@@ -120,13 +120,31 @@ def test_lm_base_scores_and_gain(spark, sf):
     assert {r.train_tokens for r in got} == {n} and all(r.held_out == held(r.doc_id) and math.isfinite(r.score) for r in got)
 
 
+def test_lm_scores_do_not_depend_on_files(spark):
+    rng = random.Random(12)
+    after = {a: rng.sample(VOCAB, 3) for a in VOCAB}
+
+    def text():
+        w = [rng.choice(VOCAB)]
+        while len(w) < 60:
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    got = [{r.doc_id: r for r in lm_scoring.score(docs.repartition(n), ~F.col("held_out"), ["doc_id", "held_out"]).collect()} for n in (1, 4, 16)]
+    assert all(abs(a.score - b[i].score) < 1e-9 for i, a in got[0].items() for b in got[1:])
+    held = [r for r in got[0].values() if r.held_out]
+    assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)  # the word before tells much
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(1)
-    model = lm_scoring.start_model(rng.random(lm_scoring.CLASSES) * 50)
-    model["q"][:, : lm_scoring.WIDTH] = rng.normal(0, 0.3, (lm_scoring.CLASSES, lm_scoring.WIDTH))
+    classes = lm_scoring.FIRST_WORD + 500
+    model = lm_scoring.start_model(rng.random(classes) * 50)
+    model["q"][:, : lm_scoring.WIDTH] = rng.normal(0, 0.3, (classes, lm_scoring.WIDTH))
     s = lm_scoring.Scorer(model)
-    kinds = np.arange(lm_scoring.CLASSES)
-    for one, two in ((0, 0), (5, 900), (1200, 3)):
+    kinds = np.arange(classes)
+    for one, two in ((0, 0), (5, 900), (1000, 3)):
         p = 10.0 ** s(np.full_like(kinds, one), np.full_like(kinds, two), kinds)
         assert abs(p.sum() - 1) < 1e-3
 
