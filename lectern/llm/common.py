@@ -106,8 +106,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder; on one machine without one a temporary one, on a cluster that is an error."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))

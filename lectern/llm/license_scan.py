@@ -1,9 +1,9 @@
 """License scans by a positional index of weighted tokens.
 
-The templates' words make a small index: word -> (template, position). All of a file's words that are in the index
-are looked up (weighted by inverse document frequency over all documents, the rarest first); each posting votes for
-a template whose mandatory phrases' words are all in the file, at the offset (position in file - position in
-template). A template is a match at an offset where words of enough of its weight agree and one of its mandatory phrases stands exactly there or in the aligned span.
+The words of a file that are in some template make its positional index: word -> positions. For each template whose mandatory
+phrases' words are all in the file, the postings of its words, weighted by inverse document frequency over all
+documents, vote at the offset (position in file - position in template). Words put in or left out move the offsets of what follows, so the votes of up to BAND neighbouring offsets count together.
+A template is a match where words of enough of its weight agree and its mandatory phrases stand in the aligned span.
 
 Defined cases: null or empty text: no words, no labels, score 0, null positions; repeated rows alike, each by
 itself; any number of words. Document frequencies are counted over every document; with no documents all
@@ -24,16 +24,21 @@ from .common import map_rows, schema_of
 # fixed values: the base phrases and their labels
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# fixed values: opening or naming sentences of public licences; (label, words of the template, mandatory phrases)
+# fixed values: naming sentences and openings of public licences; (label, words of the template, mandatory phrases)
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free of charge",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included",)),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("general public license",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("general public license",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("general public license",)),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
@@ -41,8 +46,13 @@ TEMPLATES = (
     ("cc0", "to the public domain under the cc0 1 0 universal dedication", ("cc0 1 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
+#: Offsets on either side whose votes count together.
+BAND = 2
 #: Share of a template's total weight that has to agree at an offset.
 AGREE = 0.5
 
@@ -60,14 +70,6 @@ def words_of(text: bytes | None) -> list[bytes]:
 VOCABULARY = frozenset(w.encode() for _, t, _ in TEMPLATES for w in t.split())
 
 
-def postings() -> dict[bytes, list[tuple[int, int]]]:
-    index = defaultdict(list)
-    for k, (_, template, _) in enumerate(TEMPLATES):
-        for at, w in enumerate(template.split()):
-            index[w.encode()].append((k, at))
-    return dict(index)
-
-
 def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     """Number of documents, and of those that have each template word: at most len(VOCABULARY) rows."""
     schema = schema_of("word string, n long")
@@ -85,7 +87,6 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 class Scanner:
     def __init__(self, n_docs: int, df: dict[bytes, int]) -> None:
         self.weight = {w: float(np.log((n_docs + 1) / (df.get(w, 0) + 1)) + 0.1) for w in VOCABULARY}
-        self.index = postings()
         self.templates = [([w.encode() for w in t.split()], [tuple(x.encode() for x in p.split()) for p in need]) for _, t, need in TEMPLATES]
         self.keys = frozenset(max(p, key=lambda w: (self.weight[w], w)) for _, need in self.templates for p in need)
         self.total = [sum(self.weight[w] for w in t) for t, _ in self.templates]
@@ -100,32 +101,41 @@ class Scanner:
         for i, w in at:
             by_word[w].append(i)
         live = {k for k, (_, need) in enumerate(self.templates) if all(by_word.keys() >= set(p) for p in need)}  # others can't have their phrases
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in sorted(by_word, key=lambda w: (-self.weight[w], w)):
-            for k, p in self.index[w]:
-                if k in live:
-                    for i in by_word[w]:
-                        votes[k, i - p] += self.weight[w]
+        places = {w: np.array(p) for w, p in by_word.items()}
         found, best = set(), 0.0
-        for (k, offset), v in votes.items():
+        for k in live:
             template, need = self.templates[k]
-            if v < AGREE * self.total[k]:
-                continue
-            span = words[max(offset, 0) : offset + len(template)]
-            if all(any(tuple(span[j : j + len(p)]) == p for j in range(len(span) - len(p) + 1)) for p in need):
-                found.add(TEMPLATES[k][0])
-                best = max(best, min(1.0, v / self.total[k]))
+            n, label = len(template), TEMPLATES[k][0]
+            votes = np.zeros(len(words) + n + 2 * BAND)  # by offset, from -(n + BAND) on
+            for p, w in enumerate(template):
+                if w in places:
+                    votes[places[w] - p + n + BAND] += self.weight[w]
+            upto = np.concatenate([[0.0], votes.cumsum()])
+            band = upto[2 * BAND + 1 :] - upto[: -2 * BAND - 1]  # of the 2 BAND + 1 offsets from each on: no less than what agrees
+            for at in np.flatnonzero(band >= AGREE * self.total[k] - 1e-9).tolist():
+                if label in found and min(1.0, band[at] / self.total[k]) <= best:
+                    continue
+                offset = at - n
+                v = sum(self.weight[w] for p, w in enumerate(template) if w in words[max(offset + p - BAND, 0) : max(offset + p + BAND + 1, 0)])
+                if v < AGREE * self.total[k]:
+                    continue
+                span = words[max(offset - BAND, 0) : offset + n + BAND]
+                if all(any(tuple(span[j : j + len(p)]) == p for j in range(len(span) - len(p) + 1)) for p in need):
+                    found.add(label)
+                    best = max(best, min(1.0, v / self.total[k]))
         return found, best
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
+    """(first word, label) of each place of a base phrase; one walk a phrase."""
     text = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in _BASE:
-        at = text.find(phrase)
+        at, before, n = text.find(phrase), 0, 0
         while at >= 0:
-            found.append((text.count(b" ", 0, at), label))
-            at = text.find(phrase, at + 1)
+            n += text.count(b" ", before, at)
+            found.append((n, label))
+            before, at = at, text.find(phrase, at + 1)
     return found
 
 

@@ -6,8 +6,13 @@ of size category 9 for every b. With one Huffman code for DC (category 9) and on
 bit long, and a restart marker after each block (so that DC is coded by itself), a coefficient takes ten bits
 and a block 80 bytes. Frames are plain baseline JPEG (SOI, DQT, SOF0, DHT, DRI, SOS, EOI) in '00dc' chunks.
 
-Shots: each frame has a 16-bin histogram of its samples; a cut is where the difference to the frame before is
-over mean + 3 deviations of the WINDOW differences before it, and over LEAST. Clips are the runs between cuts.
+Intra frames are decoded to pixels: Huffman codes by the file's tables, dequantised, and transformed back.
+coefficients() does so for any baseline JPEG, code by code; for frames with this module's own header, coefficients lie
+at fixed places and are unpacked by vectors, all frames of a text at a time.
+
+Shots: each frame has a 16-bin histogram of its pixels; a cut is where the difference to the frame before is
+over mean + 3 deviations of the WINDOW differences before it, and over LEAST. The frame that padding fills up takes no
+part and belongs to the shot before it. Clips are the runs between cuts.
 
 Defined cases: a null or empty text is one frame of 255s; payloads are padded with 255 to whole frames; equal
 texts give equal values; texts of any length (frames are made by vectors over the whole text).
@@ -16,6 +21,7 @@ texts give equal values; texts of any length (frames are made by vectors over th
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -116,46 +122,147 @@ def read_index(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def scan_of(frame: bytes) -> bytes:
-    """The entropy-coded bytes of a frame; its tables and size must be those of this format."""
+# fixed values: the order in which a block's coefficients are stored, by rows of the 8 x 8 block
+ZIGZAG = np.array(
+    [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+)
+_COSINE = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+#: Stored coefficients of a block (64, in their order) to its pixels (64, by rows), less 128.
+_INVERSE = np.einsum("ux,vy->uvxy", _COSINE, _COSINE).reshape(64, 64)[ZIGZAG].astype(np.float32)
+
+
+def segments_of(frame: bytes) -> tuple[dict[int, list[bytes]], bytes]:
+    """A JPEG's marker segments, and its entropy-coded bytes."""
     at, seen = 2, {}
-    if frame[:2] != b"\xff\xd8" or frame[-2:] != TAIL:
+    if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     while True:
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         seen.setdefault(marker, []).append(frame[at + 4 : at + 2 + size])
         at += 2 + size
         if marker == 0xDA:
-            break
-    if struct.unpack(">BHHB", seen[0xC0][0][:6]) != (8, SIDE, SIDE, 1) or sorted(t[17:] for t in seen[0xC4]) != [b"\x09", b"\x09"] or seen[0xDD] != [b"\0\1"]:
-        raise ValueError("another kind of JPEG")
-    return frame[at:-2]
+            return seen, frame[at : frame.rindex(TAIL)]
+
+
+def huffman_codes(tables: list[bytes]) -> dict[int, dict[tuple[int, int], int]]:
+    """Class and number of a table -> (length, code) -> symbol."""
+    out = {}
+    for body in tables:
+        while body:
+            head, counts = body[0], body[1:17]
+            symbols, code, codes = iter(body[17 : 17 + sum(counts)]), 0, {}
+            for length, n in enumerate(counts, 1):
+                for _ in range(n):
+                    codes[length, code] = next(symbols)
+                    code += 1
+                code <<= 1
+            out[head], body = codes, body[17 + sum(counts) :]
+    return out
 
 
-def decode_frames(data: bytes) -> np.ndarray:
-    """Samples (frames x 576 bytes) of an AVI file that avi_of made, from its coefficients."""
+class Bits:
+    def __init__(self, data: bytes) -> None:
+        data = data.replace(b"\xff\x00", b"\xff")
+        self.value, self.left = int.from_bytes(data), 8 * len(data)
+
+    def take(self, n: int) -> int:
+        self.left -= n
+        return (self.value >> self.left) & ((1 << n) - 1)
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (length, code) in codes:
+                return codes[length, code]
+        raise ValueError("no such code")
+
+    def number(self, size: int) -> int:
+        v = self.take(size) if size else 0
+        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+
+def coefficients(frame: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Coefficients (blocks x 64, as stored) of the first component of a baseline JPEG, its quantisation table, and height and
+    width in blocks. Of several components each has to have one block in a unit (no subsampling)."""
+    seen, scan = segments_of(frame)
+    _, height, width, n = struct.unpack(">BHHB", seen[0xC0][0][:6])
+    parts = [seen[0xC0][0][6 + 3 * i : 9 + 3 * i] for i in range(n)]
+    if any(p[1] != 0x11 for p in parts[: n if n > 1 else 0]):
+        raise ValueError("subsampled components")
+    codes, order = huffman_codes(seen[0xC4]), {seen[0xDA][0][1 + 2 * i]: seen[0xDA][0][2 + 2 * i] for i in range(n)}
+    tables = {t[0] & 15: np.frombuffer(t[1:65], np.uint8).astype(np.int32) for body in seen[0xDB] for t in (body[i : i + 65] for i in range(0, len(body), 65))}
+    shape = -(-height // 8), -(-width // 8)
+    every = struct.unpack(">H", seen[0xDD][0])[0] if 0xDD in seen else 0
+    total = shape[0] * shape[1]
+    runs = re.split(rb"\xff[\xd0-\xd7]", scan)
+    out = np.zeros((total, 64), np.int32)
+    for r, run in enumerate(runs):
+        bits, last = Bits(run), [0] * n
+        for block in range(r * every, min(total, (r + 1) * every) if every else total):
+            for i, p in enumerate(parts):
+                pick, values, k = order[p[0]], [0] * 64, 1
+                last[i] += bits.number(bits.symbol(codes[pick >> 4]))
+                values[0] = last[i]
+                while k < 64:
+                    s = bits.symbol(codes[0x10 | pick & 15])
+                    if s == 0:
+                        break
+                    k += s >> 4
+                    if s & 15:
+                        values[k] = bits.number(s & 15)
+                    k += 1
+                if i == 0:
+                    out[block] = values
+    return out, tables[parts[0][2]], shape
+
+
+def pixels_of(coefs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Pixels (... x blocks x 64) of stored coefficients."""
+    return np.clip(np.rint((coefs * table).astype(np.float32) @ _INVERSE) + 128, 0, 255).astype(np.uint8)
+
+
+def own_coefficients(data: bytes, index: list[tuple[int, int]]) -> np.ndarray:
+    """coefficients() of all frames of a file whose frames have this module's header: frames x blocks x 64."""
     scans = []
-    for at, size in read_index(data):
-        s = scan_of(data[at : at + size])
+    for at, size in index:
+        s = data[at + len(HEAD) : at + size - 2]
         if len(s) != BLOCKS * 82 - 2:  # stuffed zeros after 0xFF
             raw = np.frombuffer(s, np.uint8)
             keep = np.ones(len(raw), bool)
             keep[1:] = ~((raw[:-1] == 0xFF) & (raw[1:] == 0))
             s = raw[keep].tobytes()
         scans.append(s + b"\xff\xd0")
-    p = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, BLOCKS, 82)[:, :, :80].reshape(-1, BLOCKS, 16, 5)
-    out = np.empty((len(p), BLOCKS, 16, 4), np.uint8)
-    out[..., 0] = (p[..., 0] << 2) | (p[..., 1] >> 6)
-    out[..., 1] = (p[..., 1] << 4) | (p[..., 2] >> 4)
-    out[..., 2] = (p[..., 2] << 6) | (p[..., 3] >> 2)
-    out[..., 3] = p[..., 4]
-    return out.reshape(len(p), FRAME_BYTES)
+    p = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, BLOCKS, 82)[:, :, :80].reshape(-1, BLOCKS, 16, 5).astype(np.int32)
+    out = np.empty((len(p), BLOCKS, 16, 4), np.int32)
+    # the size bits of a code, as JPEG counts negative numbers: v - 511; the code's own bit before them is 0
+    out[..., 0] = (p[..., 0] & 127) << 2 | p[..., 1] >> 6
+    out[..., 1] = (p[..., 1] & 31) << 4 | p[..., 2] >> 4
+    out[..., 2] = (p[..., 2] & 7) << 6 | p[..., 3] >> 2
+    out[..., 3] = (p[..., 3] & 1) << 8 | p[..., 4]
+    return np.where(out >> 8, out, out - 511).reshape(len(p), BLOCKS, 64)
+
+
+def decode_frames(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and pixels (frames x blocks x 64) of a motion-JPEG AVI file of frames of one size."""
+    index = read_index(data)
+    if all(data[at : at + len(HEAD)] == HEAD for at, _ in index):
+        coefs = own_coefficients(data, index)
+        return coefs, pixels_of(coefs, np.int32(1))
+    frames = [coefficients(data[at : at + size])[:2] for at, size in index]
+    return np.stack([c for c, _ in frames]), np.stack([pixels_of(c, t) for c, t in frames])
+
+
+def payload_in(coefs: np.ndarray) -> bytes:
+    """The bytes that encode_frames() stored."""
+    return (coefs + 511).astype(np.uint8).tobytes()
 
 
-def cuts_of(samples: np.ndarray) -> np.ndarray:
+def cuts_of(pixels: np.ndarray) -> np.ndarray:
     """Frames that begin a shot (the first always does)."""
-    n = len(samples)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / FRAME_BYTES
+    flat = pixels.reshape(len(pixels), -1)
+    n, size = flat.shape
+    hist = np.bincount((np.arange(n)[:, None] * BINS + (flat >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / size
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
     before = np.concatenate([[0.0], diff.cumsum()]), np.concatenate([[0.0], (diff * diff).cumsum()])
     i = np.arange(len(diff))
@@ -169,21 +276,23 @@ def cuts_of(samples: np.ndarray) -> np.ndarray:
 def columns_of(text: bytes | None) -> tuple[bytes, bytes, np.ndarray]:
     """Stored bytes, payload read back from them, and shot starts."""
     media = avi_of(encode_frames(payload_of(text)))
-    samples = decode_frames(media)
-    return media, samples.tobytes(), cuts_of(samples)
+    coefs, pixels = decode_frames(media)
+    return media, payload_in(coefs), cuts_of(pixels[: max(1, len(text or b"") // FRAME_BYTES)])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """One row for each document: digests of the stored form and of the payload read back, and features."""
-    schema = T.StructType([docs.schema["doc_id"], *schema_of("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
+    """One row for each document: digests of the stored form and of the payload read back, features, and its clips' times."""
+    schema = T.StructType([docs.schema["doc_id"], *schema_of("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_sec double, end_sec double>>").fields])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in schema} | {"doc_id": cols["doc_id"]}
         for t in cols["text"]:
             media, payload, cuts = columns_of(t)
             n = len(payload) // FRAME_BYTES
-            longest = int(np.diff([*cuts, n]).max())
-            values = (len(t or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={n};shots={len(cuts)};longest={longest}")
+            ends = [*cuts[1:].tolist(), n]
+            longest = max(z - a for a, z in zip(cuts.tolist(), ends, strict=True))
+            times = [{"start_sec": a / FPS, "end_sec": z / FPS} for a, z in zip(cuts.tolist(), ends, strict=True)]
+            values = (len(t or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={n};shots={len(cuts)};longest={longest}", times)
             for name, v in zip(schema.names[1:], values, strict=True):
                 out[name].append(v)
         return out

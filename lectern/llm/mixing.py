@@ -19,6 +19,8 @@ source that isn't in them take part with weight DEFAULT_WEIGHT. More than MAX_SO
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,26 @@ BLOCK_ROWS = 16
 #: Slots of a period, about: the sum of the weights when they are rounded (each at least 1).
 PERIOD = 1_000
 MAX_SOURCES = 2_000
+#: Most slots of a period where weights are given.
+MOST_SLOTS = 20_000
 DEFAULT_WEIGHT = 1
 #: Rows of a source are numbered in so many runs side by side (a prefix of their hash), so that no task holds a source.
 PREFIX = 3
 ABSENT = "\x00"
 
 
+def reduced(weights: dict[str, int]) -> dict[str, int]:
+    """Whole weights divided by their common factor; a period is their sum, so larger ones than MOST_SLOTS in all are refused."""
+    if any(int(w) != w or w < 1 for w in weights.values()):
+        raise ValueError("weights are whole numbers from 1 on")
+    # sources without a weight have DEFAULT_WEIGHT, so only a factor of that as well may go
+    by = math.gcd(DEFAULT_WEIGHT, *map(int, weights.values()))
+    small = {k: int(w) // by for k, w in weights.items()}
+    if sum(small.values()) > MOST_SLOTS:
+        raise ValueError(f"weights of more than {MOST_SLOTS} in all")
+    return small
+
+
 def target_weights(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """One row: weights, an array of (source, a) in order of source; at most MAX_SOURCES."""
     counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(ABSENT)).alias("source")).agg(F.count("*").alias("n"))
@@ -41,6 +57,7 @@ def target_weights(docs: DataFrame, weights: dict[str, int] | None = None) -> Da
         a = F.greatest(F.lit(1), F.round(root / F.col("total") * PERIOD)).cast("long")
         rows = counts.crossJoin(F.broadcast(total)).select("source", a.alias("a"))  # the other side is one row
     else:
+        weights = reduced(weights)
         given = F.create_map(*(F.lit(v) for k, w in weights.items() for v in (k, int(w)))) if weights else F.lit(None).cast("map<string,int>")
         rows = counts.select("source", F.coalesce(given[F.col("source")], F.lit(DEFAULT_WEIGHT)).cast("long").alias("a"))
     few = F.when(F.count("*") <= MAX_SOURCES, F.array_sort(F.collect_list(F.struct("source", "a")))).otherwise(F.raise_error(F.lit(f"more than {MAX_SOURCES} sources")))

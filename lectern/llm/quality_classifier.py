@@ -20,7 +20,6 @@ BUCKETS = 1 << 20
 #: Labelled documents that training sees at most (a bounded sample, drawn by a hash of the id).
 SAMPLE = 6_000
 EPOCHS = 3
-BATCH = 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 1.0
 #: Sum of a text's values.
 SCALE = 20.0
@@ -58,21 +57,20 @@ def values(n: int) -> float:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
-    """FTRL-proximal weights for (columns, values, label) rows, in small batches."""
+    """FTRL-proximal weights for (columns, values, label) rows, a row at a time."""
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS, np.float32)
     for epoch in range(EPOCHS):
         order = np.random.default_rng(epoch).permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            for k in order[at : at + BATCH]:
-                cols, vals, y = rows[k]
-                zc, nc = z[cols], n[cols]
-                rate = (BETA + np.sqrt(nc)) / ALPHA + L2
-                wc = np.where(np.abs(zc) > L1, -(zc - np.sign(zc) * L1) / rate, 0.0)
-                p = 1 / (1 + np.exp(-np.clip(wc @ vals, -35, 35)))
-                g = (p - y) * vals
-                sigma = (np.sqrt(nc + g * g) - np.sqrt(nc)) / ALPHA
-                z[cols] = zc + g - sigma * wc
-                n[cols] = nc + g * g
+        for k in order:
+            cols, vals, y = rows[k]
+            zc, nc = z[cols], n[cols]
+            rate = (BETA + np.sqrt(nc)) / ALPHA + L2
+            wc = np.where(np.abs(zc) > L1, -(zc - np.sign(zc) * L1) / rate, 0.0)
+            p = 1 / (1 + np.exp(-np.clip(wc @ vals, -35, 35)))
+            g = (p - y) * vals
+            sigma = (np.sqrt(nc + g * g) - np.sqrt(nc)) / ALPHA
+            z[cols] = zc + g - sigma * wc
+            n[cols] = nc + g * g
     on = np.abs(z) > L1
     w[on] = (-(z[on] - np.sign(z[on]) * L1) / ((BETA + np.sqrt(n[on])) / ALPHA + L2)).astype(np.float32)
     return w

@@ -2,9 +2,10 @@
 
 A weak candidate (a bare long random string, which alone is most often no secret) is reported only where
 a complementary part lies in the same scope: an access identifier or an endpoint within REACH characters,
-and no further than SCOPE_LINES lines away, or the address that the candidate stands in (a password or a key in
+and no further than SCOPE_LINES lines away; anywhere in the same block (a [section] of a configuration, or the innermost
+braces around both); or the address that the candidate stands in (a password or a key in
 a URL, whose path counts segment by segment, without titles). The join is over sorted positions (two binary searches for each
-candidate), so no pairs are formed, however many parts a text has.
+candidate) and block numbers, so no pairs are formed, however many parts a text has.
 
 Defined cases: a null or empty text has no spans; a span is [start, end) in code points of the whole match;
 a weak candidate that overlaps a base span is not reported again, and an identifier or a host isn't a candidate;
@@ -44,6 +45,9 @@ TITLE = re.compile(r"(?:(?:[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_-]+|$))+", re.ASCII)
 #: An address up to its path, and the path.
 PATH = re.compile(r"[^:]*://[^/?#]*([^?#]*)")
 SEGMENT = re.compile(r"[^/]{20,}")
+#: Heads of sections, and braces.
+SECTION = re.compile(r"^\[[^\]\n]{1,80}\]\x20*$", re.MULTILINE)
+BRACE = re.compile(r"[{}]")
 
 
 def random_looking(s: str) -> bool:
@@ -71,6 +75,33 @@ def near(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, to: np.ndarray, b
     return right | left
 
 
+def sections_at(text: str, at: np.ndarray) -> np.ndarray:
+    """The number of the [section] that each place is in; 0 before the first."""
+    return np.searchsorted(np.array([m.start() for m in SECTION.finditer(text)], np.int64), at, side="right")
+
+
+def braces_at(text: str, at: np.ndarray) -> np.ndarray:
+    """The start of the innermost braces around each place; -1 outside of any."""
+    marks, inner, held = [0], [-1], []
+    for m in BRACE.finditer(text):
+        if m[0] == "{":
+            held.append(m.start())
+        elif held:
+            held.pop()
+        marks.append(m.start() + 1)
+        inner.append(held[-1] if held else -1)
+    return np.array(inner)[np.searchsorted(np.array(marks), at, side="right") - 1]
+
+
+def shares_block(text: str, parts: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Of each of ``weak``: is one of ``parts`` in the same section, or in the same innermost braces?"""
+    ok = np.zeros(len(weak), bool)
+    for of, outside in ((sections_at, 0), (braces_at, -1)):
+        own = of(text, weak)
+        ok |= (own != outside) & np.isin(own, of(text, parts))
+    return ok
+
+
 def overlapped(spans: np.ndarray, w: np.ndarray) -> np.ndarray:
     """For each row [start, end) of ``w``: does one of the sorted ``spans`` overlap it?"""
     if not len(spans):
@@ -107,7 +138,7 @@ def linked_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int
     w, p, a = np.array(weak), np.array(parts), np.array(addresses).reshape(-1, 2)
     held = np.array(sorted([(s, e) for s, e, _ in taken] + own)).reshape(-1, 2)
     breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
-    ok = ~overlapped(held, w) & (overlapped(a, w) | near(p[:, 0], np.maximum.accumulate(p[:, 1]), w[:, 0], w[:, 1], breaks))
+    ok = ~overlapped(held, w) & (overlapped(a, w) | near(p[:, 0], np.maximum.accumulate(p[:, 1]), w[:, 0], w[:, 1], breaks) | shares_block(text, p[:, 0], w[:, 0]))
     return [(int(s), int(e), "linked") for s, e in w[ok]]
 
 

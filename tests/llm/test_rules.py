@@ -1,0 +1,307 @@
+"""Rules of the corpus operators against plain loops: planted credentials, dictionaries, learning, licences, pictures; odd columns and long texts."""
+
+import math
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+import xxhash
+import zstandard
+from pyspark.sql import functions as F
+
+from lectern.llm import byte_bpe, jaccard_join, language_id, license_scan, media_columns, mixing, quality_classifier, registry, secret_scan
+from tests.llm.test_operators import VOCAB
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def planted(n=400):
+    """(text, what is to be found): keys beside identifiers or endpoints, in sections and braces; alone, out of reach, or no keys."""
+    rng = random.Random(31)
+    words = lambda k, sep=" ": sep.join(rng.choice(VOCAB) for _ in range(k))
+    out = []
+    for i in range(n):
+        key = "aB3" + "".join(rng.choice(LETTERS) for _ in range(rng.choice([20, 37, 61, 300])))
+        part = rng.choice(["AKIA" + "".join(rng.choice(LETTERS[:26]) for _ in range(16)), "client_id: app-12345-x", "endpoint = db.example.com", "https://api.example.com/v1"])
+        lines = lambda k: "\n".join(words(6) for _ in range(k))
+        kind = i % 8
+        text, real = {
+            0: (f"{words(20)}\n{part}\nkey {key} end", True), 1: (f"{key} {words(30)} {part} {words(9)}", True), 2: (f"[svc]\n{part}\n{lines(30)}\nk {key}\n[next]\n{words(5)}", True),
+            3: (f"{{ {part} ,\n{lines(40)}\n k {key} }} {words(4)}", True), 4: (f"{words(40)} {key} {words(40)}", False), 5: (f"{part} {words(200)} {key}", False),
+            6: (f"{part}\n{lines(12)}\n{key}", False), 7: (f"[svc]\n{part}\n{lines(90)}\n[other]\nk {key}", False),
+        }[kind]
+        out.append((text, key if real else None))
+    return out
+
+
+def test_planted_credentials():
+    right = wrong = missed = 0
+    for text, key in planted():
+        got = {text[s:e] for s, e, _ in secret_scan.linked_spans(text, secret_scan.base_spans(text))}
+        right += key in got
+        missed += key is not None and key not in got
+        wrong += len(got - {key})
+    assert right / (right + missed) == 1.0 and right / (right + wrong) == 1.0, (right, missed, wrong)
+
+
+def test_language_is_the_shortest_form(spark):
+    rng = random.Random(5)
+    say = {x: ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(60)] for x, alphabet in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "аbвгдежз"))}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(say[x]) for _ in range(rng.randint(1, 900))), x) for i in range(60) for x in say], "doc_id long, text string, lang string")
+    content = language_id.dictionaries(docs, F.col("doc_id") < 40)
+    got = {r.text: r for r in language_id.identify(docs, content, ["text"]).collect()}
+    for text, r in got.items():
+        data, sizes = language_id.plain(text), {}
+        for lang, words in content:
+            d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False)
+            sizes[lang] = sum(len(c.compress(data[i : i + language_id.PIECE])) for i in range(0, len(data), language_id.PIECE))
+        first, second, *_ = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
+        margin = (second[1] - first[1]) / first[1]
+        assert r.lang_pred == first[0] and r.rejected == (margin < language_id.MARGIN) and r.score == pytest.approx(min(1.0, margin / language_id.SURE))
+    same = language_id.Classifier([("y", b"abc " * 50), ("x", b"abc " * 50)])
+    assert same("abc abc")[0] == "x" and same("abc abc")[2]  # a tie: the first by name, rejected
+
+
+def plain_features(text):
+    words, outline = text.lower().encode().split(), "".join("A" if "A" <= c <= "Z" else "0" if c.isdigit() else c for c in text if not ("a" <= c <= "z")).encode().split()
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    o = [xxhash.xxh3_64_intdigest(w) ^ 0xA5A5A5A5A5A5A5A5 for w in outline]
+    mask = (1 << 64) - 1
+
+    def two(a, b):
+        out = 0x9E3779B97F4A7C15
+        for p in (a, b):
+            out = ((out ^ p) * 0xBF58476D1CE4E5B9) & mask
+            out ^= out >> 29
+        return out
+
+    grams = h + o + [two(*x) for x in zip(h, h[1:])] + [0x7769636574776963 for a, b in zip(h, h[1:]) if a == b] + [two(*x) for x in zip(o, o[1:])]
+    return Counter((g ^ (g >> 33)) % (quality_classifier.BUCKETS - 1) + 1 for g in grams)
+
+
+def test_learning_like_a_plain_loop():
+    c = quality_classifier
+    rng = random.Random(2)
+    texts = ["", "One"] + [" ".join(rng.choice([*VOCAB, "Buy", "NOW", "$9", "the the"]) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    labels = [float(rng.random() < 0.5) for _ in texts]
+    z, n, grams, rows, plain = Counter(), Counter(), c.Grams(), [], []
+    for t, y in zip(texts, labels, strict=True):
+        got, want = grams(t.encode()), plain_features(t)
+        assert Counter(got.tolist()) == want
+        own, many = np.unique(got, return_counts=True)
+        rows.append((np.concatenate([[0], own]), np.concatenate([[1.0], many * c.values(len(got))]), y))
+        plain.append(({0: 1.0} | {k: v * c.SCALE / max(1, want.total()) for k, v in want.items()}, y))
+    weight = lambda k: 0.0 if abs(z[k]) <= c.L1 else -(z[k] - math.copysign(c.L1, z[k])) / ((c.BETA + math.sqrt(n[k])) / c.ALPHA + c.L2)
+    for epoch in range(c.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(plain)):
+            x, y = plain[i]
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / c.ALPHA * w[k]
+                n[k] += g * g
+    got = c.train(rows)
+    assert all(got[k] == pytest.approx(weight(k), abs=1e-5) for k in z) and np.count_nonzero(got) <= len(z)
+
+
+def test_licences_with_words_put_in():
+    s = license_scan.Scanner(0, {})
+    for label, template, need in license_scan.TEMPLATES:
+        w = template.encode().split()
+        phrase = need[0].encode().split()
+        at = next(i for i in range(len(w)) if w[i : i + len(phrase)] == phrase)
+        for k in [k for k in range(1, len(w)) if not at < k < at + len(phrase)]:
+            assert label in s.labels([*w[:k], b"inserted", *w[k:]])[0]
+        assert label not in s.labels(w[:at] + w[at + len(phrase) :])[0] - {x for x, t, _ in license_scan.TEMPLATES if t != template}  # without its phrase
+
+
+def test_votes_like_a_plain_search():
+    s, rng = license_scan.Scanner(9, {b"the": 8, b"license": 3}), random.Random(6)
+    words = sorted(license_scan.VOCABULARY)
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 80))]
+        label, t, _ = rng.choice(license_scan.TEMPLATES)
+        kept = [w for w in t.encode().split() if rng.random() < rng.choice([1.0, 0.8, 0.5])]
+        at = rng.randint(0, len(text))
+        text[at:at] = kept
+        want = set()
+        for (name, _, _), (template, need), total in zip(license_scan.TEMPLATES, s.templates, s.total, strict=True):
+            for o in range(-len(template) - license_scan.BAND, len(text) + license_scan.BAND):
+                near = lambda p, o=o: text[max(o + p - license_scan.BAND, 0) : max(o + p + license_scan.BAND + 1, 0)]
+                v = sum(s.weight[w] for p, w in enumerate(template) if w in near(p))
+                span = text[max(o - license_scan.BAND, 0) : max(o + len(template) + license_scan.BAND, 0)]
+                if v >= license_scan.AGREE * total and all(any(tuple(span[j : j + len(p)]) == p for j in range(len(span))) for p in need):
+                    want.add(name)
+        assert s.labels(text)[0] == want
+
+
+def test_a_million_places():
+    found = license_scan.base_places(b"cc by cc by x all rights reserved".split() * 150_000)
+    assert len(found) == 450_000 and found[-1] == (150_000 * 8 - 3, "reserved")
+
+
+def jpeg(blocks, width, table, dc, ac, every=0):
+    """A baseline JPEG of one component, written code by code; dc, ac: (length, code) by symbol."""
+    bits, out, last = "", b"", 0
+    size = lambda v: abs(v).bit_length()
+    number = lambda v: format(v if v > 0 else v + (1 << size(v)) - 1, f"0{size(v)}b") if v else ""
+    code = lambda t, s: format(t[s][1], f"0{t[s][0]}b")
+
+    def flushed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    for k, b in enumerate(blocks):
+        if every and k and k % every == 0:
+            out += flushed(bits) + bytes([0xFF, 0xD0 + (k // every - 1) % 8])
+            bits, last = "", 0
+        d = b[0] - last
+        last = b[0]
+        bits += code(dc, size(d)) + number(d)
+        run = 0
+        for v in b[1:]:
+            if v == 0:
+                run += 1
+                continue
+            bits += code(ac, 0xF0) * (run // 16) + code(ac, run % 16 << 4 | size(v)) + number(v)
+            run = 0
+        bits += code(ac, 0) if run else ""
+    seg = lambda m, body: struct.pack(">BBH", 0xFF, m, len(body) + 2) + body
+    listed = lambda head, t: bytes([head, *(sum(n == k for n, _ in t.values()) for k in range(1, 17)), *(s for s, _ in sorted(t.items(), key=lambda x: x[1]))])
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0, *table])) + seg(0xC0, struct.pack(">BHHB", 8, len(blocks) // width * 8, width * 8, 1) + bytes([1, 0x11, 0]))
+    head += seg(0xC4, listed(0x00, dc)) + seg(0xC4, listed(0x10, ac)) + (seg(0xDD, struct.pack(">H", every)) if every else b"") + seg(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    return head + out + flushed(bits) + b"\xff\xd9"
+
+
+def codes(symbols, rng):
+    """Canonical codes of several lengths for the symbols, none of ones only."""
+    rng.shuffle(symbols)
+    longest = len(symbols).bit_length() + 3
+    out, code, length = {}, 0, 2
+    for i, s in enumerate(symbols):
+        want = min(longest, [2, 3, 5][min(i, 2)] + i // 6)
+        code, length = code << max(0, want - length), max(length, want)
+        out[s] = length, code
+        code += 1
+    assert code < 1 << length
+    return out
+
+
+@pytest.mark.parametrize("every", [0, 1, 4])
+def test_any_baseline_frame_is_decoded(every):
+    rng = random.Random(every)
+    table = [rng.randint(1, 30) for _ in range(64)]
+    blocks = [[rng.randint(-40, 40)] + [rng.choice([0, 0, 0, 0, rng.randint(-9, 9)]) for _ in range(63)] for _ in range(12)]
+    blocks[3][1:] = [0] * 63
+    blocks[5][1:] = [0] * 62 + [3]
+    dc = codes(list(range(9)), rng)
+    ac = codes([0, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 5))], rng)
+    frame = jpeg(blocks, 4, table, dc, ac, every)
+    got, q, shape = media_columns.coefficients(frame)
+    assert got.tolist() == blocks and q.tolist() == table and shape == (3, 4)
+    pixels = media_columns.pixels_of(got, q)
+    order = sorted(((x, y) for x in range(8) for y in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))  # the zigzag by its rule
+    for b, block in enumerate(blocks[:2]):
+        for y, x in ((0, 0), (3, 5), (7, 7)):
+            v = 0.0
+            for k, (u, w) in enumerate(order):
+                c = (math.sqrt(0.5) if u == 0 else 1) * (math.sqrt(0.5) if w == 0 else 1)
+                v += c / 4 * block[k] * table[k] * math.cos((2 * y + 1) * u * math.pi / 16) * math.cos((2 * x + 1) * w * math.pi / 16)
+            assert abs(int(pixels[b, 8 * y + x]) - min(255, max(0, round(v) + 128))) <= 1
+    media = media_columns.avi_of([frame, frame])
+    assert media_columns.decode_frames(media)[0].tolist() == [blocks, blocks]
+
+
+def test_own_frames_are_decoded_alike():
+    payload = bytes(range(256)) * 9
+    media = media_columns.avi_of(media_columns.encode_frames(payload))
+    coefs, pixels = media_columns.decode_frames(media)
+    for (at, size), c, p in zip(media_columns.read_index(media), coefs, pixels, strict=True):
+        own, table, _ = media_columns.coefficients(media[at : at + size])
+        assert (own == c).all() and (media_columns.pixels_of(own, table) == p).all()
+
+
+def test_padding_makes_no_shot(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(VOCAB) for _ in range(4000))[: 576 * 20 + 5]
+    got = media_columns.media_columns(spark.createDataFrame([(1, text), (2, text[: 576 * 20])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r.clips) for r in got] == [1, 1] and [r.clips[-1].end_sec for r in got] == [21 / 25, 20 / 25]
+    rows = media_columns.clips(spark.createDataFrame([(1, "abc " * 3000 + "\x01\x7f" * 9000)], "doc_id long, text string"), ["doc_id"]).orderBy("clip_no").collect()
+    assert len(rows) > 1 and rows[0].start_sec == 0 and all(a.end_sec == b.start_sec for a, b in zip(rows, rows[1:]))
+
+
+def test_weights_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "s") for i in range(9)], "doc_id long, source string")
+    with pytest.raises(ValueError):
+        mixing.mixed_order(docs, {"s": 10**9})
+    with pytest.raises(ValueError):
+        mixing.mixed_order(docs, {"s": 0})
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """documents with columns of the names that operators make, and texts of a megabyte."""
+    rng = random.Random(8)
+    long = " ".join(rng.choice(VOCAB) + rng.choice(["", "x", "ing"]) for _ in range(190_000))
+    texts = ["a b c d e f g", long, long[:-7] + "changed", "y" * 1_000_000, "short one", None]
+    names = "vid comp key keys bitmap elements held_out score h c kind n_words kept spans labels feature slot block _n _h task place ids lang_pred rejected"
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    d = str(tmp_path_factory.mktemp("odd"))
+    docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names.split() if n not in docs.columns)).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("z")).write.parquet(f"{d}/labels.parquet")
+    return d, texts
+
+
+@pytest.mark.parametrize("name", list(registry.queries()))
+def test_clashing_columns_and_long_texts(spark, odd, name):
+    d, texts = odd
+    plain = registry.queries()[name](spark, d)
+    got = {r.doc_id: r for r in plain.collect()}
+    assert set(got) == set(range(len(texts))) and not any(isinstance(v, str) and v.startswith("own ") for r in got.values() for v in r)
+    if name == "op3_byte_bpe":
+        tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path(registry.RANKS)), special_tokens={})
+        assert [got[i].n_tokens for i in (0, 1, 4, 5)] == [len(tk.encode_ordinary(texts[i] or "")) for i in (0, 1, 4, 5)]
+        e = byte_bpe.Encoder(byte_bpe.read_ranks(P.path(registry.RANKS)), P.PATTERN)
+        assert got[3].n_tokens == len(e._many(texts[3].encode()))  # one piece of a megabyte
+    if name == "op10_jaccard_join":
+        assert [got[i].component_id for i in range(6)] == [0, 1, 1, 3, 4, 5]
+    if name == "op4_quality_rules":
+        assert got[1].n_words == 190_000
+    if name == "op9_license_scan":
+        assert got[1].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[1]))
+
+
+def test_components_with_many_unlike_sets(spark, monkeypatch):
+    """Groups of sets that share a part but don't link, in rectangles of few rows: the exact last step decides."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(40)]
+    made = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.sample(range(40), rng.choice([1, 3, 4, 5])):
+            w[k] = f"x{rng.randint(0, 9)}"
+        made.append((i, " ".join(w)))
+    rule = jaccard_join.Rule(1, 80, 100)
+    sets = [set(t.split()) for _, t in made]
+    comp = list(range(90))
+
+    def root(a):
+        while comp[a] != a:
+            a = comp[a]
+        return a
+
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    got = {r.doc_id: r.component_id for r in jaccard_join.query(spark.createDataFrame(made, "doc_id long, text string").repartition(4), rule).collect()}
+    assert got == {i: root(i) for i in range(90)}
