@@ -23,7 +23,7 @@ SLICE_ROWS = 256
 #: Rows of an Arrow batch between the JVM and a Python worker, set where the session has Spark's default.
 BATCH_ROWS = 1024
 #: Entries of a worker's word cache; it is emptied when full, so memory stays bounded on any vocabulary.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 #: Spark's setting by which a query's shuffle files go when it ends, rather than when the driver collects garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

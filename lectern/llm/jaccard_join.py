@@ -152,22 +152,24 @@ class Seen(set):
 
 
 def shared_parts(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Marks (bytes of bits) of the keys that several sets have: by the low bits of the key, SHARED_BITS of them."""
-    schema = schema_of("key long, vid long")
+    """Marks (bytes of bits) of the keys that several sets have: by the low bits of the key, SHARED_BITS of them.
+
+    Only keys are counted, so those of a set that two tasks have met are marked too: copies cost a row each, no result.
+    """
+    schema = schema_of("key long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, bands, parts = WordHashes(), Seen(), rule.bands(), rule.parts()
         for _, texts in text_slices(batches):
-            keys, vids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            keys = [np.empty(0, np.int64)]
             for t in texts:
                 s = set_of(hashes.of((t or b"").lower().split()), rule.n)
-                if len(s) and seen.new(v := vertex_of(s)):
-                    keys.append(keys_of(s, bands, parts))
-                    vids.append(np.full(len(keys[-1]), v, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(vids))], names=schema.names)
+                if len(s) and seen.new(vertex_of(s)):
+                    keys.append(np.unique(keys_of(s, bands, parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=schema.names)
 
     keyed = docs.select("text").mapInArrow(run, schema)
-    shared = keyed.groupBy("key").agg(F.min("vid").alias("a"), F.max("vid").alias("b")).where("a < b")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     at = F.pmod("key", F.lit(SHARED_BITS)) + 1  # bit places count from 1
     marks = stored(shared.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "jaccard-parts")
     out = np.zeros(SHARED_BITS // 8, np.uint8)
