@@ -91,10 +91,10 @@ def keep_latest(events: DataFrame, n: int = 3000) -> DataFrame:
 
 
 def stage_fraction(rows: DataFrame) -> DataFrame:
-    """percent: where overall (0..1) lies within its stage's band, 0..100."""
+    """percent: where overall (0..1) lies within its stage's band, 0..100; null for a stage without one."""
     edge = lambda k: F.create_map(*(F.lit(v) for s, b in BANDS.items() for v in (s, b[k])))[F.col("stage")]
     share = (F.col("overall") - edge(0)) / (edge(1) - edge(0))
-    return rows.withColumn("percent", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * 100, 3))
+    return rows.withColumn("percent", F.when(share.isNotNull(), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * 100, 3)))
 
 
 def load_seconds(videos: DataFrame, stages: DataFrame, now: Column | None = None) -> DataFrame:

@@ -401,17 +401,21 @@ def _(s, d):
     return library.needs_summary(b.table(s, d, "conversations"), limit=600)
 
 
-@query("stage_fraction", f"WITH {b.DELTAS}, x AS (SELECT video_id, stage, seconds, seconds/50 AS o FROM del), e AS (SELECT *, CASE stage WHEN 'compressing' THEN 0.0 WHEN 'storing' THEN 0.15 WHEN 'transcribing' THEN 0.19 WHEN 'diarizing' THEN 0.61 WHEN 'merging' THEN 0.73 WHEN 'correcting' THEN 0.85 END::DOUBLE AS a, CASE stage WHEN 'compressing' THEN 0.15 WHEN 'storing' THEN 0.19 WHEN 'transcribing' THEN 0.61 WHEN 'diarizing' THEN 0.73 WHEN 'merging' THEN 0.85 WHEN 'correcting' THEN 0.92 END::DOUBLE AS z FROM x) SELECT video_id, stage, round(least(1.0, greatest(0.0, (o-a)/(z-a)))*100, 3) AS percent FROM e WHERE stage <> 'fetching'")
+@query("stage_fraction", f"WITH {b.DELTAS}, x AS (SELECT video_id, stage, seconds, seconds/50 AS o FROM del), e AS (SELECT *, CASE stage WHEN 'compressing' THEN 0.0 WHEN 'storing' THEN 0.15 WHEN 'transcribing' THEN 0.19 WHEN 'diarizing' THEN 0.61 WHEN 'merging' THEN 0.73 WHEN 'correcting' THEN 0.85 END::DOUBLE AS a, CASE stage WHEN 'compressing' THEN 0.15 WHEN 'storing' THEN 0.19 WHEN 'transcribing' THEN 0.61 WHEN 'diarizing' THEN 0.73 WHEN 'merging' THEN 0.85 WHEN 'correcting' THEN 0.92 END::DOUBLE AS z FROM x) SELECT video_id, stage, round(CASE WHEN a IS NOT NULL THEN least(1.0, greatest(0.0, (o-a)/(z-a)))*100 END, 3) AS percent FROM e")
 def _(s, d):
-    t = b.stage_deltas(s, d).where("stage <> 'fetching'").withColumn("overall", F.col("seconds") / 50)
+    t = b.stage_deltas(s, d).withColumn("overall", F.col("seconds") / 50)
     return library.stage_fraction(t).select("video_id", "stage", "percent")
 
 
-@query("stream_event_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1,2")
+_COUNTS = "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1,2"
+_GAPS = "WITH m AS (SELECT user_id AS video_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT video_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY video_id, s"
+
+
+@query("event_counts", _COUNTS)
 def _(s, d):
     return library.event_counts(b.job_events(s, d))
 
 
-@query("stream_heartbeat_gaps", "WITH m AS (SELECT user_id AS video_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT video_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY video_id, s")
+@query("heartbeat_gaps", _GAPS)
 def _(s, d):
     return library.heartbeat_sessions(b.job_events(s, d))

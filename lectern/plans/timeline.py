@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -289,13 +291,13 @@ def _(s, d):
 
 # ---- streams, run to the end of what there is
 
-@query("stream_stage_timers", "WITH c AS (SELECT user_id AS video_id, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT video_id, stage, CAST(sum(us) AS BIGINT) AS us FROM c WHERE us IS NOT NULL GROUP BY 1, 2")
+@query("stream_stage_timers", "WITH c AS (SELECT user_id AS video_id, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT video_id, stage, CAST(sum(us) AS BIGINT) AS us FROM c WHERE us IS NOT NULL AND stage <> 'error' GROUP BY 1, 2")
 def _(s, d):
     changes = jobs.table_stream(s, d, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("ts").alias("created_at"))
-    return jobs.finished(jobs.stage_clocks(changes)).groupBy("video_id", "stage").agg(F.sum("us").alias("us"))
+    return jobs.finished(jobs.stage_clocks(changes)).where("not late").groupBy("video_id", "stage").agg(F.sum("us").alias("us"))
 
 
-@query("stage_timers", "WITH c AS (SELECT user_id AS video_id, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT video_id, stage, CAST(sum(us) AS BIGINT) AS us FROM c WHERE us IS NOT NULL GROUP BY 1, 2")
+@query("stage_timers", "WITH c AS (SELECT user_id AS video_id, event_type AS stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT video_id, stage, CAST(sum(us) AS BIGINT) AS us FROM c WHERE us IS NOT NULL AND stage <> 'error' GROUP BY 1, 2")
 def _(s, d):
     return jobs.stage_times(b.table(s, d, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("ts").alias("created_at")))
 
@@ -305,3 +307,34 @@ def _(s, d):  # every chunk comes twice
     segment = F.struct(F.lit(500).cast("long").alias("start_ms"), (F.length("text") + 500).cast("long").alias("end_ms"), "text")
     c = jobs.table_stream(s, d, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("chunk_no"), F.timestamp_seconds(F.col("turn") * 60 + 86_400).alias("created_at"), (F.col("turn") * 60_000).alias("offset_ms"), F.array(segment).alias("segments"))
     return jobs.finished(jobs.append_asr(c.withColumn("_again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_again")))
+
+
+def _event_stream(s, d):
+    return jobs.table_stream(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("video_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+@query("stream_event_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1,2")
+def _(s, d):
+    return jobs.finished(jobs.event_counts(_event_stream(s, d)), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_heartbeat_gaps", "WITH m AS (SELECT user_id AS video_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT video_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY video_id, s")
+def _(s, d):
+    return jobs.finished(jobs.heartbeat_sessions(_event_stream(s, d)), "complete").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query("stream_stitch_turns")
+def _(s, d):  # chunks as a stream of the files that hold them
+    place = f"{jobs.shared_folder(s)}/chunks-{uuid.uuid4().hex}"
+    chunks = _chunks(s, d)
+    chunks.write.parquet(place)
+    return jobs.finished(jobs.stitch_turns(s.readStream.schema(chunks.schema).parquet(place)))
+
+
+@query("stream_refill")
+def _(s, d):  # rows without a vector get one as they come
+    place = f"{jobs.shared_folder(s)}/refill-{uuid.uuid4().hex}"
+    e = b.vectors(s, d).select("id", "text", "embedding")
+    e.write.parquet(f"{place}/in")
+    jobs.refill(s.readStream.schema(e.schema).parquet(f"{place}/in"), "text", embedding.hashing_model(64), 64, f"{place}/out", f"{place}/state").awaitTermination()
+    return s.read.parquet(f"{place}/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,10 +22,21 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine without it a temporary folder, on a cluster that is an error."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return place or tempfile.mkdtemp(prefix="spark-streams-")
+
+
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all input there is now, through files in the shared checkpoint folder."""
+    """What a stream gives for all input there is now, through files in the shared checkpoint folder: all appended rows, or the last
+    complete result."""
+    if mode not in ("append", "complete"):
+        raise ValueError("append or complete")
     spark = stream.sparkSession
-    place = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lectern-checkpoint')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{place}/rows").start()
@@ -73,29 +85,41 @@ def stage_times(changes: DataFrame) -> DataFrame:
     """video_id, stage, us (microseconds): closed clocks of changes (video_id, id, stage, created_at) of a table."""
     after = F.lead("created_at").over(Window.partitionBy("video_id").orderBy("created_at", "id"))
     us = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
-    return changes.select("video_id", "stage", us.alias("us")).where("us is not null").groupBy("video_id", "stage").agg(F.sum("us").alias("us"))
+    rows = changes.select("video_id", "stage", us.alias("us")).where(F.col("us").isNotNull() & ~F.col("stage").isin(*FINAL))
+    return rows.groupBy("video_id", "stage").agg(F.sum("us").alias("us"))
+
+
+#: Stages after which a video's clock doesn't run.
+FINAL = ("ready", "error")
 
 
 def stage_clocks(changes: DataFrame) -> DataFrame:
-    """video_id, stage, us (microseconds): a row for each closed clock of a stream of changes; their sums by stage are stage_times.
+    """video_id, stage, us (microseconds), late: a row for each closed clock of a stream of changes; their sums by stage are stage_times.
 
-    The state is a video's open stage. A video's rows of one micro-batch are put in order in memory; the source's limit
-    a trigger (maxFilesPerTrigger, maxBytesPerTrigger) bounds them.
+    The state is a video's open stage, which ends with a stage of FINAL. A change older than the state can't be set
+    in any more: it gives a row with late and no us, so that what a stream lacks against the table is counted. A video's
+    rows of one micro-batch are put in order in memory; the source's limit a trigger (maxFilesPerTrigger,
+    maxBytesPerTrigger) bounds them.
     """
 
     def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at = state.get if state.exists else None
         rows = []
         for r in pd.concat(batches).sort_values(["at_us", "id"]).itertuples(index=False):
-            if at is not None and r.at_us >= at[1]:
-                rows.append((key[0], at[0], int(r.at_us) - at[1]))
-            if at is None or r.at_us >= at[1]:
-                at = (r.stage, int(r.at_us))
-        state.update(at)
-        yield pd.DataFrame(rows, columns=["video_id", "stage", "us"])
+            if at is not None and r.at_us < at[1]:
+                rows.append((key[0], r.stage, None, True))
+                continue
+            if at is not None:
+                rows.append((key[0], at[0], int(r.at_us) - at[1], False))
+            at = None if r.stage in FINAL else (r.stage, int(r.at_us))
+        if at is not None:
+            state.update(at)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["video_id", "stage", "us", "late"]).astype({"us": "Int64"})
 
     told = changes.select("video_id", "id", "stage", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_us"))
-    return told.groupBy("video_id").applyInPandasWithState(close, "video_id long, stage string, us long", "stage string, at_us long", "append", GroupStateTimeout.NoTimeout)
+    return told.groupBy("video_id").applyInPandasWithState(close, "video_id long, stage string, us long, late boolean", "stage string, at_us long", "append", GroupStateTimeout.NoTimeout)
 
 
 def refill(stream: DataFrame, text: str, model: Model, dim: int, path: str, checkpoint: str):
