@@ -1,4 +1,8 @@
-"""Gradient-boosted trees for a few dozen columns, as flat node arrays, with monotonic constraints."""
+"""Gradient-boosted trees for a few dozen columns, as flat node arrays, with monotonic constraints.
+
+Defined cases: no rows, or labels of one kind only: the forest gives the base rate (an even one without rows); equal values
+are never parted; not-a-number isn't expected in a column.
+"""
 
 from __future__ import annotations
 
