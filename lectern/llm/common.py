@@ -7,8 +7,10 @@ contract speaks of ASCII classes, because ``bytes.lower``/``bytes.split`` are ex
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +119,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_SCOPES = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within, but for those stored with ``last``, are deleted at the end: what is returned mustn't read them."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in scopes.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps don't recompute it and survive lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    scopes = _SCOPES.__dict__.get("open")
+    if scopes and not last:
+        scopes[-1].append(path)
     before = spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, WordHashes, mixed, schema_of, stored
+from .common import SLICE_ROWS, WordHashes, mixed, schema_of, stored, temporary
 from .components import components
 
 #: Rows of a group that are compared with others in one piece.
@@ -432,9 +432,9 @@ def links_within(rows: DataFrame, rule: Rule) -> DataFrame:
     return dealt(rows).mapInArrow(run, schema)
 
 
-def still_split(met: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (key, vid) of ``met`` in groups of several components, with comp and the group's top, many, outside."""
-    by_key = met.join(components(links), "vid", "left").select("vid", "key", F.coalesce("comp", "vid").alias("comp"))
+def still_split(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, vid) of ``met`` in groups of several components (labels: vid, comp), with comp and the group's top, many, outside."""
+    by_key = met.join(labels, "vid", "left").select("vid", "key", F.coalesce("comp", "vid").alias("comp"))
     each = by_key.groupBy("key", "comp").agg(F.count("*").alias("n"))
     groups = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("many")).where("top.n < many")
     groups = stored(groups.select("key", "top.comp", "many", (F.col("many") - F.col("top.n")).alias("outside")).withColumnRenamed("comp", "top"), "jaccard-groups")
@@ -456,7 +456,8 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
 
     star = met.where("hub.vid <> vid").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("hub.vid").alias("a"), F.col("vid").alias("b"))
     links = stored(checked(allowed(star, marks, rule), sets, rule), "jaccard-links")
-    split = still_split(met, links)
+    labels = components(links)
+    split = still_split(met, labels)
     while not split.isEmpty():
         near = stored(proposals(split.join(marks, "vid"), rule), "jaccard-near")
         if near.isEmpty():
@@ -468,20 +469,24 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
             rows_left = stored(split.join(near.select("key", "vid"), ["key", "vid"], "left_semi"), "jaccard-open")
             whole = of_ids(each.select("vid", "size", "bitmap", "elements"), rows_left.select("vid").distinct())
             found = stored(links_within(rows_left.join(whole, "vid"), rule), "jaccard-links")
+        if last and found.isEmpty():
+            break
         links = links.union(found)
+        labels = components(links)
         if last:
             break
-        split = still_split(split.select("vid", "key"), links)
-    return rows.select("doc_id", "text_key", "n_shingles", "vid").join(components(links), "vid", "left")
+        split = still_split(split.select("vid", "key"), labels)
+    return rows.select("doc_id", "text_key", "n_shingles", "vid").join(labels, "vid", "left")
 
 
 def query(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id in its component) of each document."""
-    rows = linked_components(docs, rule)
-    named = stored(rows.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "vid"))), "jaccard-named")
-    # a component may have a third of all rows: its smallest id is a partial aggregate, stored, so that Spark splits the join back
-    names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
-    names = stored(names.select("comp", "least"), "jaccard-names")
+    with temporary(docs.sparkSession):
+        rows = linked_components(docs, rule)
+        named = stored(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "vid")).alias("comp")), "jaccard-named", last=True)
+        # a component may have a third of all rows: its smallest id is a partial aggregate, stored, so that Spark splits the join back
+        names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
+        names = stored(names.select("comp", "least"), "jaccard-names", last=True)
     return named.join(names, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -493,13 +498,14 @@ def first_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     Documents without words all stay. Rows are known by id and a 64-bit hash of the text, so rows that share an id,
     or have none, fare each by its own text.
     """
-    rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").withColumn("comp", F.coalesce("comp", "vid"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vid", "text_key")
-    rows = stored(rows, "jaccard-named")
-    least = stored(rows.groupBy("comp").agg(F.min(place).alias("_least"), F.count("*").alias("_many")).where("_many > 1").select("comp", "_least"), "jaccard-names")
-    fate = rows.join(least, "comp").groupBy("doc_id", "text_key").agg(F.max(place > F.col("_least")).alias("drop"), F.count("*").alias("many"))
-    # a row that is dropped, or stays as one of several equal ones: the others of ``docs`` aren't in it
-    fate = stored(fate.where("drop or many > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop")), "jaccard-fate")
+    with temporary(docs.sparkSession):
+        rows = linked_components(docs.select("doc_id", "text"), rule).where("n_shingles > 0").withColumn("comp", F.coalesce("comp", "vid"))
+        rows = stored(rows, "jaccard-named")
+        least = stored(rows.groupBy("comp").agg(F.min(place).alias("_least"), F.count("*").alias("_many")).where("_many > 1").select("comp", "_least"), "jaccard-names")
+        fate = rows.join(least, "comp").groupBy("doc_id", "text_key").agg(F.max(place > F.col("_least")).alias("drop"), F.count("*").alias("many"))
+        # a row that is dropped, or stays as one of several equal ones: the others of ``docs`` aren't in it
+        fate = stored(fate.where("drop or many > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop")), "jaccard-fate", last=True)
     packed = docs.select(F.col("doc_id").alias("_order"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
     same = F.col("_order").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
     kept, twice = packed.join(fate.where("_drop"), same, "left_anti"), fate.where("not _drop")
