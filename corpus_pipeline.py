@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents.
+
+Defined cases, stage by stage: a null or empty text fails the quality rules; near copies: rows are judged one by one, also
+those that share an id or have none, and of rows equal in id and text one stays; a null text has no secret; mix: a null
+source is one of its own, and every row is kept; BPE: every row gives one row. Empty tables give empty results at each
+stage, and further columns of documents, whatever their names, go along to the last stage, which has its own.
 """
 
 from __future__ import annotations

@@ -175,7 +175,8 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
 
 
 def vec_to_text(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
+    """[x,y,…] with seven places, halves to the even digit."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", F.bround(x.cast("double"), 7))), ","), F.lit("]"))
 
 
 def text_to_vec(t: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, clip_words, clock, parse_range, squeezed
+from ..functions.scalars import clip, clip_words, clock, parse_range, sentence_closed, squeezed
 from .library import recent_messages
 from .spans import merge_hit_spans, overlap_join, union_spans
 
@@ -228,12 +228,25 @@ def marked_lines(messages: DataFrame, most: int = 30) -> DataFrame:
 
 
 def current_sentence(played: DataFrame) -> DataFrame:
-    """played (start_ms, end_ms, text, at_ms) with `sentence`: the one spoken at at_ms, in proportion to the number of sentences."""
+    """played (start_ms, end_ms, text, at_ms) with `sentence`: the one spoken at at_ms.
+
+    With timed words (array of text, start_ms) the one around the last word that has begun; without, in proportion to
+    the number of sentences.
+    """
     parts = F.filter(F.transform(F.split("text", r"(?<=[.!?…])\s+"), F.trim), lambda p: p != "")
     ratio = (F.col("at_ms") - F.col("start_ms")) / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
     held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio))
     n = F.least(F.size(parts) - 1, F.floor(held * F.size(parts)).cast("int"))
-    return played.withColumn("sentence", F.coalesce(F.get(parts, n), F.lit("")))
+    untimed = F.coalesce(F.get(parts, n), F.lit(""))
+    if "words" not in played.columns:
+        return played.withColumn("sentence", untimed)
+    begun = F.size(F.filter("words", lambda w: w["start_ms"] <= F.col("at_ms") + 30))
+    at = F.greatest(begun - 1, F.lit(0))
+    ends = F.filter(F.transform("words", lambda w, i: F.when(sentence_closed(w["text"]), i)), lambda i: i.isNotNull())
+    first = F.coalesce(F.array_max(F.filter(ends, lambda i: i < at)) + 1, F.lit(0))
+    last = F.coalesce(F.array_min(F.filter(ends, lambda i: i >= at)), F.size("words") - 1)
+    timed = F.array_join(F.transform(F.slice("words", first + 1, last - first + 1), lambda w: w["text"]), " ")
+    return played.withColumn("sentence", F.when(F.size("words") > 0, timed).otherwise(untimed))
 
 
 def expand_quotes(messages: DataFrame, segments: DataFrame) -> DataFrame:

@@ -178,6 +178,9 @@ def test_index_spans(spark):
 def test_current_sentence(spark):
     p = spark.createDataFrame([(0, 10_000, "Раз. Два! Три?", at) for at in (-5, 0, 4000, 9999, 50_000)] + [(0, 1, "", 0)], "start_ms long, end_ms long, text string, at_ms long")
     assert [r.sentence for r in cards.current_sentence(p).collect()] == ["Раз.", "Раз.", "Два!", "Три?", "Три?", ""]
+    words = [(w, 100 * i) for i, w in enumerate("Раз и. Два! Три и".split())]
+    t = spark.createDataFrame([(0, 500, "Раз и. Два! Три и", at, words) for at in (-50, 0, 169, 170, 250, 300, 900)] + [(0, 9, "Да.", 1, [])], "start_ms long, end_ms long, text string, at_ms long, words array<struct<text string, start_ms long>>")
+    assert [r.sentence for r in cards.current_sentence(t).collect()] == ["Раз и.", "Раз и.", "Раз и.", "Два!", "Два!", "Три и", "Три и", "Да."]
 
 
 def test_model_answers(spark):
@@ -229,3 +232,24 @@ def test_bound_topics_and_marks(spark):
     assert [(r.start_ms, r.end_ms) for r in cards.bound_topics(rows, ["video_id"], "t").orderBy("t").collect()] == [(0, 10_000), (10_000, 30_000), (30_000, 45_000)]
     m = spark.createDataFrame([(1, 0, "user", "@0:01-0:02"), (1, 1, "assistant", "тема @0:00-5:00\nбез\nещё [5:00–9:30]"), (1, 2, "assistant", "пусто")], "conv_id long, turn long, role string, text string")
     assert [(r.start, r.end) for r in cards.marked_lines(m).orderBy("place").collect()] == [(0, 300), (300, 570)]
+
+
+def test_clocks_end_and_late_changes_are_told(spark, tmp_path):
+    from lectern.streaming import jobs
+
+    ddl = "video_id long, id long, stage string, created_at timestamp"
+    at = lambda s: f"timestamp_seconds({s})"
+    parts = [
+        [(1, 1, "fetching", 0), (1, 2, "merging", 10), (2, 1, "merging", 5)],
+        [(1, 3, "late", 7), (1, 4, "ready", 30), (2, 2, "error", 6)],
+        [(1, 5, "merging", 100), (1, 6, "naming", 101)],
+    ]
+    for k, rows in enumerate(parts):
+        made = spark.createDataFrame(rows, "video_id long, id long, stage string, s long").selectExpr("video_id", "id", "stage", f"{at('s')} as created_at")
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = [(r.video_id, r.stage, r.us, r.late) for r in jobs.finished(jobs.stage_clocks(stream)).collect()]
+    second = 1_000_000
+    assert sorted(got, key=repr) == sorted([(1, "fetching", 10 * second, False), (1, "late", None, True), (1, "merging", 20 * second, False), (2, "merging", second, False), (1, "merging", second, False)], key=repr)
+    with pytest.raises(ValueError):
+        jobs.finished(stream, "update")
