@@ -338,3 +338,26 @@ def _(s, d):  # rows without a vector get one as they come
     e.write.parquet(f"{place}/in")
     jobs.refill(s.readStream.schema(e.schema).parquet(f"{place}/in"), "text", embedding.hashing_model(64), 64, f"{place}/out", f"{place}/state").awaitTermination()
     return s.read.parquet(f"{place}/out")
+
+
+# ---- sinks, written to the shared folder and read back
+
+@query("write_transcript", f"WITH {b.SEGMENTS} SELECT id, CASE WHEN video_id%3=0 THEN 'новый ' || text ELSE text END AS text FROM seg WHERE NOT (video_id%3=0 AND position%2=1)")
+def _(s, d):  # every third video is written again, with half of its segments
+    path = f"{jobs.shared_folder(s)}/transcripts-{uuid.uuid4().hex}"
+    seg = b.segments(s, d)
+    transcripts.write_transcript(seg, path)
+    transcripts.write_transcript(seg.where("video_id % 3 = 0 and position % 2 = 0").withColumn("text", F.concat(F.lit("новый "), "text")), path)
+    return s.read.schema(seg.schema).parquet(path).select("id", "text")
+
+
+@query("write_index", "SELECT vec_id AS id, CASE WHEN label%2=0 THEN 'новый' ELSE 'старый' END AS text, CASE WHEN label%2=0 THEN 'ready' ELSE 'building' END AS status FROM embeddings")
+def _(s, d):  # the indexes of every second video are built anew, and these are marked ready
+    path = f"{jobs.shared_folder(s)}/indexes-{uuid.uuid4().hex}"
+    e = b.vectors(s, d).select("video_id", (F.col("video_id") * 2 + F.col("id") % 2).alias("index_id"), "id", F.lit("старый").alias("text"))
+    new = e.where("video_id % 2 = 0").withColumn("text", F.lit("новый"))
+    transcripts.write_index(e, path)
+    transcripts.write_index(new, path)
+    indexes = e.select("video_id", "index_id").distinct().withColumn("status", F.lit("building"))
+    built = transcripts.mark_ready(indexes.where("video_id % 2 = 0"), new).unionByName(indexes.where("video_id % 2 = 1"))
+    return s.read.schema(e.schema).parquet(path).join(built, ["video_id", "index_id"]).select("id", "text", "status")

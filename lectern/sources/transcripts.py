@@ -29,6 +29,13 @@ def write_index(entries: DataFrame, path: str) -> None:
     _replace(entries, path, ["video_id", "index_id"])
 
 
+def mark_ready(indexes: DataFrame, entries: DataFrame) -> DataFrame:
+    """The indexes after a build: one that was building is ready if it has entries, else an error; others stay as they are."""
+    have = entries.select("video_id", "index_id").distinct().withColumn("_have", F.lit(True))
+    done = F.when(F.col("status") != "building", F.col("status")).when(F.col("_have"), "ready").otherwise("error")
+    return indexes.join(have, ["video_id", "index_id"], "left").withColumn("status", done).drop("_have")
+
+
 def _replace(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
