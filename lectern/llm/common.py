@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ SLICE_ROWS = 256
 BATCH_ROWS = 1024
 #: Entries of a worker's word cache; it is emptied when full, so memory stays bounded on any vocabulary.
 CACHE_WORDS = 250_000
+#: Bytes of text of such a slice, where a text doesn't exceed them alone.
+SLICE_BYTES = 4 << 20
 
 #: Spark's setting by which a query's shuffle files go when it ends, rather than when the driver collects garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -76,6 +79,20 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return df.mapInArrow(run, schema)
 
 
+def sized_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches with the values of a text column as UTF-8 bytes: SLICE_ROWS rows and about SLICE_BYTES bytes at most."""
+    for b in batches:
+        text = b.column(column)
+        text = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
+        total = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        at = 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(total, total[at] + SLICE_BYTES, side="right")) - 1
+            to = min(max(to, at + 1), at + SLICE_ROWS, b.num_rows)
+            yield b.slice(at, to - at), text.slice(at, to - at).to_pylist()
+            at = to
+
+
 class WordHashes(dict):
     """bytes word -> 64-bit hash, kept for repeated words."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, license_scan, lm_scoring, media_columns, mixing, quality_classifier, quality_rules, secret_scan
+from . import byte_bpe, fill_middle, jaccard_join, language_id, license_scan, lm_scoring, media_columns, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash
 from .common import documents, fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,8 +62,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(documents(spark, sf_dir), NEAR)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(documents(spark, sf_dir))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_lm_scores, op3_byte_bpe, op4_quality_rules, op5_secret_scan, op6_language_id, op7_quality_classifier, op8_media_columns, op9_license_scan, op10_jaccard_join)
+    own = (op1_mix_sources, op2_lm_scores, op3_byte_bpe, op4_quality_rules, op5_secret_scan, op6_language_id, op7_quality_classifier, op8_media_columns, op9_license_scan, op10_jaccard_join, op11_simhash, op12_periodic_runs, op13_fill_middle)
     return {f.__name__: f for f in own}
 
 
