@@ -1,7 +1,8 @@
 """Ordered folds: results that depend on where the previous cut fell.
 
-Rows are dealt by key and sorted; a task streams through its rows in Arrow batches and holds the state of one key only,
-so a long key never stands in memory as a whole. Only numbers move: texts are joined back where they are needed.
+Parts that are cut by a threshold since the last cut are folded in blocks of a key's rows by functions over arrays, all
+blocks at once (block_fold). What needs a larger state streams through Arrow batches with one key's state
+(ordered_fold). Only numbers move: texts are joined back where they are needed.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock
+from ..sources.scratch import stored
 
 CHAPTER_MS, WINDOW_MS, ATOM_MS, TOPIC_MS = 50_000, 600_000, 150_000, 360_000
 
@@ -40,6 +42,69 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[
     return dealt.mapInPandas(run, f"{types}, {out}")
 
 
+#: Rows of a block at most, as positions are whole numbers.
+BLOCK = 8_192
+_STATE = "struct<origin: bigint, end_ms: bigint, speaker: string>"
+
+
+def block_fold(df: DataFrame, keys: list[str], place: str, cut: Callable[[Column, Column], Column], moved: Callable[[Column], Column] | None = None) -> DataFrame:
+    """keys, place, start_ms, end_ms, no and origin: parts of a key's rows, in order of ``place`` (whole numbers), and where each row's began.
+
+    cut(s, r) tells whether row r begins a new part, s being the open one (origin, and end_ms and speaker of its last row);
+    moved(s) whether the open one begins at r after all. Rows are gathered in blocks of BLOCK places, an array each, and
+    folded there. A key of several blocks is folded in all of them at once, each from the state that the block before ended in so
+    far, until no block's beginning changes: parts soon fall together, whatever a block began with, so a few
+    rounds do; at worst one a block. No step has more of a key than a block in one row.
+    """
+    fields = ["start_ms", "end_ms", "speaker"] if "speaker" in df.columns else ["start_ms", "end_ms"]
+    extra = [c for c in df.columns if c not in (*keys, place, *fields)]
+    row = F.struct(F.col(place).cast("long").alias("place"), *(F.col(c).cast("long").alias(c) for c in fields[:2]), (F.col("speaker") if len(fields) > 2 else F.lit("")).alias("speaker"), *extra)
+    blocks = df.groupBy(*keys, F.floor(F.col(place) / BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
+        cuts = s.isNotNull() & cut(s, r)
+        begins = s.isNull() | cuts if moved is None else s.isNull() | cuts | moved(s)
+        state = F.struct(F.when(begins, r["start_ms"]).otherwise(s["origin"]).alias("origin"), r["end_ms"].alias("end_ms"), r["speaker"].alias("speaker"))
+        return cuts, state.cast(_STATE)
+
+    def walked(entry: Column) -> Column:
+        """The state after the block's rows."""
+        return F.aggregate("_rows", entry, lambda s, r: step(s, r)[1])
+
+    def told(entry: Column) -> Column:
+        """For each row the number of cuts in the block so far and the origin of its part."""
+        zero = F.struct(entry.alias("s"), F.lit(0).cast("long").alias("no"), F.array().cast("array<struct<no: bigint, origin: bigint>>").alias("out"))
+
+        def add(a: Column, r: Column) -> Column:
+            cuts, s = step(a["s"], r)
+            no = a["no"] + cuts.cast("long")
+            return F.struct(s.alias("s"), no.alias("no"), F.concat(a["out"], F.array(F.struct(no.alias("no"), s["origin"].alias("origin")))).alias("out")).cast(f"struct<s: {_STATE}, no: bigint, out: array<struct<no: bigint, origin: bigint>>>")
+
+        return F.aggregate("_rows", zero.cast(f"struct<s: {_STATE}, no: bigint, out: array<struct<no: bigint, origin: bigint>>>"), add, lambda a: a["out"])
+
+    begun = F.lit(None).cast(_STATE)
+    long = df.where(F.floor(F.col(place) / BLOCK) != 0).limit(1)  # a key may also begin beyond the first block: then the rounds end at once
+    if not long.isEmpty():
+        before = Window.partitionBy(*keys).orderBy("_block")
+        blocks = stored(blocks, "fold-blocks")
+        ends = stored(blocks.select(*keys, "_block", begun.alias("entry"), walked(begun).alias("exit")), "fold-ends")
+        while True:
+            now = ends.withColumn("_new", F.lag("exit").over(before))
+            now = stored(now.withColumn("_moved", ~F.col("_new").eqNullSafe(F.col("entry"))), "fold-entries")
+            if now.where("_moved").isEmpty():
+                break
+            again = now.where("_moved").select(*keys, "_block", F.col("_new").alias("entry")).join(blocks, [*keys, "_block"]).select(*keys, "_block", "entry", walked(F.col("entry")).alias("exit"))
+            ends = stored(now.where("not _moved").select(*keys, "_block", "entry", "exit").unionByName(again), "fold-ends")
+        blocks = blocks.join(ends.select(*keys, "_block", "entry"), [*keys, "_block"]).withColumn("_told", told(F.col("entry")))
+        cuts = blocks.select(*keys, "_block", F.element_at("_told", -1)["no"].alias("_cuts"))
+        base = cuts.select(*keys, "_block", F.coalesce(F.sum("_cuts").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        blocks = blocks.join(base, [*keys, "_block"])
+    else:
+        blocks = blocks.withColumn("_told", told(begun)).withColumn("_base", F.lit(0).cast("long"))
+    each = blocks.select(*keys, "_base", F.explode(F.arrays_zip("_rows", "_told")).alias("x"))
+    return each.select(*keys, F.col("x._rows.place").alias(place), F.col("x._rows.start_ms").alias("start_ms"), F.col("x._rows.end_ms").alias("end_ms"), (F.col("_base") + F.col("x._told.no")).alias("no"), F.col("x._told.origin").alias("origin"))
+
+
 def _rejoined(parts: DataFrame, keys: list[str], part: str, least_ms: int) -> DataFrame:
     """A key's last part joins the one before where it spans less than least_ms."""
     spans = parts.groupBy(*keys, part).agg(F.min_by("start_ms", "position").alias("_a"), F.max_by("end_ms", "position").alias("_z"))
@@ -51,35 +116,21 @@ def _rejoined(parts: DataFrame, keys: list[str], part: str, least_ms: int) -> Da
 def topic_chapters(segments: DataFrame) -> DataFrame:
     """video_id, position, start_ms, end_ms, chapter_no: cut at 600 s, or from 50 s on at a pause of 2.5 s, or of 1 s with a new speaker."""
 
-    def step(s, position, start, end, speaker):
-        if s:
-            covered, gap = s["end"] - s["start"], start - s["end"]
-            if covered >= WINDOW_MS or covered >= CHAPTER_MS and (gap >= 2500 or gap >= 1000 and speaker != s["speaker"]):
-                s["no"], s["start"] = s["no"] + 1, start
-        else:
-            s["no"], s["start"] = 0, start
-        s["end"], s["speaker"] = end, speaker
-        yield position, start, end, s["no"]
+    def cut(s: Column, r: Column) -> Column:
+        covered, gap = s["end_ms"] - s["origin"], r["start_ms"] - s["end_ms"]
+        return (covered >= WINDOW_MS) | (covered >= CHAPTER_MS) & ((gap >= 2500) | (gap >= 1000) & (r["speaker"] != s["speaker"]))
 
-    told = segments.withColumn("speaker", F.coalesce("speaker", F.lit("")))
-    cut = ordered_fold(told, ["video_id"], ["position"], ["position", "start_ms", "end_ms", "speaker"], dict, step, "position long, start_ms long, end_ms long, chapter_no long")
-    return _rejoined(cut, ["video_id"], "chapter_no", CHAPTER_MS)
+    told = segments.select("video_id", "position", "start_ms", "end_ms", F.coalesce("speaker", F.lit("")).alias("speaker"))
+    parts = block_fold(told, ["video_id"], "position", cut).drop("origin").withColumnRenamed("no", "chapter_no")
+    return _rejoined(parts, ["video_id"], "chapter_no", CHAPTER_MS)
 
 
 def topic_atoms(segments: DataFrame) -> DataFrame:
     """video_id, chapter_no, position, start_ms, end_ms, atom_no (within the chapter): cut from 50 s on where a row would pass 150 s."""
-
-    def step(s, position, start, end):
-        if not s:
-            s["no"], s["start"] = 0, start
-        elif s["end"] - s["start"] >= CHAPTER_MS and end - s["start"] > ATOM_MS:
-            s["no"], s["start"] = s["no"] + 1, start
-        s["end"] = end
-        yield position, start, end, s["no"]
-
     keys = ["video_id", "chapter_no"]
-    cut = ordered_fold(topic_chapters(segments), keys, ["position"], ["position", "start_ms", "end_ms"], dict, step, "position long, start_ms long, end_ms long, atom_no long")
-    return _rejoined(cut, keys, "atom_no", CHAPTER_MS)
+    cut = lambda s, r: (s["end_ms"] - s["origin"] >= CHAPTER_MS) & (r["end_ms"] - s["origin"] > ATOM_MS)
+    parts = block_fold(topic_chapters(segments), keys, "position", cut).drop("origin").withColumnRenamed("no", "atom_no")
+    return _rejoined(parts, keys, "atom_no", CHAPTER_MS)
 
 
 def topic_groups(atoms: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -88,14 +139,9 @@ def topic_groups(atoms: DataFrame, verdicts: DataFrame) -> DataFrame:
     atoms: video_id, atom_no (over the video), start_ms, end_ms. verdicts: video_id, atom_no, is_start; an atom without
     one starts a topic, as the first does.
     """
-
-    def step(s, atom, start, end, is_start):
-        if not s or is_start or end - s["start"] > TOPIC_MS:
-            s["no"], s["start"] = s.get("no", -1) + 1, start
-        yield atom, start, end, s["no"]
-
-    told = atoms.join(verdicts, ["video_id", "atom_no"], "left").withColumn("is_start", F.coalesce("is_start", F.lit(True)))
-    return ordered_fold(told, ["video_id"], ["atom_no"], ["atom_no", "start_ms", "end_ms", "is_start"], dict, step, "atom_no long, start_ms long, end_ms long, topic_no long")
+    told = atoms.select("video_id", "atom_no", "start_ms", "end_ms").join(verdicts.select("video_id", "atom_no", "is_start"), ["video_id", "atom_no"], "left").withColumn("is_start", F.coalesce("is_start", F.lit(True)))
+    cut = lambda s, r: r["is_start"] | (r["end_ms"] - s["origin"] > TOPIC_MS)
+    return block_fold(told, ["video_id"], "atom_no", cut).select("video_id", "atom_no", "start_ms", "end_ms", F.col("no").alias("topic_no"))
 
 
 def windows(segments: DataFrame, most_chars: int = 7000, carry_ms: int = 30_000) -> DataFrame:
@@ -134,18 +180,12 @@ def pack_speech(regions: DataFrame, max_ms: int = 22_000, min_ms: int = 15_000,
     strict_ms is cut into equal parts; a last one of new_ms or less is dropped.
     """
 
-    def step(s, region, start, end):
-        long = s["end"] - s["start"] if s else 0
-        if not s:
-            s.update(no=0, start=start)
-        elif long == 0:
-            s["start"] = start
-        elif long > new_ms and (long + end - s["end"] > max_ms or long > min_ms):
-            s.update(no=s["no"] + 1, start=start)
-        s["end"] = end
-        yield region, s["no"], s["start"], end
-
-    packed = ordered_fold(regions, ["video_id"], ["region_no"], ["region_no", "start_ms", "end_ms"], dict, step, "region_no long, piece_no long, start_ms long, end_ms long")
+    def cut(s: Column, r: Column) -> Column:
+        long = s["end_ms"] - s["origin"]
+        return (long > new_ms) & ((long + r["end_ms"] - s["end_ms"] > max_ms) | (long > min_ms))
+
+    regions = regions.select("video_id", "region_no", "start_ms", "end_ms")
+    packed = block_fold(regions, ["video_id"], "region_no", cut, moved=lambda s: s["end_ms"] == s["origin"]).select("video_id", "region_no", F.col("no").alias("piece_no"), F.col("origin").alias("start_ms"), "end_ms")
     pieces = packed.groupBy("video_id", "piece_no").agg(F.max_by("start_ms", "region_no").alias("a"), F.max_by("end_ms", "region_no").alias("z")).where(F.col("z") - F.col("a") > new_ms)
     long = F.col("z") - F.col("a")
     cut = pieces.withColumn("n", F.when(long > strict_ms, F.floor(long / strict_ms) + 1).otherwise(1)).withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

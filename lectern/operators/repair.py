@@ -52,9 +52,13 @@ def clean_words(words: Column) -> Column:
 
 
 def shift_times(segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Times within a chunk as times of the video."""
+    """Times within a chunk as times of the video, also those of the words (structs with start_ms and end_ms), if there are any."""
     c = chunks.select("video_id", "chunk_no", F.col("start_ms").alias("_at"))
-    return segments.join(c, ["video_id", "chunk_no"]).withColumn("start_ms", F.col("start_ms") + F.col("_at")).withColumn("end_ms", F.col("end_ms") + F.col("_at")).drop("_at")
+    at = lambda t: t + F.col("_at")
+    s = segments.join(c, ["video_id", "chunk_no"]).withColumn("start_ms", at(F.col("start_ms"))).withColumn("end_ms", at(F.col("end_ms")))
+    if "words" in segments.columns:
+        s = s.withColumn("words", F.transform("words", lambda w: w.withField("start_ms", at(w["start_ms"])).withField("end_ms", at(w["end_ms"]))))
+    return s.drop("_at")
 
 
 def case_candidates(segments: DataFrame) -> DataFrame:

@@ -5,24 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, clock, dot, parse_clock, query_terms, unit
+from ..functions.scalars import clip, clock, parse_clock, query_terms
+from .nearest import nearest
+from .scans import running, time_bucket
 from .spans import overlap_join
 
 
-def nearest(questions: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Of the rows of each question's video the k nearest by cosine distance for each of ``keys``; ties by id.
-
-    Vectors are brought to length 1 once a row, so that a pair costs one dot product; pairs of unlike lengths are at
-    distance 2. Ranks below k are dropped inside each task before the exchange (a window's group limit), so that
-    a question's rows are never gathered.
-    """
-    q = questions.withColumn("q_vec", unit(F.col("q_vec"))).where("q_vec is not null")
-    r = rows.where("embedding is not null").withColumn("embedding", unit(F.col("embedding"))).where("embedding is not null")
-    near = F.when(F.size("q_vec") == F.size("embedding"), dot(F.col("q_vec"), F.col("embedding"))).otherwise(-1.0)
-    met = q.join(r, "video_id").withColumn("distance", F.round(1 - near, 6)).drop("q_vec", "embedding")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))).where(F.col("rank") <= k)
-
-
 def search_segments(questions: DataFrame, segments: DataFrame, k: int = 8) -> DataFrame:
     """The k segments of the question's video that are nearest."""
     return nearest(questions, segments, ["q_id"], k)
@@ -38,13 +26,14 @@ def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:
     """Hits (q_id, group_no, id, distance) of several groups as one list of ``limit``: the best of each group first in, filled with the best of the rest, by distance."""
     g = Window.partitionBy("q_id", "group_no").orderBy("distance", "id")
     h = hits.withColumn("_r", F.row_number().over(g)).where(F.col("_r") <= limit)
-    n = F.size(F.collect_set("group_no").over(Window.partitionBy("q_id")))
-    h = h.withColumn("_n", n).withColumn("_picked", F.when(F.col("_n") == 1, F.col("_r") <= limit).otherwise(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_n")))))
-    many = F.sum(F.col("_picked").cast("int")).over(Window.partitionBy("q_id"))
-    fill = F.row_number().over(Window.partitionBy("q_id", "_picked").orderBy("distance", "group_no", "_r"))
-    h = h.withColumn("_many", many).withColumn("_fill", fill).where("_picked or _fill <= %d - _many" % limit)
-    order = Window.partitionBy("q_id").orderBy("distance", F.col("_picked").desc(), "group_no", "_r")
-    return h.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("q_id", "place", "group_no", "id", "distance")
+    q = Window.partitionBy("q_id")
+    h = h.withColumn("_n", F.sum((F.col("_r") == 1).cast("int")).over(q))  # a group has one first hit
+    h = h.withColumn("_picked", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_n"))))
+    # the rest in the same order: how many of it come before, and what stays, is counted along one sort
+    order = q.orderBy("distance", F.col("_picked").desc(), "group_no", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("_many", F.sum(F.col("_picked").cast("int")).over(q)).withColumn("_fill", F.sum((~F.col("_picked")).cast("int")).over(order))
+    h = h.withColumn("_stays", F.col("_picked") | (F.col("_fill") <= limit - F.col("_many"))).withColumn("place", F.sum(F.col("_stays").cast("int")).over(order).cast("int"))
+    return h.where(F.col("_stays") & (F.col("place") <= limit)).select("q_id", "place", "group_no", "id", "distance")
 
 
 def find_segments(questions: DataFrame, segments: DataFrame, limit: int = 12) -> DataFrame:
@@ -107,11 +96,11 @@ def quote_token(segments: DataFrame, most: int = 48) -> DataFrame:
 
 
 def asof_segment(positions: DataFrame, segments: DataFrame, early_ms: int = 150) -> DataFrame:
-    """For each playback position (video_id, p_id, at_ms) the last segment that has begun by then, or -1: one sort, no range join."""
+    """For each playback position (video_id, p_id, at_ms) the last segment that has begun by then, or -1: one scan of both by time buckets, no range join."""
     p = positions.select("video_id", F.col("at_ms").alias("t"), F.lit(1).alias("kind"), "p_id", F.lit(None).cast("long").alias("segment"))
     s = segments.select("video_id", (F.col("start_ms") - early_ms).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("p_id"), F.col("position").cast("long").alias("segment"))
-    w = Window.partitionBy("video_id").orderBy("t", "kind", "segment").rowsBetween(Window.unboundedPreceding, 0)
-    return p.union(s).withColumn("active", F.coalesce(F.last("segment", ignorenulls=True).over(w), F.lit(-1))).where("kind = 1").select("video_id", "p_id", "active")
+    met = running(p.union(s), ["video_id"], ["t", "kind", "segment"], time_bucket("t"), {"_active": (F.col("segment"), "last")}, own=True)
+    return met.where("kind = 1").select("video_id", "p_id", F.coalesce("_active", F.lit(-1)).alias("active"))
 
 
 def asof_word(positions: DataFrame, segments: DataFrame, early_ms: int = 30) -> DataFrame:

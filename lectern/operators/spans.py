@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_MS = 60_000
-
+from .scans import running, time_bucket
 
-def _before(keys: list[str], *order: str):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+BUCKET_MS = 60_000
 
 
 def union_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Touching and overlapping spans of a key merged: keys, start_ms, end_ms."""
-    reach = F.max("end_ms").over(_before(keys, "start_ms", "end_ms"))
-    new = F.when(reach.isNull() | (F.col("start_ms") > reach), 1).otherwise(0)
-    island = F.sum("_new").over(Window.partitionBy(*keys).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("_new", new).withColumn("_island", island)
+    """Touching and overlapping spans of a key merged: keys, start_ms, end_ms. Scanned by time buckets, so a long key is many tasks."""
+    order = ["start_ms", "end_ms"]
+    reached = running(spans.select(*keys, *order), keys, order, time_bucket("start_ms"), {"_reach": (F.col("end_ms"), "max")})
+    new = F.when(F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach")), F.lit(1)).otherwise(0)
+    marked = running(reached.withColumn("_new", new), keys, order, time_bucket("start_ms"), {"_island": (F.col("_new"), "sum")}, own=True)
     return marked.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
 
 
 def subtract_spans(spans: DataFrame, holes: DataFrame, keys: list[str], least_ms: int = 1000) -> DataFrame:
     """Spans without the holes; pieces shorter than least_ms are dropped. Spans of a key don't overlap."""
-    h = union_spans(holes, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start_ms").alias("h_start"), F.col("end_ms").alias("h_end"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    met = spans.join(h, [*on, F.col("h_end") > F.col("start_ms"), F.col("h_start") < F.col("end_ms")], "left")
+    h = union_spans(holes, keys)
+    hit = overlap_join(spans.select(*keys, "start_ms", "end_ms"), h, keys).select(*keys, "start_ms", "end_ms", F.col("r_start_ms").alias("h_start"), F.col("r_end_ms").alias("h_end"))
+    met = hit.unionByName(spans.select(*keys, "start_ms", "end_ms").join(hit, [*keys, "start_ms", "end_ms"], "left_anti"), allowMissingColumns=True)
     w = Window.partitionBy(*keys, "start_ms", "end_ms").orderBy("h_start")
     left = met.select(*keys, F.coalesce(F.lag("h_end").over(w), F.col("start_ms")).alias("a"), F.coalesce("h_start", "end_ms").alias("b"))
     last = met.groupBy(*keys, "start_ms", "end_ms").agg(F.max("h_end").alias("a")).where("a is not null").select(*keys, "a", F.col("end_ms").alias("b"))
@@ -35,8 +33,8 @@ def subtract_spans(spans: DataFrame, holes: DataFrame, keys: list[str], least_ms
 def merge_hit_spans(hits: DataFrame, keys: list[str], pad_ms: int = 20_000, most_ms: int = 1_200_000) -> DataFrame:
     """Hits padded on both sides and merged, cut in time order where a key's total passes most_ms."""
     padded = hits.select(*keys, F.greatest(F.col("start_ms") - pad_ms, F.lit(0)).alias("start_ms"), (F.col("end_ms") + pad_ms).alias("end_ms"))
-    room = F.lit(most_ms) - F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(_before(keys, "start_ms")), F.lit(0))
-    m = union_spans(padded, keys).withColumn("_room", room).where("_room > 1000")
+    told = running(union_spans(padded, keys), keys, ["start_ms"], time_bucket("start_ms"), {"_told": (F.col("end_ms") - F.col("start_ms"), "sum")})
+    m = told.withColumn("_room", F.lit(most_ms) - F.col("_told")).where("_room > 1000")
     return m.select(*keys, "start_ms", F.least(F.col("end_ms"), F.col("start_ms") + F.col("_room")).alias("end_ms"))
 
 
@@ -44,8 +42,8 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / BUCKET_MS), F.floor(F.col("end_ms") / BUCKET_MS))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", inclusive: bool = False) -> DataFrame:
-    """Pairs of left and right rows of a key that overlap: left's columns, and right's under the prefix r_.
+def overlap_join(left: DataFrame, right: DataFrame, key: str | list[str] = "video_id", inclusive: bool = False) -> DataFrame:
+    """Pairs of left and right rows of a key (a column or several) that overlap: left's columns, and right's under the prefix r_.
 
     Both sides are dealt by key and time bucket, so a long key is split; a pair is kept in the bucket where its
     later start lies, so it comes once.
@@ -56,8 +54,9 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", inclu
         over = (F.col("r_start_ms") <= F.col("end_ms")) & (F.col("r_end_ms") >= F.col("start_ms"))
     else:
         over = (F.col("r_start_ms") < F.col("end_ms")) & (F.col("r_end_ms") > F.col("start_ms"))
-    met = _bucketed(left).join(r, (F.col(key) == F.col(f"r_{key}")) & (F.col("_bucket") == F.col("r__bucket")) & over)
-    return met.where(F.col("_bucket") == later).drop("_bucket", "r__bucket", f"r_{key}")
+    keys = [key] if isinstance(key, str) else key
+    met = _bucketed(left).join(r, [*(F.col(k) == F.col(f"r_{k}") for k in keys), F.col("_bucket") == F.col("r__bucket"), over])
+    return met.where(F.col("_bucket") == later).drop("_bucket", "r__bucket", *(f"r_{k}" for k in keys))
 
 
 def segments_in_spans(segments: DataFrame, spans: DataFrame) -> DataFrame:

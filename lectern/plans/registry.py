@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
-from ..operators import library, repair, search, spans, speakers
+from ..operators import ann, library, repair, search, spans, speakers
 from ..sources import bindings as b
+from ..operators.nearest import nearest
+from ..sources.scratch import stored
 from . import speech, timeline  # noqa: F401
 from .catalog import oracle_sql, queries, query  # noqa: F401
 
@@ -78,10 +80,30 @@ p AS (SELECT *, CASE WHEN n=1 THEN r<=8 ELSE r <= greatest(1, 8//n) END AS picke
 l AS (SELECT *, sum(picked::INT) OVER (PARTITION BY q_id) AS many, row_number() OVER (PARTITION BY q_id, picked ORDER BY distance, group_no, r) AS fill FROM p)
 SELECT q_id, CAST(place AS INTEGER) AS place, group_no, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, picked DESC, group_no, r) AS place FROM l WHERE picked OR fill <= 8-many) WHERE place <= 8""")
 def _(s, d):
-    near = search.nearest(b.questions(s, d), b.vectors(s, d).withColumn("group_no", F.col("id") % 3), ["q_id", "group_no"], 8)
+    near = nearest(b.questions(s, d), b.vectors(s, d).withColumn("group_no", F.col("id") % 3), ["q_id", "group_no"], 8)
     return search.merge_hits(near.select("q_id", "group_no", "id", "distance"))
 
 
+def _corpus(s, d):
+    e = b.table(s, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), "embedding")
+    return rows, rows.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_vec"))
+
+
+@query("search_corpus_exact", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id AS q_id, x.id, round(1 - list_dot_product(a.v, x.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(x.v, x.v)), 6) AS distance FROM e a, e x WHERE a.id%20=0)
+SELECT q_id, id, distance, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS r FROM d) WHERE r <= 8""")
+def _(s, d):  # of every twentieth vector the nearest of all videos
+    rows, questions = _corpus(s, d)
+    return ann.search_exact(questions, rows)
+
+
+@query("search_corpus")
+def _(s, d):  # the same over an index of lists; all rows are in it, the distances are exact, and some neighbours may be missed
+    rows, questions = _corpus(s, d)
+    fitted = ann.fit(rows)
+    return ann.search(stored(ann.index_rows(rows, fitted), "ann-index"), questions, rows, fitted)
+
+
 @query("find_segments", f"""WITH {b.SEGMENTS}, t AS (SELECT item_id AS q_id, item_id AS video_id, list_transform(list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]{{4,}}'), lambda x: lower(x))), lambda x: x) AS all_terms, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{4,}}') AS ws FROM benchmark),
 k AS (SELECT q_id, video_id, list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:4] AS terms FROM t)
 SELECT q_id, CAST(place AS INTEGER) AS place, id FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY position) AS place FROM k JOIN seg USING (video_id) WHERE len(list_filter(terms, lambda x: contains(lower(text), x))) > 0) WHERE place <= 12""")

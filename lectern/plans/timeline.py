@@ -11,6 +11,7 @@ from ..functions import scalars as f
 from ..operators import cards, embedding, fixes, folds, speakers, voices
 from ..sources import bindings as b
 from ..sources import transcripts
+from ..sources.scratch import shared_folder
 from ..streaming import jobs
 from .catalog import query
 
@@ -325,7 +326,7 @@ def _(s, d):
 
 @query("stream_stitch_turns")
 def _(s, d):  # chunks as a stream of the files that hold them
-    place = f"{jobs.shared_folder(s)}/chunks-{uuid.uuid4().hex}"
+    place = f"{shared_folder(s)}/chunks-{uuid.uuid4().hex}"
     chunks = _chunks(s, d)
     chunks.write.parquet(place)
     return jobs.finished(jobs.stitch_turns(s.readStream.schema(chunks.schema).parquet(place)))
@@ -333,7 +334,7 @@ def _(s, d):  # chunks as a stream of the files that hold them
 
 @query("stream_refill")
 def _(s, d):  # rows without a vector get one as they come
-    place = f"{jobs.shared_folder(s)}/refill-{uuid.uuid4().hex}"
+    place = f"{shared_folder(s)}/refill-{uuid.uuid4().hex}"
     e = b.vectors(s, d).select("id", "text", "embedding")
     e.write.parquet(f"{place}/in")
     jobs.refill(s.readStream.schema(e.schema).parquet(f"{place}/in"), "text", embedding.hashing_model(64), 64, f"{place}/out", f"{place}/state").awaitTermination()
@@ -342,22 +343,32 @@ def _(s, d):  # rows without a vector get one as they come
 
 # ---- sinks, written to the shared folder and read back
 
-@query("write_transcript", f"WITH {b.SEGMENTS} SELECT id, CASE WHEN video_id%3=0 THEN 'новый ' || text ELSE text END AS text FROM seg WHERE NOT (video_id%3=0 AND position%2=1)")
-def _(s, d):  # every third video is written again, with half of its segments
-    path = f"{jobs.shared_folder(s)}/transcripts-{uuid.uuid4().hex}"
+@query("write_transcript", f"WITH {b.SEGMENTS} SELECT id, CASE WHEN video_id%3=0 THEN 'новый ' || text ELSE text END AS text FROM seg WHERE NOT (video_id%3=0 AND position%2=1) AND NOT video_id%7=5")
+def _(s, d):  # every third video is written again, with half of its segments; of every seventh the new transcript is empty
+    return _written(s, d).read("segments").select("id", "text")
+
+
+@query("write_transcript_labels", f"WITH {b.SEGMENTS}, f AS (SELECT video_id, speaker AS label, min(position) AS p FROM seg WHERE speaker IS NOT NULL AND NOT (video_id%3=0 AND position%2=1) AND NOT video_id%7=5 GROUP BY 1,2) SELECT video_id, label, CAST(row_number() OVER (PARTITION BY video_id ORDER BY p) AS INTEGER) AS label_no, label AS name FROM f")
+def _(s, d):
+    return _written(s, d).read("speakers")
+
+
+def _written(s, d):
+    path = f"{shared_folder(s)}/transcripts-{uuid.uuid4().hex}"
     seg = b.segments(s, d)
-    transcripts.write_transcript(seg, path)
-    transcripts.write_transcript(seg.where("video_id % 3 = 0 and position % 2 = 0").withColumn("text", F.concat(F.lit("новый "), "text")), path)
-    return s.read.schema(seg.schema).parquet(path).select("id", "text")
+    transcripts.write_transcript(seg, path, buckets=8)
+    new = seg.where("video_id % 3 = 0 and position % 2 = 0 and video_id % 7 <> 5").withColumn("text", F.concat(F.lit("новый "), "text"))
+    transcripts.write_transcript(new, path, seg.where("video_id % 3 = 0 or video_id % 7 = 5").select("video_id"))
+    return transcripts.transcript_store(s, path)
 
 
-@query("write_index", "SELECT vec_id AS id, CASE WHEN label%2=0 THEN 'новый' ELSE 'старый' END AS text, CASE WHEN label%2=0 THEN 'ready' ELSE 'building' END AS status FROM embeddings")
-def _(s, d):  # the indexes of every second video are built anew, and these are marked ready
-    path = f"{jobs.shared_folder(s)}/indexes-{uuid.uuid4().hex}"
+@query("write_index", "SELECT vec_id AS id, CASE WHEN label%2=0 THEN 'новый' ELSE 'старый' END AS text, CASE WHEN label%2=0 THEN 'ready' ELSE 'building' END AS status FROM embeddings WHERE NOT (label%4=2 AND vec_id%2=1)")
+def _(s, d):  # the indexes of every second video are built anew, one of them without entries, and these are marked
+    path = f"{shared_folder(s)}/indexes-{uuid.uuid4().hex}"
     e = b.vectors(s, d).select("video_id", (F.col("video_id") * 2 + F.col("id") % 2).alias("index_id"), "id", F.lit("старый").alias("text"))
-    new = e.where("video_id % 2 = 0").withColumn("text", F.lit("новый"))
-    transcripts.write_index(e, path)
-    transcripts.write_index(new, path)
+    new = e.where("video_id % 2 = 0 and not (video_id % 4 = 2 and id % 2 = 1)").withColumn("text", F.lit("новый"))
     indexes = e.select("video_id", "index_id").distinct().withColumn("status", F.lit("building"))
+    transcripts.write_index(e, path, buckets=8)
+    transcripts.write_index(new, path, indexes.where("video_id % 2 = 0"))
     built = transcripts.mark_ready(indexes.where("video_id % 2 = 0"), new).unionByName(indexes.where("video_id % 2 = 1"))
-    return s.read.schema(e.schema).parquet(path).join(built, ["video_id", "index_id"]).select("id", "text", "status")
+    return transcripts.index_store(s, path).read("entries").join(built, ["video_id", "index_id"]).select("id", "text", "status")

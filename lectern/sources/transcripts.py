@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .buckets import BUCKETS, Store
+
 DOCUMENT = "video_id bigint, segments array<struct<start double, end double, speaker string, text string, words array<struct<text string, start double, end double>>>>"
 
 
@@ -19,14 +21,28 @@ def document_segments(documents: DataFrame) -> DataFrame:
     return rows.select("video_id", F.col("position").cast("long").alias("position"), ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), "s.speaker", "s.text", "s.words")
 
 
-def write_transcript(segments: DataFrame, path: str) -> None:
-    """Replaces the videos that segments holds, and no others. Small videos share a file: rows are dealt by video."""
-    _replace(segments, path, ["video_id"])
+def transcript_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Store:
+    """The tables segments and speakers (video_id, label, name) of a folder."""
+    return Store(spark, path, ["video_id"], buckets)
+
+
+def index_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Store:
+    """The table entries of a folder."""
+    return Store(spark, path, ["video_id", "index_id"], buckets)
+
 
+def write_transcript(segments: DataFrame, path: str, videos: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Replaces the transcripts of ``videos`` (default: those that segments holds), and no others, with their speakers' labels, in
+    order of first mention and each its own name; a video without segments loses its transcript. Returns the version."""
+    first = segments.where(F.col("speaker").isNotNull()).groupBy("video_id", F.col("speaker").alias("label")).agg(F.min("position").alias("_first"))
+    no = F.row_number().over(Window.partitionBy("video_id").orderBy("_first"))
+    labels = first.select("video_id", "label", no.alias("label_no"), F.col("label").alias("name"))
+    return transcript_store(segments.sparkSession, path, buckets).replace(segments if videos is None else videos, {"segments": segments, "speakers": labels})
 
-def write_index(entries: DataFrame, path: str) -> None:
-    """Replaces the indexes that entries holds, and no others."""
-    _replace(entries, path, ["video_id", "index_id"])
+
+def write_index(entries: DataFrame, path: str, indexes: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Replaces the ``indexes`` (video_id, index_id; default: those that entries holds), and no others. Returns the version."""
+    return index_store(entries.sparkSession, path, buckets).replace(entries if indexes is None else indexes, {"entries": entries})
 
 
 def mark_ready(indexes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -36,10 +52,6 @@ def mark_ready(indexes: DataFrame, entries: DataFrame) -> DataFrame:
     return indexes.join(have, ["video_id", "index_id"], "left").withColumn("status", done).drop("_have")
 
 
-def _replace(rows: DataFrame, path: str, keys: list[str]) -> None:
-    rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-
-
 def export_dialogue(videos: DataFrame, segments: DataFrame) -> DataFrame:
     """video_id, file_name, dialogue: {title, messages} as JSON; without speakers where diarization was off (opt_diarize false)."""
     message = F.struct(F.when(F.coalesce("opt_diarize", F.lit(True)), F.col("speaker_name")).alias("speaker"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "text")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import library, voices
 from ..operators.embedding import Model, embed
+from ..sources.scratch import shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +22,6 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on one machine without it a temporary folder, on a cluster that is an error."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return place or tempfile.mkdtemp(prefix="spark-streams-")
-
-
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for all input there is now, through files in the shared checkpoint folder: all appended rows, or the last
     complete result."""

@@ -209,14 +209,14 @@ def test_documents_and_transcripts(spark, tmp_path):
     assert [(r.video_id, r.position, r.start_ms, r.end_ms, r.text) for r in read.orderBy("video_id", "position").collect()] == [(v, p, *x) for v in (1, 2) for p, x in enumerate([(500, 1250, "раз"), (2000, 3000, "два")])]
     transcripts.write_transcript(read, f"{tmp_path}/out")
     transcripts.write_transcript(read.where("video_id = 2 and position = 0"), f"{tmp_path}/out")
-    assert sorted((r.video_id, r.position) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 0), (1, 1), (2, 0)]
+    assert sorted((r.video_id, r.position) for r in transcripts.transcript_store(spark, f"{tmp_path}/out").read("segments").collect()) == [(1, 0), (1, 1), (2, 0)]
 
 
 def test_write_index_replaces_only_its_own(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "а"), (1, 2, "б"), (2, 1, "в")], "video_id long, index_id long, text string")
     transcripts.write_index(rows, f"{tmp_path}/x")
     transcripts.write_index(rows.where("video_id = 1 and index_id = 2").withColumn("text", F.lit("г")), f"{tmp_path}/x")
-    assert sorted((r.video_id, r.index_id, r.text) for r in spark.read.parquet(f"{tmp_path}/x").collect()) == [(1, 1, "а"), (1, 2, "г"), (2, 1, "в")]
+    assert sorted((r.video_id, r.index_id, r.text) for r in transcripts.index_store(spark, f"{tmp_path}/x").read("entries").collect()) == [(1, 1, "а"), (1, 2, "г"), (2, 1, "в")]
 
 
 def test_mentions(spark):
