@@ -217,9 +217,9 @@ def needs_summary(messages: DataFrame, limit: int = 6000, tail: int = 4) -> Data
     return m.groupBy("conv_id").agg((F.coalesce(F.sum(F.when(F.col("_back") > tail, F.length("text"))), F.lit(0)) > limit).alias("needs_summary"))
 
 
-def event_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Events by kind and window of time; the same on a stream with a watermark."""
-    return events.groupBy(F.window("created_at", width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+def event_counts(events: DataFrame, width: str = "1 hour", every: str | None = None) -> DataFrame:
+    """Events by kind and window of time, sliding by ``every`` if given; the same on a stream with a watermark."""
+    return events.groupBy(F.window("created_at", width, every or width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
 
 
 def heartbeat_sessions(events: DataFrame, gap: str = "900 seconds") -> DataFrame:

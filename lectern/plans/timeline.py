@@ -92,7 +92,7 @@ def _chunks(s, d):  # a voice of a local speaker is the same in all chunks but t
     t = b.turns(s, d).select("video_id", "chunk_no", F.struct("start_ms", "end_ms", "speaker").alias("t"))
     c = t.groupBy("video_id", "chunk_no").agg(F.array_sort(F.collect_list("t")).alias("turns")).withColumn("end_ms", F.element_at("turns", -1)["end_ms"])
     voice = F.map_from_arrays(F.array(*(F.lit(f"T{k}") for k in range(3))), F.array(*(F.array(*(F.lit(float(j == k)) for j in range(3))) for k in range(3))))
-    return c.withColumn("voices", F.when(F.col("chunk_no") % 4 != 3, voice))
+    return c.withColumn("voices", F.when(F.col("chunk_no") % 4 != 3, voice)).withColumn("created_at", F.timestamp_seconds(F.col("chunk_no") * 100 + 86_400))
 
 
 @query("stitch_turns")
@@ -324,6 +324,21 @@ def _(s, d):
     return jobs.finished(jobs.heartbeat_sessions(_event_stream(s, d)), "complete").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
+_MARK = "date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE"
+
+
+@query("stream_event_counts_sliding", f"""WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 15 MINUTE AS window_start, event_type AS kind FROM events, (VALUES (0), (1), (2), (3)) v(k))
+SELECT window_start, kind, count(*) AS n FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT {_MARK} FROM events) GROUP BY 1, 2""")
+def _(s, d):  # each hour, every quarter of one, once it is closed
+    return jobs.finished(jobs.event_counts(_event_stream(s, d), every="15 minutes")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_heartbeat_gaps_closed", f"""WITH m AS (SELECT user_id AS video_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT video_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY video_id, s HAVING max(ts) + INTERVAL 900 SECOND <= (SELECT {_MARK} FROM events)""")
+def _(s, d):
+    return jobs.finished(jobs.heartbeat_sessions(_event_stream(s, d))).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
 @query("stream_stitch_turns")
 def _(s, d):  # chunks as a stream of the files that hold them
     place = f"{shared_folder(s)}/chunks-{uuid.uuid4().hex}"
@@ -333,12 +348,13 @@ def _(s, d):  # chunks as a stream of the files that hold them
 
 
 @query("stream_refill")
-def _(s, d):  # rows without a vector get one as they come
+def _(s, d):  # rows without a vector get one as they come, if their video is ready; of every third video they wait
     place = f"{shared_folder(s)}/refill-{uuid.uuid4().hex}"
-    e = b.vectors(s, d).select("id", "text", "embedding")
+    e = b.vectors(s, d).select("video_id", "id", "text", "embedding")
     e.write.parquet(f"{place}/in")
-    jobs.refill(s.readStream.schema(e.schema).parquet(f"{place}/in"), "text", embedding.hashing_model(64), 64, f"{place}/out", f"{place}/state").awaitTermination()
-    return s.read.parquet(f"{place}/out")
+    videos = e.select("video_id", F.when(F.col("video_id") % 3 == 0, "queued").otherwise("ready").alias("status")).distinct()
+    jobs.refill(s.readStream.schema(e.schema).parquet(f"{place}/in"), lambda: videos, "text", embedding.hashing_model(64), 64, f"{place}/out", f"{place}/state").awaitTermination()
+    return jobs.refilled(s, f"{place}/out", e.schema).select("id", "text", "embedding")
 
 
 # ---- sinks, written to the shared folder and read back

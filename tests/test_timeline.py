@@ -135,11 +135,12 @@ def test_stitch_stream_equals_batch(spark, tmp_path):
 
 
 def test_refill(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "раз два", None), (2, "три", [1.0]), (3, None, None)], "id long, text string, embedding array<float>")
+    rows = spark.createDataFrame([(1, 1, "раз два", None), (1, 2, "три", [1.0]), (1, 3, None, None)], "video_id long, id long, text string, embedding array<float>")
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    jobs.refill(stream, "text", embedding.hashing_model(8), 8, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = {r.id: r.embedding for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    videos = spark.createDataFrame([(1, "ready")], "video_id long, status string")
+    jobs.refill(stream, lambda: videos, "text", embedding.hashing_model(8), 8, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r.id: r.embedding for r in jobs.refilled(spark, f"{tmp_path}/out", rows.schema).collect()}
     assert set(got) == {1, 3} and got[3] is None and abs(np.linalg.norm(got[1]) - 1) < 1e-6
 
 
