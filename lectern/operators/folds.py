@@ -44,47 +44,43 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[
 
 #: Rows of a block at most, as positions are whole numbers.
 BLOCK = 8_192
-_STATE = "struct<origin: bigint, end_ms: bigint, speaker: string>"
 
 
-def block_fold(df: DataFrame, keys: list[str], place: str, cut: Callable[[Column, Column], Column], moved: Callable[[Column], Column] | None = None) -> DataFrame:
-    """keys, place, start_ms, end_ms, no and origin: parts of a key's rows, in order of ``place`` (whole numbers), and where each row's began.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    cut(s, r) tells whether row r begins a new part, s being the open one (origin, and end_ms and speaker of its last row);
-    moved(s) whether the open one begins at r after all. Rows are gathered in blocks of BLOCK places, an array each, and
-    folded there. A key of several blocks is folded in all of them at once, each from the state that the block before ended in so
-    far, until no block's beginning changes: parts soon fall together, whatever a block began with, so a few
-    rounds do; at worst one a block. No step has more of a key than a block in one row.
+
+def array_fold(df: DataFrame, keys: list[str], place: str, state: str, step: Callable[[Column, Column], Column], emitted: str) -> DataFrame:
+    """The rows of ``df`` with what a fold over each key's rows, in order of ``place`` (whole numbers), gives for each: no and out.
+
+    step(s, r) is, of the state s before row r (null at first), a struct of begins (does a new part begin? no counts these),
+    out (what to give out, of type ``emitted``) and s, the new state (of type ``state``). Rows are gathered in blocks of BLOCK places, an array each, and folded
+    there by built-in functions. A key of several blocks is folded in all of them at once, each from the state that the
+    block before has ended in so far, until no block's beginning changes: folds that forget soon fall together, so a
+    few rounds do; at worst one a block. No step has more of a key than a block in one row.
     """
-    fields = ["start_ms", "end_ms", "speaker"] if "speaker" in df.columns else ["start_ms", "end_ms"]
-    extra = [c for c in df.columns if c not in (*keys, place, *fields)]
-    row = F.struct(F.col(place).cast("long").alias("place"), *(F.col(c).cast("long").alias(c) for c in fields[:2]), (F.col("speaker") if len(fields) > 2 else F.lit("")).alias("speaker"), *extra)
+    fields = [c for c in df.columns if c not in (*keys, place)]
+    row = F.struct(F.col(place).cast("long").alias("place"), *fields)
     blocks = df.groupBy(*keys, F.floor(F.col(place) / BLOCK).alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-
-    def step(s: Column, r: Column) -> tuple[Column, Column]:
-        cuts = s.isNotNull() & cut(s, r)
-        begins = s.isNull() | cuts if moved is None else s.isNull() | cuts | moved(s)
-        state = F.struct(F.when(begins, r["start_ms"]).otherwise(s["origin"]).alias("origin"), r["end_ms"].alias("end_ms"), r["speaker"].alias("speaker"))
-        return cuts, state.cast(_STATE)
+    begun = F.lit(None).cast(state)
 
     def walked(entry: Column) -> Column:
         """The state after the block's rows."""
-        return F.aggregate("_rows", entry, lambda s, r: step(s, r)[1])
+        return F.aggregate("_rows", entry, lambda s, r: step(s, r)["s"].cast(state))
 
     def told(entry: Column) -> Column:
-        """For each row the number of cuts in the block so far and the origin of its part."""
-        zero = F.struct(entry.alias("s"), F.lit(0).cast("long").alias("no"), F.array().cast("array<struct<no: bigint, origin: bigint>>").alias("out"))
+        """For each row the number of parts begun in the block so far, and what is given out."""
+        kind = f"struct<s: {state}, no: bigint, out: array<struct<no: bigint, out: {emitted}>>>"
+        zero = F.struct(entry.alias("s"), F.lit(0).cast("long").alias("no"), F.array().alias("out")).cast(kind)
 
-        def add(a: Column, r: Column) -> Column:
-            cuts, s = step(a["s"], r)
-            no = a["no"] + cuts.cast("long")
-            return F.struct(s.alias("s"), no.alias("no"), F.concat(a["out"], F.array(F.struct(no.alias("no"), s["origin"].alias("origin")))).alias("out")).cast(f"struct<s: {_STATE}, no: bigint, out: array<struct<no: bigint, origin: bigint>>>")
+        def add(acc: Column, r: Column) -> Column:
+            more = lambda x: F.struct((acc["no"] + x["begins"].cast("long")).alias("no"), x["out"].cast(emitted).alias("out"))
+            return let(step(acc["s"], r), lambda x: F.struct(x["s"].alias("s"), (acc["no"] + x["begins"].cast("long")).alias("no"), F.concat(acc["out"], F.array(more(x))).alias("out")).cast(kind))
 
-        return F.aggregate("_rows", zero.cast(f"struct<s: {_STATE}, no: bigint, out: array<struct<no: bigint, origin: bigint>>>"), add, lambda a: a["out"])
+        return F.aggregate("_rows", zero, add, lambda acc: acc["out"])
 
-    begun = F.lit(None).cast(_STATE)
-    long = df.where(F.floor(F.col(place) / BLOCK) != 0).limit(1)  # a key may also begin beyond the first block: then the rounds end at once
-    if not long.isEmpty():
+    if not df.where(F.floor(F.col(place) / BLOCK) != 0).limit(1).isEmpty():
         before = Window.partitionBy(*keys).orderBy("_block")
         blocks = stored(blocks, "fold-blocks")
         ends = stored(blocks.select(*keys, "_block", begun.alias("entry"), walked(begun).alias("exit")), "fold-ends")
@@ -96,13 +92,33 @@ def block_fold(df: DataFrame, keys: list[str], place: str, cut: Callable[[Column
             again = now.where("_moved").select(*keys, "_block", F.col("_new").alias("entry")).join(blocks, [*keys, "_block"]).select(*keys, "_block", "entry", walked(F.col("entry")).alias("exit"))
             ends = stored(now.where("not _moved").select(*keys, "_block", "entry", "exit").unionByName(again), "fold-ends")
         blocks = blocks.join(ends.select(*keys, "_block", "entry"), [*keys, "_block"]).withColumn("_told", told(F.col("entry")))
-        cuts = blocks.select(*keys, "_block", F.element_at("_told", -1)["no"].alias("_cuts"))
-        base = cuts.select(*keys, "_block", F.coalesce(F.sum("_cuts").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        begun_in = blocks.select(*keys, "_block", F.element_at("_told", -1)["no"].alias("_n"))
+        base = begun_in.select(*keys, "_block", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
         blocks = blocks.join(base, [*keys, "_block"])
     else:
         blocks = blocks.withColumn("_told", told(begun)).withColumn("_base", F.lit(0).cast("long"))
     each = blocks.select(*keys, "_base", F.explode(F.arrays_zip("_rows", "_told")).alias("x"))
-    return each.select(*keys, F.col("x._rows.place").alias(place), F.col("x._rows.start_ms").alias("start_ms"), F.col("x._rows.end_ms").alias("end_ms"), (F.col("_base") + F.col("x._told.no")).alias("no"), F.col("x._told.origin").alias("origin"))
+    return each.select(*keys, F.col("x._rows.place").alias(place), *(F.col(f"x._rows.{c}").alias(c) for c in fields), (F.col("_base") + F.col("x._told.no")).alias("no"), F.col("x._told.out").alias("out"))
+
+
+def block_fold(df: DataFrame, keys: list[str], place: str, cut: Callable[[Column, Column], Column], moved: Callable[[Column], Column] | None = None) -> DataFrame:
+    """keys, place, start_ms, end_ms, no and origin: parts of a key's rows, and where each row's part began.
+
+    cut(s, r) tells whether row r begins a new part, s being the open one (origin, and end_ms and speaker of its last row);
+    moved(s) whether the open one begins at r after all.
+    """
+
+    def step(s: Column, r: Column) -> Column:
+        def begun(cuts: Column) -> Column:
+            begins = s.isNull() | cuts if moved is None else s.isNull() | cuts | moved(s)
+            origin = F.when(begins, r["start_ms"]).otherwise(s["origin"])
+            state = F.struct(origin.alias("origin"), r["end_ms"].alias("end_ms"), (r["speaker"] if "speaker" in df.columns else F.lit("")).alias("speaker"))
+            return F.struct(cuts.alias("begins"), F.struct(origin.alias("origin")).alias("out"), state.alias("s"))
+
+        return let(s.isNotNull() & cut(s, r), begun)
+
+    told = array_fold(df, keys, place, "struct<origin: bigint, end_ms: bigint, speaker: string>", step, "struct<origin: bigint>")
+    return told.select(*keys, place, "start_ms", "end_ms", "no", F.col("out.origin").alias("origin"))
 
 
 def _rejoined(parts: DataFrame, keys: list[str], part: str, least_ms: int) -> DataFrame:

@@ -1,126 +1,101 @@
-"""Phrases that a cut between turns has broken: who owns them, and turns joined by the verdicts."""
+"""Phrases that a cut between turns has broken: who owns them, and turns joined by the verdicts.
 
-from __future__ import annotations
+A verdict never changes what is said, only where one turn ends and the next begins: a border between two turns stays, goes,
+or moves behind the right one's opening sentence or before the left one's open remainder. So each turn is brought down to a
+few numbers (Spark functions), a fold over these places the borders, and turns are put together from what lies between.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import array_fold, let
 from .repair import words_of
 
 # fixed values: where a sentence ends, the tokens by which texts and timed words are aligned, and words of the first person
 SENTENCE_END = r"[.!?…]+(?:\s+|$)"
 TOKEN = r"[0-9A-Za-zА-Яа-яЁё-]+"
 FIRST_PERSON = r"(?iU)\b(?:я|мне|меня|мой|моя|моё|мои)\b"
-#: A tail of more words than this is its speaker's own.
-SHORT_TAIL = 3
+#: A remainder of more words than this is its speaker's own.
+SHORT = 3
+WORDS = "array<struct<text:string,start_ms:bigint,end_ms:bigint>>"
 
 
-def cut_owner(left: Column, right: Column) -> Column:
-    """"left" or "right": who owns a phrase that a cut between two speakers has broken.
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
-    The right one only if the left text has a finished sentence and after it a tail of at most SHORT_TAIL words that
-    aren't in the first person, while the right text's first sentence is.
-    """
-    tail = F.trim(F.regexp_extract(left, rf"(?s)^.*{SENTENCE_END}(.*)$", 1))
-    finished = left.rlike(SENTENCE_END)
-    head = F.regexp_extract(F.trim(right), rf"(?s)^(.*?(?:{SENTENCE_END}|\z))", 1)
-    right_owns = finished & (tail != "") & (F.size(words_of(tail)) <= SHORT_TAIL) & ~tail.rlike(FIRST_PERSON) & head.rlike(FIRST_PERSON)
-    return F.when(F.coalesce(right_owns, F.lit(False)), "right").otherwise("left")
-
-
-_END, _TOKEN = re.compile(SENTENCE_END), re.compile(TOKEN)
-_ME = re.compile(r"\b(?:я|мне|меня|мой|моя|моё|мои)\b", re.IGNORECASE)
-
-
-def tail_of(text: str) -> tuple[str, str]:
-    """The finished sentences, and what is left open after them."""
-    at = max((m.end() for m in _END.finditer(text)), default=0)
-    return text[:at].strip(), text[at:].strip()
-
-
-def head_of(text: str) -> tuple[str, str]:
-    """The first sentence, and the rest."""
-    text = text.strip()
-    m = _END.search(text)
-    at = m.end() if m else len(text)
-    return text[:at].strip(), text[at:].strip()
-
-
-def owner(left: str, right: str) -> str:
-    """cut_owner() of two texts in hand."""
-    closed, tail = tail_of(left)
-    brief = bool(closed and tail) and len(tail.split()) <= SHORT_TAIL and not _ME.search(tail)
-    return "right" if brief and _ME.search(head_of(right)[0]) else "left"
-
-
-def aligned(words: list[tuple], piece: str, from_end: bool = False) -> int:
-    """How many of the timed words, from the start or the end, have just the tokens of the piece; 0 if none align."""
-    need = [t.casefold() for t in _TOKEN.findall(piece)]
-    order = words[::-1] if from_end else words
-    if not need or not order:
-        return 0
-    have: list[str] = []
-    for n, word in enumerate(order):
-        if have == need:
-            return n
-        more = [t.casefold() for t in _TOKEN.findall(word[0])]
-        if len(have) + len(more) > len(need):
-            return 0
-        have += more
-    return len(order) if have == need else 0
-
-
-class Turn:
-    """A turn in hand; its time is that of its words, where it has any."""
-
-    def __init__(self, position: int, speaker: str | None, text: str, start: int, end: int, words: list[tuple]) -> None:
-        self.position, self.speaker, self.text, self.start, self.end, self.words = position, speaker, text.strip(), start, end, words
-
-    def followed(self, text: str, end: int, words: list[tuple]) -> None:
-        self.text = f"{self.text} {text}".strip()
-        self.end, self.words = max(self.end, end), self.words + words
-
-    def cut(self, text: str, words: list[tuple], start: int | None = None) -> None:
-        self.text, self.words = text, words
-        if words:
-            self.start, self.end = words[0][1], words[-1][2]
-        elif start is not None:
-            self.start = start
-
-
-def joined(left: Turn, right: Turn, broken: bool) -> list[Turn]:
-    """The two turns after the verdict on the cut between them: one, or both with the phrase where it belongs."""
-    if not broken:
-        return [left, right]
-    if left.speaker and left.speaker == right.speaker:
-        left.followed(right.text, right.end, right.words)
-        return [left]
-    if owner(left.text, right.text) == "left":
-        head, rest = head_of(right.text)
-        if not head:
-            return [left, right]
-        n = aligned(right.words, head)
-        taken, kept = right.words[:n], right.words[n:]
-        left.followed(head, taken[-1][2] if taken else right.end, taken)
-        if not rest:
-            return [left]
-        right.cut(rest, kept)
-        return [left, right]
-    closed, tail = tail_of(left.text)
-    n = aligned(left.words, tail, from_end=True)
-    kept, moved = left.words[: len(left.words) - n], left.words[len(left.words) - n :]
-    right.text, right.words = f"{tail} {right.text}".strip(), moved + right.words
-    if moved:
-        right.start = moved[0][1]
-    left.cut(closed, kept)
-    return [left, right]
 
+def opening(text: Column) -> Column:
+    """The first sentence with the white space after it; all of a text without a sentence's end."""
+    return F.regexp_extract(text, rf"(?s)^(.*?(?:{SENTENCE_END}|\z))", 1)
 
-WORDS = "array<struct<text:string,start_ms:bigint,end_ms:bigint>>"
+
+def finished(text: Column) -> Column:
+    """What lies before the open remainder: up to the last sentence's end; nothing without one."""
+    return F.regexp_extract(text, rf"(?s)^(.*{SENTENCE_END})", 1)
+
+
+def traits(text: Column, head: Column, closed: Column) -> Column:
+    """Of a trimmed text, its opening and its finished part: their ends in characters, and what the owner of a phrase depends on."""
+    rest = F.substr(text, F.length(closed) + 1)
+    return F.struct(
+        F.length(head).alias("opening"), F.length(closed).alias("finished"), F.length(text).alias("all"),
+        head.rlike(FIRST_PERSON).alias("claims"), F.size(words_of(rest)).alias("open_words"), rest.rlike(FIRST_PERSON).alias("open_own"),
+    )
+
+
+def goes_right(closed: Column, open_words: Column, own: Column, claims: Column) -> Column:
+    """Does the broken phrase belong to the right speaker: a short remainder after a finished sentence, not in the first person, that goes
+    on in the first person."""
+    return closed & open_words.between(1, SHORT) & ~own & claims
+
+
+def cut_owner(left: Column, right: Column) -> Column:
+    """"left" or "right": who owns a phrase that a cut between two speakers has broken."""
+    a, b = (traits(t, opening(t), finished(t)) for t in (stripped(left), stripped(right)))
+    return F.when(F.coalesce(goes_right(a["finished"] > 0, a["open_words"], a["open_own"], b["claims"]), F.lit(False)), "right").otherwise("left")
+
+
+def covered(words: Column, text: Column) -> Column:
+    """How many of the words have, one after the other, just the tokens of the text; 0 if none."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN})"), F.lit(1))
+    need, have = tokens(text), F.transform(words, lambda w: tokens(F.coalesce(w["text"], F.lit(""))))
+    # the fewest words with as many tokens as are needed
+    seen = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("n"))
+    count = F.aggregate(have, seen, lambda a, t: F.when(a["tokens"] >= F.size(need), a).otherwise(F.struct((a["tokens"] + F.size(t)).alias("tokens"), (a["n"] + 1).alias("n"))))["n"]
+    return F.coalesce(F.when((F.size(need) > 0) & (F.flatten(F.slice(have, F.lit(1), count)) == need), count), F.lit(0))
+
+
+_OPEN = "struct<speaker: string, closed: boolean, words: bigint, own: boolean, since: bigint>"
+_BORDER = "struct<border: string, since: bigint, taken: boolean>"
+
+
+def _place(s: Column, r: Column) -> Column:
+    """The border before row r, and the open turn after it: its speaker, has it a finished sentence, how many words of its remainder, are
+    they in the first person, and the row in which its last sentence ended."""
+    t = r["t"]
+    ends, empty = t["finished"] > 0, t["all"] == 0
+    same = s["speaker"].isNotNull() & (s["speaker"] != "") & s["speaker"].eqNullSafe(r["speaker"])
+    right = F.coalesce(goes_right(s["closed"], s["words"], s["own"], t["claims"]), F.lit(False))
+    border = (
+        F.when(s.isNull() | ~r["is_cut"], "here").when(same, "none").when(right, "remainder").when(empty, "here").when(t["opening"] == t["all"], "none").otherwise("opening")
+    )
+
+    def placed(border: Column) -> Column:
+        # what goes on with the row: all of the open turn, its remainder, or nothing
+        goes_on = border.isin("none", "remainder") & ~ends
+        carried = F.when(goes_on, s["words"]).otherwise(0) + t["open_words"]
+        own = F.when(goes_on, s["own"]).otherwise(False) | t["open_own"]
+        closed = F.when(border == "none", s["closed"] | ends).when(border == "opening", t["finished"] > t["opening"]).otherwise(ends)
+        since = F.when(~ends & (border == "none"), s["since"]).otherwise(r["place"])
+        speaker = F.when(border == "none", s["speaker"]).otherwise(r["speaker"])
+        state = F.struct(speaker.alias("speaker"), closed.alias("closed"), carried.cast("long").alias("words"), own.alias("own"), since.alias("since"))
+        out = F.struct(border.alias("border"), F.when(border == "remainder", s["since"]).alias("since"), ((border == "none") & ~same).alias("taken"))
+        return F.struct((border != "none").alias("begins"), out.alias("out"), state.cast(_OPEN).alias("s"))
+
+    return let(border, placed)
 
 
 def stitch_segments(segments: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -128,36 +103,57 @@ def stitch_segments(segments: DataFrame, verdicts: DataFrame) -> DataFrame:
     is_cut: is the phrase broken between this turn and the one before).
 
     Turns of one speaker are joined; between speakers the broken phrase goes to its owner, with its timed words where
-    they align, else these stay where they are. A turn joined to others has the first one's position. Rows are dealt by
-    video and sorted, and a task holds one turn at a time, so a video never stands in memory as a whole.
+    they align (those of a remainder from the last one back), else these stay where they are. A turn joined to others has the first one's
+    position, and its time is that of its words where it has been cut and has any.
     """
     s = segments if "words" in segments.columns else segments.withColumn("words", F.lit(None).cast(WORDS))
-    told = s.join(verdicts.select("video_id", "position", "is_cut"), ["video_id", "position"], "left")
-    cols = ["video_id", "position", "speaker", "text", "start_ms", "end_ms", "words"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, held = None, None
-
-        def row(v: object, t: Turn) -> tuple:
-            return (v, t.position, t.speaker, t.text, t.start, t.end, [{"text": w, "start_ms": a, "end_ms": z} for w, a, z in t.words])
-
-        for batch in batches:
-            out = []
-            for v, position, speaker, text, start, end, words, cut in batch.itertuples(index=False):
-                timed = [] if words is None else [(w["text"] or "", w["start_ms"], w["end_ms"]) for w in words]
-                turn = Turn(position, speaker if isinstance(speaker, str) else None, text or "", start, end, timed)
-                if held is None or v != video:
-                    if held is not None:
-                        out.append(row(video, held))
-                    video, held = v, turn
-                    continue
-                *done, held = joined(held, turn, cut is True or cut == 1)
-                out += [row(v, t) for t in done]
-            if out:
-                yield pd.DataFrame(out, columns=cols)
-        if held is not None:
-            yield pd.DataFrame([row(video, held)], columns=cols)
-
-    dealt = told.select(*cols, "is_cut").repartition("video_id").sortWithinPartitions("video_id", "position")
-    types = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in cols[:-1])
-    return dealt.mapInPandas(run, f"{types}, words {WORDS}")
+    s = s.withColumns({"text": stripped(F.coalesce("text", F.lit(""))), "words": F.coalesce(F.col("words").cast(WORDS), F.array().cast(WORDS))})
+    told = s.join(verdicts.select("video_id", "position", "is_cut"), ["video_id", "position"], "left").withColumns({"_head": opening(F.col("text")), "_closed": finished(F.col("text")), "is_cut": F.coalesce("is_cut", F.lit(False))})
+    told = told.select("video_id", "position", "speaker", "text", "start_ms", "end_ms", "words", "is_cut", traits(F.col("text"), F.col("_head"), F.col("_closed")).alias("t"))
+    placed = array_fold(told, ["video_id"], "position", _OPEN, _place, _BORDER).select("video_id", "position", "speaker", "text", "start_ms", "end_ms", "words", "t", "no", "out.*")
+    # rows from the one whose remainder has moved up to the border belong, from there on, to the turn after it
+    moved = placed.where("border = 'remainder'").select("video_id", F.explode(F.sequence("since", F.col("position") - 1)).alias("position"), F.col("since").alias("_from"), F.col("no").alias("_next"))
+    rows = placed.join(moved, ["video_id", "position"], "left")
+
+    own, size, t = F.col("no"), F.length("text"), F.col("t")
+    head, tail = t["opening"], t["finished"]
+    part = lambda no, a, z, words, end, lead: F.struct(no.alias("no"), stripped(F.substr("text", a + 1, z - a)).alias("text"), words.cast(WORDS).alias("words"), end.alias("end_ms"), lead.alias("lead"))
+    # how many words go to the turn before: those of the opening, or of a row that another speaker's turn takes as a whole
+    given = F.when(F.col("border") == "opening", F.substr("text", F.lit(1), head)).when(F.col("taken"), F.col("text"))
+    rows = rows.withColumn("_given", given).withColumn("_n", F.when(F.col("_given").isNotNull() & (F.size("words") > 0), covered(F.col("words"), F.col("_given"))).otherwise(0))
+    rows = rows.withColumn("_front", F.slice("words", F.lit(1), F.col("_n")))
+    rows = rows.withColumn("_mine", F.when(F.col("taken"), F.col("_front")).otherwise(F.slice("words", F.col("_n") + 1, F.greatest(F.size("words") - F.col("_n"), F.lit(0)))))
+    mine, front = F.col("_mine"), F.col("_front")
+    zero, none = F.lit(0), F.array().cast(WORDS)
+    begins = F.when(F.col("border") == "opening", head).otherwise(zero)
+    leaves = F.when(F.col("_next").isNull(), size).when(F.col("position") == F.col("_from"), tail).otherwise(zero)
+    until = F.when(F.col("taken") & (F.size(mine) > 0), F.element_at(mine, -1)["end_ms"]).otherwise(F.col("end_ms"))
+    parts = F.array(
+        F.when(F.col("border") == "opening", part(own - 1, zero, head, front, F.when(F.size(front) > 0, F.element_at(front, -1)["end_ms"]).otherwise(F.col("end_ms")), F.lit(False))),
+        part(own, begins, leaves, mine, until, F.lit(False)),
+        F.when(F.col("_next").isNotNull(), part(F.col("_next"), leaves, size, none, F.lit(None).cast("long"), F.lit(True))),
+    )
+    began = F.when((F.col("border") == "opening") & (F.size(mine) > 0), F.struct(F.element_at(mine, 1)["start_ms"].alias("start_ms"), F.element_at(mine, -1)["end_ms"].alias("end_ms"))).otherwise(F.struct("start_ms", "end_ms"))
+    each = rows.select("video_id", "position", F.when(F.col("border") != "none", F.struct("no", "position", "speaker", began.alias("time"), "border")).alias("first"), F.posexplode(F.filter(parts, lambda p: p.isNotNull())).alias("k", "p"))
+    each = each.select("video_id", "position", "k", "p.*", F.when(F.col("first.no") == F.col("p.no"), F.when(~F.col("p.lead"), F.col("first"))).alias("first"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("position", "k", c.alias("x")))), lambda r: r["x"])
+    joined = lambda c: F.array_join(F.filter(c, lambda x: x != ""), " ")
+    turns = each.groupBy("video_id", "no").agg(
+        F.max("first").alias("first"), joined(in_order(F.col("text"))).alias("text"), joined(in_order(F.when(F.col("lead"), F.col("text")).otherwise(""))).alias("lead"),
+        F.flatten(in_order(F.col("words"))).alias("words"), F.max(F.when(F.col("first").isNull(), F.col("end_ms"))).alias("until"),
+    )
+    return _with_moved_words(turns)
+
+
+def _with_moved_words(turns: DataFrame) -> DataFrame:
+    """Turns whose remainder has gone to the next one give it the words that align."""
+    w = Window.partitionBy("video_id").orderBy("no")
+    after = F.when(F.lead("first.border").over(w) == "remainder", F.lead("lead").over(w))
+    t = turns.withColumn("_gives", after).withColumn("_n", F.when(F.col("_gives").isNotNull() & (F.size("words") > 0), covered(F.reverse("words"), F.col("_gives"))).otherwise(0))
+    t = t.withColumn("_kept", F.slice("words", F.lit(1), F.size("words") - F.col("_n"))).withColumn("_moved", F.slice("words", F.size("words") - F.col("_n") + 1, F.col("_n")))
+    t = t.withColumn("_got", F.coalesce(F.when(F.col("first.border") == "remainder", F.lag("_moved").over(w)), F.array().cast(WORDS)))
+    words, end = F.concat("_got", "_kept"), F.greatest(F.col("first.time.end_ms"), F.col("until"))
+    by_words = F.col("_gives").isNotNull() & (F.size(words) > 0)
+    start = F.when(by_words, F.element_at(words, 1)["start_ms"]).when(F.size("_got") > 0, F.element_at("_got", 1)["start_ms"]).otherwise(F.col("first.time.start_ms"))
+    stop = F.when(by_words, F.element_at(words, -1)["end_ms"]).otherwise(end)
+    return t.select("video_id", F.col("first.position").alias("position"), F.col("first.speaker").alias("speaker"), "text", start.alias("start_ms"), stop.alias("end_ms"), words.alias("words"))

@@ -1,18 +1,22 @@
 """Names of speakers: what they call themselves and each other, proposals checked against the words, nicknames for the rest.
 
-What a video says is brought down to a few facts for each (proposal, speaker) by aggregates; only these are gathered,
-a line for each pair of a video's labels, never texts.
+One pass over the segments turns them into a few findings: names that speakers give themselves, and for each proposed name who says its
+parts, as whose. Findings become claims of a label to a name, in an order of strength, and a video's claims, a handful, are settled by one
+rule for all of them. Texts are never gathered.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 # fixed values: nicknames
 NICKNAMES = tuple(
     "Пёс Лис Кот Волк Медведь Заяц Ёж Сова Ворон Барсук Рысь Олень Белка Хомяк Выдра Журавль Крот Лось Енот Пингвин Тигр Леопард "
@@ -49,19 +53,20 @@ def cleaned(raw: str | None) -> str | None:
     return name if _SHAPE.fullmatch(name) and parts and sounds else None
 
 
-def same_word(part: str, word: str) -> bool:
-    """Is the word the part of a name in some case: itself, with up to three more letters, or its last one replaced by one or two."""
-    part, word = part.casefold(), word.casefold()
+@lru_cache(100_000)
+def in_cases(part: str) -> re.Pattern | None:
+    """What finds the part of a name in some case as a word: it with up to three letters more, or (of four letters or more) with its last
+    one replaced by one or two."""
+    letter = "[A-Za-zА-Яа-яЁё-]"
     if len(part) < 2:
-        return False
-    longer = word.startswith(part) and len(word) - len(part) <= 3
-    return longer or (len(part) >= 4 and word.startswith(part[:-1]) and 1 <= len(word) - len(part) + 1 <= 2)
+        return None
+    forms = [f"{re.escape(part)}{letter}{{0,3}}"] + ([f"{re.escape(part[:-1])}{letter}{{1,2}}"] if len(part) >= 4 else [])
+    return re.compile(f"(?<!{letter})(?:{'|'.join(forms)})(?!{letter})", re.IGNORECASE)
 
 
 def parts_said(parts: list[str], text: str) -> list[bool]:
     """Of each part of a name: does the text have it?"""
-    words = {w.casefold() for w in _WORD.findall(text)}
-    return [any(same_word(p, w) for w in words) for p in parts]
+    return [bool((p := in_cases(x.casefold())) and p.search(text)) for x in parts]
 
 
 def said(name: str, text: str) -> bool:
@@ -79,89 +84,120 @@ def mentioned(name: Column, text: Column) -> Column:
     return run(name, text)
 
 
-def _told(segments: DataFrame, ahead: int = 3) -> DataFrame:
-    """video_id, speaker, position, text and more: the text with the speaker's next ones, as a phrase may go on there."""
+#: Words that a phrase with a name has at most: it may go on in the speaker's next turns.
+PHRASE_WORDS = 5
+
+
+def _told(segments: DataFrame) -> DataFrame:
+    """video_id, speaker, position, text and more: the text with the words that the speaker goes on with, as many as a phrase may need."""
     w = Window.partitionBy("video_id", "speaker").orderBy("position")
-    more = F.concat_ws("\n", "text", *(F.substring(F.lead("text", k).over(w), 1, 200) for k in range(1, ahead + 1)))
-    return segments.where("speaker is not null").select("video_id", "speaker", "position", F.coalesce("text", F.lit("")).alias("text"), more.alias("more"))
+    spoken = segments.where(F.col("speaker").isNotNull() & F.col("text").rlike(r"(?U)\S"))
+    head = F.array_join(F.slice(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != ""), 1, PHRASE_WORDS), " ")
+    spoken = spoken.select("video_id", "speaker", "position", "text", head.alias("_head"))
+    return spoken.withColumn("more", F.concat_ws("\n", "text", *(F.lead("_head", k).over(w) for k in range(1, PHRASE_WORDS + 1)))).drop("_head")
+
+
+def _phrases(patterns: tuple[re.Pattern, ...], text: str, more: str) -> list[tuple[int, str]]:
+    """(place, words after the phrase) where a pattern begins within the text."""
+    return [(m.start(), m[1]) for p in patterns for m in p.finditer(more) if m.start() <= len(text)]
 
 
 def spoken_name(segments: DataFrame) -> DataFrame:
     """video_id, speaker, name: the last plausible name that a speaker calls themselves by, of those who do."""
+    found = findings(segments).where("kind = 'own'")
+    return found.groupBy("video_id", "speaker").agg(F.max_by("name", F.struct("position", "at")).alias("name"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for video, speaker, position, text, more in b.itertuples(index=False):
-                own = [(m.start(), name) for p in _SELF for m in p.finditer(more) if m.start() <= len(text) and (name := cleaned(m[1]))]
-                if own:
-                    at, name = max(own, key=lambda x: x[0])
-                    rows.append((video, speaker, position, at, name))
-            yield pd.DataFrame(rows, columns=["video_id", "speaker", "position", "at", "name"])
-
-    t = segments.schema
-    ddl = f"video_id {t['video_id'].dataType.simpleString()}, speaker string, position {t['position'].dataType.simpleString()}, at int, name string"
-    return _told(segments).mapInPandas(run, ddl).groupBy("video_id", "speaker").agg(F.max_by("name", F.struct("position", "at")).alias("name"))
 
+def findings(segments: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
+    """What a segment says of names: video_id, speaker, position, at, kind, label, name, parts, part.
 
-def facts_of(segments: DataFrame, proposals: DataFrame) -> DataFrame:
-    """video_id, label, name (cleaned proposal), speaker, found (by part of the name: does this speaker say it), intro (as their
-    own name), partner (as that of someone beside them, or addressed)."""
-    listed = proposals.groupBy("video_id").agg(F.collect_list(F.struct("label", "name")).alias("proposed"))  # one for each label at most
+    kind "own": the speaker's name (no label); of a proposal (label, name): "intro", the speaker gives it as theirs; "partner", as
+    that of someone beside them or addressed; "part", the speaker says the part of this number.
+    """
+    t = segments.schema
+    video, position = (t[c].dataType.simpleString() for c in ("video_id", "position"))
+    rows = _told(segments)
+    if proposals is not None:  # one for each label at most
+        rows = rows.join(proposals.groupBy("video_id").agg(F.collect_list(F.struct("label", "name")).alias("proposed")), "video_id", "left")
+    else:
+        rows = rows.withColumn("proposed", F.lit(None))
+    columns = ["video_id", "speaker", "position", "at", "kind", "label", "name", "parts", "part"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for video, speaker, text, more, proposed in b.itertuples(index=False):
-                own = [m[1] for p in _SELF for m in p.finditer(more) if m.start() <= len(text)]
-                others = [m[1] for p in _OF_OTHERS for m in p.finditer(more) if m.start() <= len(text)]
-                for x in proposed:
+            out = []
+            for video, speaker, position, text, more, proposed in b[["video_id", "speaker", "position", "text", "more", "proposed"]].itertuples(index=False):
+                own, others = _phrases(_SELF, text, more), _phrases(_OF_OTHERS, text, more)
+                plausible = [(at, name) for at, phrase in own if (name := cleaned(phrase))]
+                if plausible:
+                    at, name = max(plausible)
+                    out.append((video, speaker, position, at, "own", None, name, _people(name), None))
+                for x in [] if proposed is None else proposed:
                     name = cleaned(x["name"])
-                    if name:
-                        rows.append((video, x["label"], name, speaker, parts_said(parts_of(name), text), any(said(name, o) for o in own), any(said(name, o) for o in others)))
-            yield pd.DataFrame(rows, columns=["video_id", "label", "name", "speaker", "found", "intro", "partner"])
-
-    video = segments.schema["video_id"].dataType.simpleString()
-    rows = _told(segments).select("video_id", "speaker", "text", "more").join(listed, "video_id")
-    each = rows.mapInPandas(run, f"video_id {video}, label string, name string, speaker string, found array<boolean>, intro boolean, partner boolean")
-    parts = each.select("*", F.posexplode("found").alias("k", "has")).groupBy("video_id", "label", "name", "speaker", "k").agg(F.max("has").alias("has"), F.max("intro").alias("intro"), F.max("partner").alias("partner"))
-    found = F.transform(F.array_sort(F.collect_list(F.struct("k", "has"))), lambda x: x["has"])
-    return parts.groupBy("video_id", "label", "name", "speaker").agg(found.alias("found"), F.max("intro").alias("intro"), F.max("partner").alias("partner"))
-
-
-def decided(labels: list[str], own: dict[str, str], facts: list[tuple]) -> dict[str, str]:
-    """Names by label: claimed ones first, then those that a partner gives to the other of two, then proposals that
-    nothing speaks against. Names that two labels would have are nobody's."""
-    by = {(label, speaker): (found, intro, partner) for label, _, speaker, found, intro, partner in facts}
-    none = ([], False, False)
-    names = {label: name for label, name, *_ in facts if name.casefold() not in {x.casefold() for x in labels}}
-    heard = lambda label, speakers: bool(seen := [f for s in speakers if (f := by.get((label, s), none)[0])]) and all(map(any, zip(*seen, strict=True)))
-    names = {x: names[x] for x in labels if x in names and heard(x, labels)}
-    people = lambda name: {p.casefold() for p in parts_of(name)}
-    held = dict(own)
-    for s in labels:
-        if s not in held and (mine := next((n for x, n in names.items() if by.get((x, s), none)[1]), None)):
-            held[s] = mine
-    silent = [s for s in labels if s not in held]
-    if len(labels) == 2:
-        for s in silent:
-            other = labels[1 - labels.index(s)]
-            for x, n in names.items():
-                if by.get((x, s), none)[2] and not any(people(n) & people(h) for h in held.values()):
-                    held[other] = n
-    taken = set(held.values())
-    for x, n in names.items():
-        if x in held or any(people(n) & people(h) for h in taken):
-            continue
-        _, intro, partner = by.get((x, x), none)
-        only_own = heard(x, [x]) and not heard(x, [s for s in labels if s != x])
-        if intro:
-            taken.add(n)
-        elif partner or only_own:
-            continue
-        held[x] = n
-    many = pd.Series([n.casefold() for n in held.values()], dtype="object").value_counts()
-    return {x: n for x, n in held.items() if many[n.casefold()] == 1}
+                    if name is None:
+                        continue
+                    kinds = [("intro", 0)] * any(said(name, p) for _, p in own) + [("partner", 0)] * any(said(name, p) for _, p in others)
+                    kinds += [("part", k) for k, yes in enumerate(parts_said(parts_of(name), text)) if yes]
+                    out += [(video, speaker, position, 0, kind, x["label"], name, _people(name), k) for kind, k in kinds]
+            yield pd.DataFrame(out, columns=columns).astype({"part": "Int64"})
+
+    return rows.mapInPandas(run, f"video_id {video}, speaker string, position {position}, at int, kind string, label string, name string, parts array<string>, part int")
+
+
+def _people(name: str) -> list[str]:
+    return [p.casefold() for p in parts_of(name)]
+
+
+_CLAIM = "struct<strength: int, by_no: int, of_no: int, label: string, name: string, parts: array<string>, by: string>"
+_HELD = "array<struct<label: string, name: string, parts: array<string>, strength: int, own: boolean>>"
+#: Strength of a claim: the speaker's own word, their word on a proposal, that of the other of two, a proposal that nothing speaks against.
+OWN, INTRO, PARTNER, FREE = range(4)
+
+
+def claims(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """video_id, labels and claims (an array in order of strength, who makes it, and the proposal's label), from findings and labels
+    (video_id, labels: an array in order). A video's findings are a line for each speaker and part of a proposal."""
+    each = found.groupBy("video_id", "speaker", "label", "kind", "part").agg(F.max(F.struct("position", "at", "name", "parts")).alias("x"))
+    rows = each.groupBy("video_id").agg(F.collect_list(F.struct("speaker", "label", "kind", "part", "x.name", "x.parts")).alias("found"))
+    rows = labels.join(rows, "video_id", "left").withColumn("found", F.coalesce("found", F.array()))
+    of = lambda kind: F.filter("found", lambda f: f["kind"] == kind)
+    proposed = F.array_distinct(F.transform(of("part"), lambda f: F.struct(f["label"].alias("label"), f["name"].alias("name"), f["parts"].alias("parts"))))
+    # a proposal counts if all its parts are said by anyone, and it is no label
+    parts_by = lambda p, who: F.size(F.array_distinct(F.transform(F.filter("_parts", lambda f: (f["label"] == p["label"]) & who(f)), lambda f: f["part"]))) == F.size(p["parts"])
+    rows = rows.withColumns({"_parts": of("part"), "_proposed": proposed})
+    known = F.filter("_proposed", lambda p: parts_by(p, lambda f: F.lit(True)) & ~F.exists("labels", lambda x: F.lower(x) == F.lower(p["name"])))
+    rows = rows.withColumn("_known", known)
+    no = lambda label: F.array_position("labels", label).cast("int")
+    claim = lambda strength, by, of_no, label, x: F.struct(F.lit(strength).alias("strength"), no(by).alias("by_no"), of_no.alias("of_no"), label.alias("label"), x["name"].alias("name"), x["parts"].alias("parts"), by.alias("by"))
+    counts = lambda f: F.exists("_known", lambda p: p["label"] == f["label"])
+    own = F.transform(of("own"), lambda f: claim(OWN, f["speaker"], F.lit(0), f["speaker"], f))
+    intro = F.transform(F.filter(of("intro"), counts), lambda f: claim(INTRO, f["speaker"], no(f["label"]), f["speaker"], f))
+    partner = F.transform(F.filter(of("partner"), lambda f: counts(f) & (F.size("labels") == 2)), lambda f: claim(PARTNER, f["speaker"], no(f["label"]), F.element_at("labels", 3 - no(f["speaker"])), f))
+    mine = lambda p: parts_by(p, lambda f: f["speaker"] == p["label"])
+    others = lambda p: parts_by(p, lambda f: f["speaker"] != p["label"])
+    of_partner = lambda p: F.exists("found", lambda f: (f["kind"] == "partner") & (f["label"] == p["label"]) & (f["speaker"] == p["label"]))
+    free = F.transform(F.filter("_known", lambda p: ~of_partner(p) & ~(mine(p) & ~others(p))), lambda p: claim(FREE, p["label"], no(p["label"]), p["label"], p))
+    return rows.select("video_id", "labels", F.array_sort(F.concat(*(c.cast(f"array<{_CLAIM}>") for c in (own, intro, partner, free)))).alias("claims"))
+
+
+def settled(listed: Column) -> Column:
+    """Who holds which name after all claims, from the strongest on.
+
+    A claim counts unless its label has a name already or, if it is made by or for others, its name has a part in common with
+    one held by a stronger claim. What the other of two says replaces what a label has; it counts only from a speaker who hasn't
+    named themselves.
+    """
+
+    def weigh(held: Column, c: Column) -> Column:
+        named = F.exists(held, lambda h: h["label"] == c["label"])
+        clash = F.exists(held, lambda h: (h["strength"] < FREE) & F.arrays_overlap(h["parts"], c["parts"]))
+        speaks = F.exists(held, lambda h: (h["label"] == c["by"]) & h["own"])
+        counts = F.when(c["strength"] <= INTRO, ~named).when(c["strength"] == PARTNER, ~clash & ~speaks).otherwise(~named & ~clash)
+        own = (c["strength"] <= INTRO) | F.exists(held, lambda h: (h["label"] == c["label"]) & h["own"])
+        new = F.array(F.struct(c["label"].alias("label"), c["name"].alias("name"), c["parts"].alias("parts"), c["strength"].alias("strength"), own.alias("own")))
+        return F.when(counts, F.concat(F.filter(held, lambda h: h["label"] != c["label"]), new)).otherwise(held).cast(_HELD)
+
+    return F.aggregate(listed, F.array().cast(_HELD), weigh)
 
 
 def deal_nicknames(rows: DataFrame, seed: int = 0) -> DataFrame:
@@ -179,21 +215,17 @@ def deal_nicknames(rows: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def choose_names(segments: DataFrame, proposals: DataFrame, seed: int = 0) -> DataFrame:
-    """video_id, label, name: a name of one word for every label of a video, by ``proposals`` (video_id, label, name)."""
-    video = segments.schema["video_id"].dataType.simpleString()
-    labels = segments.where("speaker is not null").select("video_id", F.col("speaker").alias("label")).distinct()
-    listed = labels.groupBy("video_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
-    own = spoken_name(segments).groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "name"))).alias("own"))
-    facts = facts_of(segments, proposals).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("label", "name", "speaker", "found", "intro", "partner"))).alias("facts"))
+    """video_id, label, name: a name of one word for every label of a video, by ``proposals`` (video_id, label, name).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for v, names, own_names, told in b.itertuples(index=False):
-                got = decided(list(names), dict(own_names or {}), [] if told is None else [(f["label"], f["name"], f["speaker"], list(f["found"]), f["intro"], f["partner"]) for f in told])
-                rows += [(v, x, got.get(x), sorted(got.values())) for x in names]
-            yield pd.DataFrame(rows, columns=["video_id", "label", "name", "used"])
-
-    known = listed.join(own, "video_id", "left").join(facts, "video_id", "left").mapInPandas(run, f"video_id {video}, label string, name string, used array<string>")
+    Names that two labels would have are nobody's; who has none gets a nickname.
+    """
+    labels = segments.where("speaker is not null").groupBy("video_id").agg(F.array_sort(F.collect_set("speaker")).alias("labels"))
+    held = claims(findings(segments, proposals), labels).select("video_id", "labels", settled(F.col("claims")).alias("held"))
+    once = F.filter("held", lambda h: F.size(F.filter("held", lambda o: F.lower(o["name"]) == F.lower(h["name"]))) == 1)
+    known = held.select("video_id", once.alias("held"), F.explode("labels").alias("label"))
+    own = F.try_element_at(F.filter("held", lambda h: h["label"] == F.col("label")), F.lit(1))["name"]
+    used = F.coalesce(F.array_sort(F.transform("held", lambda h: h["name"])), F.array().cast("array<string>"))
+    known = known.select("video_id", "label", own.alias("name"), used.alias("used"))
+    known = stored(known, "speaker-names")  # the texts are read once
     dealt = deal_nicknames(known.where("name is null"), seed).select("video_id", "label", F.col("nickname").alias("name"))
     return known.where("name is not null").select("video_id", "label", "name").unionByName(dealt)

@@ -1,12 +1,13 @@
 """Names, broken phrases, splitting, cards and grades: literal cases, and plain loops where SQL can't say it."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as f
-from lectern.operators import cards, fixes, joining, library, naming, repair, search, speakers
+from lectern.operators import cards, fixes, folds, joining, library, naming, repair, search, speakers
 from tests.test_queries import values
 
 SEGMENT = "video_id long, position int, speaker string, text string, start_ms long, end_ms long"
@@ -37,7 +38,7 @@ def test_owner_of_a_cut_phrase(spark):
     cases = [("Всё ясно. И потом", "Я так решил. Да."), ("Всё ясно. И потом", "Он решил. Я нет."), ("И потом", "Я решил."), ("Ясно. И я потом", "Я решил."), ("Ясно. И вот потом так", "Мне видно."), ("Ясно.", "Я.")]
     df = spark.createDataFrame(cases, "a string, b string").select("*", joining.cut_owner(F.col("a"), F.col("b")).alias("o"))
     got = {(r.a, r.b): r.o for r in df.collect()}
-    assert [got[c] for c in cases] == ["right", "left", "left", "left", "left", "left"] == [joining.owner(*c) for c in cases]
+    assert [got[c] for c in cases] == ["right", "left", "left", "left", "left", "left"]
 
 
 def test_turns_joined_by_verdicts(spark):
@@ -58,30 +59,59 @@ def test_timed_words_go_with_the_phrase(spark):
     ]
 
 
-def test_walk_over_turns_like_a_plain_loop(spark):
+END = re.compile(joining.SENTENCE_END)
+ME = re.compile(r"\b(?:я|мне|меня|мой|моя|моё|мои)\b", re.IGNORECASE)
+
+
+def plain_walk(turns, cuts):
+    """(position, text) of the turns (position, speaker, text) of one video, text by text."""
+    out = []
+    for (position, speaker, text), cut in zip(turns, cuts, strict=True):
+        text = text.strip()
+        if not out or not cut:
+            out.append([position, speaker, text])
+            continue
+        before = out[-1]
+        ends = [m.end() for m in END.finditer(before[2])]
+        rest = before[2][ends[-1] :].strip() if ends else ""
+        first = END.search(text)
+        head = text[: first.end()] if first else text
+        if before[1] and before[1] == speaker:
+            before[2] = f"{before[2]} {text}".strip()
+        elif rest and len(rest.split()) <= 3 and not ME.search(rest) and ME.search(head):
+            before[2] = before[2][: ends[-1]].strip()
+            out.append([position, speaker, f"{rest} {text}".strip()])
+        elif text and head == text:
+            before[2] = f"{before[2]} {text}".strip()
+        else:
+            before[2] = f"{before[2]} {head}".strip()
+            out.append([position, speaker, text[len(head) :].strip()])
+    return [(p, t) for p, _, t in out]
+
+
+@pytest.mark.parametrize("block", [10, 1024])
+def test_walk_over_turns_like_a_plain_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(folds, "BLOCK", block)
     rng = random.Random(4)
-    said = ["Ясно. И вот", "я знаю. Да", "он ушёл", "Мне пора. Но", "конец.", "…", ""]
+    said = ["Ясно. И вот", "я знаю. Да", "он ушёл", "Мне пора. Но", "конец.", "…", "", "Так.  Вот и\nон. А", "ну"]
     rows, cut = [], []
-    for v in range(6):
+    for v in range(8):
         for i in range(30):
             rows.append((v, i, rng.choice(["A", "B", None]), rng.choice(said), 10 * i, 10 * i + 9))
             cut.append((v, i, rng.random() < 0.6))
     is_cut = {(v, i): c for v, i, c in cut}
-    want = []
-    for v in range(6):
-        held = None
-        for row in (r for r in rows if r[0] == v):
-            turn = joining.Turn(*row[1:4], *row[4:], [])
-            if held is None:
-                held = turn
-                continue
-            *done, held = joining.joined(held, turn, is_cut[v, row[1]])
-            want += [(v, t.position, t.text) for t in done]
-        want.append((v, held.position, held.text))
+    want = [(v, p, t) for v in range(8) for own in [[r for r in rows if r[0] == v]] for p, t in plain_walk([r[1:4] for r in own], [is_cut[r[:2]] for r in own])]
     got = joining.stitch_segments(spark.createDataFrame(rows, SEGMENT).repartition(5), spark.createDataFrame(cut, "video_id long, position int, is_cut boolean"))
     assert sorted((r.video_id, r.position, r.text) for r in got.collect()) == sorted(want)
 
 
+def test_a_remainder_takes_its_word_along(spark):
+    rows = [(1, 0, "A", "Ясно. Но", 0, 20, [("Ясно.", 0, 5), ("Но", 10, 20)]), (1, 1, "B", "я скажу.", 30, 60, [("я", 30, 35), ("скажу.", 40, 60)])]
+    seg = spark.createDataFrame(rows, SEGMENT + ", words array<struct<text string, start_ms long, end_ms long>>")
+    got = joining.stitch_segments(seg, seg.select("video_id", "position", F.lit(True).alias("is_cut"))).orderBy("position").collect()
+    assert [(r.text, [x.text for x in r.words], r.start_ms, r.end_ms) for r in got] == [("Ясно.", ["Ясно."], 0, 5), ("Но я скажу.", ["Но", "я", "скажу."], 10, 60)]
+
+
 def test_names_in_their_cases():
     said = naming.said
     assert said("Мария", "видел Марию") and said("МарияПетрова", "с Марией Петровой") and said("Олег", "Олегом") and not said("Олег", "Олегович")
@@ -171,3 +201,10 @@ def test_vectors_of_unlike_lengths_are_far(spark):
     q = spark.createDataFrame([(1, 1, [1.0, 0.0])], "q_id int, video_id int, q_vec array<double>")
     s = spark.createDataFrame([(1, 7, [2.0, 0.0]), (1, 8, [1.0]), (1, 9, None), (1, 10, [0.0, 0.0])], "video_id int, id int, embedding array<double>")
     assert [(r.id, r.distance) for r in search.search_segments(q, s).orderBy("rank").collect()] == [(7, 0.0), (8, 2.0)]
+
+
+def test_a_name_far_into_the_next_turns(spark):
+    seg = segments(spark, ["И меня", "да", "", "да", " \n зовут", "да", "Мария. " + "и так далее " * 40], "AB")
+    assert {r.speaker: r["name"] for r in naming.spoken_name(seg).collect()} == {"A": "Мария"}
+    long = segments(spark, ["Итак, " + "слово " * 100 + "меня зовут", "а", "Олег, " + "и ещё " * 60], "AB")
+    assert {r.speaker: r["name"] for r in naming.spoken_name(long).collect()} == {"A": "Олег"}
