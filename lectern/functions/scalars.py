@@ -97,8 +97,10 @@ def speaker_hue(label: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """The numbers of a dotted or dashed version, for comparing."""
-    return F.transform(F.regexp_extract_all(version, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    """The numbers of a dotted or dashed version, for comparing: of each piece its digits, of any length up to 38 (more count as the
+    greatest number); pieces without digits don't count."""
+    pieces = F.filter(F.transform(F.split(version, r"[.-]"), lambda x: F.regexp_replace(x, r"[^0-9]", "")), lambda x: x != "")
+    return F.transform(pieces, lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")))
 
 
 # fixed values: marks of the text format and what stands for them, in the order in which they are taken away

@@ -14,7 +14,11 @@ from ..functions.scalars import squeezed, version_key
 BANDS = {"compressing": (0.0, 0.15), "storing": (0.15, 0.19), "transcribing": (0.19, 0.61), "diarizing": (0.61, 0.73), "merging": (0.73, 0.85), "correcting": (0.85, 0.92), "splitting": (0.92, 0.95), "embedding": (0.95, 0.96), "moments": (0.96, 0.98), "naming": (0.98, 0.985)}
 # fixed values: file suffixes
 VIDEO, AUDIO = ("mp4", "mkv", "mov", "avi", "webm", "m4v"), ("mp3", "m4a", "wav", "ogg", "flac", "aac", "opus")
-CODEC_COST = {"avc1": 0, "vp9": 1, "hev1": 2, "av01": 3}
+# fixed values: codecs by how hard they are to decode; others count as UNKNOWN_COST
+CODECS = (("avc", "avc1", "avc3", "h264"), ("vp8", "vp9", "vp09"), ("hev1", "hvc1", "hevc", "h265"), ("av01", "av1"))
+UNKNOWN_COST = 2
+# fixed values: a recording under this many seconds has all optional steps by default
+SHORT_SEC = 90 * 60
 
 
 def merge_stage_times(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -62,11 +66,48 @@ def stage_flags(videos: DataFrame) -> DataFrame:
     return videos.select("video_id", on("opt_diarize").alias("diarizing"), on("opt_merge").alias("merging"), on("opt_correct").alias("correcting"), on("opt_diarize").alias("naming"))
 
 
+def default_flags(duration_sec: Column) -> Column:
+    """The optional steps that a new recording is offered with: all on if its length is known and short, else all off."""
+    on = F.coalesce((duration_sec > 0) & (duration_sec < SHORT_SEC), F.lit(False))
+    return F.struct(on.alias("opt_diarize"), on.alias("opt_merge"), on.alias("opt_correct"))
+
+
+def stages_in_order(durations: DataFrame) -> DataFrame:
+    """video_id, stages (array of stage, seconds in the order in which stages run, others after them by name), processed_sec."""
+    no = F.coalesce(F.create_map(*(F.lit(v) for k, s in enumerate(BANDS) for v in (s, k)))[F.col("stage")], F.lit(len(BANDS)))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(no.alias("no"), "stage", "seconds"))), lambda x: F.struct(x["stage"].alias("stage"), x["seconds"].alias("seconds")))
+    return durations.groupBy("video_id").agg(listed.alias("stages"), F.sum("seconds").alias("processed_sec"))
+
+
+def format_bytes(formats: DataFrame) -> Column:
+    """A format's size: told, else estimated, else from its bit rate (tbr, in kbit/s) and the duration (duration_sec); null if unknown."""
+    has = lambda c: F.when(F.col(c) > 0, F.col(c).cast("double")) if c in formats.columns else F.lit(None).cast("double")
+    return F.coalesce(has("filesize"), has("filesize_approx"), has("tbr") * 1000 / 8 * has("duration_sec"))
+
+
 def pick_format(formats: DataFrame) -> DataFrame:
-    """One format a video: the nearest to 720 lines among those of 720 or more, if any; then fewer frames a second, cheaper codec, smaller file, id."""
-    cost = F.coalesce(F.create_map(*(F.lit(v) for kv in CODEC_COST.items() for v in kv))[F.col("vcodec")], F.lit(9))
-    key = F.struct((F.col("height") < 720).alias("a"), F.abs(F.col("height") - 720).alias("b"), F.coalesce("fps", F.lit(30.0)).alias("c"), cost.alias("d"), F.col("filesize").isNull().alias("e"), "filesize", "format_id")
-    return formats.groupBy("video_id").agg(F.min_by(F.struct("format_id", "height", "fps", "vcodec", "filesize"), key).alias("f")).select("video_id", "f.*")
+    """One format a video: of those with a picture the nearest to 720 lines among those of 720 or more, if any; then fewer frames a
+    second, an easier codec, fewer pixels, a smaller file, id. Without a picture the smallest that has sound.
+
+    Formats (video_id, format_id, height, vcodec; width, acodec, fps, filesize, filesize_approx, tbr, duration_sec if known) with
+    audio_only and needs_audio (a picture without sound). Formats with neither, or without an id, don't count.
+    """
+    given = lambda c, otherwise: F.col(c) if c in formats.columns else F.lit(otherwise)
+    none = F.lit("none")
+    vcodec = F.coalesce(F.nullif("vcodec", F.lit("")), none)
+    acodec = F.coalesce(F.nullif("acodec", F.lit("")), none) if "acodec" in formats.columns else F.lit("unknown")
+    height, width = F.coalesce("height", F.lit(0)), F.coalesce(given("width", 0), F.lit(0))
+    picture = (height > 0) & (vcodec != "none")
+    token = F.lower(F.substring_index(vcodec, ".", 1))
+    cost = F.coalesce(*(F.when(token.isin(*names), k) for k, names in enumerate(CODECS)), F.lit(UNKNOWN_COST))
+    fps = F.coalesce(F.when(given("fps", None) > 0, given("fps", None).cast("double")), F.lit(30.0))
+    pixels = F.when((width > 0) & (height > 0), width.cast("long") * height).otherwise(height.cast("long") * height)
+    size = format_bytes(formats)
+    of_picture = F.when(picture, F.struct((height < 720).alias("low"), F.abs(height - 720).alias("far"), fps.alias("fps"), cost.alias("cost"), pixels.alias("pixels")))
+    key = F.struct((~picture).alias("sound"), of_picture.alias("picture"), size.isNull().alias("unknown"), size.alias("size"), "format_id")
+    chosen = F.min_by(F.struct(*[c for c in formats.columns if c != "video_id"], (~picture).alias("audio_only"), (picture & (acodec == "none")).alias("needs_audio")), key)
+    usable = formats.where(F.col("format_id").isNotNull() & (F.col("format_id") != "") & (picture | (vcodec == "none") & (acodec != "none")))
+    return usable.groupBy("video_id").agg(chosen.alias("f")).select("video_id", "f.*")
 
 
 def media_inventory(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, clock, parse_clock, query_terms
@@ -36,10 +36,26 @@ def merge_hits(hits: DataFrame, limit: int = 8) -> DataFrame:
     return h.where(F.col("_stays") & (F.col("place") <= limit)).select("q_id", "place", "group_no", "id", "distance")
 
 
+def _trigrams(text: Column) -> Column:
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))))
+
+
 def find_segments(questions: DataFrame, segments: DataFrame, limit: int = 12) -> DataFrame:
-    """The first segments of the question's video whose text has one of the question's terms, without regard to case."""
-    terms = questions.withColumn("_terms", F.transform(query_terms(F.col("question")), F.lower)).where(F.size("_terms") > 0).select("q_id", "video_id", "_terms")
-    met = terms.join(segments, "video_id").where(F.exists("_terms", lambda t: F.contains(F.lower(F.col("text")), t)))
+    """The first segments of the question's video whose text has one of the question's terms, without regard to case.
+
+    A term (four letters or more) is looked up by the trigram of it that fewest segments of the video have: postings are made of the
+    trigrams that are asked for alone, and only what they give is searched for the term. So a question doesn't meet all
+    segments of its video, and a video's postings are dealt by trigram.
+    """
+    terms = questions.select("q_id", "video_id", F.explode(F.array_distinct(F.transform(query_terms(F.col("question")), F.lower))).alias("_term"))
+    asked = terms.withColumn("_tri", F.explode(_trigrams(F.col("_term"))))
+    told = segments.join(questions.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "position", F.explode(_trigrams(F.lower("text"))).alias("_tri"))
+    postings = told.join(asked.select("video_id", "_tri").distinct(), ["video_id", "_tri"], "left_semi")
+    many = postings.groupBy("video_id", "_tri").agg(F.count("*").alias("_n"))
+    # a trigram that no segment has rules its term out
+    rare = asked.join(many, ["video_id", "_tri"], "left").groupBy("q_id", "video_id", "_term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_tri").alias("tri"))).alias("_r")).where("_r.n > 0")
+    found = rare.select("q_id", "video_id", "_term", F.col("_r.tri").alias("_tri")).join(postings, ["video_id", "_tri"]).groupBy("q_id", "video_id", "position").agg(F.collect_set("_term").alias("_terms"))
+    met = found.join(segments, ["video_id", "position"]).where(F.exists("_terms", lambda t: F.contains(F.lower(F.col("text")), t)))
     return met.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy("position"))).where(F.col("place") <= limit).drop("_terms")
 
 

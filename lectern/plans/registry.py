@@ -302,7 +302,39 @@ def _(s, d):
 
 @query("pick_format", f"WITH {b.FORMATS} SELECT video_id, format_id, height, CAST(fps AS DOUBLE) AS fps, vcodec, filesize FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY height < 720, abs(height-720), fps, CASE vcodec WHEN 'avc1' THEN 0 WHEN 'vp9' THEN 1 WHEN 'hev1' THEN 2 ELSE 3 END, filesize, format_id) AS r FROM fmt) WHERE r = 1")
 def _(s, d):
-    return library.pick_format(b.formats(s, d))
+    return library.pick_format(b.formats(s, d)).select("video_id", "format_id", "height", "fps", "vcodec", "filesize")
+
+
+@query("pick_format_with_sound", """WITH f AS (SELECT l_orderkey AS video_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS format_id, CASE WHEN l_orderkey%4=0 OR l_partkey%6=0 THEN NULL ELSE [360,480,720,1080][l_partkey%4+1] END AS height, [NULL,960,1280,1920][l_suppkey%4+1] AS width,
+  CASE WHEN l_orderkey%4=0 OR l_partkey%6=0 THEN 'none' ELSE ['AVC3.64001f','vp09','hvc1.1','av01.0','theora'][l_suppkey%5+1] END AS vcodec, CASE WHEN l_partkey%3=0 THEN 'none' ELSE 'mp4a' END AS acodec, CASE WHEN l_partkey%5=0 THEN 0 ELSE l_suppkey%3*30 END AS fps,
+  CASE WHEN l_suppkey%3=0 THEN CAST(l_extendedprice AS DOUBLE) END AS filesize, CASE WHEN l_suppkey%3=1 THEN l_partkey*10 END AS filesize_approx, l_quantity AS tbr, CASE WHEN l_orderkey%7<>0 THEN 60 END AS duration_sec FROM lineitem),
+s AS (SELECT *, coalesce(height,0) > 0 AND vcodec <> 'none' AS pic, coalesce(CASE WHEN filesize > 0 THEN filesize END, CASE WHEN filesize_approx > 0 THEN filesize_approx END, CASE WHEN tbr > 0 THEN CAST(tbr AS DOUBLE)*1000/8*duration_sec END) AS size, CASE WHEN fps > 0 THEN fps ELSE 30 END AS f,
+  CASE lower(string_split(vcodec, '.')[1]) WHEN 'avc3' THEN 0 WHEN 'vp09' THEN 1 WHEN 'av01' THEN 3 ELSE 2 END AS cost, CASE WHEN width > 0 AND height > 0 THEN width*height ELSE height*height END AS px FROM f)
+SELECT video_id, format_id, NOT pic AS audio_only, pic AND acodec='none' AS needs_audio FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY NOT pic, CASE WHEN pic THEN CAST(height<720 AS INT) END, CASE WHEN pic THEN abs(height-720) END, CASE WHEN pic THEN f END, CASE WHEN pic THEN cost END, CASE WHEN pic THEN px END, size IS NULL, size, format_id) AS r FROM s WHERE pic OR (vcodec='none' AND acodec<>'none')) WHERE r = 1""")
+def _(s, d):  # with sound alone in every fourth video, unknown sizes, codecs in all spellings
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    o, p, u = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    sound = (o % 4 == 0) | (p % 6 == 0)
+    x = b.table(s, d, "lineitem").select(
+        o.alias("video_id"), F.concat_ws("-", p, u, F.col("l_linenumber")).alias("format_id"), F.when(~sound, at((360, 480, 720, 1080), p % 4)).alias("height"), at((None, 960, 1280, 1920), u % 4).alias("width"),
+        F.when(sound, "none").otherwise(at(("AVC3.64001f", "vp09", "hvc1.1", "av01.0", "theora"), u % 5)).alias("vcodec"), F.when(p % 3 == 0, "none").otherwise("mp4a").alias("acodec"), F.when(p % 5 == 0, 0).otherwise(u % 3 * 30).alias("fps"),
+        F.when(u % 3 == 0, F.col("l_extendedprice").cast("double")).alias("filesize"), F.when(u % 3 == 1, p * 10).alias("filesize_approx"), F.col("l_quantity").alias("tbr"), F.when(o % 7 != 0, 60).alias("duration_sec"),
+    )
+    return library.pick_format(x).select("video_id", "format_id", "audio_only", "needs_audio")
+
+
+@query("default_flags", "SELECT l_orderkey AS video_id, l_linenumber AS n, CASE WHEN l_partkey%5=0 THEN NULL ELSE l_partkey - 60 END AS sec, coalesce(CASE WHEN l_partkey%5<>0 THEN l_partkey - 60 > 0 AND (l_partkey-60)*60 < 5400 END, false) AS opt_diarize FROM lineitem")
+def _(s, d):
+    sec = F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey") - 60)
+    return b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("n"), sec.alias("sec"), library.default_flags(sec * 60)["opt_diarize"].alias("opt_diarize"))
+
+
+@query("stages_in_order", f"""WITH {b.DELTAS}, g AS (SELECT video_id, CASE WHEN stage='storing' THEN 'other' ELSE stage END AS stage, CAST(sum(seconds) AS DOUBLE) AS seconds FROM del GROUP BY 1, 2)
+SELECT video_id, string_agg(stage, ' ' ORDER BY list_position(['compressing','storing','transcribing','diarizing','merging','correcting','splitting','embedding','moments','naming'], stage) NULLS LAST, stage) AS stages, sum(seconds) AS processed_sec FROM g GROUP BY 1""")
+def _(s, d):
+    stage = F.when(F.col("stage") == "storing", "other").otherwise(F.col("stage"))
+    g = b.stage_deltas(s, d).groupBy("video_id", stage.alias("stage")).agg(F.sum("seconds").cast("double").alias("seconds"))
+    return library.stages_in_order(g).select("video_id", F.array_join(F.transform("stages", lambda x: x["stage"]), " ").alias("stages"), "processed_sec")
 
 
 @query("load_seconds", f"WITH {b.VIDEOS}, {b.DELTAS}, g AS (SELECT video_id, sum(seconds) AS s FROM del WHERE video_id%3=0 GROUP BY 1) SELECT vid.video_id, CAST(coalesce(s, processed_sec, CASE WHEN NOT held AND status <> 'queued' THEN CASE WHEN started_at IS NOT NULL THEN greatest(0, epoch(TIMESTAMP '1996-06-01') - epoch(started_at)) END END) AS DOUBLE) AS load_sec FROM vid LEFT JOIN g USING (video_id)")
@@ -343,6 +375,13 @@ def _(s, d):
     return library.latest_version(b.table(s, d, "part").select(F.col("p_size").alias("key"), F.concat_ws(".", (k % 50).cast("string"), (k % 7).cast("string")).alias("version")), ["key"])
 
 
+@query("latest_version_of_any_length", "SELECT p_size AS key, arg_max('2026' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') || '.b' || p_partkey%7 || 'c1-rc', CAST(p_partkey AS BIGINT)) AS version FROM part GROUP BY 1")
+def _(s, d):  # dates of 14 digits, letters among the digits
+    k = F.col("p_partkey")
+    v = F.concat(F.lit("2026"), F.lpad(k.cast("string"), 10, "0"), F.lit(".b"), (k % 7).cast("string"), F.lit("c1-rc"))
+    return library.latest_version(b.table(s, d, "part").select(F.col("p_size").alias("key"), v.alias("version")), ["key"])
+
+
 @query("missing_entry_embeddings", "SELECT vec_id AS id, 'Ответ \"' || vec_id || '\"' || chr(10) || 'и дальше' AS embed_text FROM embeddings WHERE vec_id%17=0 AND label <> 9")
 def _(s, d):
     return library.missing_entry_embeddings(_entries(s, d), _indexes(s, d)).select("id", "embed_text")

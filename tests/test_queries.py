@@ -30,7 +30,7 @@ def plain(v):
     try:
         return round(float(v), 6)
     except (TypeError, ValueError):
-        return str(v)[:26]
+        return str(v)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -64,6 +64,7 @@ def test_words_and_units(spark):
     assert values(spark, f.sentence_closed, ["Да.", "Да.»", "and-", "so"]) == [True, True, False, False]
     assert values(spark, lambda c: f.human_bytes(c.cast("long")), ["512", "1536", "20971520"]) == ["512 Б", "1,5 КБ", "20 МБ"]
     assert values(spark, f.version_key, ["2025.10.14", "2025-9-1"]) == [[2025, 10, 14], [2025, 9, 1]]
+    assert values(spark, f.version_key, ["20261128123456.1", "1a2", "v..x-3", "", "9" * 50]) == [[20261128123456, 1], [12], [3], [], [int("9" * 38)]]
     assert values(spark, f.query_terms, ["Cats and dogs CATS бегают четыре пять раз"]) == [["Cats", "dogs", "бегают", "четыре"]]
     assert values(spark, f.plain_text, ["**b** and [x](http://a) `c`\n# h"]) == ["b and x c\nh"]
     assert values(spark, lambda c: repair.restarted_thought(c, F.lit("Разработчик и")), ["это разработка", "это тест"]) == [True, False]
