@@ -17,9 +17,15 @@ next rounds look at the groups that still have sets of different components: has
 elements) are compared; the bits in which two bitmaps differ bound the overlap from above. Each set outside its group's
 largest component proposes one partner, the nearest that its bitmap allows, and the proposals are checked exactly. When
 a round has made no link, the sets that still have allowed partners are compared with all of these, exactly and where they stand:
-a task gives only links between what it hasn't linked yet, so no step makes more rows than it was dealt. A group beyond
-BLOCK rows is dealt as rectangles of BLOCK by BLOCK; the largest component's rows go along the side of the other ones only.
-Pairs in one component already need no look, as the result is components.
+a task gives only links between what it hasn't linked yet. Pairs in one component already need no look, as the result is
+components.
+
+A group beyond BLOCK rows, as many sets with one passage in common may make, is split again before anything is compared: its sets
+are cut into twice as many and smaller parts, of which a pair that links has more than half in common, so the two have one in
+common among each one's rarest half (by how many of these sets have a part). Sets that are otherwise unlike have
+enough parts of their own and no longer meet. What is still beyond BLOCK after that, families of sets that all nearly link, is
+dealt as rectangles of BLOCK by BLOCK, each row to as many as the group has blocks of other components' rows: there alone more
+rows are made than were given.
 
 Defined cases: no words or no text: an empty set that links with nothing, its own component; fewer words than n: the
 whole sequence is the one n-gram; repeated rows share a vertex; a null id takes part, but isn't a component's name
@@ -35,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -442,6 +448,46 @@ def still_split(met: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(by_key.join(groups, "key"), "jaccard-split")
 
 
+def finer_keys(s: np.ndarray, bands: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(tile, room, keys) in the tiles of the set's band and of the band before: 2 D + 2 parts, empty ones too.
+
+    A pair that links differs in D parts at most, so it has D + 2 in common. However the keys are ordered, each set's last D + 1 can't
+    be all of these: a common one is among the first room = D + 1 of both.
+    """
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * np.uint64(0x94D049BB133111EB) ^ (s >> np.uint64(31)), dtype=np.uint64)])
+    band = int(np.searchsorted(bands, len(s), side="right")) - 1
+    for tile in range(max(0, band - 1), band + 1):
+        room = int(apart[tile]) + 1
+        k = 2 * room
+        at = np.concatenate([np.searchsorted(s, np.arange(k, dtype=np.uint64) * np.uint64((1 << 64) // k)), [len(s)]])
+        keys = mixed(sums[at[1:]] - sums[at[:-1]], np.diff(at).astype(np.uint64), np.arange(k, dtype=np.uint64), np.full(k, tile, np.uint64), np.full(k, 2, np.uint64))
+        yield tile, room, keys.view(np.int64)
+
+
+def finer(split: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """``split`` (see still_split) with the sets of groups beyond BLOCK rows in groups of equal smaller parts, each set by its rarest."""
+    hot = split.where(F.col("many") > BLOCK).select("vid").distinct()
+    if hot.isEmpty():
+        return split
+    schema = schema_of("vid long, tile int, room int, keys array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, apart = rule.bands(), rule.parts()[1]
+        for batch in batches:
+            vids, elements = batch.column("vid").to_pylist(), batch.column("elements")
+            rows = [(v, *x) for v, e in zip(vids, elements, strict=True) for x in finer_keys(np.frombuffer(e.as_buffer(), np.uint64), bands, apart)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f) for i, f in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=schema.names)
+
+    keyed = stored(of_ids(sets, hot).select("vid", "elements").mapInArrow(run, schema), "jaccard-finer")
+    each = keyed.select("vid", "tile", "room", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("vid", "tile")
+    # keys that no other set has come first: the shared ones have what room these leave
+    ranked = each.join(shared, "key").withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("several", F.count("*").over(own))
+    met = ranked.where(F.col("place") + 2 * F.col("room") - F.col("several") <= F.col("room")).select("vid", "key")
+    return split.where(F.col("many") <= BLOCK).unionByName(still_split(met, labels))
+
+
 def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, text_key, n_shingles, vid and comp (a vid) of each row of ``docs``; comp is null where nothing links with the set."""
     rows = stored(described(docs, rule, shared_parts(docs, rule)), "jaccard-rows")
@@ -457,7 +503,7 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     star = met.where("hub.vid <> vid").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("hub.vid").alias("a"), F.col("vid").alias("b"))
     links = stored(checked(allowed(star, marks, rule), sets, rule), "jaccard-links")
     labels = components(links)
-    split = still_split(met, labels)
+    split = finer(still_split(met, labels), sets, labels, rule)
     while not split.isEmpty():
         near = stored(proposals(split.join(marks, "vid"), rule), "jaccard-near")
         if near.isEmpty():

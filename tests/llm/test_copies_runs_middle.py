@@ -11,9 +11,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import fill_middle, periodic_runs, simhash
+from lectern.llm import fill_middle, jaccard_join, periodic_runs, simhash
 
-from .test_operators import SCHEMA, VOCAB, by_row, docs, expected, hashed, rows, words  # noqa: F401
+from .test_operators import SCHEMA, VOCAB, brute_components, by_row, docs, expected, hashed, rows, words  # noqa: F401
 
 
 def plain_print(t):
@@ -183,3 +183,58 @@ def test_pieces_cut_anywhere():
     assert p.permuted((3, 1, 0, 2, 4)).sha256() == hashed(b"cdefab")
     with pytest.raises(ValueError):
         fill_middle.restored(b"<P>a<M>b", "psm")
+
+
+# ---- large groups of the Jaccard join
+
+def split_of(spark, sets):
+    """One group of all these sets, each a component, as still_split gives it, and the sets."""
+    vids = [jaccard_join.vertex_of(s) for s in sets]
+    rows_ = spark.createDataFrame([(v, 7, v, min(vids), len(vids), len(vids) - 1) for v in vids], "vid long, key long, comp long, top long, many long, outside long")
+    return rows_, spark.createDataFrame([(v, len(s), bytearray(jaccard_join.bitmap_of(s)), bytearray(s.tobytes())) for v, s in zip(vids, sets, strict=True)], "vid long, size long, bitmap binary, elements binary")
+
+
+@pytest.mark.parametrize("n", [6000, 24_000])
+def test_a_group_of_unlike_sets_is_not_dealt_in_squares(spark, n):
+    rng = np.random.default_rng(n)
+    common = np.sort(rng.integers(0, 1 << 60, 12, dtype=np.uint64))  # one range of hashes
+    sets = [np.unique(np.concatenate([common, rng.integers(1 << 60, (1 << 64) - 1, 38, dtype=np.uint64)])) for _ in range(n)]
+    split, whole = split_of(spark, sets)
+    none = spark.createDataFrame([], "vid long, comp long")
+    left = jaccard_join.finer(split, whole, none, jaccard_join.Rule(3, 90, 100))
+    dealt = 0 if left.isEmpty() else jaccard_join.dealt(left.join(whole.select("vid", "size", "bitmap"), "vid")).count()
+    assert dealt <= 4 * n
+
+
+def test_smaller_parts_lose_no_link():
+    """Of a pair that links one common key is among the first of both, in any order of the keys."""
+    rng = np.random.default_rng(3)
+    for num in (90, 80, 50):
+        rule = jaccard_join.Rule(3, num, 100)
+        bands, apart = rule.bands(), rule.parts()[1]
+        for n in (1, 3, 9, 40, 300):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+                drop = int(rng.integers(0, max(1, int(len(a) * (1 - num / 100))) + 1))
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 1 << 63, int(rng.integers(0, drop + 1)), dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if not len(b) or 100 * both < num * (len(a) + len(b) - both):
+                    continue
+                salt = int(rng.integers(1 << 30))
+                first = [{(t, k) for t, room, keys in jaccard_join.finer_keys(s, bands, apart) for k in sorted(keys.tolist(), key=lambda k: hash((k, salt)))[:room]} for s in (a, b)]
+                assert first[0] & first[1]
+
+
+@pytest.mark.parametrize(("rule", "block"), [((3, 90, 100), 3), ((3, 60, 100), 8)])
+def test_components_with_groups_split_again(spark, monkeypatch, rule, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    page = [f"menu{i}" for i in range(60)]  # pages of one site: much in common, some linked
+    data = []
+    for i in range(70):
+        w = page + [rng.choice(VOCAB) + str(rng.randint(0, 400)) for _ in range(rng.choice([2, 5, 9, 40]))]
+        data.append((i, " ".join(w)))
+        if i % 5 == 0:
+            data.append((500 + i, " ".join([*w[:-1], "end"])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert by_row(jaccard_join.query(df, jaccard_join.Rule(*rule)), "n_shingles", "component_id") == brute_components(data, *rule)
