@@ -1,9 +1,11 @@
-"""License scans by a positional index of weighted tokens.
+"""License scans by a positional index of rare tokens.
 
-The words of a file that are in some template make its positional index: word -> positions. For each template whose mandatory
-phrases' words are all in the file, the postings of its words, weighted by inverse document frequency over all
-documents, vote at the offset (position in file - position in template). Words put in or left out move the offsets of what follows, so the votes of up to BAND neighbouring offsets count together.
-A template is a match where words of enough of its weight agree and its mandatory phrases stand in the aligned span.
+The index holds, of each template, its rarest words (by inverse document frequency over all documents), until what is left of
+its weight couldn't reach AGREE any more: a file without any of these can't match, so the templates that a file is held against are those
+its words lead to, however many there are. For each of them whose mandatory phrases' words are all in the file, the postings of its words
+in the file vote, by weight, at the offset (position in file - position in template). Words put in or left out move
+the offsets of what follows, so the votes of up to BAND neighbouring offsets count together. A template is a match where words of enough
+of its weight agree and its mandatory phrases stand in the aligned span.
 
 Defined cases: null or empty text: no words, no labels, score 0, null positions; repeated rows alike, each by
 itself; any number of words. Document frequencies are counted over every document; with no documents all
@@ -25,10 +27,12 @@ from .common import map_rows, schema_of
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 # fixed values: naming sentences and openings of public licences; (label, words of the template, mandatory phrases)
-TEMPLATES = (
+SENTENCES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free of charge",)),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("deal in the software without restriction",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("required by applicable law or agreed to in writing",)),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("general public license",)),
@@ -51,6 +55,22 @@ TEMPLATES = (
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
+# fixed values: short names as they stand after "SPDX-License-Identifier:", and labels
+SPDX = (
+    ("MIT", "mit"), ("Apache-2.0", "apache"), ("GPL-2.0", "gpl"), ("GPL-3.0", "gpl"), ("LGPL-2.1", "lgpl"), ("LGPL-3.0", "lgpl"), ("AGPL-3.0", "agpl"), ("BSD-2-Clause", "bsd"), ("BSD-3-Clause", "bsd"),
+    ("MPL-2.0", "mpl"), ("CC-BY-4.0", "cc-by"), ("CC-BY-SA-4.0", "cc-by-sa"), ("CC-BY-NC-4.0", "cc-by-nc"), ("CC0-1.0", "cc0"), ("Unlicense", "unlicense"), ("ISC", "isc"), ("Zlib", "zlib"), ("BSL-1.0", "boost"), ("EPL-2.0", "epl"),
+)
+# fixed values: names by which a text says what it is under, and labels
+NAMES = (("mit", "mit"), ("the mit", "mit"), ("apache 2 0", "apache"), ("the apache", "apache"), ("gnu gpl", "gpl"), ("the gnu gpl", "gpl"), ("gpl v3", "gpl"), ("gplv3", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("the bsd", "bsd"), ("mpl 2 0", "mpl"), ("isc", "isc"), ("the unlicense", "unlicense"))
+
+
+def named_templates() -> tuple[tuple[str, str, tuple[str]], ...]:
+    """Templates of the identifiers and of the short names, each mandatory as a whole."""
+    words = lambda name: name.lower().replace("-", " ").replace(".", " ")
+    told = [(label, f"spdx license identifier {words(name)}") for name, label in SPDX] + [(label, f"{verb} under {name}") for name, label in NAMES for verb in ("licensed", "released", "distributed")]
+    return tuple((label, text, (text,)) for label, text in [*told, ("gpl", "gnu gpl v2"), ("gpl", "gnu gpl v3")])
+
+
 #: Offsets on either side whose votes count together.
 BAND = 2
 #: Share of a template's total weight that has to agree at an offset.
@@ -67,17 +87,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_LOWER).translate(_SPACE).split()
 
 
-VOCABULARY = frozenset(w.encode() for _, t, _ in TEMPLATES for w in t.split())
+Template = tuple[str, str, tuple[str, ...]]
+TEMPLATES: tuple[Template, ...] = SENTENCES + named_templates()
+
 
+def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> frozenset[bytes]:
+    return frozenset(w.encode() for _, t, _ in templates for w in t.split())
 
-def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
-    """Number of documents, and of those that have each template word: at most len(VOCABULARY) rows."""
+
+VOCABULARY = vocabulary()
+
+
+def frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> tuple[int, dict[bytes, int]]:
+    """Number of documents, and of those that have each template word: as many rows as these words at most."""
+    known = vocabulary(templates)
     schema = schema_of("word string, n long")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         seen: Counter = Counter()
         for t in cols["text"]:
-            seen.update(VOCABULARY.intersection(words_of(t)))
+            seen.update(known.intersection(words_of(t)))
         return {"word": ["", *(w.decode() for w in seen)], "n": [len(cols["text"]), *seen.values()]}
 
     got = {r.word: r.n for r in map_rows(docs.select("text"), run, schema).groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -85,27 +114,36 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 class Scanner:
-    def __init__(self, n_docs: int, df: dict[bytes, int]) -> None:
-        self.weight = {w: float(np.log((n_docs + 1) / (df.get(w, 0) + 1)) + 0.1) for w in VOCABULARY}
-        self.templates = [([w.encode() for w in t.split()], [tuple(x.encode() for x in p.split()) for p in need]) for _, t, need in TEMPLATES]
-        self.keys = frozenset(max(p, key=lambda w: (self.weight[w], w)) for _, need in self.templates for p in need)
+    def __init__(self, n_docs: int, df: dict[bytes, int], templates: tuple[Template, ...] = TEMPLATES) -> None:
+        self.known = vocabulary(templates)
+        self.weight = {w: float(np.log((n_docs + 1) / (df.get(w, 0) + 1)) + 0.1) for w in self.known}
+        self.names = [label for label, _, _ in templates]
+        self.templates = [([w.encode() for w in t.split()], [tuple(x.encode() for x in p.split()) for p in need]) for _, t, need in templates]
         self.total = [sum(self.weight[w] for w in t) for t, _ in self.templates]
+        self.index: dict[bytes, list[int]] = defaultdict(list)
+        for k, (words, _) in enumerate(self.templates):
+            count, seen = Counter(words), 0.0
+            for w in sorted(count, key=lambda w: (-self.weight[w], w)):
+                if seen > (1 - AGREE) * self.total[k] + 1e-9:
+                    break
+                seen += self.weight[w] * count[w]
+                self.index[w].append(k)
+        self.keys = frozenset(self.index)
 
     def labels(self, words: list[bytes]) -> tuple[set[str], float]:
-        if self.keys.isdisjoint(words):  # then no mandatory phrase can stand in it
-            return set(), 0.0
-        at = [(i, w) for i, w in enumerate(words) if w in VOCABULARY]
-        if not at:
+        if self.keys.isdisjoint(words):
             return set(), 0.0
         by_word = defaultdict(list)
-        for i, w in at:
-            by_word[w].append(i)
-        live = {k for k, (_, need) in enumerate(self.templates) if all(by_word.keys() >= set(p) for p in need)}  # others can't have their phrases
+        for i, w in enumerate(words):
+            if w in self.known:
+                by_word[w].append(i)
+        led = {k for w in by_word.keys() & self.keys for k in self.index[w]}
+        live = [k for k in sorted(led) if all(w in by_word for p in self.templates[k][1] for w in p)]  # others can't have their phrases
         places = {w: np.array(p) for w, p in by_word.items()}
         found, best = set(), 0.0
         for k in live:
             template, need = self.templates[k]
-            n, label = len(template), TEMPLATES[k][0]
+            n, label = len(template), self.names[k]
             votes = np.zeros(len(words) + n + 2 * BAND)  # by offset, from -(n + BAND) on
             for p, w in enumerate(template):
                 if w in places:

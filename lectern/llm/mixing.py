@@ -92,9 +92,10 @@ def schedule(weights: DataFrame) -> DataFrame:
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with _source, and _n: each row's number (from 0) within its source in order of hash and id.
 
-    A hash's first digits name a run; rows are numbered within runs, and runs start where those before end.
+    A hash's first digits name a run; rows are numbered within runs, and runs start where those before end. Rows without an id
+    go by a hash of all they have, so that these too are many runs.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.xxhash64(*docs.columns).cast("string"))))
     d = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(ABSENT))).withColumn("_key", key).withColumn("_run", F.substring("_key", 1, PREFIX))
     counts = d.groupBy("_source", "_run").agg(F.count("*").alias("_many"))
     before = Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,7 +38,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 charact
 #: Parts of a credential: identifiers and endpoints complement a weak secret.
 IDENTIFIER = re.compile(r"AKIA[A-Z0-9]{16,}|\b(?:client|account|tenant|user)_?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9-]{6,}", re.IGNORECASE | re.ASCII)
 ADDRESS = re.compile(r"\b(?:https?|postgres|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}", re.IGNORECASE | re.ASCII)
-HOST = re.compile(r"\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}", re.IGNORECASE | re.ASCII)
+#: A host has a point in its name, so that "server: down" in prose is none.
+HOST = re.compile(r"\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?(?:localhost\b|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.IGNORECASE | re.ASCII)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 #: Words and numbers between dashes, as titles stand in a path.
 TITLE = re.compile(r"(?:(?:[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_-]+|$))+", re.ASCII)
@@ -46,13 +47,27 @@ TITLE = re.compile(r"(?:(?:[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_-]+|$))+", re.ASCII)
 PATH = re.compile(r"[^:]*://[^/?#]*([^?#]*)")
 SEGMENT = re.compile(r"[^/]{20,}")
 #: Heads of sections, and braces.
-SECTION = re.compile(r"^\[[^\]\n]{1,80}\]\x20*$", re.MULTILINE)
+SECTION = re.compile(r"^\[[^\]\n]+\]\x20*$", re.MULTILINE)
 BRACE = re.compile(r"[{}]")
 
 
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", re.ASCII)
+#: A digit beside a letter, either way.
+TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", re.ASCII)
+
+
 def random_looking(s: str) -> bool:
-    """A mix of upper case, lower case and digits with few repeats, as generated keys have it."""
-    return any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and len(set(s)) * 2 >= min(len(s), 32)
+    """Few repeats, and signs of a generated key: all of upper case, lower case and digits; or one case and digits (base32, base36,
+    hexadecimal) that take turns too often for words and numbers, which stand together in names and dates."""
+    if UUID.fullmatch(s):
+        return True
+    digit, lower, upper = any(c.isdigit() for c in s), any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s)
+    if not digit or not (lower or upper):
+        return False
+    different = len(set(s)) * 2
+    if lower and upper:
+        return different >= min(len(s), 32)
+    return different >= min(len(s), 20) and len(TURN.findall(s)) >= max(4, len(s) // 6) and not TITLE.fullmatch(s)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
