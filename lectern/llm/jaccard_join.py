@@ -20,12 +20,12 @@ a round has made no link, the sets that still have allowed partners are compared
 a task gives only links between what it hasn't linked yet. Pairs in one component already need no look, as the result is
 components.
 
-A group beyond BLOCK rows, as many sets with one passage in common may make, is split again before anything is compared: its sets
+A group beyond SPLIT_BLOCKS blocks of BLOCK rows, as many sets with one passage in common may make, is split again before anything is compared: its sets
 are cut into twice as many and smaller parts, of which a pair that links has more than half in common, so the two have one in
 common among each one's rarest half (by how many of these sets have a part). Sets that are otherwise unlike have
-enough parts of their own and no longer meet. What is still beyond BLOCK after that, families of sets that all nearly link, is
-dealt as rectangles of BLOCK by BLOCK, each row to as many as the group has blocks of other components' rows: there alone more
-rows are made than were given.
+enough parts of their own and no longer meet. A group beyond one block is dealt as rectangles of BLOCK by BLOCK, each row to
+as many as the group has blocks, or blocks of other components' rows. Only families of sets that all nearly link stay beyond
+SPLIT_BLOCKS after the second split, and for them alone the rows dealt grow faster than the rows.
 
 Defined cases: no words or no text: an empty set that links with nothing, its own component; fewer words than n: the
 whole sequence is the one n-gram; repeated rows share a vertex; a null id takes part, but isn't a component's name
@@ -50,6 +50,8 @@ from .components import components
 
 #: Rows of a group that are compared with others in one piece.
 BLOCK = 1_024
+#: Groups beyond as many blocks are split again by smaller parts; up to that a row is dealt to as many rectangles at most, and once more as a target.
+SPLIT_BLOCKS = 4
 #: Groups up to this size are compared many at a time.
 SMALL = 6
 #: Marks of parts that several sets have (a sixteenth of a byte for each of 2^27 hashes); more parts make more false marks.
@@ -465,8 +467,9 @@ def finer_keys(s: np.ndarray, bands: np.ndarray, apart: np.ndarray) -> Iterator[
 
 
 def finer(split: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """``split`` (see still_split) with the sets of groups beyond BLOCK rows in groups of equal smaller parts, each set by its rarest."""
-    hot = split.where(F.col("many") > BLOCK).select("vid").distinct()
+    """``split`` (see still_split) with the sets of groups beyond SPLIT_BLOCKS blocks in groups of equal smaller parts, each set by its rarest."""
+    large = F.col("many") > SPLIT_BLOCKS * BLOCK
+    hot = stored(split.where(large).select("vid").distinct(), "jaccard-hot")
     if hot.isEmpty():
         return split
     schema = schema_of("vid long, tile int, room int, keys array<long>")
@@ -478,14 +481,13 @@ def finer(split: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule) -> D
             rows = [(v, *x) for v, e in zip(vids, elements, strict=True) for x in finer_keys(np.frombuffer(e.as_buffer(), np.uint64), bands, apart)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f) for i, f in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=schema.names)
 
-    keyed = stored(of_ids(sets, hot).select("vid", "elements").mapInArrow(run, schema), "jaccard-finer")
-    each = keyed.select("vid", "tile", "room", F.explode("keys").alias("key"))
+    each = of_ids(sets, hot).select("vid", "elements").mapInArrow(run, schema).select("vid", "tile", "room", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("vid", "tile")
     # keys that no other set has come first: the shared ones have what room these leave
     ranked = each.join(shared, "key").withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("several", F.count("*").over(own))
     met = ranked.where(F.col("place") + 2 * F.col("room") - F.col("several") <= F.col("room")).select("vid", "key")
-    return split.where(F.col("many") <= BLOCK).unionByName(still_split(met, labels))
+    return split.where(~large).unionByName(still_split(met, labels))
 
 
 def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
