@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import squeezed, version_key
+from ..sources.scratch import stored
 
 # fixed values: stages in order, and the band of overall progress that each takes
 BANDS = {"compressing": (0.0, 0.15), "storing": (0.15, 0.19), "transcribing": (0.19, 0.61), "diarizing": (0.61, 0.73), "merging": (0.73, 0.85), "correcting": (0.85, 0.92), "splitting": (0.92, 0.95), "embedding": (0.95, 0.96), "moments": (0.96, 0.98), "naming": (0.98, 0.985)}
@@ -31,12 +31,13 @@ def queue_place(videos: DataFrame) -> DataFrame:
     """Place of each video that isn't ready or failed, by creation and id; null for the others.
 
     Ranks without one task for all, or for a busy day: rows are dealt by ranges of (creation, id), sorted in their
-    task, and the tasks' counts, a line each, are added up. The dealt rows are kept on disk, as both steps need the same ranges.
+    task, and the tasks' counts, a line each, are added up. The dealt rows are stored, as both steps need the same ranges.
     """
     active = videos.where("status not in ('ready', 'error')").select("video_id", "created_at")
     dealt = active.repartitionByRange("created_at", "video_id").sortWithinPartitions("created_at", "video_id")
     at = F.monotonically_increasing_id()  # the task's number, then 33 bits of the row's
-    ranked = dealt.select("video_id", F.shiftright(at, 33).alias("_run"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")).persist(StorageLevel.DISK_ONLY)
+    ranked = dealt.select("video_id", F.shiftright(at, 33).alias("_run"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"))
+    ranked = stored(ranked, "queue-ranks")
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranked.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     places = ranked.join(F.broadcast(starts), "_run").select("video_id", (F.col("_start") + F.col("_in") + 1).cast("long").alias("place"))

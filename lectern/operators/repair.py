@@ -81,7 +81,8 @@ def split_segments(segments: DataFrame, n: int = 4) -> DataFrame:
     untimed = F.transform(words_of(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms")))
     given = F.filter("words", lambda w: F.trim(w["text"]) != "") if "words" in segments.columns else F.lit(None).cast("array<struct<text string, start_ms bigint, end_ms bigint>>")
     s = segments.select("video_id", "position", "start_ms", "end_ms", "text", given.alias("_own")).withColumn("_w", F.when(F.size("_own") > 0, F.col("_own")).otherwise(untimed))
-    ends = F.filter(F.transform("_w", lambda w, i: F.when(ends_sentence(w["text"]), i)), lambda i: i.isNotNull())
+    # most words have no mark of an end, and need no closer look
+    ends = F.filter(F.transform("_w", lambda w, i: F.when(w["text"].rlike("[.!?…]"), F.when(ends_sentence(w["text"]), i))), lambda i: i.isNotNull())
     s = s.withColumn("_ends", ends).withColumn("_last", F.size("_w") - 1)
     sentences = F.size("_ends") + F.when(F.coalesce(F.try_element_at("_ends", F.lit(-1)), F.lit(-1)) < F.col("_last"), 1).otherwise(0)
     s = s.withColumn("_n", F.ceil(sentences / n).cast("int")).withColumn("_split", sentences > n)
@@ -90,8 +91,11 @@ def split_segments(segments: DataFrame, n: int = 4) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.slice("_w", first(k) + 1, to(k) - first(k) + 1))
     text = lambda p: F.array_join(F.transform(p, lambda w: F.trim(w["text"])), " ")
     s = s.withColumn("_parts", F.when(F.col("_split"), parts)).withColumn("_texts", F.transform("_parts", text))
-    before = lambda k: F.aggregate(F.slice("_texts", F.lit(1), k), F.lit(0), lambda acc, t: acc + F.length(t))
-    all_chars, span = F.greatest(before(F.size("_texts")), F.lit(1)), F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    # characters before each piece, and of all
+    upto = F.aggregate("_texts", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t))))
+    s = s.withColumn("_upto", upto)
+    before = lambda k: F.get("_upto", k)
+    all_chars, span = F.greatest(F.element_at("_upto", -1), F.lit(1)), F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
     shared = lambda k: F.col("start_ms") + F.floor(span * before(k) / all_chars)
     timed, none = F.try_element_at("_w", F.lit(1))["start_ms"].isNotNull(), F.filter("_w", lambda w: F.lit(False))
 

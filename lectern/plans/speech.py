@@ -9,6 +9,7 @@ from ..operators import cards, fixes, joining, naming, repair, search, speakers
 from ..sources import bindings as b
 from .catalog import query
 
+CLOCK = "CASE WHEN {0} >= 3600 THEN ({0}//3600) || ':' || lpad(CAST({0}%3600//60 AS VARCHAR),2,'0') || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') ELSE ({0}//60) || ':' || lpad(CAST({0}%60 AS VARCHAR),2,'0') END"
 NAMES = ("Иван Петров", "Мария", "Олег", "Анна Белова")
 _NAMES = str(list(NAMES))
 
@@ -166,9 +167,9 @@ def _(s, d):
     return speakers.speaker_excerpt(b.episodes(s, d))
 
 
-@query("quote_token", f"WITH {b.SEGMENTS}, t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM seg) SELECT id, '@[' || CASE WHEN length(t) > 48 THEN rtrim(left(t, 47), ' ') || '…' ELSE t END || ' ' || (start_ms//60000) || ':' || lpad(CAST(start_ms//1000%60 AS VARCHAR), 2, '0') || '-' || (end_ms//60000) || ':' || lpad(CAST(end_ms//1000%60 AS VARCHAR), 2, '0') || ']' AS token FROM t WHERE end_ms < 3600000")
+@query("quote_token", f"WITH {b.EPISODES}, t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM ep) SELECT id, '@[' || CASE WHEN length(t) > 48 THEN rtrim(left(t, 47), ' ') || '…' ELSE t END || ' ' || {CLOCK.format('(start_ms//1000)')} || '-' || {CLOCK.format('(end_ms//1000)')} || ']' AS token FROM t")
 def _(s, d):
-    return search.quote_token(b.segments(s, d).where("end_ms < 3600000")).select("id", "token")
+    return search.quote_token(b.episodes(s, d)).select("id", "token")
 
 
 @query("replace_mentions", f"WITH {b.SEGMENTS} SELECT id, CASE WHEN video_id%2=0 THEN 'Скажи, SPEAKER_01, и SPEAKER_00: ' ELSE 'Скажи, @Ведущий, и @гость: ' END || text AS text FROM seg")
@@ -181,10 +182,9 @@ def _(s, d):
     return speakers.labels_to_mentions(b.segments(s, d).select("id", "video_id", F.concat(F.lit("Говорил SPEAKER_01, а SPEAKER_00 молчал, SPEAKER_011: "), "text").alias("text")), b.speakers(s, d)).select("id", "text")
 
 
-@query("for_speech", f"WITH {b.SEGMENTS} SELECT id, left('Итог: ' || trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || ' конец', 4000) AS text FROM seg WHERE trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') <> ''")
+@query("for_speech", f"WITH {b.SEGMENTS} SELECT id, left('Итог: ' || trim(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || ' конец', ' '), 4000) AS text FROM seg")
 def _(s, d):
-    t = b.segments(s, d).where(f.squeezed(F.col("text")) != "")
-    return t.select("id", f.for_speech(F.concat(F.lit("**Итог:** [1:02–1:20] "), "text", F.lit(" _конец_"))).alias("text"))
+    return b.segments(s, d).select("id", f.for_speech(F.concat(F.lit("**Итог:** [1:02–1:20] "), "text", F.lit(" _конец_"))).alias("text"))
 
 
 @query("answers_as_flags", f"WITH {b.SEGMENTS} SELECT id, [true, false, false, true][id%4+1] AS flag, [true, false, NULL, NULL][id%4+1] AS answer FROM seg")
@@ -198,6 +198,12 @@ def _(s, d):
     return b.table(s, d, "pages").select("page_id", f.human_bytes((F.col("page_id") * 37).cast("long")).alias("size"))
 
 
+@query("human_bytes_large", "SELECT page_id, CASE WHEN n < 1024 THEN n || ' Б' WHEN n < 10240 THEN replace(CAST(CAST(round(n/1024.0, 1) AS DECIMAL(9,1)) AS VARCHAR), '.', ',') || ' КБ' WHEN n < 1048576 THEN CAST(round(n/1024.0) AS BIGINT) || ' КБ' WHEN n < 10485760 THEN replace(CAST(CAST(round(n/1048576.0, 1) AS DECIMAL(9,1)) AS VARCHAR), '.', ',') || ' МБ' WHEN n < 1073741824 THEN CAST(round(n/1048576.0) AS BIGINT) || ' МБ' WHEN n < 10737418240 THEN replace(CAST(CAST(round(n/1073741824.0, 1) AS DECIMAL(9,1)) AS VARCHAR), '.', ',') || ' ГБ' ELSE CAST(round(n/1073741824.0) AS BIGINT) || ' ГБ' END AS size FROM (SELECT page_id, CAST(page_id AS BIGINT)*page_id*page_id*4099 AS n FROM pages)")
+def _(s, d):
+    k = F.col("page_id").cast("long")
+    return b.table(s, d, "pages").select("page_id", f.human_bytes(k * k * k * 4099).alias("size"))
+
+
 @query("apply_anglicisms", f"WITH {b.SEGMENTS} SELECT id, CASE WHEN id%2=0 THEN 'Наш backend: ' ELSE 'Наш бэкенд: ' END || text AS text FROM seg")
 def _(s, d):  # every second fix writes no Latin word
     seg = b.segments(s, d).withColumn("text", F.concat(F.lit("Наш бэкенд: "), "text")).withColumn("words", repair.words_of(F.col("text"))).withColumn("words", F.transform("words", lambda w, i: F.when(i == 1, "бэкенд").otherwise(w)))
