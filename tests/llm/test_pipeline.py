@@ -1,14 +1,16 @@
 """The pipeline's stages one after the other, against what each should do to its input."""
 
+import random
 from collections import Counter
 
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lectern.llm import byte_bpe, mixing, secret_scan
-from tests.llm.test_operators import SCHEMA, brute_components, hashed, rows
+from tests.llm.test_operators import SCHEMA, VOCAB, brute_components, hashed, rows
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +48,28 @@ def test_stages(spark, sf):
     assert sorted(r.doc_id for r in cp.run(spark, sf).collect()) == sorted(want)
 
 
+def test_run_over_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_over_huge_texts_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(VOCAB) + rng.choice(["", "s", "ed", "ing"]) + str(rng.randint(0, 999)) for _ in range(n))
+    huge, page = prose(140_000), prose(60)
+    made = [(0, huge), (1, huge + " end"), (2, page), (3, page.replace(" ", "  ", 1)), (4, "x" * 1_000_000), (None, prose(50)), (5, f"{prose(30)} password=abcdef123 {prose(30)}"), (6, None), (6, "")]
+    made += [(10 + i, prose(40)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in made], SCHEMA)
+    names = ("slot", "row_in_block", "_row", "_order", "_text", "comp", "vid", "kept", "spans", "text_key", "ids", "quality")
+    docs.select("*", *(F.lit(n).alias(n) for n in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10, 30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 2, 5, None, *range(10, 30)}
+    assert got[0].decoded_sha256 == hashed(huge.encode()) and got[2].decoded_sha256 == hashed(page.encode())
+    assert got[5].decoded_sha256 == hashed(secret_scan.redacted(made[6][1]).encode()) != hashed(made[6][1].encode())
+
+
 def test_order_of_the_mix(spark, tmp_path):
     size = {"a": 400, "b": 150, "c": 60, None: 20}
     made = [(i, f"text {i} of {s}", "en", s, 10) for s, n in size.items() for i in range(n)]
