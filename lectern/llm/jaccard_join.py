@@ -244,7 +244,8 @@ def linked(x: pa.Buffer, y: pa.Buffer, rule: Rule) -> bool:
 
 
 def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that link, by exact intersection."""
+    """Those of the pairs (a, b; each a in few) that link, by exact intersection. The pairs go to the elements of their a, where they are
+    few enough to be sent, and only these then move to their b."""
     schema = schema_of("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     # elements are the bulk: only those of sets in some pair are shuffled
     pairs = stored(pairs, "jaccard-pairs")
     sets = of_ids(sets, pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct())
-    full = pairs.join(sets.select(F.col("vid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("elements").alias("y")), "b")
+    full = sets.select(F.col("vid").alias("a"), F.col("elements").alias("x")).join(sent_if_few(pairs), "a").join(sets.select(F.col("vid").alias("b"), F.col("elements").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
@@ -280,7 +281,8 @@ def allowed(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
             ok = (apart <= rule.most_apart(m + n)) & (np.minimum(m, n) * rule.den >= np.maximum(m, n) * rule.num)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(marks.select(F.col("vid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x")), "a").join(marks.select(F.col("vid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y")), "b")
+    pairs = stored(pairs, "jaccard-star")
+    full = marks.select(F.col("vid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x")).join(sent_if_few(pairs), "a").join(marks.select(F.col("vid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y")), "b")
     return full.select("a", "b", "m", "n", "x", "y").mapInArrow(run, schema)
 
 
@@ -502,7 +504,7 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     hubs = stored(groups.groupBy("many", "sign1", "sign2").agg(F.min(F.struct("key", "hub")).alias("g")).select("g.*"), "jaccard-hubs")
     met = stored(met.join(hubs, "key").select("vid", "key", "hub"), "jaccard-met")
 
-    star = met.where("hub.vid <> vid").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("hub.vid").alias("a"), F.col("vid").alias("b"))
+    star = met.where("hub.vid <> vid").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("vid").alias("a"), F.col("hub.vid").alias("b"))
     links = stored(checked(allowed(star, marks, rule), sets, rule), "jaccard-links")
     labels = components(links)
     split = finer(still_split(met, labels), sets, labels, rule)
