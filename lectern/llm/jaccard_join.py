@@ -58,6 +58,8 @@ SMALL = 6
 SHARED_BITS = 1 << 27
 #: Ids up to this number are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
+#: Bytes of elements up to which the sets at one end of the pairs are broadcast; beyond them they are joined by a shuffle.
+SENT_BYTES = 64 << 20
 #: Bits of a set's bitmap: two to four for each element, within these.
 LEAST_BITS, MOST_BITS = 64, 65_536
 
@@ -253,10 +255,11 @@ def checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             ok = [linked(x.as_buffer(), y.as_buffer(), rule) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    # elements are the bulk: only those of sets in some pair are shuffled
+    # elements are the bulk: pairs are sent to those of a, and of the others only those of some b are moved, or sent where they are small
     pairs = stored(pairs, "jaccard-pairs")
-    sets = of_ids(sets, pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct())
-    full = sets.select(F.col("vid").alias("a"), F.col("elements").alias("x")).join(sent_if_few(pairs), "a").join(sets.select(F.col("vid").alias("b"), F.col("elements").alias("y")), "b")
+    ends = stored(of_ids(sets, pairs.select(F.col("b").alias("vid")).distinct()).select(F.col("vid").alias("b"), F.col("elements").alias("y")), "jaccard-ends")
+    size = ends.agg(F.sum(F.length("y") + 64)).first()[0] or 0
+    full = sets.select(F.col("vid").alias("a"), F.col("elements").alias("x")).join(sent_if_few(pairs), "a").join(F.broadcast(ends) if size <= SENT_BYTES else ends, "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
