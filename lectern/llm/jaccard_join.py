@@ -285,7 +285,9 @@ def allowed(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = stored(pairs, "jaccard-star")
-    full = marks.select(F.col("vid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x")).join(sent_if_few(pairs), "a").join(marks.select(F.col("vid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y")), "b")
+    # many share a hub: only the hubs' bitmaps are moved
+    hubs = of_ids(marks, pairs.select(F.col("b").alias("vid")).distinct()).select(F.col("vid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y"))
+    full = marks.select(F.col("vid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x")).join(sent_if_few(pairs), "a").join(hubs, "b")
     return full.select("a", "b", "m", "n", "x", "y").mapInArrow(run, schema)
 
 
@@ -512,7 +514,7 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = components(links)
     split = finer(still_split(met, labels), sets, labels, rule)
     while not split.isEmpty():
-        near = stored(proposals(split.join(marks, "vid"), rule), "jaccard-near")
+        near = stored(proposals(split.join(of_ids(marks, split.select("vid").distinct()), "vid"), rule), "jaccard-near")
         if near.isEmpty():
             break
         best = near.where("partner is not null").groupBy("vid").agg(F.min(F.struct("apart", "partner")).alias("best")).select(F.col("vid").alias("a"), F.col("best.partner").alias("b"))
@@ -528,7 +530,8 @@ def linked_components(docs: DataFrame, rule: Rule) -> DataFrame:
         labels = components(links)
         if last:
             break
-        split = still_split(split.select("vid", "key"), labels)
+        # components only grow, so what had no allowed partner in its group won't get one; a row is told by each rectangle
+        split = still_split(near.select("vid", "key").distinct(), labels)
     return rows.select("doc_id", "text_key", "n_shingles", "vid").join(labels, "vid", "left")
 
 
