@@ -28,29 +28,39 @@ def parse_fixes(answers: DataFrame) -> DataFrame:
     return read.where("old <> '' and new <> '' and word_no is not null")
 
 
-def _patched(text: Column, words: Column, fixes: Column, allowed) -> Column:
-    """struct(text, words) after the fixes (array of line_no, word_no, old, new) that are allowed, one after the other."""
-
-    def patched(acc: Column, fix: Column) -> Column:
-        words, text, k = acc["words"], acc["text"], fix["word_no"]
-        after = lambda pos, w: F.when(pos == 0, 0).otherwise(F.call_function("locate", w, text, pos) + F.length(w))
-        # the place of each word in the text, walking over those before; 0 where the walk has lost its way
-        walked = F.aggregate(F.slice(words, 1, k), F.lit(1), lambda pos, w: F.when((pos > 0) & (F.length(w) > 0) & (F.call_function("locate", w, text, pos) > 0), after(pos, w)).otherwise(0))
-        at = F.when(walked > 0, F.call_function("locate", fix["old"], text, walked)).otherwise(0)
-        ok = (k < F.size(words)) & (F.get(words, k) == fix["old"]) & (fix["old"] != fix["new"]) & allowed(fix["old"], fix["new"]) & (at > 0)
-        text2 = F.concat(F.substring(text, 1, at - 1), fix["new"], F.substr(text, at + F.length(fix["old"])))
-        words2 = F.transform(words, lambda w, i: F.when(i == k, fix["new"]).otherwise(w))
-        return F.when(ok, F.struct(text2.alias("text"), words2.alias("words"))).otherwise(F.struct(text.alias("text"), words.alias("words")))
-
-    return F.aggregate(fixes, F.struct(text.alias("text"), words.alias("words")), patched)
+def _patch(text: str | None, words: list[str] | None, places: list[int], olds: list[str], news: list[str]) -> tuple[str | None, list[str] | None]:
+    if text is None or words is None or not len(places):
+        return text, words
+    # where the walk is after so many words, -1 once it has lost its way; a fix leaves what is before its word as it was
+    words, walked = list(words), [0]
+    for k, old, new in zip(places, olds, news, strict=True):
+        if k is None or not 0 <= k < len(words) or not old or new is None or words[k] != old:
+            continue
+        while len(walked) <= k and walked[-1] >= 0:
+            w = words[len(walked) - 1]
+            at = text.find(w, walked[-1]) if w else -1
+            walked.append(at + len(w) if at >= 0 else -1)
+        at = text.find(old, walked[k]) if len(walked) > k and walked[k] >= 0 else -1
+        if at >= 0:
+            text, words[k] = text[:at] + new + text[at + len(old) :], new
+            del walked[k + 1 :]
+    return text, words
+
+
+def _patched(text: Column, words: Column, fixes: Column) -> Column:
+    """struct(text, words) after the fixes (array of line_no, word_no, old, new; null: none), one after the other: each word of a text is
+    looked for from the end of the one before, so the work grows with the text."""
+    patch = F.udf(_patch, "text string, words array<string>", useArrow=True)
+    return patch(text, words, F.coalesce(fixes["word_no"], F.array().cast("array<int>")), F.coalesce(fixes["old"], F.array().cast("array<string>")), F.coalesce(fixes["new"], F.array().cast("array<string>")))
 
 
 def _apply(segments: DataFrame, fixes: DataFrame, allowed) -> DataFrame:
     f = F.struct("line_no", "word_no", "old", "new")
     listed = fixes.groupBy(F.col("key").alias("id")).agg(F.array_sort(F.collect_list(f)).alias("_fixes"))
-    empty = F.array().cast(listed.schema["_fixes"].dataType)
+    # what isn't allowed goes from the lists: a filter of the rows would parse each line again
+    listed = listed.withColumn("_fixes", F.filter("_fixes", lambda x: (x["old"] != x["new"]) & allowed(x["old"], x["new"])))
     told = segments.join(listed, "id", "left")
-    done = _patched(F.col("text"), F.col("words"), F.coalesce("_fixes", empty), allowed)
+    done = _patched(F.col("text"), F.col("words"), F.col("_fixes"))
     return told.withColumn("_done", done).withColumn("text", F.col("_done.text")).withColumn("words", F.col("_done.words")).drop("_done", "_fixes")
 
 
@@ -104,6 +114,6 @@ def normalize_terms(segments: DataFrame) -> DataFrame:
     talk = cue | (F.size(F.filter("_w", lambda w: grade_of(letters(w)).isNotNull())) >= 2)
     fix = lambda w, i: F.struct(i.alias("line_no"), i.alias("word_no"), w.alias("old"), graded(w).alias("new"))
     fixes = F.filter(F.transform("_w", fix), lambda x: (x["new"] != "") & (x["new"] != x["old"]))
-    told = told.withColumn("_f", fixes).withColumn("_done", F.when(talk & (F.size("_f") > 0), _patched(F.col("text"), F.col("_w"), F.col("_f"), lambda old, new: F.lit(True))))
+    told = told.withColumn("_f", fixes).withColumn("_done", _patched(F.col("text"), F.col("_w"), F.when(talk, F.col("_f"))))
     words = F.when(F.size("words") > 0, F.coalesce("_done.words", "words")).otherwise(F.col("words"))
     return told.withColumn("words", words).withColumn("text", F.coalesce("_done.text", "text")).drop("_w", "_f", "_done")

@@ -199,6 +199,23 @@ def test_fixes(spark):
     assert fixes.apply_anglicisms(s, latin).collect()[0].text == "ну Какое-то окно, Docker окно"
 
 
+def test_fixes_of_long_texts(spark):
+    words = [f"w{i}" for i in range(3000)]
+    s = spark.createDataFrame([(1, " ".join(words), words)], "id long, text string, words array<string>")
+    a = spark.createDataFrame([(1, n, k, f"w{k}", f"W{k}") for n, k in enumerate([*range(1, 3000), 0])], "key long, line_no int, word_no int, old string, new string")
+    fixed = fixes.apply_case_fixes(s, a).collect()[0]  # the fixes before, word after word from the start of the text, took minutes
+    assert fixed.text == " ".join(words).upper() and fixed.words == [w.upper() for w in words]
+
+
+def test_fixes_that_dont_count(spark):
+    told = [(1, "а б в", ["а", "х", "в"]), (2, "а б", ["а", ""]), (3, None, ["а"]), (4, "а", None), (5, "а а б а", ["а", "б", "а"])]
+    s = spark.createDataFrame(told, "id long, text string, words array<string>")
+    # beyond a word that the text hasn't, no text, no words; a word fixed twice, and one before it after it
+    a = spark.createDataFrame([(1, 0, 2, "в", "В"), (1, 1, 0, "а", "А"), (2, 0, -1, "а", "А"), (2, 1, 7, "а", "А"), (3, 0, 0, "а", "А"), (4, 0, 0, "а", "А"), (5, 0, 2, "а", "А"), (5, 1, 2, "А", "а"), (5, 2, 2, "а", "А"), (5, 3, 0, "а", "А")], "key long, line_no int, word_no int, old string, new string")
+    got = {r.id: (r.text, r.words) for r in fixes.apply_case_fixes(s, a).collect()}
+    assert got == {1: ("А б в", ["А", "х", "в"]), 2: ("а б", ["а", ""]), 3: (None, ["а"]), 4: ("а", None), 5: ("А а б А", ["А", "б", "А"])}
+
+
 def test_documents_and_transcripts(spark, tmp_path):
     os.makedirs(f"{tmp_path}/in")
     for v in (1, 2):
