@@ -99,3 +99,9 @@ def test_sizes_beyond_a_long(spark, tmp_path):
     spark.range(139_999, 140_001).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r["size"] for r in registry.queries()["human_bytes_large"](spark, str(tmp_path)).collect()}
     assert got == {k: f"{round(k**3 * 4099 / 1024**3)} ГБ" for k in (139_999, 140_000)}
+
+
+def test_sizes_of_the_first_units(spark, tmp_path):
+    spark.range(28_339, 28_341).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r["size"] for r in registry.queries()["human_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {28_339: "1024 КБ", 28_340: "?"}
