@@ -114,3 +114,12 @@ def test_store_of_states_is_set_back(spark):
         assert spark.conf.get(jobs.STORE) == jobs.ROCKS
     assert spark.conf.get(jobs.STORE) == before
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_files_as_streams(spark, tmp_path, files):
+    rows = spark.range(30).select((F.col("id") % 7).alias("a"), "id")
+    rows.repartition(files).write.parquet(f"{tmp_path}/in/rows.parquet")
+    rows.where("id < 3").write.parquet(f"{tmp_path}/in/others.parquet")
+    got = jobs.finished(jobs.table_stream(spark, f"{tmp_path}/in", "rows"))
+    assert sorted(r.id for r in got.collect()) == list(range(30))
