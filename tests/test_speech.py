@@ -208,3 +208,9 @@ def test_a_name_far_into_the_next_turns(spark):
     assert {r.speaker: r["name"] for r in naming.spoken_name(seg).collect()} == {"A": "Мария"}
     long = segments(spark, ["Итак, " + "слово " * 100 + "меня зовут", "а", "Олег, " + "и ещё " * 60], "AB")
     assert {r.speaker: r["name"] for r in naming.spoken_name(long).collect()} == {"A": "Олег"}
+
+
+def test_vectors_as_text_near_zero(spark):
+    cases = [-1e-8, -0.0, 0.0, 1e-8, -5e-8, -6e-8, 1 / 256, -3 / 256, 0.25]
+    got = spark.createDataFrame([(cases,)], "v array<double>").select(f.vec_to_text(F.col("v")).alias("t")).collect()[0].t
+    assert got == "[" + ",".join(f"{x:.7f}" for x in cases) + "]"
