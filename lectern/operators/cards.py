@@ -45,12 +45,13 @@ def topic_body(rows: DataFrame, keys: list[str], most: int = 12_000, head: int =
     Lines that are in neither are left out before they are gathered, so a part's gathered text is bounded.
     """
     lines = rows.select(*keys, "position", spoken(F.col("speaker")).alias("_l")).withColumn("_n", F.length("_l") + 1)
-    w = Window.partitionBy(*keys).orderBy("position")
+    w = Window.partitionBy(*keys).orderBy("position", "_l")
     upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("_to", upto).join(lines.groupBy(*keys).agg((F.sum("_n") - 1).alias("_all")), keys)
     long = F.col("_all") > most
-    kept = lines.where(~long | (F.col("_to") - F.col("_n") < head) | (F.col("_to") > F.col("_all") - tail))
-    front = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~long | (F.col("_to") - F.col("_n") < head), F.struct("position", "_l")))), lambda x: x["_l"]), "\n")
+    # a line that starts right after the head brings the head's last character, a line end
+    kept = lines.where(~long | (F.col("_to") - F.col("_n") <= head) | (F.col("_to") > F.col("_all") - tail))
+    front = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~long | (F.col("_to") - F.col("_n") <= head), F.struct("position", "_l")))), lambda x: x["_l"]), "\n")
     back = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(long & (F.col("_to") > F.col("_all") - tail), F.struct("position", "_l")))), lambda x: x["_l"]), "\n")
     cut = F.concat(F.substring("front", 1, head), F.lit("\n...\n"), F.right(F.col("back"), F.lit(tail)))
     got = kept.groupBy(*keys).agg(front.alias("front"), back.alias("back"), F.max("_all").alias("_all"))

@@ -216,6 +216,15 @@ def test_fixes_that_dont_count(spark):
     assert got == {1: ("А б в", ["А", "х", "в"]), 2: ("а б", ["а", ""]), 3: (None, ["а"]), 4: ("а", None), 5: ("А а б А", ["А", "б", "А"])}
 
 
+def test_a_cut_after_a_line_end(spark):
+    line = lambda n: "x" * n
+    rows = [(v, 0, None, line(n)) for v, n in ((1, 12), (2, 13), (3, 14))] + [(v, p, None, line(30)) for v in (1, 2, 3) for p in (1, 2)]
+    df = spark.createDataFrame(rows, "video_id long, position long, speaker string, text string").withColumn("start_ms", F.lit(0))
+    want = {v: "\n".join(f"[0:00] {t}" for u, _, _, t in rows if u == v) for v in (1, 2, 3)}
+    got = {r.video_id: r.body for r in cards.topic_body(df, ["video_id"], 50, 20, 10).collect()}
+    assert got == {v: t[:20] + "\n...\n" + t[-10:] for v, t in want.items()} and got[1][19:21] == "\n\n"
+
+
 def test_documents_and_transcripts(spark, tmp_path):
     os.makedirs(f"{tmp_path}/in")
     for v in (1, 2):
