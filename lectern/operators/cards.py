@@ -355,10 +355,11 @@ def parse_objects(answers: DataFrame) -> DataFrame:
 def topics_brief(topics: DataFrame, most: int = 12_000) -> DataFrame:
     """video_id, text: "n. title. Проблема: … Вывод: … Посыл: …" of a video's cards (topic_no), cut to ``most`` characters.
 
-    Lines beyond the cut are left out before they are gathered.
+    Lines beyond the cut are left out before they are gathered; one that starts right after it stays, as the line end before it is
+    the last character.
     """
     said = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" {head}: "), c, F.lit("."))).otherwise("")
     line = F.concat((F.col("topic_no") + 1).cast("string"), F.lit(". "), "title", F.lit("."), said("Проблема", F.col("problem")), said("Вывод", F.col("conclusion")), said("Посыл", F.col("message_type")))
     before = Window.partitionBy("video_id").orderBy("topic_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = topics.select("video_id", "topic_no", line.alias("_l")).withColumn("_used", F.coalesce(F.sum(F.length("_l") + 1).over(before), F.lit(0))).where(F.col("_used") < most)
+    rows = topics.select("video_id", "topic_no", line.alias("_l")).withColumn("_used", F.coalesce(F.sum(F.length("_l") + 1).over(before), F.lit(0))).where(F.col("_used") <= most)
     return rows.groupBy("video_id").agg(F.substring(_lines(["topic_no"], F.col("_l")), 1, most).alias("text"))

@@ -214,3 +214,11 @@ def test_vectors_as_text_near_zero(spark):
     cases = [-1e-8, -0.0, 0.0, 1e-8, -5e-8, -6e-8, 1 / 256, -3 / 256, 0.25]
     got = spark.createDataFrame([(cases,)], "v array<double>").select(f.vec_to_text(F.col("v")).alias("t")).collect()[0].t
     assert got == "[" + ",".join(f"{x:.7f}" for x in cases) + "]"
+
+
+def test_topics_cut_after_a_line_end(spark):
+    lines = [(v, n, "т" * (9 + v if n == 0 else 9)) for v in range(5) for n in range(4)]
+    df = spark.createDataFrame(lines, "video_id long, topic_no long, title string").select("*", *(F.lit("").alias(c) for c in ("problem", "conclusion", "message_type")))
+    want = {v: "\n".join(f"{n + 1}. {t}." for u, n, t in lines if u == v) for v in range(5)}
+    for most in (13, 14, 15, 27, 28, 29):
+        assert {r.video_id: r.text for r in cards.topics_brief(df, most).collect()} == {v: t[:most] for v, t in want.items()}
