@@ -222,3 +222,15 @@ def test_topics_cut_after_a_line_end(spark):
     want = {v: "\n".join(f"{n + 1}. {t}." for u, n, t in lines if u == v) for v in range(5)}
     for most in (13, 14, 15, 27, 28, 29):
         assert {r.video_id: r.text for r in cards.topics_brief(df, most).collect()} == {v: t[:most] for v, t in want.items()}
+
+
+def test_pooling_computes_nothing_twice(spark):
+    n = 768  # before, each number of the result asked for the whole sum again: a row took minutes
+    rows = [([[float(k % 7 + v), 1.0] * (n // 2) for v in range(20)], [v % 2 for v in range(20)]) for k in range(50)]
+    got = spark.createDataFrame(rows, "t array<array<double>>, m array<int>").select(f.mean_pool(F.col("t"), F.col("m")).alias("v")).collect()
+    for (t, m), r in zip(rows, got, strict=True):
+        mean = [sum(x) / 10 for x in zip(*(v for v, k in zip(t, m, strict=True) if k), strict=True)]
+        norm = sum(x * x for x in mean) ** 0.5
+        assert r.v == pytest.approx([x / norm for x in mean])
+    none = spark.sql("select cast(null as array<array<double>>) t, array(1) m, cast(null as array<double>) v").select(f.mean_pool(F.col("t"), F.col("m")).alias("a"), f.unit(F.col("v")).alias("b")).collect()[0]
+    assert none.a is None and none.b is None
