@@ -19,6 +19,8 @@ CODECS = (("avc", "avc1", "avc3", "h264"), ("vp8", "vp9", "vp09"), ("hev1", "hvc
 UNKNOWN_COST = 2
 # fixed values: a recording under this many seconds has all optional steps by default
 SHORT_SEC = 90 * 60
+#: Rows of stage times that a task adds up, on average.
+ROWS_A_TASK = 500_000
 
 
 def merge_stage_times(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -48,17 +50,24 @@ def stage_durations(videos: DataFrame, stage_times: DataFrame, now: Column | Non
     """video_id, stage, seconds (> 0) of known videos, and processed_sec, their sum.
 
     With ``now``, the time of the stage that runs (from stage_started_at) and of fetching (from started_at) is added.
-    Rows are dealt by video once: a stage's sum and the video's need the same exchange.
+    Rows are dealt by video once: known videos, a stage's sum and the video's need the same exchange. The tasks are as many as the
+    rows ask for (counted), so a task's memory doesn't grow with the input.
     """
-    rows = stage_times.select("video_id", "stage", "seconds").join(videos.select("video_id"), "video_id", "left_semi")
+    tasks = max(stage_times.sparkSession.sparkContext.defaultParallelism, -(-stage_times.count() // ROWS_A_TASK))
+    rows = stage_times.select("video_id", "stage", "seconds").where("video_id is not null")
     if now is not None:
         since = lambda c: now.cast("double") - F.col(c).cast("double")
         work = [s for s in BANDS if s != "fetching"]
         live = videos.where(F.col("status").isin(*work) & F.col("stage_started_at").isNotNull()).select("video_id", F.col("status").alias("stage"), since("stage_started_at").alias("seconds"))
         fetched = videos.where("status = 'fetching' and started_at is not null").select("video_id", F.lit("fetching").alias("stage"), since("started_at").alias("seconds"))
         rows = rows.withColumn("seconds", F.col("seconds").cast("double")).unionByName(live).unionByName(fetched)
-    s = rows.repartition("video_id").groupBy("video_id", "stage").agg(F.sum("seconds").alias("seconds")).where("seconds > 0")
-    return s.withColumn("processed_sec", F.sum("seconds").over(Window.partitionBy("video_id")))
+    # a line without stage and seconds says that a video is known; as a join, this would be an exchange and a sort of its own
+    known = videos.select("video_id", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("stage", "seconds")), F.lit(True).alias("_known"))
+    dealt = rows.withColumn("_known", F.lit(False)).unionByName(known).repartition(tasks, "video_id")
+    s = dealt.groupBy("video_id", "stage").agg(F.sum("seconds").alias("seconds"), F.max("_known").alias("_known"))
+    video = Window.partitionBy("video_id")
+    s = s.withColumn("_known", F.max("_known").over(video)).withColumn("processed_sec", F.sum(F.when(F.col("seconds") > 0, F.col("seconds"))).over(video))
+    return s.where("_known and seconds > 0").drop("_known")
 
 
 def stage_flags(videos: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import cards, embedding, fixes, folds, speakers, voices
+from lectern.operators import cards, embedding, fixes, folds, library, speakers, voices
 from lectern.plans import timeline
 from lectern.sources import bindings as b
 from lectern.sources import transcripts
@@ -280,3 +280,18 @@ def test_clocks_end_and_late_changes_are_told(spark, tmp_path):
     assert sorted(got, key=repr) == sorted([(1, "fetching", 10 * second, False), (1, "late", None, True), (1, "merging", 20 * second, False), (2, "merging", second, False), (1, "merging", second, False)], key=repr)
     with pytest.raises(ValueError):
         jobs.finished(stream, "update")
+
+
+def test_tasks_of_stage_durations_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(library, "ROWS_A_TASK", 100)
+    videos = spark.range(300).select(F.col("id").alias("video_id"), F.lit("ready").alias("status"))
+    times = spark.range(4000).select((F.col("id") % 400).alias("video_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("stage"), (F.col("id") % 5 - 1).alias("seconds"))
+    times = times.unionByName(spark.createDataFrame([(None, "s0", 9), (7, None, 9)], "video_id long, stage string, seconds long"))
+    got = library.stage_durations(videos, times)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 20  # were as many as the session's, at every size
+    sums = {}
+    for v, s, x in times.collect():
+        sums[v, s] = sums.get((v, s), 0) + x
+    kept = {k: x for k, x in sums.items() if x > 0 and k[0] is not None and k[0] < 300}
+    want = {(*k, x, sum(y for j, y in kept.items() if j[0] == k[0])) for k, x in kept.items()}
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["video_id", "stage", "seconds", "processed_sec"]
