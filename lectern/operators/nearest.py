@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Questions up to this number go to all tasks (at 768 numbers of 4 bytes each 60 MB).
 MOST_SENT = 20_000
 #: Rows and questions of a block of the grid, and distances that a task holds at once.
-BLOCK, Q_BLOCK, HELD = 8_192, 2_048, 1 << 22
+BLOCK, Q_BLOCK, HELD = 8_192, 2_048, 1 << 20
 #: Distance of vectors of unlike lengths.
 UNLIKE = 2.0
 
@@ -52,7 +52,10 @@ def distances(questions: Matrices, rows: Matrices) -> tuple[np.ndarray, np.ndarr
         to = 0
         for _, y in rows:
             if x.shape[1] == y.shape[1]:
-                out[at : at + len(x), to : to + len(y)] = np.rint((1 - x @ y.T) * 1e6) / 1e6
+                d = x @ y.T
+                np.subtract(1, d, out=d)
+                d *= 1e6
+                out[at : at + len(x), to : to + len(y)] = np.divide(np.rint(d, out=d), 1e6, out=d)
             to += len(y)
         at += len(x)
     return q, r, out

@@ -1,6 +1,7 @@
 """Operators that work in blocks, with blocks so small that many are needed, against plain loops."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -245,3 +246,16 @@ def test_store_of_two_writers(spark, tmp_path, monkeypatch):
 def test_kernel_without_rows():
     none = nearest.matrices(pa.array([], pa.list_(pa.float64())))
     assert [len(x) for x in nearest.top_pairs(none, none, np.empty(0, np.int64), 3)] == [0, 0, 0]
+
+
+def test_memory_of_a_block():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((3000, 16)), rng.standard_normal((10_000, 16))
+    q, r = ([(np.arange(len(v)), v / np.linalg.norm(v, axis=1, keepdims=True))] for v in (x, y))
+    tracemalloc.start()
+    i, j, d = nearest.top_pairs(q, r, np.arange(len(y)), 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(i) == 3000 * 8  # before: 136 MB
+    near = np.round(1 - q[0][1][:3] @ r[0][1].T, 6)
+    assert [j[i == k].tolist() for k in range(3)] == [np.lexsort((np.arange(len(y)), v))[:8].tolist() for v in near]
